@@ -16,7 +16,7 @@ MAX_SLICES = 256
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
     """Keys holding more than ``limit`` rows, with their row counts (map-side combined)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n")).filter(F.col("_hot_n") > limit)
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -31,8 +31,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Col
     A key with ``nl`` left slices and ``nr`` right slices becomes ``nl * nr`` cells; each pair
     meets in exactly one of them. Other columns of the two sides must have different names.
     """
-    hot_left = hot_keys(left, keys, limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nl"))
-    hot_right = hot_keys(right, keys, limit).select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nr"))
+    hot_left = hot_keys(left, keys, limit).select(*keys, F.ceil(F.col("_hot_n") / limit).cast("int").alias("_nl"))
+    hot_right = hot_keys(right, keys, limit).select(*keys, F.ceil(F.col("_hot_n") / limit).cast("int").alias("_nr"))
     grid = (hot_left.join(hot_right, keys, "full_outer")
             .select(*keys, F.coalesce("_nl", F.lit(1)).alias("_nl"), F.coalesce("_nr", F.lit(1)).alias("_nr")))
     grid = F.broadcast(grid)  # at most rows / limit keys per side
@@ -62,7 +62,7 @@ def group_stats(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFram
 def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary keys, and rows of hot keys with ``_n`` attached."""
     hot = F.broadcast(hot_keys(df, keys, limit))  # at most rows / limit keys
-    return df.join(hot.drop("_n"), keys, "left_anti"), df.join(hot, keys)
+    return df.join(hot.drop("_hot_n"), keys, "left_anti"), df.join(hot, keys)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn",
@@ -81,7 +81,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
         name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
 
     keyed = hot.select("*", F.struct(*[c.alias(n) for c, n in zip(order, names)]).alias("_ord"))
-    stride = F.greatest(F.lit(1), F.floor(F.col("_n") / MAX_SLICES))
+    stride = F.greatest(F.lit(1), F.floor(F.col("_hot_n") / MAX_SLICES))
     cuts = (keyed.filter(F.pmod(F.xxhash64("_ord"), stride) == 0)
             .groupBy(*keys).agg(F.sort_array(F.collect_set("_ord")).alias("_cuts")))
     sliced = keyed.join(F.broadcast(cuts), keys, "left")  # about MAX_SLICES entries per hot key
@@ -95,7 +95,7 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "r
     inner = Window.partitionBy(*keys, "_slice").orderBy("_ord")
     placed = (sliced.join(F.broadcast(offsets), [*keys, "_slice"])
               .withColumn(name, (F.row_number().over(inner) + F.col("_shift")).cast("bigint"))
-              .drop("_slice", "_shift", "_ord", "_n"))
+              .drop("_slice", "_shift", "_ord", "_hot_n"))
     return ordinary.unionByName(placed.select(*ordinary.columns))
 
 

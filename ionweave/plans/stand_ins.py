@@ -76,3 +76,15 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("score"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("score2"),
         F.col("l_linenumber").alias("line"), F.col("l_tax").alias("tax"), F.col("l_quantity").alias("qty"),
         F.col("l_discount").alias("disc"))
+
+
+TRUTH_SQL = LISTS_SQL + """,
+rows AS (SELECT *, (row_number() OVER (PARTITION BY q ORDER BY line, cand, sup) = 1)::INTEGER AS y FROM lists)"""
+
+
+def truth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate lists with exactly one positive per query: the lowest (line, candidate, supplier)."""
+    rows = lists(spark, sf_dir)
+    ident = F.struct("line", "cand", "sup")
+    first = rows.groupBy("q").agg(F.min(ident).alias("_t"))
+    return rows.join(first, "q").withColumn("y", (ident == F.col("_t")).cast("int")).drop("_t")
