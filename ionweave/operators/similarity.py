@@ -162,9 +162,14 @@ def consensus_features(views: DataFrame, keys: list[str], n_ions: str) -> DataFr
         F.max("assignment").alias("assignment_max"), F.avg("excess").alias("uniform_excess_mean"), F.max("reuse_gap").alias("reuse_gap_max"),
         F.avg("coverage").alias("coverage_mean"), F.log1p(F.max(n_ions).cast("double")).alias("hypothesis_count_log1p"),
         F.count(F.lit(1)).alias("view_count"))
-    qa = aggregates.exact_quantiles(v, keys, "assignment", {"assignment_median": 0.5, "assignment_q25": 0.25})
-    qe = aggregates.exact_quantiles(v, keys, "excess", {"uniform_excess_q25": 0.25})
-    return base.join(qa, keys).join(qe, keys)
+    long = v.select(*keys, F.explode(F.array(
+        F.struct(F.lit("a").alias("kind"), F.col("assignment").alias("x")),
+        F.struct(F.lit("e").alias("kind"), F.col("excess").alias("x")))).alias("p")).select(*keys, "p.kind", "p.x")
+    q = aggregates.exact_quantiles(long, [*keys, "kind"], "x", {"mid": 0.5, "low": 0.25})
+    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    q = q.groupBy(*keys).agg(pick("a", "mid").alias("assignment_median"), pick("a", "low").alias("assignment_q25"),
+                             pick("e", "low").alias("uniform_excess_q25"))
+    return base.join(q, keys)
 
 
 def column_ablation(base: DataFrame, recomputed: DataFrame, keys: list[str], column: str, old: str, new: str,

@@ -65,38 +65,63 @@ def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[Da
     return df.join(hot.drop("_hot_n"), keys, "left_anti"), df.join(hot, keys)
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn",
-             limit: int = HOT_ROWS) -> DataFrame:
-    """1-based position of every row inside its group under ``order`` (which must be total).
+def _placed(hot: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Number the rows of hot groups slice by slice.
 
-    ``order`` holds ascending sort expressions; negate a number to sort it descending. Ordinary
-    groups use a plain window. Hot groups are cut into slices at boundaries taken from a
-    hash-chosen subset of their sort keys, so the cut depends on the data alone and a re-run task
-    sees the same slices; slices are numbered apart and shifted by the sizes of those before them.
-    The subset only places the cuts: every row is numbered.
+    Slice boundaries come from a hash-chosen subset of the sort keys, so they depend on the data
+    alone and a re-run task sees the same slices. The subset only places the cuts: every row is
+    numbered, and each slice is shifted by the sizes of those before it.
     """
-    ordinary, hot = split_hot(df, keys, limit)
-    names = [f"_o{i}" for i in range(len(order))]
-    ordinary = ordinary.withColumn(
-        name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-
-    keyed = hot.select("*", F.struct(*[c.alias(n) for c, n in zip(order, names)]).alias("_ord"))
+    keyed = hot.withColumn("_ord", F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)]))
     stride = F.greatest(F.lit(1), F.floor(F.col("_hot_n") / MAX_SLICES))
     cuts = (keyed.filter(F.pmod(F.xxhash64("_ord"), stride) == 0)
             .groupBy(*keys).agg(F.sort_array(F.collect_set("_ord")).alias("_cuts")))
     sliced = keyed.join(F.broadcast(cuts), keys, "left")  # about MAX_SLICES entries per hot key
     sliced = sliced.withColumn(
         "_slice", F.when(F.col("_cuts").isNull(), F.lit(0))
-        .otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_ord")))))
-    sliced = sliced.drop("_cuts")
+        .otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_ord"))))).drop("_cuts")
     sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
     inner = Window.partitionBy(*keys, "_slice").orderBy("_ord")
-    placed = (sliced.join(F.broadcast(offsets), [*keys, "_slice"])
-              .withColumn(name, (F.row_number().over(inner) + F.col("_shift")).cast("bigint"))
-              .drop("_slice", "_shift", "_ord", "_hot_n"))
-    return ordinary.unionByName(placed.select(*ordinary.columns))
+    return (sliced.join(F.broadcast(offsets), [*keys, "_slice"])
+            .withColumn(name, (F.row_number().over(inner) + F.col("_shift")).cast("bigint"))
+            .drop("_slice", "_shift", "_ord"))
+
+
+def numbered_many(df: DataFrame, keys: list[str], orders: dict[str, list[Column]],
+                  limit: int = HOT_ROWS) -> DataFrame:
+    """1-based positions of every row inside its group, one column per named order.
+
+    An order holds ascending sort expressions and must be total; negate a number to sort it
+    descending. Ordinary groups share one shuffle for all orders; hot groups are sliced.
+    """
+    ordinary, hot = split_hot(df, keys, limit)
+    for name, order in orders.items():
+        window = Window.partitionBy(*keys).orderBy(*order)
+        ordinary = ordinary.withColumn(name, F.row_number().over(window).cast("bigint"))
+        hot = _placed(hot, keys, order, name)
+    return ordinary.unionByName(hot.select(*ordinary.columns))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn",
+             limit: int = HOT_ROWS) -> DataFrame:
+    """``numbered_many`` with a single order."""
+    return numbered_many(df, keys, {name: order}, limit)
+
+
+def block_offsets(df: DataFrame, row: str, length: Column, name: str, block: int = HOT_ROWS) -> DataFrame:
+    """Exclusive running sum of ``length`` in the order of the integer column ``row``.
+
+    Rows are cut into blocks of consecutive positions; only one total per block crosses blocks.
+    """
+    cut = df.withColumn("_block", F.floor(F.col(row) / block))
+    inner = Window.partitionBy("_block").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_block").agg(F.sum(length).alias("_total"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select("_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
+    return (cut.join(shifts, "_block")
+            .withColumn(name, F.coalesce(F.sum(length).over(inner), F.lit(0)) + F.col("_shift")).drop("_block", "_shift"))
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str,

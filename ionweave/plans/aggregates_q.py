@@ -80,7 +80,7 @@ def g7(spark, d):
 @query("G8_reference_evidence", f"""WITH {BANK_SQL},
 st AS (SELECT p_partkey AS row_id, p_name || '|' || p_type AS key, p_retailprice AS mass FROM part),
 rec AS (SELECT key, CASE WHEN l_orderkey % 10 = 0 THEN '' ELSE l_orderkey::VARCHAR END AS sid, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_suppkey::VARCHAR END AS inst,
-  l_returnflag, l_linestatus, l_discount FROM lineitem JOIN st ON row_id = l_partkey WHERE l_quantity < 3),
+  l_returnflag, l_linestatus, l_discount FROM lineitem JOIN st ON row_id = l_partkey),
 ev AS (SELECT key, count(*) AS occurrences, count(DISTINCT nullif(sid, '')) AS distinct_ids, count(DISTINCT inst) AS institutions,
   count(DISTINCT (l_returnflag, l_linestatus, l_discount)) AS conditions FROM rec GROUP BY key),
 k AS (SELECT key, count(*) AS key_multiplicity, count(DISTINCT mass) > 1 AS mass_conflict FROM st GROUP BY key),
@@ -93,8 +93,8 @@ FROM st JOIN ev USING (key) JOIN k USING (key)""")
 def g8(spark, d):
     st = table(spark, d, "part", "p_partkey", "p_name", "p_type", "p_retailprice").select(
         F.col("p_partkey").alias("row_id"), F.concat_ws("|", "p_name", "p_type").alias("key"), F.col("p_retailprice").alias("mass"))
-    rows = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount", "l_quantity")
-    rec = rows.filter("l_quantity < 3").join(st.select(F.col("row_id").alias("l_partkey"), "key"), "l_partkey")
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_discount")
+    rec = rows.join(st.select(F.col("row_id").alias("l_partkey"), "key"), "l_partkey")
     rec = rec.withColumn("sid", F.when(F.col("l_orderkey") % 10 == 0, "").otherwise(F.col("l_orderkey").cast("string")))
     rec = rec.withColumn("inst", F.when(F.col("l_suppkey") % 9 != 0, F.col("l_suppkey").cast("string")))
     windows = rangejoin.window_counts(st.select("row_id", F.col("mass").alias("qm")), bank(spark, d), query_mass="qm", bank_mass="mass",

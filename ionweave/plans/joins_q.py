@@ -192,14 +192,14 @@ def j9(spark, d):
 
 @query("J10_ordered_row_join", """
 WITH j AS (SELECT a.c_name = b.n AS same FROM customer a FULL JOIN
-  (SELECT c_custkey, 'Customer#' || lpad(c_custkey::VARCHAR, 9, '0') AS n FROM customer WHERE c_custkey % 100 <> 3) b USING (c_custkey))
+  (SELECT c_custkey, CASE WHEN c_acctbal < -900 THEN c_mktsegment ELSE 'Customer#' || lpad(c_custkey::VARCHAR, 9, '0') END AS n FROM customer) b USING (c_custkey))
 SELECT count(*) AS n_rows, count(*) FILTER (same IS NOT TRUE) AS mismatches,
   (SELECT count(*) FROM (SELECT c_name FROM customer GROUP BY 1 HAVING count(*) > 1)) AS repeated_ids,
   count(*) > 0 AND count(*) FILTER (same IS NOT TRUE) = 0 AS aligned FROM j""")
 def j10(spark, d):
-    left = table(spark, d, "customer", "c_custkey", "c_name")
-    right = left.filter("c_custkey % 100 <> 3").select(
-        "c_custkey", F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("c_name"))
+    left = table(spark, d, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    built = F.concat(F.lit("Customer#"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    right = left.select("c_custkey", F.when(F.col("c_acctbal") < -900, F.col("c_mktsegment")).otherwise(built).alias("c_name"))
     return joins.ordered_row_report(left, right, "c_custkey", "c_name")
 
 

@@ -50,12 +50,12 @@ def p4(spark, d):
 
 
 @query("P5_fragment_ion_hypotheses", f"""
-WITH f AS (SELECT p_partkey, unnest([p_retailprice / 2, p_retailprice / 3]) AS m FROM part WHERE p_size % 3 = 0),
+WITH f AS (SELECT p_partkey, unnest([p_retailprice / 2, p_retailprice / 3]) AS m FROM part WHERE p_type = 'ECONOMY'),
 x AS (SELECT DISTINCT p_partkey, m + h * {k.H!r}::DOUBLE + {k.NA - k.ELECTRON!r}::DOUBLE AS ion FROM f, (SELECT unnest([-2, -1, 0, 1, 2]) AS h))
 SELECT p_partkey, round(ion, 6) AS ion_mz, row_number() OVER (PARTITION BY p_partkey ORDER BY ion) - 1 AS pos FROM x""")
 def p5(spark, d):
-    df = table(spark, d, "part", "p_partkey", "p_retailprice", "p_size")
-    adduct = F.when(F.col("p_size") % 3 == 0, "[M+Na]+").otherwise("[M+H]+")
+    df = table(spark, d, "part", "p_partkey", "p_retailprice", "p_type")
+    adduct = F.when(F.col("p_type") == "ECONOMY", "[M+Na]+").otherwise("[M+H]+")
     df = df.filter(s.family_allowed("sodium_retained", adduct, F.lit("positive")))
     masses = F.array(F.col("p_retailprice") / 2, F.col("p_retailprice") / 3)
     ions = df.select("p_partkey", F.posexplode(s.fragment_ions(masses, "sodium_retained")).alias("pos", "ion"))
@@ -246,11 +246,11 @@ def p21(spark, d):
 
 
 @query("P22_quality_filter", f"""WITH {SPECTRA_SQL}
-SELECT event_id, round(mz, 6) AS mz FROM meta WHERE energy % 7 >= 3 AND user_id % 10 <> 0 AND NOT coalesce(event_id % 5 <> 0 AND abs(mz - 130) > 20, false)""")
+SELECT event_id, round(mz, 6) AS mz FROM meta WHERE energy // 10 >= 3 AND event_type <> 'error' AND NOT coalesce(mode <> 'unknown' AND abs(mz - 130) > 20, false)""")
 def p22(spark, d):
     df = spectra_meta(spark, d)
-    error = F.when(F.col("event_id") % 5 != 0, F.col("mz") - 130)
-    kept = df.filter(s.quality_filter(F.col("mz"), F.col("energy") % 7, error, F.col("user_id") % 10 != 0))
+    error = F.when(F.col("mode") != "unknown", F.col("mz") - 130)
+    kept = df.filter(s.quality_filter(F.col("mz"), F.floor(F.col("energy") / 10), error, F.col("event_type") != "error"))
     return kept.select("event_id", F.round("mz", 6).alias("mz"))
 
 

@@ -39,13 +39,15 @@ def masses(spark, d):
         "vec_id", (F.lit(500) + 100 * F.get("embedding", F.lit(0)).cast("double")).alias("nm"))
 
 
-def scored_pairs(spark, d, ids, modified=True):
+def scored_pairs(spark, d, ids, modified=True, excluded=None):
     """Similarity of (q, c) id pairs; the peak arrays join after the pair list is known."""
     lib = library(spark, d)
     nm = masses(spark, d)
     side = lambda p, key: lib.join(nm, "vec_id").select(F.col("vec_id").alias(key), F.col("label").alias(p + "_label"), F.col("mz").alias(p + "_mz"),
                                                         F.col("it").alias(p + "_it"), F.col("nm").alias(p + "_nm"))
     full = ids.join(side("q", "q"), "q").join(side("c", "c"), "c")
+    if excluded is not None:
+        full = full.filter(~excluded)
     score = similarity.greedy_cosine(F.col("q_mz"), F.col("q_it"), F.col("c_mz"), F.col("c_it"), F.col("q_nm") - F.col("c_nm"), tol=2.0, modified=modified)
     return full.select("q", "c", "c_label", score.alias("sim"))
 
@@ -70,10 +72,10 @@ def m2(spark, d):
     return scored_pairs(spark, d, mass_pairs(spark, d)).select("q", "c", F.round("sim", 9).alias("cosine"))
 
 
-@query("M3_library_best_by_key", SCORES_SQL.format(pairs=pairs_sql(NARROW)) + " SELECT q, label AS identity, round(max(direct), 9) AS best FROM sim JOIN prep ON vec_id = c WHERE c % 10 <> 0 GROUP BY ALL")
+@query("M3_library_best_by_key", SCORES_SQL.format(pairs=pairs_sql(NARROW)) + " SELECT q, label AS identity, round(max(direct), 9) AS best FROM sim JOIN prep ON vec_id = c WHERE label <> 3 GROUP BY ALL")
 def m3(spark, d):
-    ids = mass_pairs(spark, d).filter("c % 10 <> 0")
-    best = similarity.best_by_key(scored_pairs(spark, d, ids, modified=False), "q", "c_label", "sim")
+    scored = scored_pairs(spark, d, mass_pairs(spark, d), modified=False, excluded=F.col("c_label") == 3)
+    best = similarity.best_by_key(scored, "q", "c_label", "sim")
     return best.select("q", F.col("c_label").alias("identity"), F.round("best", 9).alias("best"))
 
 
@@ -133,18 +135,18 @@ def m5(spark, d):
 
 @query("M6_condition_mean_similarity", f"""WITH sims AS ({MATCH_SQL})
 SELECT q, cand, round(avg(similarity), 8) AS mean_similarity, count(similarity) AS n_scored FROM (SELECT DISTINCT vec_id // 10 AS q, vec_id % 3 AS cand FROM embeddings)
-LEFT JOIN (SELECT vec_id // 10 AS q, vec_id % 3 AS cand, similarity FROM sims WHERE vec_id % 4 = 0) USING (q, cand) GROUP BY ALL""")
+LEFT JOIN (SELECT vec_id // 10 AS q, vec_id % 3 AS cand, similarity FROM sims WHERE similarity > 0.5) USING (q, cand) GROUP BY ALL""")
 def m6(spark, d):
     keys = [F.floor(F.col("vec_id") / 10).alias("q"), (F.col("vec_id") % 3).alias("cand")]
     roster = spectra(spark, d).select(*keys).distinct()
-    scores = entropy_pairs(spark, d).filter("vec_id % 4 = 0").select(*keys, F.round("similarity", 8).alias("similarity"))
+    scores = entropy_pairs(spark, d).withColumn("similarity", F.round("similarity", 8)).filter("similarity > 0.5").select(*keys, "similarity")
     out = similarity.condition_means(roster, scores, ["q", "cand"], "similarity")
     return out.withColumn("mean_similarity", F.round("mean_similarity", 8))
 
 
 VIEWS_SQL = f"""{PEAKS_SQL},
 v AS (SELECT vec_id, list(mz ORDER BY mz, i) AS ms, list(sqrt(it) ORDER BY mz, i) AS ws, count(*) AS n FROM peaks WHERE mz BETWEEN 200 AND 900 GROUP BY vec_id),
-ions AS (SELECT vec_id // 3 AS g, list(DISTINCT mz ORDER BY mz) AS xs FROM peaks WHERE vec_id % 3 = 0 AND i BETWEEN 10 AND 24 GROUP BY 1),
+ions AS (SELECT vec_id // 3 AS g, list(DISTINCT mz ORDER BY mz) AS xs FROM peaks WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY vec_id // 3) AND mz BETWEEN 200 AND 900 GROUP BY 1),
 cands AS (SELECT vec_id, vec_id // 3 AS g, k AS cand, ms, ws, v.n, xs, len(xs) AS ni FROM v, (VALUES (1), (2)) t(k) JOIN ions ON ions.g = vec_id // 3 + k),
 dp AS (SELECT vec_id, cand, 1 AS k, list_transform(range(0, ni + 1), lambda j: 0.0::DOUBLE) AS prev, 0.0::DOUBLE AS ind FROM cands
  UNION ALL SELECT vec_id, cand, k + 1, list_transform(range(1, ni + 2), lambda j: list_max(step[1:j])), ind + CASE WHEN len(list_filter(xs, lambda x: abs(ms[k] - x) <= greatest(2.0::DOUBLE, ms[k] * (1000 * 1e-6)))) > 0 THEN ws[k] ELSE 0 END FROM (
@@ -159,8 +161,9 @@ def view_scores(spark, d):
     inside = F.filter(pk.by_mz(F.col("peaks")), lambda p: p["mz"].between(200, 900))
     views = sp.select("vec_id", F.floor(F.col("vec_id") / 3).alias("g"), inside.alias("p"))
     views = views.select("vec_id", "g", F.transform("p", lambda x: x["mz"]).alias("m"), F.transform("p", lambda x: F.sqrt(x["intensity"])).alias("w"))
-    chosen = F.transform(F.filter("peaks", lambda p, i: i.between(10, 24)), lambda p: p["mz"])
-    ions = sp.filter("vec_id % 3 = 0").select(F.floor(F.col("vec_id") / 3).alias("ion_g"), F.array_sort(F.array_distinct(chosen)).alias("ions"))
+    # the first spectrum of a later group supplies a candidate's ion hypotheses
+    first = views.groupBy("g").agg(F.min_by("m", "vec_id").alias("ions"))
+    ions = first.select(F.col("g").alias("ion_g"), F.array_distinct("ions").alias("ions"))
     fan = views.withColumn("cand", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("ion_g", F.col("g") + F.col("cand"))
     both = fan.join(ions, "ion_g")
     out = both.withColumn("e", similarity.explained(F.col("ions"), F.col("m"), F.col("w"), 2.0, 1000.0))
@@ -189,12 +192,12 @@ def m8(spark, d):
 
 
 @query("M9_raw_column_ablation", f"""WITH RECURSIVE {VIEWS_SQL},
-s AS (SELECT g, cand, avg(assignment) AS old, max(assignment) AS new FROM sc WHERE g % 7 <> 3 GROUP BY g, cand),
+s AS (SELECT g, cand, avg(assignment) AS old, max(assignment) AS new FROM sc GROUP BY g, cand HAVING max(assignment) > 0.2),
 b AS (SELECT g, cand, avg(assignment) + CASE WHEN g % 5 = 0 THEN 1e-3 ELSE 0 END AS frag FROM sc GROUP BY g, cand)
 SELECT g, cand, round(new, 8) AS frag, coalesce(abs(frag - old) <= 1e-8, false) AS parity_ok FROM b LEFT JOIN s USING (g, cand)""")
 def m9(spark, d):
     v = view_scores(spark, d)
     base = v.groupBy("g", "cand").agg(F.avg("assignment").alias("frag")).withColumn(
         "frag", F.col("frag") + F.when(F.col("g") % 5 == 0, 1e-3).otherwise(0.0))
-    new = v.filter("g % 7 <> 3").groupBy("g", "cand").agg(F.avg("assignment").alias("old"), F.max("assignment").alias("new"))
+    new = v.groupBy("g", "cand").agg(F.avg("assignment").alias("old"), F.max("assignment").alias("new")).filter("new > 0.2")
     return similarity.column_ablation(base, new, ["g", "cand"], "frag", "old", "new").withColumn("frag", F.round("frag", 8))
