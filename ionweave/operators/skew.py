@@ -10,6 +10,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 HOT_ROWS = 1_000_000
 MAX_SLICES = 256
 
@@ -49,8 +51,23 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Col
     return cells_left.join(cells_right, [*keys, "_ls", "_rs"]).drop("_ls", "_rs")
 
 
+BOUNDED = "bounded"  # passed as ``hot`` where a cap or a contract already bounds every group
+
+
+def find_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame | str:
+    """The table of hot keys, or ``BOUNDED`` when there are none.
+
+    One counting pass over the key columns runs here, so that the usual plan stays a plain window.
+    """
+    hot = hot_keys(df, keys, limit)
+    if hot.isEmpty():
+        return BOUNDED
+    ensure_checkpoint_dir(df.sparkSession)
+    return hot.checkpoint()
+
+
 def group_stats(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
-    """``df`` with whole-group aggregates attached.
+    """``df`` with whole-group aggregates attached, whatever the group sizes.
 
     Partial aggregation runs before the shuffle and the join back can be split by adaptive skew
     handling; a whole-partition window would pull each group into one task.
@@ -59,55 +76,67 @@ def group_stats(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFram
     return df.join(stats, keys)
 
 
-def split_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys, and rows of hot keys with ``_n`` attached."""
-    hot = F.broadcast(hot_keys(df, keys, limit))  # at most rows / limit keys
-    return df.join(hot.drop("_hot_n"), keys, "left_anti"), df.join(hot, keys)
+def with_stats(df: DataFrame, keys: list[str], stats: dict[str, Column], hot: DataFrame | str) -> DataFrame:
+    """Whole-group aggregates by window where groups are bounded, by aggregate and join otherwise."""
+    if hot is BOUNDED:
+        window = Window.partitionBy(*keys)
+        return df.select("*", *[c.over(window).alias(name) for name, c in stats.items()])
+    return group_stats(df, keys, *[c.alias(name) for name, c in stats.items()])
 
 
-def _placed(hot: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
-    """Number the rows of hot groups slice by slice.
+def _sliced(hot_rows: DataFrame, keys: list[str], orders: dict[str, list[Column]]) -> DataFrame:
+    """Number the rows of hot groups slice by slice, one column per order.
 
     Slice boundaries come from a hash-chosen subset of the sort keys, so they depend on the data
     alone and a re-run task sees the same slices. The subset only places the cuts: every row is
     numbered, and each slice is shifted by the sizes of those before it.
     """
-    keyed = hot.withColumn("_ord", F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)]))
+    names = list(orders)
+    keyed = hot_rows.withColumns({f"_ord_{n}": F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(orders[n])]) for n in names})
     stride = F.greatest(F.lit(1), F.floor(F.col("_hot_n") / MAX_SLICES))
-    cuts = (keyed.filter(F.pmod(F.xxhash64("_ord"), stride) == 0)
-            .groupBy(*keys).agg(F.sort_array(F.collect_set("_ord")).alias("_cuts")))
-    sliced = keyed.join(F.broadcast(cuts), keys, "left")  # about MAX_SLICES entries per hot key
-    sliced = sliced.withColumn(
-        "_slice", F.when(F.col("_cuts").isNull(), F.lit(0))
-        .otherwise(F.size(F.filter("_cuts", lambda c: c <= F.col("_ord"))))).drop("_cuts")
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    cuts = keyed.groupBy(*keys).agg(*[
+        F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(f"_ord_{n}"), stride) == 0, F.col(f"_ord_{n}")))).alias(f"_cuts_{n}")
+        for n in names])
+    sliced = keyed.join(F.broadcast(cuts), keys)  # about MAX_SLICES entries per hot key and order
+    sliced = sliced.withColumns({f"_slice_{n}": F.size(F.filter(f"_cuts_{n}", lambda c, o=F.col(f"_ord_{n}"): c <= o)) for n in names})
+    sliced = sliced.drop(*[f"_cuts_{n}" for n in names])
+    # the widest input of this plan, used once per order below
+    ensure_checkpoint_dir(hot_rows.sparkSession)
+    sliced = sliced.checkpoint()
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
-    inner = Window.partitionBy(*keys, "_slice").orderBy("_ord")
-    return (sliced.join(F.broadcast(offsets), [*keys, "_slice"])
-            .withColumn(name, (F.row_number().over(inner) + F.col("_shift")).cast("bigint"))
-            .drop("_slice", "_shift", "_ord"))
-
-
-def numbered_many(df: DataFrame, keys: list[str], orders: dict[str, list[Column]],
-                  limit: int = HOT_ROWS) -> DataFrame:
+    out = sliced
+    for n in names:
+        sizes = sliced.groupBy(*keys, F.col(f"_slice_{n}").alias("_slice")).agg(F.count(F.lit(1)).alias("_size"))
+        shifts = sizes.select(*keys, F.col("_slice").alias(f"_slice_{n}"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+        inner = Window.partitionBy(*keys, f"_slice_{n}").orderBy(f"_ord_{n}")
+        out = (out.join(F.broadcast(shifts), [*keys, f"_slice_{n}"])
+               .withColumn(n, (F.row_number().over(inner) + F.col("_shift")).cast("bigint"))
+               .drop("_shift", f"_slice_{n}", f"_ord_{n}"))
+    return out
+
+
+def numbered_many(df: DataFrame, keys: list[str], orders: dict[str, list[Column]], limit: int = HOT_ROWS,
+                  hot: DataFrame | str | None = None) -> DataFrame:
     """1-based positions of every row inside its group, one column per named order.
 
     An order holds ascending sort expressions and must be total; negate a number to sort it
     descending. Ordinary groups share one shuffle for all orders; hot groups are sliced.
     """
-    ordinary, hot = split_hot(df, keys, limit)
-    for name, order in orders.items():
-        window = Window.partitionBy(*keys).orderBy(*order)
-        ordinary = ordinary.withColumn(name, F.row_number().over(window).cast("bigint"))
-        hot = _placed(hot, keys, order, name)
-    return ordinary.unionByName(hot.select(*ordinary.columns))
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn",
-             limit: int = HOT_ROWS) -> DataFrame:
+    hot = find_hot(df, keys, limit) if hot is None else hot
+    window = Window.partitionBy(*keys)
+    positions = [F.row_number().over(window.orderBy(*order)).cast("bigint").alias(name) for name, order in orders.items()]
+    if hot is BOUNDED:
+        return df.select("*", *positions)
+    few = F.broadcast(hot)  # at most rows / limit keys
+    ordinary = df.join(few.drop("_hot_n"), keys, "left_anti").select("*", *positions)
+    placed = _sliced(df.join(few, keys), keys, orders)
+    return ordinary.unionByName(placed.select(*ordinary.columns))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn", limit: int = HOT_ROWS,
+             hot: DataFrame | str | None = None) -> DataFrame:
     """``numbered_many`` with a single order."""
-    return numbered_many(df, keys, {name: order}, limit)
+    return numbered_many(df, keys, {name: order}, limit, hot)
 
 
 def block_offsets(df: DataFrame, row: str, length: Column, name: str, block: int = HOT_ROWS) -> DataFrame:
@@ -125,9 +154,13 @@ def block_offsets(df: DataFrame, row: str, length: Column, name: str, block: int
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str,
-                  limit: int = HOT_ROWS) -> DataFrame:
-    """Inclusive running sum of ``value`` in ``order``; group sizes are handled as in ``numbered``."""
-    spaced = numbered(df, keys, order, "_rn", limit).withColumn("_block", F.floor((F.col("_rn") - 1) / limit))
+                  limit: int = HOT_ROWS, hot: DataFrame | str | None = None) -> DataFrame:
+    """Inclusive running sum of ``value`` in ``order``; group sizes are handled as in ``numbered_many``."""
+    hot = find_hot(df, keys, limit) if hot is None else hot
+    if hot is BOUNDED:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(value).over(window))
+    spaced = numbered(df, keys, order, "_rn", limit, hot).withColumn("_block", F.floor((F.col("_rn") - 1) / limit))
     inner = Window.partitionBy(*keys, "_block").orderBy("_rn").rowsBetween(Window.unboundedPreceding, 0)
     sums = spaced.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,11 +170,19 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Co
             .drop("_rn", "_block", "_shift"))
 
 
-def tie_ranks(df: DataFrame, keys: list[str], score: str, limit: int = HOT_ROWS) -> DataFrame:
+def tie_ranks(df: DataFrame, keys: list[str], score: str, limit: int = HOT_ROWS,
+              hot: DataFrame | str | None = None) -> DataFrame:
     """Attach ``n`` (group size), ``above`` (rows with a higher score) and ``tied`` (equal rows, self included).
 
-    Exact ties are first folded into one run per (group, score), so a huge tie costs one row.
+    With a hot group, exact ties are first folded into one run per (group, score), so a huge tie
+    costs one row.
     """
+    hot = find_hot(df, keys, limit) if hot is None else hot
+    if hot is BOUNDED:
+        group = Window.partitionBy(*keys)
+        return df.select("*", F.count(F.lit(1)).over(group).alias("n"),
+                         (F.rank().over(group.orderBy(F.desc(score))) - 1).cast("bigint").alias("above"),
+                         F.count(F.lit(1)).over(Window.partitionBy(*keys, score)).alias("tied"))
     runs = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("tied"))
     totals = running_total(runs, keys, [-F.col(score)], F.col("tied"), "_upto", limit)
     sizes = runs.groupBy(*keys).agg(F.sum("tied").alias("n"))
