@@ -92,9 +92,10 @@ policy AS (SELECT *, CASE WHEN rows_50 > 0 THEN 50.0::DOUBLE WHEN rows_150 > 0 T
    CASE WHEN rows_50 > 0 THEN rows_50 ELSE rows_150 END AS selected_rows FROM pol)"""
 
 
-def atlas_policy(spark, d, cap=4096):
+def atlas_policy(spark, d, cap=4096, only=None):
     b = bank(spark, d)
-    return rangejoin.window_policy(b, b, query_mass="mass", bank_mass="mass", narrow=50.0, wide=150.0, cap=cap, group="grp")
+    queries = b if only is None else b.join(only, "row_id", "left_semi")
+    return rangejoin.window_policy(queries, b, query_mass="mass", bank_mass="mass", narrow=50.0, wide=150.0, cap=cap, group="grp")
 
 
 @query("J5_group_excluded_join", f"""WITH {POLICY_SQL}
@@ -105,10 +106,10 @@ def j5(spark, d):
                                          "selected_rows", "status")
 
 
-def atlas_pairs(spark, d, cap=4096):
+def atlas_pairs(spark, d, cap=4096, only=None):
     """Confuser pairs with bit-set similarities; windows over ``cap`` are held, not cut."""
     b = bank(spark, d)
-    policy = atlas_policy(spark, d, cap).select(
+    policy = atlas_policy(spark, d, cap, only).select(
         F.col("row_id").alias("query_row"), F.col("mass").alias("qm"), F.col("grp").alias("qg"), F.col("fp").alias("qfp"),
         "selected_ppm", "status")
     other = b.select(F.col("row_id").alias("candidate_row"), F.col("mass").alias("cm"), F.col("grp").alias("cg"),
