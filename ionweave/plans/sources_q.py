@@ -58,7 +58,7 @@ def s6(spark, d):
 @query("S7_scan_strict_json", """SELECT event_id, CASE event_type WHEN 'error' THEN 'repeated key' WHEN 'signup' THEN 'constant NaN' WHEN 'view' THEN 'not_object' WHEN 'purchase' THEN 'malformed' ELSE 'ok' END AS status FROM events""")
 def s7(spark, d):
     kind, props = F.col("event_type"), F.col("props")
-    text = (F.when(kind == "error", F.concat(F.rtrim(F.lit("}"), props), F.lit(', "k": 0}'))).when(kind == "signup", F.concat(F.rtrim(F.lit("}"), props), F.lit(', "v": NaN}')))
+    text = (F.when(kind == "error", F.concat(F.rtrim(props, F.lit("}")), F.lit(', "k": 0}'))).when(kind == "signup", F.concat(F.rtrim(props, F.lit("}")), F.lit(', "v": NaN}')))
             .when(kind == "view", F.concat(F.lit("["), props, F.lit("]"))).when(kind == "purchase", F.concat(props, F.lit("}"))).otherwise(props))
     return table(spark, d, "events", "event_id", "event_type", "props").select("event_id", readers.strict_json_status(text).alias("status"))
 

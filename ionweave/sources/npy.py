@@ -127,6 +127,10 @@ def _target(path: str, name: str):
     return system, f"{inner}/{name}"
 
 
+def _receipt(part: int, rows: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64())], names=["part", "rows"])
+
+
 def write_npy(df: DataFrame, column: str, path: str) -> DataFrame:
     """One ``.npy`` part per partition; returns (part, rows) when run."""
 
@@ -139,7 +143,7 @@ def write_npy(df: DataFrame, column: str, path: str) -> DataFrame:
             system, name = _target(path, f"part-{part:05d}.npy")
             with system.open_output_stream(name) as out:
                 np.lib.format.write_array(out, np.concatenate(arrays), allow_pickle=False)
-            yield pa.RecordBatch.from_pydict({"part": [part], "rows": [sum(len(a) for a in arrays)]})
+            yield _receipt(part, sum(len(a) for a in arrays))
 
     return df.select(column).mapInArrow(run, "part int, rows bigint")
 
@@ -159,6 +163,6 @@ def write_blob(df: DataFrame, column: str, path: str) -> DataFrame:
                 out.write(b"".join(texts))
             with system.open_output_stream(name + ".npy") as out:
                 np.lib.format.write_array(out, offsets, allow_pickle=False)
-            yield pa.RecordBatch.from_pydict({"part": [part], "rows": [len(texts)]})
+            yield _receipt(part, len(texts))
 
     return df.select(column).mapInArrow(run, "part int, rows bigint")
