@@ -121,13 +121,29 @@ def bootstrap_interval(df: DataFrame, value: str, replicates: int = 5000, seed:
     return means.agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
 
+def log_gamma(x: Column) -> Column:
+    """Natural log of the gamma function for x >= 1: Stirling's series after a shift by eight."""
+    shift = F.lit(0.0)
+    for i in range(8):
+        shift = shift + F.log(x + i)
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - 1 / (1680 * F.pow(y, F.lit(7.0)))
+    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * float(np.log(2 * np.pi))) + series - shift
+
+
 def sign_test(counts: DataFrame, wins: str, losses: str) -> DataFrame:
-    """Two-sided exact binomial p of the win/loss split, by a running log-binomial on the one-row count table."""
-    n, m = F.col(wins) + F.col(losses), F.least(wins, losses)
-    start = F.struct((-n * F.lit(float(np.log(2.0)))).alias("lg"), F.lit(0.0).alias("p"))
-    folded = F.aggregate(F.sequence(F.lit(0).cast("bigint"), m), start, lambda acc, k: F.struct(
-        F.when(k < n, acc["lg"] + F.log((n - k) / (k + 1))).otherwise(acc["lg"]).alias("lg"), (acc["p"] + F.exp(acc["lg"])).alias("p")))
-    return counts.withColumn("sign_p", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * folded["p"])))
+    """Two-sided exact binomial p of each row's win/loss split.
+
+    The tail is summed from its largest term down. Sixty standard deviations below it the terms
+    are under the smallest double, so the sum stops there and its length grows with sqrt(n).
+    """
+    n, m = (F.col(wins) + F.col(losses)).cast("double"), F.least(wins, losses).cast("double")
+    steps = F.least(m, F.ceil(60 * F.sqrt(n)) + 60).cast("bigint")
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+    folded = F.aggregate(F.sequence(F.lit(0).cast("bigint"), steps), start, lambda acc, k: F.struct(
+        (acc["t"] * (m - k) / (n - m + k + 1)).alias("t"), (acc["s"] + acc["t"]).alias("s")))
+    largest = log_gamma(n + 1) - log_gamma(m + 1) - log_gamma(n - m + 1) - n * F.lit(float(np.log(2.0)))
+    return counts.withColumn("sign_p", F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.exp(largest) * folded["s"])))
 
 
 def effect_diagnostics(df: DataFrame, delta: str) -> DataFrame:

@@ -45,13 +45,13 @@ def z_soft(x: Column, mean: Column, std: Column) -> Column:
 
 
 def with_z(df: DataFrame, keys: list[str], score: str, name: str, form=z_or_zero) -> DataFrame:
-    joined = skew.group_stats(df, keys, F.avg(score).alias("_m"), F.stddev_pop(score).alias("_s"))
+    joined = skew.with_stats(df, keys, {"_m": F.avg(score), "_s": F.stddev_pop(score)}, skew.find_hot(df, keys))
     return joined.withColumn(name, form(F.col(score), F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
 def with_gap(df: DataFrame, keys: list[str], score: str) -> DataFrame:
     """Adds ``query_max``, ``gap`` to it and ``is_max``."""
-    joined = skew.group_stats(df, keys, F.max(score).alias("query_max"))
+    joined = skew.with_stats(df, keys, {"query_max": F.max(score)}, skew.find_hot(df, keys))
     return (joined.withColumn("gap", F.col(score) - F.col("query_max"))
             .withColumn("is_max", (F.col(score) == F.col("query_max")).cast("int")))
 

@@ -154,7 +154,7 @@ def condition_means(roster: DataFrame, scores: DataFrame, keys: list[str], score
     return roster.join(means, keys, "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
 
 
-def consensus_features(views: DataFrame, keys: list[str], n_ions: str) -> DataFrame:
+def consensus_features(views: DataFrame, keys: list[str], n_ions: str, hot: DataFrame | str | None = None) -> DataFrame:
     """Nine features per (query, candidate) over views with assignment, independent and coverage columns."""
     v = (views.withColumn("excess", F.col("assignment") - F.col("coverage"))
          .withColumn("reuse_gap", F.greatest(F.lit(0.0), F.col("independent") - F.col("assignment"))))
@@ -165,7 +165,7 @@ def consensus_features(views: DataFrame, keys: list[str], n_ions: str) -> DataFr
     long = v.select(*keys, F.explode(F.array(
         F.struct(F.lit("a").alias("kind"), F.col("assignment").alias("x")),
         F.struct(F.lit("e").alias("kind"), F.col("excess").alias("x")))).alias("p")).select(*keys, "p.kind", "p.x")
-    q = aggregates.exact_quantiles(long, [*keys, "kind"], "x", {"mid": 0.5, "low": 0.25})
+    q = aggregates.exact_quantiles(long, [*keys, "kind"], "x", {"mid": 0.5, "low": 0.25}, hot=hot)
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     q = q.groupBy(*keys).agg(pick("a", "mid").alias("assignment_median"), pick("a", "low").alias("assignment_q25"),
                              pick("e", "low").alias("uniform_excess_q25"))

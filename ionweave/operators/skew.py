@@ -2,11 +2,9 @@
 
 A hot key is one with more than ``limit`` rows. At most ``rows / limit`` keys can be hot, so the
 table of hot keys is small by arithmetic and may be broadcast. When no key is hot that table is
-empty and adaptive execution drops the joins against it.
+empty and the plain plan is used.
 """
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,9 +19,19 @@ def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n")).filter(F.col("_hot_n") > limit)
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    conditions = [left[k].eqNullSafe(right[k]) for k in keys]
-    return functools.reduce(lambda a, b: a & b, conditions)
+BOUNDED = "bounded"  # passed as ``hot`` where a cap or a contract already bounds every group
+
+
+def find_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame | str:
+    """The table of hot keys, or ``BOUNDED`` when there are none.
+
+    One counting pass over the key columns runs here, so that the usual plan stays a plain window.
+    """
+    hot = hot_keys(df, keys, limit)
+    if hot.isEmpty():
+        return BOUNDED
+    ensure_checkpoint_dir(df.sparkSession)
+    return hot.checkpoint()
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column,
@@ -31,11 +39,19 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Col
     """Inner equi-join in which both sides of a hot key are spread over a salt grid.
 
     A key with ``nl`` left slices and ``nr`` right slices becomes ``nl * nr`` cells; each pair
-    meets in exactly one of them. Other columns of the two sides must have different names.
+    meets in exactly one of them. Without hot keys this is the plain join. Other columns of the
+    two sides must have different names.
     """
-    hot_left = hot_keys(left, keys, limit).select(*keys, F.ceil(F.col("_hot_n") / limit).cast("int").alias("_nl"))
-    hot_right = hot_keys(right, keys, limit).select(*keys, F.ceil(F.col("_hot_n") / limit).cast("int").alias("_nr"))
-    grid = (hot_left.join(hot_right, keys, "full_outer")
+    hot_left, hot_right = find_hot(left, keys, limit), find_hot(right, keys, limit)
+    if hot_left is BOUNDED and hot_right is BOUNDED:
+        return left.join(right, keys)
+
+    def slices(hot: DataFrame | str, side: DataFrame, name: str) -> DataFrame:
+        if hot is BOUNDED:
+            hot = side.select(*keys).limit(0).withColumn("_hot_n", F.lit(0))
+        return hot.select(*keys, F.ceil(F.col("_hot_n") / limit).cast("int").alias(name))
+
+    grid = (slices(hot_left, left, "_nl").join(slices(hot_right, right, "_nr"), keys, "full_outer")
             .select(*keys, F.coalesce("_nl", F.lit(1)).alias("_nl"), F.coalesce("_nr", F.lit(1)).alias("_nr")))
     grid = F.broadcast(grid)  # at most rows / limit keys per side
 
@@ -51,21 +67,6 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Col
     return cells_left.join(cells_right, [*keys, "_ls", "_rs"]).drop("_ls", "_rs")
 
 
-BOUNDED = "bounded"  # passed as ``hot`` where a cap or a contract already bounds every group
-
-
-def find_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame | str:
-    """The table of hot keys, or ``BOUNDED`` when there are none.
-
-    One counting pass over the key columns runs here, so that the usual plan stays a plain window.
-    """
-    hot = hot_keys(df, keys, limit)
-    if hot.isEmpty():
-        return BOUNDED
-    ensure_checkpoint_dir(df.sparkSession)
-    return hot.checkpoint()
-
-
 def group_stats(df: DataFrame, keys: list[str], *aggregates: Column) -> DataFrame:
     """``df`` with whole-group aggregates attached, whatever the group sizes.
 
@@ -153,6 +154,20 @@ def block_offsets(df: DataFrame, row: str, length: Column, name: str, block: int
             .withColumn(name, F.coalesce(F.sum(length).over(inner), F.lit(0)) + F.col("_shift")).drop("_block", "_shift"))
 
 
+def bucketed_running_total(df: DataFrame, bucket: str, order: list[Column], value: Column, name: str,
+                           limit: int = HOT_ROWS) -> DataFrame:
+    """Inclusive running sum over a whole table whose integer ``bucket`` follows the sort order.
+
+    Buckets are summed apart, so a table-wide order needs no single task; only one total per
+    bucket crosses buckets, and a bucket that is itself hot is sliced.
+    """
+    inside = running_total(df, [bucket], order, value, "_inside", limit)
+    totals = df.groupBy(bucket).agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(F.lit(0)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.select(bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift"))
+    return inside.join(shifts, bucket).withColumn(name, F.col("_inside") + F.col("_shift")).drop("_inside", "_shift")
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, name: str,
                   limit: int = HOT_ROWS, hot: DataFrame | str | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in ``order``; group sizes are handled as in ``numbered_many``."""

@@ -43,8 +43,9 @@ def component_split(edges: DataFrame, structure: str, scaffold: str, salt: str)
     comp = connected_components(nodes, "s", "f")
     members = comp.filter("node % 2 = 0").select((F.col("node") / 2).cast("bigint").alias(structure), "component")
     digests = set_digest(members, "component", structure)
-    ordered = digests.withColumn("_all", F.lit(0)).withColumn("_h", F.sha2(F.concat(F.lit(salt), F.lit(":"), F.col("digest")), 256))
-    placed = skew.numbered(ordered, ["_all"], [F.col("_h"), F.col("component")], "_pos")
+    ordered = digests.withColumn("_h", F.sha2(F.concat(F.lit(salt), F.lit(":"), F.col("digest")), 256))
+    ordered = ordered.withColumn("_bucket", F.conv(F.substring("_h", 1, 4), 16, 10).cast("bigint"))  # leading hash digits keep the order
+    placed = skew.bucketed_running_total(ordered, "_bucket", [F.col("_h"), F.col("component")], F.lit(1), "_pos").drop("_bucket")
     total = digests.agg(F.count(F.lit(1)).alias("_n"))
     placed = placed.join(F.broadcast(total))  # one row
     half = F.floor(F.col("_n") / 2)
@@ -100,10 +101,19 @@ def sampled_negative(dispositions: DataFrame, query: str, cand: str, seed: str,
     return skew.numbered(pool, [query], [F.col(cand)], "_at", limit, hot).join(pick, [query, "_at"]).drop("_at")
 
 
+MASS_STEP = 1e-4  # relative bucket width of table-wide mass orders
+
+
+def _mass_bucket(mass: Column) -> Column:
+    """Order-preserving bucket of a positive mass."""
+    return F.floor(F.log(mass) / F.lit(MASS_STEP))
+
+
 def mass_positions(bank: DataFrame, mass: str, row: str, limit: int = skew.HOT_ROWS) -> DataFrame:
-    """0-based position of every bank row in (mass, row) order."""
-    one = bank.withColumn("_all", F.lit(0))
-    return skew.numbered(one, ["_all"], [F.col(mass), F.col(row)], "_p", limit).withColumn("position", F.col("_p") - 1).drop("_all", "_p")
+    """0-based position of every bank row in (mass, row) order; masses are positive."""
+    cut = bank.withColumn("_bucket", _mass_bucket(F.col(mass)))
+    counted = skew.bucketed_running_total(cut, "_bucket", [F.col(mass), F.col(row)], F.lit(1), "_upto", limit)
+    return counted.withColumn("position", F.col("_upto") - 1).drop("_bucket", "_upto")
 
 
 def position_ranges(queries: DataFrame, bank: DataFrame, query_id: str, query_mass: str, mass: str, ppm: float,
@@ -119,8 +129,8 @@ def position_ranges(queries: DataFrame, bank: DataFrame, query_id: str, query_ma
     ends = ends.select("e.at", "e.side", query_id, F.lit(0).cast("bigint").alias("_n"))
     runs = bank.groupBy(F.col(mass).alias("at")).agg(F.count(F.lit(1)).alias("_n")).select(
         "at", F.lit(0).alias("side"), F.lit(None).cast(queries.schema[query_id].dataType).alias(query_id), "_n")
-    events = ends.unionByName(runs).withColumn("_all", F.lit(0))
-    counted = skew.running_total(events, ["_all"], [F.col("at"), F.col("side"), F.col(query_id)], F.col("_n"), "_upto", limit)
+    events = ends.unionByName(runs).withColumn("_bucket", _mass_bucket(F.col("at")))
+    counted = skew.bucketed_running_total(events, "_bucket", [F.col("at"), F.col("side"), F.col(query_id)], F.col("_n"), "_upto", limit)
     return counted.filter(F.col("side") != 0).groupBy(query_id).agg(
         F.min(F.when(F.col("side") == -1, F.col("_upto"))).alias("first"), F.min(F.when(F.col("side") == 1, F.col("_upto"))).alias("last"))
 

@@ -91,15 +91,16 @@ def c7(spark, d):
     return audits.slot_changes(p, "q", "g", "c", "t", 3)
 
 
-@query("C8_submission_format_audit", f"""WITH {LISTS_SQL}, s AS (SELECT q, string_agg(CASE WHEN qty = 1 THEN ' ' ELSE cand::VARCHAR END, ';' ORDER BY score DESC, cand, sup) AS items, count(*) AS n FROM lists GROUP BY q),
+@query("C8_submission_format_audit", f"""WITH {LISTS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand, sup) AS r FROM lists),
+s AS (SELECT q, string_agg(CASE WHEN qty = 1 THEN ' ' ELSE cand::VARCHAR END, ';' ORDER BY r) AS items FROM k WHERE r <= 10 GROUP BY q),
 j AS (SELECT o_orderkey, CASE WHEN s.q IS NOT NULL AND o_totalprice < 5000 THEN o_orderkey + 1 ELSE o_orderkey END AS got, s.q, CASE WHEN o_totalprice > 498000 THEN '' ELSE items END AS items FROM orders LEFT JOIN s ON s.q = o_orderkey),
 c AS (SELECT unnest(list_filter([CASE WHEN q IS NULL THEN 'missing' END, CASE WHEN q IS NOT NULL AND got <> o_orderkey THEN 'order' END, CASE WHEN q IS NOT NULL AND items = '' THEN 'empty_list' END, CASE WHEN q IS NOT NULL AND len(string_split(items, ';')) > 8 THEN 'too_many' END,
  CASE WHEN q IS NOT NULL AND items <> '' AND len(list_filter(string_split(items, ';'), lambda x: trim(x) = '')) > 0 THEN 'blank_item' END], lambda x: x IS NOT NULL)) AS problem FROM j)
 SELECT problem, count(*) AS n_rows FROM c GROUP BY problem""")
 def c8(spark, d):
     rows = lists(spark, d).withColumn("item", F.when(F.col("qty") == 1, " ").otherwise(F.col("cand").cast("string")))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "cand", "sup", "item")))
-    sub = rows.groupBy("q").agg(F.array_join(F.transform(ordered, lambda x: x["item"]), ";").alias("items"))  # a submitted list is short
+    first = ranking.top_ranked(rows, ["q"], [F.desc("score"), F.col("cand"), F.col("sup")], 10)  # the submitted list is a top ten
+    sub = first.groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]), ";").alias("items"))
     o = table(spark, d, "orders", "o_orderkey", "o_totalprice").withColumnRenamed("o_orderkey", "q")
     sub = sub.join(o, "q").select("q", F.when(F.col("o_totalprice") < 5000, F.col("q") + 1).otherwise(F.col("q")).alias("pos"),
                                   F.when(F.col("o_totalprice") > 498000, "").otherwise(F.col("items")).alias("items"))

@@ -79,12 +79,17 @@ sc AS (SELECT q, c, sum(z.x * b.b) AS dot, sum(CASE WHEN z.i < 32 THEN z.x * b.b
   FROM w JOIN bits z ON z.vec_id = q JOIN bits b ON b.vec_id = c AND b.i = z.i GROUP BY q, c)"""
 
 
-def window_scores(spark, d):
-    f = fingerprints(spark, d).withColumn("mass", F.lit(500) + 100 * F.get("logits", F.lit(0)))
-    q = f.select(F.col("vec_id").alias("q"), F.col("mass").alias("qm"), F.col("logits").alias("z"))
-    c = f.select(F.col("vec_id").alias("c"), F.col("mass").alias("cm"), F.col("bits").alias("cb"))
-    pairs = rangejoin.mass_window_join(q.select("q", "qm"), c.select("c", "cm"), query_mass="qm", bank_mass="cm", query_id="q", bank_id="c", ppm=2000.0)
-    full = pairs.join(q.select("q", "z"), "q").join(c.select("c", "cb"), "c")
+def candidate_pairs(spark, d):
+    f = fingerprints(spark, d).select("vec_id", (F.lit(500) + 100 * F.get("logits", F.lit(0))).alias("m"))
+    q, c = f.select(F.col("vec_id").alias("q"), F.col("m").alias("qm")), f.select(F.col("vec_id").alias("c"), F.col("m").alias("cm"))
+    return rangejoin.mass_window_join(q, c, query_mass="qm", bank_mass="cm", query_id="q", bank_id="c", ppm=2000.0).select("q", "c")
+
+
+def window_scores(spark, d, pairs=None):
+    """Logit scores of every candidate pair; the wide columns join after the pair list is known."""
+    f = fingerprints(spark, d)
+    pairs = candidate_pairs(spark, d) if pairs is None else pairs
+    full = pairs.join(f.select(F.col("vec_id").alias("q"), F.col("logits").alias("z")), "q").join(f.select(F.col("vec_id").alias("c"), F.col("bits").alias("cb")), "c")
     half = lambda a, s: F.slice(a, s, 32)
     return full.select("q", "c", bits.dot_set_bits(F.col("z"), F.col("cb")).alias("dot"),
                        bits.dot_set_bits(half("z", 1), half("cb", 1)).alias("da"), bits.dot_set_bits(half("z", 33), half("cb", 33)).alias("db"),

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
 from ..operators import ranking, splits
+from ..session import ensure_checkpoint_dir
 from .registry import query, table
 from .splits_q import DECOY_SQL
 from .stand_ins import TRUTH_SQL, bank, truth_lists
@@ -135,24 +136,26 @@ def e11(spark, d):
 
 def labelled_features(spark, d):
     """The 31 features with a label (the query's own vector) and a two-way query fold."""
-    f = features(spark, d).withColumn("y", (F.col("q") == F.col("c")).cast("int")).withColumn("fold", (F.col("q") % 2).cast("int"))
-    return f.withColumn("m", F.lit(0)).withColumn("m", (F.floor(F.col("q") / 2) % 2).cast("int"))
+    f = features(spark, d)[0].withColumn("y", (F.col("q") == F.col("c")).cast("int")).withColumn("fold", (F.col("q") % 2).cast("int"))
+    ensure_checkpoint_dir(spark)
+    # every boosting round reads the features again, so they are built once
+    return f.withColumn("m", (F.floor(F.col("q") / 2) % 2).cast("int")).checkpoint()
 
 
-def refit(spark, d, weight):
-    return ev.out_of_fold_scores(labelled_features(spark, d).withColumn("w", weight), ranking.FEATURES, "y", "fold", 2, "w", max_iter=3, depth=3)
+def refit(rows, weight):
+    return ev.out_of_fold_scores(rows.withColumn("w", weight), ranking.FEATURES, "y", "fold", 2, "w", max_iter=3, depth=3)
 
 
 @query("E12_oof_refit")
 def e12(spark, d):
-    return refit(spark, d, F.when(F.col("m") == 0, 0.3).otherwise(0.7)).select("q", "c", "y", "fold", F.round("oof_score", 6).alias("oof_score"))
+    return refit(labelled_features(spark, d), F.when(F.col("m") == 0, 0.3).otherwise(0.7)).select("q", "c", "y", "fold", F.round("oof_score", 6).alias("oof_score"))
 
 
 @query("E13_weight_scan_cv")
 def e13(spark, d):
-    out = None
+    rows, out = labelled_features(spark, d), None
     for w1 in (0.42, 0.50):
-        scored = refit(spark, d, F.when(F.col("m") == 0, w1).otherwise(1 - w1))
+        scored = refit(rows, F.when(F.col("m") == 0, w1).otherwise(1 - w1))
         m = ev.expected_metrics(ev.truth_standing(scored, "q", "oof_score", "y", ["c"]), "q").join(scored.select("q", "m").distinct(), "q")
         row = m.agg(F.avg(F.when(F.col("m") == 0, F.col("expected_rr"))).alias("c1"), F.avg(F.when(F.col("m") == 1, F.col("expected_rr"))).alias("c2"))
         row = row.select(F.lit(w1).alias("w1"), "c1", "c2", (0.4 * F.col("c1") + 0.6 * F.col("c2")).alias("objective"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
-from ..operators import rangejoin, similarity
+from ..operators import rangejoin, similarity, skew
 from .registry import query, table
 from .stand_ins import PEAKS_SQL, peaks_long, spectra
 
@@ -187,7 +187,8 @@ SELECT g, cand, round(max(assignment), 8) AS assignment_max, round(quantile_cont
  round(ln(1 + max(ni)), 8) AS hypothesis_count_log1p, count(*) AS view_count FROM f GROUP BY g, cand""")
 def m8(spark, d):
     v = view_scores(spark, d).withColumn("coverage", pk.covered_fraction(F.col("ions"), F.lit(200.0), F.lit(900.0), 2.0, 1000.0))
-    out = similarity.consensus_features(v, ["g", "cand"], "n_ions")
+    # a group is three consecutive spectra, so its views are bounded
+    out = similarity.consensus_features(v, ["g", "cand"], "n_ions", hot=skew.BOUNDED)
     return out.select("g", "cand", "view_count", *[F.round(c, 8).alias(c) for c in out.columns if c not in ("g", "cand", "view_count")])
 
 

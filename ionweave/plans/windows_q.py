@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import pack_bits
 from ..operators import joins, ranking, skew
-from .bits_q import WINDOW_SQL, fingerprints, window_scores
+from .bits_q import WINDOW_SQL, candidate_pairs, fingerprints, window_scores
 from .registry import query, table
 from .stand_ins import LISTS_SQL, SPECTRA_SQL, lists, spectra_meta
 
@@ -14,8 +14,10 @@ ROW = ["q", "cand", "sup"]
 @query("W1_rank_norm", f"""WITH {LISTS_SQL}
 SELECT q, cand, sup, round((row_number() OVER (PARTITION BY q ORDER BY -score, cand, sup) - 1) / greatest(1, count(*) OVER (PARTITION BY q) - 1), 9) AS rank_norm FROM lists""")
 def w1(spark, d):
-    df = skew.numbered(lists(spark, d), ["q"], [-F.col("score"), F.col("cand"), F.col("sup")])
-    df = skew.group_stats(df, ["q"], F.count(F.lit(1)).alias("n"))
+    rows = lists(spark, d).select(*ROW, "score")
+    hot = skew.find_hot(rows, ["q"])
+    df = skew.numbered(rows, ["q"], [-F.col("score"), F.col("cand"), F.col("sup")], hot=hot)
+    df = skew.with_stats(df, ["q"], {"n": F.count(F.lit(1))}, hot)
     return df.select(*ROW, F.round(ranking.rank_norm(F.col("rn"), F.col("n")), 9).alias("rank_norm"))
 
 
@@ -30,7 +32,8 @@ def w2(spark, d):
 @query("W3_population_z", f"""WITH {LISTS_SQL}, s AS (SELECT *, avg(score) OVER (PARTITION BY q) AS m, stddev_pop(score) OVER (PARTITION BY q) AS sd FROM lists)
 SELECT q, cand, sup, round(CASE WHEN sd > 1e-9 THEN (score - m) / sd ELSE 0 END, 6) AS z, round((score - m) / (sd + 1e-9), 6) AS z_soft FROM s""")
 def w3(spark, d):
-    df = skew.group_stats(lists(spark, d), ["q"], F.avg("score").alias("m"), F.stddev_pop("score").alias("sd"))
+    rows = lists(spark, d).select(*ROW, "score")
+    df = skew.with_stats(rows, ["q"], {"m": F.avg("score"), "sd": F.stddev_pop("score")}, skew.find_hot(rows, ["q"]))
     z = [F.round(f(F.col("score"), F.col("m"), F.col("sd")), 6).alias(n) for n, f in (("z", ranking.z_or_zero), ("z_soft", ranking.z_soft))]
     return df.select(*ROW, *z)
 
@@ -38,7 +41,7 @@ def w3(spark, d):
 @query("W4_gap_to_max", f"""WITH {LISTS_SQL}
 SELECT q, cand, sup, max(score) OVER (PARTITION BY q) AS query_max, round(score - max(score) OVER (PARTITION BY q), 6) AS gap, (score = max(score) OVER (PARTITION BY q))::INTEGER AS is_max FROM lists""")
 def w4(spark, d):
-    return ranking.with_gap(lists(spark, d), ["q"], "score").select(*ROW, "query_max", F.round("gap", 6).alias("gap"), "is_max")
+    return ranking.with_gap(lists(spark, d).select(*ROW, "score"), ["q"], "score").select(*ROW, "query_max", F.round("gap", 6).alias("gap"), "is_max")
 
 
 # candidate windows with a library score, a fragment score and analogs taken from the same vectors
@@ -64,13 +67,16 @@ feats AS (SELECT q, c, lv::FLOAT AS lib_sim, ((r_lv - 1) / greatest(nc - 1, 1)):
 
 
 def features(spark, d):
+    """The 31 features and the hot queries they were checked against."""
     x = lambda i: F.get("logits", F.lit(i))
     f = fingerprints(spark, d)
     vec = f.select(F.col("vec_id").alias("c"), pack_bits(F.slice("bits", 1, 60)).alias("word"), F.when(x(2) > F.lit(0.1).cast("float").cast("double"), F.round(x(2), 1)).otherwise(0.0).alias("lv"),
                    F.round(F.abs(x(3)), 2).alias("fr"), x(4).alias("sim"))
-    rows = window_scores(spark, d).select("q", "c", F.round("dot", 1).alias("raw")).join(vec, "c")
+    pairs = candidate_pairs(spark, d)
+    hot = skew.find_hot(pairs, ["q"])
+    rows = window_scores(spark, d, pairs).select("q", "c", F.round("dot", 1).alias("raw")).join(vec, "c")
     analogs = ranking.top_analogs(rows.filter("sim > 0"), "q", "c", "sim", "word", size=8)
-    return ranking.rank_features(rows, analogs, "q", "c", lib="lv", word="word", raw="raw", frag="fr")
+    return ranking.rank_features(rows, analogs, "q", "c", lib="lv", word="word", raw="raw", frag="fr", hot=hot), hot
 
 
 ROUNDED_SQL = ", ".join(f"round({c}::DOUBLE, 4) AS {c}" for c in ranking.FEATURES)
@@ -82,7 +88,7 @@ def rounded(df):
 
 @query("W5_rank_features_31", f"WITH {FEATURE_SQL} SELECT q, c, {ROUNDED_SQL} FROM feats")
 def w5(spark, d):
-    return rounded(features(spark, d))
+    return rounded(features(spark, d)[0])
 
 
 NEUTRAL_SQL = f"""{FEATURE_SQL},
@@ -100,7 +106,8 @@ neutral AS (SELECT q, c, * REPLACE (nl::FLOAT AS lib_sim_rank, na::FLOAT AS anal
 
 @query("W6_tie_neutral_transform", f"WITH {NEUTRAL_SQL.replace('SELECT q, c, * REPLACE', 'SELECT * REPLACE')} SELECT q, c, {ROUNDED_SQL} FROM neutral")
 def w6(spark, d):
-    return rounded(ranking.tie_neutral(features(spark, d), "q"))
+    rows, hot = features(spark, d)
+    return rounded(ranking.tie_neutral(rows, "q", hot=hot))
 
 
 @query("W7_tie_groups", f"""WITH {LISTS_SQL}, r AS (SELECT q, tax, cand, row_number() OVER (PARTITION BY q ORDER BY tax DESC, cand) AS r FROM lists),
