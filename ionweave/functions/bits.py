@@ -73,5 +73,4 @@ def softplus(x: Column) -> Column:
 
 def dot_set_bits(logits: Column, bits: Column) -> Column:
     """Sum of the logits at set bits."""
-    return F.aggregate(F.zip_with(logits, bits, lambda z, b: F.when(b == 1, z.cast("double")).otherwise(0.0)),
-                       F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(F.zip_with(logits, bits, lambda z, b: z * b), F.lit(0.0), lambda acc, x: acc + x)

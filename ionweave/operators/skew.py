@@ -25,13 +25,14 @@ BOUNDED = "bounded"  # passed as ``hot`` where a cap or a contract already bound
 def find_hot(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame | str:
     """The table of hot keys, or ``BOUNDED`` when there are none.
 
-    One counting pass over the key columns runs here, so that the usual plan stays a plain window.
+    One counting pass over the key columns runs here, so that the usual plan stays a plain window
+    or join; only the largest count comes back.
     """
-    hot = hot_keys(df, keys, limit)
-    if hot.isEmpty():
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n")).agg(F.max("_hot_n")).collect()[0][0]
+    if largest is None or largest <= limit:
         return BOUNDED
     ensure_checkpoint_dir(df.sparkSession)
-    return hot.checkpoint()
+    return hot_keys(df, keys, limit).checkpoint()
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column,
@@ -42,7 +43,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Col
     meets in exactly one of them. Without hot keys this is the plain join. Other columns of the
     two sides must have different names.
     """
-    hot_left, hot_right = find_hot(left, keys, limit), find_hot(right, keys, limit)
+    both = (left.select(F.lit(0).alias("_side"), *keys).unionByName(right.select(F.lit(1).alias("_side"), *keys))
+            .groupBy("_side", *keys).agg(F.count(F.lit(1)).alias("_hot_n")).groupBy("_side").agg(F.max("_hot_n")))
+    largest = dict(map(tuple, both.collect()))  # two numbers
+    hot_left = find_hot(left, keys, limit) if largest.get(0, 0) > limit else BOUNDED
+    hot_right = find_hot(right, keys, limit) if largest.get(1, 0) > limit else BOUNDED
     if hot_left is BOUNDED and hot_right is BOUNDED:
         return left.join(right, keys)
 
@@ -85,6 +90,10 @@ def with_stats(df: DataFrame, keys: list[str], stats: dict[str, Column], hot: Da
     return group_stats(df, keys, *[c.alias(name) for name, c in stats.items()])
 
 
+def _at_or_before(value: Column):
+    return lambda cut: cut <= value
+
+
 def _sliced(hot_rows: DataFrame, keys: list[str], orders: dict[str, list[Column]]) -> DataFrame:
     """Number the rows of hot groups slice by slice, one column per order.
 
@@ -99,7 +108,7 @@ def _sliced(hot_rows: DataFrame, keys: list[str], orders: dict[str, list[Column]
         F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(f"_ord_{n}"), stride) == 0, F.col(f"_ord_{n}")))).alias(f"_cuts_{n}")
         for n in names])
     sliced = keyed.join(F.broadcast(cuts), keys)  # about MAX_SLICES entries per hot key and order
-    sliced = sliced.withColumns({f"_slice_{n}": F.size(F.filter(f"_cuts_{n}", lambda c, o=F.col(f"_ord_{n}"): c <= o)) for n in names})
+    sliced = sliced.withColumns({f"_slice_{n}": F.size(F.filter(f"_cuts_{n}", _at_or_before(F.col(f"_ord_{n}")))) for n in names})
     sliced = sliced.drop(*[f"_cuts_{n}" for n in names])
     # the widest input of this plan, used once per order below
     ensure_checkpoint_dir(hot_rows.sparkSession)
