@@ -27,9 +27,9 @@ def sequence_digest(df: DataFrame, keys: list[str], position: str, text: str, fa
     holds more than one block however long the group is. ``fan_out ** levels`` must exceed the
     highest position.
     """
-    # text bytes are hashed per block; the length prefix keeps ("ab","c") apart from ("a","bc")
+    # each text is hashed where it is read, so a block holds digests and lengths, not texts
     level = df.select(*keys, F.col(position).alias("_pos"), F.concat(
-        F.octet_length(text).cast("string"), F.lit(":"), F.col(text)).alias("_part"))
+        F.octet_length(text).cast("string"), F.lit(":"), F.sha2(text, 256)).alias("_part"))
     for depth in range(levels):
         last = depth == levels - 1
         block = keys if last else [*keys, "_block"]

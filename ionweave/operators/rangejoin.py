@@ -9,6 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import finite
 from . import skew
 
 GUARD = 1e-6  # far above the rounding of ln(x) / width, far below one bucket
@@ -67,7 +68,7 @@ def window_union(estimates: DataFrame, baseline: DataFrame, bank: DataFrame, *,
     The half width is ``estimate * ppm / 1e6``, in that order.
     """
     value = F.col(estimate)
-    usable = estimates.filter(value.isNotNull() & ~F.isnan(value) & (value > 0) & (value < float("inf")))
+    usable = estimates.filter(finite(value) & (value > 0))
     half = value * F.lit(float(ppm)) / F.lit(1e6)
     usable = usable.select(query_id, (value - half).alias("lo"), (value + half).alias("hi")).distinct()
     found = window_pairs(usable, bank.select(bank_id, bank_mass), bank_mass, query_id=query_id, bank_id=bank_id,
@@ -110,7 +111,7 @@ def mass_window_join(queries: DataFrame, bank: DataFrame, *, query_mass: str, ba
                      bank_id: str, ppm: float, limit: int = skew.HOT_ROWS) -> DataFrame:
     """Inclusive ppm join with the query mass as denominator; duplicates are kept."""
     lo, hi = ppm_bounds(F.col(query_mass), ppm)
-    queries = queries.filter(F.col(query_mass) > 0).withColumn("lo", lo).withColumn("hi", hi)
+    queries = queries.filter(finite(F.col(query_mass)) & (F.col(query_mass) > 0)).withColumn("lo", lo).withColumn("hi", hi)
     pairs = window_pairs(queries, bank, bank_mass, query_id=query_id, bank_id=bank_id, max_ppm=ppm, limit=limit)
     return pairs.drop("lo", "hi")
 
@@ -125,7 +126,8 @@ def window_counts(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_
     ``groups_<ppm>``) to every query; invalid query masses get NULL.
     """
     own = [query_mass] + ([group] if group else [])
-    distinct = queries.filter(F.col(query_mass) > 0).select(*own).distinct()
+    valid = finite(F.col(query_mass)) & (F.col(query_mass) > 0)
+    distinct = queries.filter(valid).select(*own).distinct()
     probe = distinct.select(F.col(query_mass).alias("_qm"), *([F.col(group).alias("_qg")] if group else []))
     runs = (bank.select(F.col(bank_mass).alias("_bm"), *([F.col(group).alias("_bg")] if group else []))
             .groupBy(*(["_bm", "_bg"] if group else ["_bm"])).agg(F.count(F.lit(1)).alias("_rows")))
@@ -157,7 +159,7 @@ def window_counts(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_
     out = queries.join(counted, own, "left")
     for name in counted.columns:
         if name not in own:
-            out = out.withColumn(name, F.when(F.col(query_mass) > 0, F.coalesce(F.col(name), F.lit(0))))
+            out = out.withColumn(name, F.when(valid, F.coalesce(F.col(name), F.lit(0))))
     return out
 
 
@@ -173,7 +175,7 @@ def window_policy(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_
     n, w = F.col(f"rows_{narrow:g}"), F.col(f"rows_{wide:g}")
     out = out.withColumn("selected_ppm", F.when(n > 0, F.lit(narrow)).when(w > 0, F.lit(wide)))
     out = out.withColumn("selected_rows", F.when(n > 0, n).otherwise(w))
-    valid = F.col(query_mass).isNotNull() & (F.col(query_mass) > 0) & (F.col(query_mass) < float("inf"))
+    valid = finite(F.col(query_mass)) & (F.col(query_mass) > 0)
     return out.withColumn("status", F.when(~valid, 1).when(F.col("selected_rows") == 0, 2)
                           .when(F.col("selected_rows") > cap, 3).otherwise(0))
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 HOT_ROWS = 1_000_000
-MAX_SLICES = 256
+MAX_SLICES = 16_384
+STEP = 128  # cuts are searched coarse first, then within one step
 
 
 def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> DataFrame:
@@ -90,11 +91,14 @@ def with_stats(df: DataFrame, keys: list[str], stats: dict[str, Column], hot: Da
     return group_stats(df, keys, *[c.alias(name) for name, c in stats.items()])
 
 
-def _at_or_before(value: Column):
-    return lambda cut: cut <= value
+def _slice_of(cuts: str, coarse: str, value: Column) -> Column:
+    """How many cuts are at or before ``value``: a search over every ``STEP``-th cut, then over one step."""
+    steps = F.size(F.filter(coarse, lambda c: c <= value))
+    inside = F.size(F.filter(F.slice(F.col(cuts), (steps - 1) * STEP + 1, F.lit(STEP)), lambda c: c <= value))
+    return F.when(steps == 0, F.lit(0)).otherwise((steps - 1) * STEP + inside)
 
 
-def _sliced(hot_rows: DataFrame, keys: list[str], orders: dict[str, list[Column]]) -> DataFrame:
+def _sliced(hot_rows: DataFrame, keys: list[str], orders: dict[str, list[Column]], limit: int) -> DataFrame:
     """Number the rows of hot groups slice by slice, one column per order.
 
     Slice boundaries come from a hash-chosen subset of the sort keys, so they depend on the data
@@ -103,13 +107,15 @@ def _sliced(hot_rows: DataFrame, keys: list[str], orders: dict[str, list[Column]
     """
     names = list(orders)
     keyed = hot_rows.withColumns({f"_ord_{n}": F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(orders[n])]) for n in names})
-    stride = F.greatest(F.lit(1), F.floor(F.col("_hot_n") / MAX_SLICES))
+    wanted = F.least(F.lit(MAX_SLICES), F.ceil(F.col("_hot_n") * 2 / limit))
+    stride = F.greatest(F.lit(1), F.floor(F.col("_hot_n") / wanted))
     cuts = keyed.groupBy(*keys).agg(*[
         F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(f"_ord_{n}"), stride) == 0, F.col(f"_ord_{n}")))).alias(f"_cuts_{n}")
         for n in names])
-    sliced = keyed.join(F.broadcast(cuts), keys)  # about MAX_SLICES entries per hot key and order
-    sliced = sliced.withColumns({f"_slice_{n}": F.size(F.filter(f"_cuts_{n}", _at_or_before(F.col(f"_ord_{n}")))) for n in names})
-    sliced = sliced.drop(*[f"_cuts_{n}" for n in names])
+    cuts = cuts.withColumns({f"_coarse_{n}": F.filter(f"_cuts_{n}", lambda c, i: i % STEP == 0) for n in names})
+    sliced = keyed.join(F.broadcast(cuts), keys)  # about MAX_SLICES entries at most per hot key and order
+    sliced = sliced.withColumns({f"_slice_{n}": _slice_of(f"_cuts_{n}", f"_coarse_{n}", F.col(f"_ord_{n}")) for n in names})
+    sliced = sliced.drop(*[f"_{kind}_{n}" for n in names for kind in ("cuts", "coarse")])
     # the widest input of this plan, used once per order below
     ensure_checkpoint_dir(hot_rows.sparkSession)
     sliced = sliced.checkpoint()
@@ -139,7 +145,7 @@ def numbered_many(df: DataFrame, keys: list[str], orders: dict[str, list[Column]
         return df.select("*", *positions)
     few = F.broadcast(hot)  # at most rows / limit keys
     ordinary = df.join(few.drop("_hot_n"), keys, "left_anti").select("*", *positions)
-    placed = _sliced(df.join(few, keys), keys, orders)
+    placed = _sliced(df.join(few, keys), keys, orders, limit)
     return ordinary.unionByName(placed.select(*ordinary.columns))
 
 

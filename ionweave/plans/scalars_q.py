@@ -295,7 +295,7 @@ def p27(spark, d):
 
 
 @query("P28_sequence_digest", """
-WITH a AS (SELECT lang, doc_id // 16 AS b, sha256(string_agg(octet_length(encode(text)) || ':' || text, '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
+WITH a AS (SELECT lang, doc_id // 16 AS b, sha256(string_agg(octet_length(encode(text)) || ':' || sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
 b AS (SELECT lang, b // 16 AS b, sha256(string_agg('64:' || h, '' ORDER BY b)) AS h FROM a GROUP BY 1, 2),
 c AS (SELECT lang, sha256(string_agg('64:' || h, '' ORDER BY b)) AS sequence_digest FROM b GROUP BY 1)
 SELECT lang, sequence_digest, (SELECT sum(('0x' || substr(sha256(text), 1, 15))::HUGEINT)::VARCHAR FROM documents x WHERE x.lang = c.lang) AS multiset_digest FROM c""")
