@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import aggregates, ranking, skew
@@ -18,18 +18,29 @@ def harmonic(n: Column) -> Column:
     return F.get(F.array(*[F.lit(float(x)) for x in _HARMONIC]), n.cast("int"))
 
 
-def truth_standing(df: DataFrame, query: str, score: str, label: str, ident: list[str]) -> DataFrame:
-    """Per query with a truth: rows above it, rows tied with it (itself included), and those of the ties that sort before it.
+def truth_standings(df: DataFrame, query: str, scores: dict[str, str], label: str, ident: list[str]) -> DataFrame:
+    """Standing of the truth under several scores at once; ``scores`` maps a column suffix to a score column.
 
-    Two mergeable aggregates and one join; no query is ever sorted.
+    Per query with a truth: ``above`` rows with a higher score, ``tied`` rows with the same score
+    (itself included) and ``before``, those of the ties that sort first by id. Two mergeable
+    aggregates and one join; no query is ever sorted.
     """
     key = F.struct(*ident)
-    truth = df.filter(F.col(label) == 1).groupBy(query).agg(F.max(F.struct(F.col(score), key.alias("k"))).alias("_t"))
+    columns = sorted(set(scores.values()))
+    truth = df.filter(F.col(label) == 1).groupBy(query).agg(F.max(F.struct(*columns, key.alias("k"))).alias("_t"))
     x = df.join(truth, query)
-    same = F.col(score) == F.col("_t")[score]
-    return x.groupBy(query).agg(
-        F.sum((F.col(score) > F.col("_t")[score]).cast("bigint")).alias("above"), F.sum(same.cast("bigint")).alias("tied"),
-        F.sum((same & (key < F.col("_t.k"))).cast("bigint")).alias("before"), F.count(F.lit(1)).alias("n"))
+    sums = []
+    for suffix, score in scores.items():
+        mine = F.col("_t")[score]
+        same = F.col(score) == mine
+        sums += [F.sum((F.col(score) > mine).cast("bigint")).alias(f"above{suffix}"), F.sum(same.cast("bigint")).alias(f"tied{suffix}"),
+                 F.sum((same & (key < F.col("_t.k"))).cast("bigint")).alias(f"before{suffix}")]
+    return x.groupBy(query).agg(*sums, F.count(F.lit(1)).alias("n"))
+
+
+def truth_standing(df: DataFrame, query: str, score: str, label: str, ident: list[str]) -> DataFrame:
+    """``truth_standings`` under a single score, without suffix."""
+    return truth_standings(df, query, {"": score}, label, ident)
 
 
 def reciprocal_rank(rank: Column, k: int = 25) -> Column:
@@ -147,15 +158,22 @@ def sign_test(counts: DataFrame, wins: str, losses: str) -> DataFrame:
 
 
 def effect_diagnostics(df: DataFrame, delta: str) -> DataFrame:
-    """Gain and loss mass, mean gain and loss, share of the three largest gains, leave-one-out range of the mean."""
-    d = F.col(delta)
-    gain, loss = F.when(d > 0, d), F.when(d < 0, -d)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    base = df.agg(F.count(F.lit(1)).alias("n"), zero(F.sum(gain)).alias("gain_mass"), zero(F.sum(loss)).alias("loss_mass"), zero(F.avg(gain)).alias("mean_gain"),
-                  zero(F.avg(loss)).alias("mean_loss"), F.sum(d).alias("_s"), F.max(d).alias("_hi"), F.min(d).alias("_lo"))
-    top = df.filter(d > 0).orderBy(F.desc(delta)).limit(3).agg(zero(F.sum(delta)).alias("_top"))
+    """Gain and loss mass, mean gain and loss, share of the three largest gains, leave-one-out range of the mean.
+
+    Everything is read off the runs of equal differences, so both branches below share one exchange.
+    """
+    runs = df.filter(F.col(delta).isNotNull()).groupBy(F.col(delta).alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    d, c = F.col("d"), F.col("c")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    gains, losses = F.sum(F.when(d > 0, c)), F.sum(F.when(d < 0, c))
+    base = runs.agg(F.sum("c").alias("n"), zero(F.sum(F.when(d > 0, d * c))).alias("gain_mass"), zero(F.sum(F.when(d < 0, -d * c))).alias("loss_mass"),
+                    zero(F.sum(F.when(d > 0, d * c)) / gains).alias("mean_gain"), zero(F.sum(F.when(d < 0, -d * c)) / losses).alias("mean_loss"),
+                    F.sum(d * c).alias("_s"), F.max("d").alias("_hi"), F.min("d").alias("_lo"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)
+    top = runs.filter(d > 0).orderBy(F.desc("d")).limit(3).withColumn("_used", F.coalesce(F.sum("c").over(order), F.lit(0)))
+    top = top.agg(zero(F.sum(d * F.greatest(F.lit(0), F.least(c, 3 - F.col("_used"))))).alias("_top"))
     joined = base.join(F.broadcast(top))  # one row
-    loo = lambda c: F.when(F.col("n") > 1, (F.col("_s") - F.col(c)) / (F.col("n") - 1))
+    loo = lambda x: F.when(F.col("n") > 1, (F.col("_s") - F.col(x)) / (F.col("n") - 1))
     return joined.select("n", "gain_mass", "loss_mass", "mean_gain", "mean_loss",
                          F.when(F.col("gain_mass") > 0, F.col("_top") / F.col("gain_mass")).otherwise(0.0).alias("largest_three_share"),
                          loo("_hi").alias("loo_low"), loo("_lo").alias("loo_high"))

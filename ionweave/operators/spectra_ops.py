@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
-from .skew import group_stats
+from .skew import BOUNDED, find_hot, with_stats
 
 
 def merged_views(views: DataFrame, query: str, view: str, peaks: str, gap: float = 0.005) -> DataFrame:
@@ -23,14 +23,17 @@ def mass_basis(rows: DataFrame, keys: list[str], mz: str, intensity: str, decima
 
 def energy_mixture(rows: DataFrame, query: str, energy: str, mz: str, intensity: str, top: int = 100, decimals: int = 4) -> DataFrame:
     """Equal-weight mixture of base-peak-normalised energies, strongest ``top``, scaled to maximum one."""
+    hot = find_hot(rows, [query])
     basis = mass_basis(rows, [query, energy], mz, intensity, decimals)
-    scaled = group_stats(basis, [query, energy], F.max(intensity).alias("_base"))
-    energies = basis.select(query, energy).distinct().groupBy(query).agg(F.count(F.lit(1)).alias("_k"))
-    parts = scaled.join(energies, query).withColumn("_part", F.col(intensity) / F.col("_base") / F.col("_k"))
+    # a query has a handful of energies
+    scaled = with_stats(basis, [query], {"_e": F.collect_set(energy)}, hot).withColumn("_k", F.size("_e")).drop("_e")
+    scaled = with_stats(scaled, [query, energy], {"_base": F.max(intensity)}, hot)
+    parts = scaled.withColumn("_part", F.col(intensity) / F.col("_base") / F.col("_k"))
     mixed = parts.groupBy(query, mz).agg(F.sum("_part").alias(intensity))
     order = Window.partitionBy(query).orderBy(-F.round(intensity, 12), mz)
     kept = mixed.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top).drop("_r")
-    return group_stats(kept, [query], F.max(intensity).alias("_max")).withColumn(intensity, F.col(intensity) / F.col("_max")).drop("_max")
+    # at most `top` peaks per query are left
+    return with_stats(kept, [query], {"_max": F.max(intensity)}, BOUNDED).withColumn(intensity, F.col(intensity) / F.col("_max")).drop("_max")
 
 
 def compatible_groups(views: DataFrame, query: str, known: list[str], fallible: list[str], row: str) -> DataFrame:

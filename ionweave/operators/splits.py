@@ -68,7 +68,7 @@ def crossing_values(df: DataFrame, keys: list[str], fold: str) -> DataFrame:
 
 
 def hard_negatives(pairs: DataFrame, query: str, cand: str, alias: str, reasons: list[tuple[str, Column]],
-                   inter: str, uni: str) -> DataFrame:
+                   inter: str, uni: str, hot: DataFrame | str | None = None) -> DataFrame:
     """One disposition per pair: the first exclusion reason, ``redundant_alias``, or kept with its hardness.
 
     Per (query, alias class) the lowest candidate is kept, a mergeable minimum. Hardness compares
@@ -78,8 +78,8 @@ def hard_negatives(pairs: DataFrame, query: str, cand: str, alias: str, reasons:
     for name, condition in reversed(reasons):
         reason = F.when(condition, name).otherwise(reason)
     x = pairs.withColumn("_reason", reason)
-    first = x.filter(F.col("_reason").isNull()).groupBy(query, alias).agg(F.min(cand).alias("_first"))
-    x = x.join(first, [query, alias], "left")
+    hot = skew.find_hot(pairs, [query, alias]) if hot is None else hot
+    x = skew.with_stats(x, [query, alias], {"_first": F.min(F.when(F.col("_reason").isNull(), F.col(cand)))}, hot)
     x = x.withColumn("reason", F.when(F.col("_reason").isNotNull(), F.col("_reason")).when(F.col(cand) != F.col("_first"), "redundant_alias"))
     stage = F.when(4 * F.col(inter) < F.col(uni), 0).when(2 * F.col(inter) < F.col(uni), 1).otherwise(2)
     return x.withColumn("stage", F.when(F.col("reason").isNull(), stage)).drop("_reason", "_first")
@@ -95,10 +95,10 @@ def sampled_negative(dispositions: DataFrame, query: str, cand: str, seed: str,
                      hot: DataFrame | str | None = None) -> DataFrame:
     """One eligible candidate per anchor: index ``sha256(seed:anchor:stage:epoch) mod n`` in candidate order."""
     pool = dispositions.filter(F.col("stage") <= stage).select(query, cand)
-    sizes = pool.groupBy(query).agg(F.count(F.lit(1)).alias("pool_size"))
+    hot = skew.find_hot(pool, [query], limit) if hot is None else hot
     token = F.concat_ws(":", F.lit(seed), F.col(query), F.lit(stage), F.lit(epoch))
-    pick = sizes.withColumn("_at", hash_modulus(token, F.col("pool_size")) + 1)
-    return skew.numbered(pool, [query], [F.col(cand)], "_at", limit, hot).join(pick, [query, "_at"]).drop("_at")
+    placed = skew.with_stats(skew.numbered(pool, [query], [F.col(cand)], "_at", limit, hot), [query], {"pool_size": F.count(F.lit(1))}, hot)
+    return placed.filter(F.col("_at") == hash_modulus(token, F.col("pool_size")) + 1).drop("_at")
 
 
 MASS_STEP = 1e-4  # relative bucket width of table-wide mass orders

@@ -75,9 +75,9 @@ arms AS (SELECT q, CASE WHEN st.above + st.before < 25 THEN 1 / (st.above + st.b
 
 
 def arms(spark, d):
-    rows = truth_lists(spark, d)
-    one = lambda s, n: ev.truth_standing(rows, "q", s, "y", ID).select("q", ev.reciprocal_rank(F.col("above") + F.col("before") + 1).alias(n))
-    return one("score", "a").join(one("score2", "b"), "q")
+    both = ev.truth_standings(truth_lists(spark, d), "q", {"_a": "score", "_b": "score2"}, "y", ID)
+    rr = lambda x: ev.reciprocal_rank(F.col(f"above_{x}") + F.col(f"before_{x}") + 1).alias(x)
+    return both.select("q", rr("a"), rr("b"))
 
 
 @query("E6_paired_delta", f"""WITH {ARMS_SQL} SELECT count(*) AS n, round(avg(a), 9) AS mean_a, round(avg(b), 9) AS mean_b, round(avg(b - a), 9) AS mean_delta, count(*) FILTER (b - a > 1e-12) AS wins,

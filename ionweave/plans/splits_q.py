@@ -115,7 +115,8 @@ def dispositions(spark, d):
     same = F.col("intersection_on_bits") == F.col("union_on_bits")
     reasons = [("same_connectivity", F.col("q_name") == F.col("c_name")), ("same_group", F.col("q_type") == F.col("c_type")),
                ("identical_fingerprint", same), ("same_alias", F.col("q_alias") == F.col("c_alias"))]
-    return splits.hard_negatives(pairs, "query_row", "candidate_row", "c_alias", reasons, "intersection_on_bits", "union_on_bits")
+    return splits.hard_negatives(pairs, "query_row", "candidate_row", "c_alias", reasons, "intersection_on_bits", "union_on_bits",
+                                 hot=skew.BOUNDED)  # usable windows hold at most the cap
 
 
 @query("K7_hard_negative_select", f"""WITH {NEGATIVE_SQL}
@@ -123,9 +124,8 @@ SELECT query_row, candidate_row, reason, stage, CASE WHEN stage IS NOT NULL THEN
 def k7(spark, d):
     disp = dispositions(spark, d).select("query_row", "candidate_row", "reason", "stage", (-F.col("intersection_on_bits") / F.col("union_on_bits")).alias("f"))
     # usable windows hold at most the cap, so a query's negatives are bounded
-    kept = skew.numbered(disp.filter("stage is not null"), ["query_row"], [F.col("f"), F.col("candidate_row")], "pos", hot=skew.BOUNDED)
-    dropped = disp.filter("stage is null").withColumn("pos", F.lit(None).cast("bigint"))
-    return kept.unionByName(dropped).drop("f")
+    placed = skew.numbered(disp.withColumn("_in", F.col("stage").isNotNull()), ["query_row", "_in"], [F.col("f"), F.col("candidate_row")], "pos", hot=skew.BOUNDED)
+    return placed.withColumn("pos", F.when(F.col("_in"), F.col("pos"))).drop("f", "_in")
 
 
 @query("K8_staged_negative_pools", f"""WITH {NEGATIVE_SQL} SELECT query_row, count(*) AS pairs, coalesce(sum((stage <= 0)::INTEGER), 0)::BIGINT AS pool_0, coalesce(sum((stage <= 1)::INTEGER), 0)::BIGINT AS pool_1,
