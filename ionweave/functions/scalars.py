@@ -58,6 +58,13 @@ def signed_ppm(query: Column, candidate: Column) -> Column:
     return (candidate - query) / query * F.lit(1e6)
 
 
+def with_channels(df: DataFrame) -> DataFrame:
+    """Every row once per proton channel, with the channel's count, charge and shift; a map-side fan-out."""
+    rows = [F.struct(F.lit(label).alias("channel"), F.lit(n).alias("n_mol"), F.lit(abs(z)).alias("abs_charge"),
+                     F.lit(protons * PROTON_CODATA).alias("shift_da")) for label, n, protons, z in PROTON_CHANNELS]
+    return df.select("*", F.explode(F.array(*rows)).alias("_ch")).select(*df.columns, "_ch.*")
+
+
 def interpretation_windows(value: Column, channel: Column, ppm: float) -> Column:
     """Array of three (basis, status, center, lower, upper) readings of one supplied scalar."""
     half = value * F.lit(ppm / 1_000_000.0)

@@ -84,7 +84,7 @@ def promoted(final: Column, leading: Column, reason: Column, size: int = 25) ->
 def evidence_consistent(raw: Column, mean: Column, std: Column, z: Column, popularity: Column, combined: Column) -> Column:
     """Stored z and combined score follow from the stored statistics within 1e-9."""
     close = lambda a, b: F.abs(a - b) <= F.greatest(F.lit(1e-9) * F.greatest(F.abs(a), F.abs(b)), F.lit(1e-9))
-    again = (raw - mean) / std
+    again = F.try_divide(raw - mean, std)
     return (std > 1e-9) & close(again, z) & close(again + 0.25 * popularity, combined)
 
 

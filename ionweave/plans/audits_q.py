@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as k
 from ..functions import scalars
 from ..operators import aggregates, audits, ranking, skew
 from .joins_q import POLICY_SQL, atlas_policy
@@ -38,7 +37,7 @@ def c2(spark, d):
 @query("C3_ion_matrix_alignment", f"""WITH {CHANNELS_SQL}
 SELECT channel, count(*) AS n_rows, count(*) FILTER ((n_mol * p_retailprice + shift_da) / abs_charge <> p_retailprice * n_mol / abs_charge + shift_da / abs_charge) AS mismatches FROM part, ch GROUP BY channel""")
 def c3(spark, d):
-    m = table(spark, d, "part", "p_retailprice").crossJoin(F.broadcast(k.channel_dimension(spark)))  # 8 fixed rows
+    m = scalars.with_channels(table(spark, d, "part", "p_retailprice"))
     stored = F.col("p_retailprice") * F.col("n_mol") / F.col("abs_charge") + F.col("shift_da") / F.col("abs_charge")
     return audits.formula_mismatches(m, "channel", stored, scalars.precursor_mz(F.col("p_retailprice")))
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import lists as li
-from ..operators import ranking, sets, skew
+from ..operators import sets, skew
 from .joins_q import POLICY_SQL, atlas_pairs, atlas_policy
 from .registry import query, table
 from .stand_ins import BANK_SQL, LISTS_SQL, TRUTH_SQL, bank, lists, truth_lists
@@ -94,16 +94,21 @@ def t8(spark, d):
 
 
 @query("T9_promote_leading", f"""WITH {TOPK_SQL}, l AS (SELECT q, list(identity ORDER BY rank) AS fin FROM topk GROUP BY q),
-x AS (SELECT q, max(tax) * 12 AS lib, arg_max(sup % 5, (score2, cand, sup)) AS lead, min(qty) AS mq, sum(disc) = 0 AS nodisc FROM lists GROUP BY q),
-r AS (SELECT x.q, fin, lead, CASE WHEN mq <= 2 THEN 'tier_uninvoked' WHEN nodisc THEN 'policy_unapproved' WHEN lib >= 0.9 THEN 'strong_library_match' WHEN fin IS NULL THEN 'final_list_invalid' END AS reason FROM x LEFT JOIN l USING (q))
+x AS (SELECT q, max(tax) * 12 AS lib, arg_max(sup % 5, (score2, cand, sup)) AS lead, min(qty) AS mq, sum(disc) = 0 AS nodisc, stddev_pop(score2) > 1e-9 AND min(tax) > 0 AS sound FROM lists GROUP BY q),
+r AS (SELECT x.q, fin, lead, CASE WHEN mq <= 2 THEN 'tier_uninvoked' WHEN nodisc THEN 'policy_unapproved' WHEN lib >= 0.9 THEN 'strong_library_match' WHEN fin IS NULL THEN 'final_list_invalid' WHEN NOT sound THEN 'tier_metadata_invalid' END AS reason FROM x LEFT JOIN l USING (q))
 SELECT q, reason, array_to_string(CASE WHEN reason IS NULL THEN list_slice(list_concat([lead], list_filter(fin, lambda v: v <> lead)), 1, 3) ELSE fin END, ';') AS ranked FROM r""")
 def t9(spark, d):
     final = topk(spark, d).groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "identity"))), lambda r: r["identity"]).alias("fin"))
     lead = F.max(F.struct("score2", "cand", "sup"))
-    facts = lists(spark, d).groupBy("q").agg((F.max("tax") * 12).alias("lib"), lead.alias("lead"), F.min("qty").alias("mq"), (F.sum("disc") == 0).alias("nodisc"))
+    facts = lists(spark, d).groupBy("q").agg((F.max("tax") * 12).alias("lib"), lead.alias("lead"), F.min("qty").alias("mq"), (F.sum("disc") == 0).alias("nodisc"),
+                                            F.max("score2").alias("raw"), F.avg("score2").alias("mean"), F.stddev_pop("score2").alias("std"), F.max("qty").alias("pop"), F.min("tax").alias("nt"))
+    # stored statistics of the leading item, off by a thousandth where an untaxed line is present
+    facts = facts.withColumn("z", F.try_divide(F.col("raw") - F.col("mean"), F.col("std")))
+    facts = facts.withColumn("combined", F.col("z") + 0.25 * F.col("pop") + F.when(F.col("nt") > 0, 0.0).otherwise(1e-3))
     j = facts.join(final, "q", "left").withColumn("lead", F.col("lead.sup") % 5)
     reason = li.first_reason([("tier_uninvoked", F.col("mq") <= 2), ("policy_unapproved", F.col("nodisc")),
-                              ("strong_library_match", F.col("lib") >= 0.9), ("final_list_invalid", F.col("fin").isNull())])
+                              ("strong_library_match", F.col("lib") >= 0.9), ("final_list_invalid", F.col("fin").isNull()),
+                              ("tier_metadata_invalid", ~F.coalesce(li.evidence_consistent(F.col("raw"), F.col("mean"), F.col("std"), F.col("z"), F.col("pop"), F.col("combined")), F.lit(False)))])
     j = j.withColumn("reason", reason)
     return j.select("q", "reason", F.array_join(li.promoted(F.col("fin"), F.col("lead"), F.col("reason"), 3), ";").alias("ranked"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import peaks as pk
 from ..functions import scalars as s
 from ..operators import aggregates, spectra_ops
-from .registry import query, table
+from .registry import query
 from .stand_ins import ADDUCTS_SQL, PEAKS_SQL, SPECTRA_SQL, peaks_long, spectra, spectra_meta
 
 

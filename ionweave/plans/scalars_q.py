@@ -45,7 +45,7 @@ CHANNELS_SQL = ("ch(channel, n_mol, abs_charge, shift_da, polarity) AS (VALUES "
 @query("P4_ion_channel_fanout", f"""WITH {CHANNELS_SQL}
 SELECT p_partkey, channel, round((n_mol * p_retailprice + shift_da) / abs_charge, 9) AS mz FROM part, ch""")
 def p4(spark, d):
-    fanned = table(spark, d, "part", "p_partkey", "p_retailprice").crossJoin(F.broadcast(k.channel_dimension(spark)))  # 8 fixed rows
+    fanned = s.with_channels(table(spark, d, "part", "p_partkey", "p_retailprice"))
     return fanned.select("p_partkey", "channel", F.round(s.precursor_mz(F.col("p_retailprice")), 9).alias("mz"))
 
 
@@ -148,13 +148,15 @@ def energy_text():
             .when(kind == 4, (F.col("energy") * 1000000).cast("string")).otherwise(F.concat(F.lit("0.0000"), e)))
 
 
-@query("P13_energy_signature", f"""WITH {SPECTRA_SQL}, t AS (SELECT event_id, coalesce({SIGNATURE_SQL}, '') AS txt FROM meta),
+@query("P13_energy_signature", f"""WITH {SPECTRA_SQL}, t AS (SELECT event_id, coalesce({SIGNATURE_SQL}, '') AS txt, CASE event_type WHEN 'click' THEN 'ev' WHEN 'view' THEN 'unknown' ELSE 'nce' END AS unit FROM meta),
 u AS (SELECT event_id, trim(tok) AS tok, ord FROM (SELECT event_id, unnest(string_split(txt, ',')) AS tok, generate_subscripts(string_split(txt, ','), 1) AS ord FROM t)),
 g AS (SELECT event_id, ord, CASE WHEN try_cast(tok AS DOUBLE) IS NULL THEN tok ELSE printf('%g', try_cast(tok AS DOUBLE)) END AS tok FROM u
   WHERE tok <> '' AND lower(tok) NOT IN ('none', 'nan', 'unknown'))
-SELECT t.event_id, coalesce(string_agg(tok, ',' ORDER BY ord), '') AS signature FROM t LEFT JOIN g USING (event_id) GROUP BY t.event_id""")
+SELECT t.event_id, coalesce(string_agg(tok, ',' ORDER BY ord), '') AS signature, any_value(unit) AS unit FROM t LEFT JOIN g USING (event_id) GROUP BY t.event_id""")
 def p13(spark, d):
-    return spectra_meta(spark, d).select("event_id", s.energy_signature(energy_text()).alias("signature"))
+    kind = F.col("event_type")
+    unit = F.when(kind == "click", " eV ").when(kind != "view", "NCE")
+    return spectra_meta(spark, d).select("event_id", s.energy_signature(energy_text()).alias("signature"), s.energy_unit(unit).alias("unit"))
 
 
 @query("P14_identity_group_id", """

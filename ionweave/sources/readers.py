@@ -2,7 +2,6 @@
 
 import json
 import zlib
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
