@@ -3,9 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import chosen_path
+from . import chosen_path, quality
 
 
 @query("op4_chosen_path_dedup")
 def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op10_distribution_quality")
+def op10_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
