@@ -3,7 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import chosen_path, quality
+from . import chosen_path, pii, quality
+
+
+@query("op1_weak_supervision_pii")
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 @query("op4_chosen_path_dedup")
