@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import chosen_path, pii, quality
+from . import chosen_path, packing, pii, quality
 
 
 @query("op1_weak_supervision_pii")
@@ -16,6 +16,11 @@ def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op9_harmonic_packing")
+def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op10_distribution_quality")
 def op10_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
