@@ -10,7 +10,7 @@ one applies the small model.
 
 Defined results: a null text has no spans; positions are code points, end exclusive; per kind matches are leftmost and
 do not overlap; a further span that overlaps a base span is left out; rows are judged alone, so repeats get equal
-results. Other columns pass by untouched.
+results. Other columns pass untouched, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -110,7 +110,8 @@ def shape(c: Column) -> Column:
 
 def _candidates(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.select("*", text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # apart, so that no name can clash
+    out = docs.select(row.alias("_row"), text.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     return out.withColumn("_loose", loose_spans(F.col("_text"), F.col("_base")))
 
 
@@ -151,7 +152,7 @@ def train(candidates: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_base`` and ``_spans``, arrays of (start, kind, end, ...) by start and kind."""
+    """Each row of ``docs`` as ``_row``, its ``_text``, ``_base`` and ``_spans``, arrays of (start, kind, end, ...) in order."""
     seen = _candidates(docs)
     scored = seen.crossJoin(F.broadcast(train(seen)))  # the model is one row
     text = F.col("_text")
@@ -173,11 +174,11 @@ def report(docs: DataFrame) -> DataFrame:
     """Counts per base kind, the digest of the base spans and all spans, a row for each document."""
     found = find(docs.select("doc_id", "text"))
     counts = [F.size(F.filter("_base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
-    return found.select("doc_id", *counts, F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
+    return found.select("_row.doc_id", *counts, F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; all columns as they were."""
+    """``docs`` with every span replaced by its kind in angle brackets; columns stay, and n_chars follows the text."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
     def step(state: Column, c: Column) -> Column:
@@ -187,5 +188,10 @@ def masked(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     last = lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("_text"), s["at"] + 1))
-    text = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, last)).otherwise(F.col("text"))
-    return find(docs).withColumn("text", text).select(*docs.columns)
+    touched = F.size("_spans") > 0
+    text = F.when(touched, F.aggregate("_spans", start, step, last)).otherwise(F.col("_row.text"))
+    out = find(docs).select("_row", "_spans", text.alias("_text"))
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(touched, F.length("_text")).otherwise(F.col("_row.n_chars"))
+    return out.select(*[new[c].cast(t).alias(c) if c in new else F.col(f"_row.`{c}`") for c, t in docs.dtypes])

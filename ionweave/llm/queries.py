@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import chosen_path, packing, pii, quality
+from . import chosen_path, packing, pii, quality, suffixes
 
 
 @query("op1_weak_supervision_pii")
@@ -11,6 +11,11 @@ def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op3_sparse_suffixes")
+def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op4_chosen_path_dedup")
 def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))

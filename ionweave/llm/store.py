@@ -19,23 +19,21 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1 << 14) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table, run bounds) pieces of a partition sorted by integer ``keys``; no run is cut, and a piece has about ``most`` rows."""
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int, cut: int | None) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, run bounds) pieces of a partition sorted by integer ``keys``, of about ``most`` rows.
+
+    Runs stay whole, unless one outgrows ``cut`` rows: then it goes on in the next piece, which repeats its last row.
+    """
     held: list[pa.RecordBatch] = []
     rows = 0
 
-    def piece(last: bool) -> tuple[pa.Table, np.ndarray, pa.Table | None]:
-        table = pa.Table.from_batches(held).combine_chunks()
+    def split(table: pa.Table) -> np.ndarray:
         change = np.zeros(table.num_rows, dtype=bool)
         change[0] = True
         for key in keys:
             values = table.column(key).to_numpy()
             change[1:] |= values[1:] != values[:-1]
-        bounds = np.append(np.flatnonzero(change), table.num_rows)
-        if last:
-            return table, bounds, None
-        cut = int(bounds[-2])
-        return table.slice(0, cut), bounds[:-1], table.slice(cut)
+        return np.append(np.flatnonzero(change), table.num_rows)
 
     for batch in batches:
         if not batch.num_rows:
@@ -43,25 +41,35 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 1
         held.append(batch)
         rows += batch.num_rows
         if rows >= most:
-            table, bounds, rest = piece(False)
-            if table.num_rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            bounds = split(table)
+            at = int(bounds[-2])
+            if at:
+                yield table.slice(0, at), bounds[:-1]
+            elif cut is not None and table.num_rows > cut:
                 yield table, bounds
-            held, rows = rest.to_batches(), 0
+                at = table.num_rows - 1
+            held = table.slice(at).to_batches()
+            rows = table.num_rows - at
     if held:
-        table, bounds, _ = piece(True)
-        yield table, bounds
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, split(table)
+
 
+def map_runs(frame: DataFrame, keys: list[str], schema: str, run: Callable[[pa.Table, np.ndarray], pa.Table], most: int = 1 << 14,
+             order: list[str] | None = None, cut: int | None = None) -> DataFrame:
+    """Bring rows of equal keys together, sort them, and map pieces made of whole runs; small runs share a piece.
 
-def map_runs(frame: DataFrame, keys: list[str], schema: str, run: Callable[[pa.Table, np.ndarray], pa.Table]) -> DataFrame:
-    """Bring rows of equal keys together and map pieces made of whole runs. Runs must be bounded; small ones share a piece."""
+    Runs must be bounded, or ``cut`` says after how many rows a run may go on in another piece.
+    """
     names = [field.split()[0] for field in schema.split(", ")]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_runs(batches, keys):
+        for table, bounds in whole_runs(batches, keys, most, cut):
             out = run(table, bounds).select(names)
             yield from out.to_batches(max_chunksize=1 << 14)
 
-    return frame.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, schema)
+    return frame.repartition(*keys).sortWithinPartitions(*keys, *(order or [])).mapInArrow(go, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
