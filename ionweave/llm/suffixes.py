@@ -206,6 +206,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages that an earlier document has; rows left without a word by that go. Columns stay; n_chars, if there, follows the text."""
+    names = docs.columns
     cuts = passages(docs).filter("cut").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__llm_cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +231,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kind = new.schema.field("n_chars")
                 sizes = [n if not c else len(x) for n, c, x in zip(new.column("n_chars").to_pylist(), new.column("__llm_cuts").to_pylist(), texts)]
                 new = new.set_column(new.schema.get_field_index("n_chars"), kind, pa.array(sizes, kind.type))
-            yield new.filter(pa.array(keep, pa.bool_())).select(docs.columns)
+            yield new.filter(pa.array(keep, pa.bool_())).select(names)
 
     return docs.join(cuts, "doc_id", "left").select(*docs.columns, "__llm_cuts").mapInArrow(run, docs.schema)
