@@ -178,9 +178,9 @@ def passages(docs: DataFrame) -> DataFrame:
     copies = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last"), F.count(F.lit(1)).alias("_n"))
                     .filter("_first <> _last"))
     again = keyed.select("doc_id", "key").join(copies, "key").select("doc_id", "_first", "_last").distinct()
-    hits = marks.join(wide, "gram").join(again.filter("doc_id <> _first").select("doc_id"), "doc_id", "left_anti")
+    hits = marks.join(wide.hint("merge"), "gram").join(again.filter("doc_id <> _first").select("doc_id").hint("merge"), "doc_id", "left_anti")
     listed = hits.groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram", "n")).alias("hits"))  # as many as the text has minimisers
-    suffixes = stored(_contexts(docs.join(listed, "doc_id").select("doc_id", "hits", "text")))
+    suffixes = stored(_contexts(docs.join(listed.hint("merge"), "doc_id").select("doc_id", "hits", "text")))
 
     block = lambda name, low: F.xxhash64(F.substring(name, 4 * low + 1, 4 * GRAM))
     hot = suffixes.filter(F.col("n") > GROUP)
@@ -192,7 +192,7 @@ def passages(docs: DataFrame) -> DataFrame:
     parts = map_runs(matches, ["doc_id"], "doc_id long, start long, end long, other_id long, cut boolean", _merge)
 
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    whole = docs.join(again, "doc_id").select("doc_id", F.lit(0).cast("long").alias("start"), words.cast("long").alias("end"), F.when(F.col("doc_id") == F.col("_first"), F.col("_last")).otherwise(F.col("_first")).alias("other_id"))
+    whole = docs.join(again.hint("merge"), "doc_id").select("doc_id", F.lit(0).cast("long").alias("start"), words.cast("long").alias("end"), F.when(F.col("doc_id") == F.col("_first"), F.col("_last")).otherwise(F.col("_first")).alias("other_id"))
     whole = whole.filter(F.col("end") >= LEAST).distinct()
     ended = whole.select("*", F.lit(False).alias("cut")).unionByName(whole.filter("other_id < doc_id").select("*", F.lit(True).alias("cut")))
     return parts.join(whole.select("doc_id"), "doc_id", "left_anti").unionByName(ended).unionByName(
@@ -233,4 +233,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 new = new.set_column(new.schema.get_field_index("n_chars"), kind, pa.array(sizes, kind.type))
             yield new.filter(pa.array(keep, pa.bool_())).select(names)
 
-    return docs.join(cuts, "doc_id", "left").select(*docs.columns, "__llm_cuts").mapInArrow(run, docs.schema)
+    return docs.join(cuts.hint("merge"), "doc_id", "left").select(*docs.columns, "__llm_cuts").mapInArrow(run, docs.schema)
