@@ -6,9 +6,12 @@ documents is compared exhaustively; a larger one branches again, down to ``LEVEL
 compared exhaustively in blocks. Two sets of similarity s share a child with probability s, so a pair at 0.75 is missed
 with probability (1 - 0.75 ** depth) ** TREES: 2e-10 at depth 1, 2e-6 at depth 2.
 
-Inside a node one-bit sketches of the minima leave the plausible pairs. A maximum spanning forest of those (linear in
-the node, never all pairs) is confirmed on full sets first. Only where plausible pairs still lie across components do
-documents come back with their full sets, and every such pair is then decided exactly, block against block.
+Inside a node one-bit sketches of the minima leave the plausible pairs, of which a maximum spanning forest goes on
+(linear in the node, never all pairs). Plausible links form groups; each text is read once more and sent to its group,
+where every pair is decided on full sets. In groups over ``BLOCK`` documents the forest is confirmed on full sets
+first; then documents with a plausible partner in another component come back with their sets, block against block.
+
+What grows with the documents is joined by merging, never broadcast.
 
 Defined results: a null, empty or blank text has the empty set and stays alone. Fewer than five words form one
 shingle. Rows that repeat a doc_id share its component. Rows without doc_id take the component of an equal set, if one
@@ -89,23 +92,18 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _nodes(profile: DataFrame) -> DataFrame:
-    """(node, doc_id) for each tree: the node on the document's path where branching ends, if it has company there."""
-    at = profile.select("doc_id", "minima", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    names = F.col("tree")
-    for level in range(LEVELS):
-        names = F.xxhash64(names, F.element_at("minima", F.col("tree") * LEVELS + level + 1))
-        at = at.withColumn(f"node{level}", names)
-    at = at.select("doc_id", *[f"node{level}" for level in range(LEVELS)])
+    """(node, doc_id, _members) for each tree: the node on the document's path where branching ends, if it has company there."""
+    at = profile.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.get("minima", t * LEVELS)))).alias("tree", "node"))
     out = None
     for level in range(LEVELS):
-        here = F.col(f"node{level}")
-        sizes = at.groupBy(here.alias("node")).agg(F.count(F.lit(1)).alias("_members")).filter("_members > 1")
-        held = at.withColumn("node", here).join(sizes, "node")
-        last = level == LEVELS - 1
-        done = (held if last else held.filter(F.col("_members") <= SMALL)).select("node", "doc_id", "_members")
+        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("_members")).filter("_members > 1")
+        held = at.join(sizes.hint("merge"), "node")
+        if level == LEVELS - 1:
+            return out.unionByName(held.drop("tree"))
+        done = held.filter(F.col("_members") <= SMALL).drop("tree")
         out = done if out is None else out.unionByName(done)
-        at = held.filter(F.col("_members") > SMALL).drop("node", "_members", f"node{level}")
-    return out
+        deeper = held.filter(F.col("_members") > SMALL).join(profile.select("doc_id", "minima"), "doc_id")
+        at = deeper.select("doc_id", "tree", F.xxhash64("node", F.get("minima", F.col("tree") * LEVELS + level + 1)).alias("node"))
 
 
 def _block_pairs(members: DataFrame) -> DataFrame:
@@ -235,40 +233,67 @@ def _decide(table: pa.Table, bounds: np.ndarray) -> pa.Table:
     return _edges(ids, *(np.concatenate(side) for side in zip(*found)))
 
 
+def _settle(table: pa.Table, bounds: np.ndarray, words: int) -> pa.Table:
+    """The exact links of each run of texts, as a spanning forest."""
+    ids, found = table.column("doc_id").to_numpy(), []
+    texts = table.select(["text"]).combine_chunks().to_batches()[0]
+    sets = [own for _, own in _sets(texts, words)]
+    size = np.array([len(x) for x in sets])
+    for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if last - first == 2:
+            inter = np.intersect1d(sets[first], sets[last - 1], assume_unique=True).size
+            if 100 * inter >= 75 * (size[first] + size[last - 1] - inter):
+                found.append((np.array([first]), np.array([last - 1])))
+            continue
+        inter = _overlaps(sets[first:last], np.arange(last - first))
+        own = size[first:last]
+        x, y = np.nonzero(np.triu(100 * inter >= 75 * (own[:, None] + own[None, :] - inter), 1))
+        _, used = _roots(last - first, x, y)
+        found.append((first + x[used], first + y[used]))
+    none = [(np.zeros(0, dtype=np.int64),) * 2]
+    return _edges(ids, *(np.concatenate(side) for side in zip(*(found or none))))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = stored(profiles(docs, words))
     filled = every.filter("n_shingles > 0 and doc_id is not null")
     first = filled.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("doc_id"))  # equal sets go on as one
-    lone = filled.join(first, ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["set_hi", "set_lo"])
+    lone = filled.join(first.hint("merge"), ["set_hi", "set_lo", "doc_id"], "left_semi").dropDuplicates(["set_hi", "set_lo"])
     lone = stored(lone.select("doc_id", "n_shingles", "minima", "sketch"))
 
     members = stored(_nodes(lone))
     light = lone.select("doc_id", "n_shingles", "sketch")
     keys = ["node", "_i", "_j"]
-    likely = stored(map_runs(_block_pairs(members.join(light, "doc_id")), keys, "a long, b long", _forest).distinct())
-    named = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-    sets = stored(shingle_sets(docs.join(named, "doc_id", "left_semi"), words))
+    likely = stored(map_runs(_block_pairs(members.join(light.hint("merge"), "doc_id")), keys, "a long, b long", _forest).distinct())
+    group = components(likely).select(F.col("node").alias("doc_id"), F.col("component").alias("_group"))
+    group = group.join(group.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")), "_group")
+    texts = stored(docs.join(group.hint("merge"), "doc_id"))
+    exact = map_runs(texts.filter(F.col("_size") <= BLOCK).select("_group", "doc_id", "text"), ["_group"], "a long, b long", lambda table, bounds: _settle(table, bounds, words), most=1 << 10)
+
+    # larger groups: the forest first, then only what still lies across components
+    large = texts.filter(F.col("_size") > BLOCK)
+    sets = stored(shingle_sets(large, words))
+    members = members.join(sets.select("doc_id").distinct(), "doc_id", "left_semi")
     both = (likely.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_left")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_right")), "b"))
     inter = F.size(F.array_intersect("_left", "_right"))
     sure = stored(both.filter(100 * inter >= 75 * (F.size("_left") + F.size("_right") - inter)).select("a", "b").distinct())
 
     parts = components(sure)
-    held = members.join(light, "doc_id").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    held = members.join(light.hint("merge"), "doc_id").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     held = held.withColumn("component", F.coalesce("component", "doc_id"))
     unsettled = held.groupBy("node").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("node")
     columns = "node long, _i int, _j int, _own int, doc_id long, component long"
     waiting = map_runs(_block_pairs(held.join(unsettled, "node", "left_semi")), keys, columns, _open)
-    # a document with a plausible partner is in some likely pair, so its set is already at hand
     more = map_runs(waiting.join(sets, "doc_id"), keys, "a long, b long", _decide)
-    final = components(parts.toDF("a", "b").union(more)).select(F.col("node").alias("_first"), F.col("component").alias("_low"))
+    final = components(parts.toDF("a", "b").union(more).union(exact)).select(F.col("node").alias("_first"), F.col("component").alias("_low"))
 
     shared = first.join(final, first["doc_id"] == final["_first"], "left").select(
         "set_hi", "set_lo", F.coalesce("_low", "doc_id").alias("component_id"))
     own = every.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hi")).alias("set_hi"), "set_lo")
-    out = own.join(shared, ["set_hi", "set_lo"], "left")
+    out = own.join(shared.hint("merge"), ["set_hi", "set_lo"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import chosen_path, packing, pii, quality, suffixes
+from . import bpe, chosen_path, packing, pii, quality, ring, suffixes, viterbi_count
 
 
 @query("op1_weak_supervision_pii")
@@ -21,6 +21,21 @@ def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op6_bounded_ring_shards")
+def op6_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op7_viterbi_token_count")
+def op7_viterbi_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_count.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_chunked_byte_bpe")
+def op8_chunked_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op9_harmonic_packing")
 def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"))
