@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import bpe, chosen_path, packing, pii, quality, ring, suffixes, viterbi_count
+from . import bpe, chosen_path, langid, packing, pii, quality, ring, suffixes, viterbi_count
 
 
 @query("op1_weak_supervision_pii")
@@ -21,6 +21,11 @@ def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op5_viterbi_language")
+def op5_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 @query("op6_bounded_ring_shards")
 def op6_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard(table(spark, sf_dir, "documents", "doc_id", "text"))
