@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import bpe, chosen_path, langid, packing, pii, quality, ring, suffixes, viterbi_count
+from . import bpe, chosen_path, itq, langid, packing, pii, quality, ring, suffixes, viterbi_count
 
 
 @query("op1_weak_supervision_pii")
@@ -11,6 +11,11 @@ def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@query("op2_itq_hamming_dedup")
+def op2_itq_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 @query("op3_sparse_suffixes")
 def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
