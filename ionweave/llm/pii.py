@@ -173,7 +173,11 @@ def listed(spans: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Counts per base kind, the digest of the base spans and all spans, a row for each document."""
     found = find(docs.select("doc_id", "text"))
-    counts = [F.size(F.filter("_base", lambda c, k=k: c["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(BASE)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("_base", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(BASE)]
     return found.select("_row.doc_id", *counts, F.sha2(listed("_base"), 256).alias("base_sha256"), listed("_spans").alias("spans"))
 
 
