@@ -234,24 +234,25 @@ def _decide(table: pa.Table, bounds: np.ndarray) -> pa.Table:
 
 
 def _settle(table: pa.Table, bounds: np.ndarray, words: int) -> pa.Table:
-    """The exact links of each run of texts, as a spanning forest."""
-    ids, found = table.column("doc_id").to_numpy(), []
+    """(node, component) of the texts that are linked inside their run, decided on full sets."""
+    ids, left, right = table.column("doc_id").to_numpy(), [], []
     texts = table.select(["text"]).combine_chunks().to_batches()[0]
     sets = [own for _, own in _sets(texts, words)]
     size = np.array([len(x) for x in sets])
     for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         if last - first == 2:
             inter = np.intersect1d(sets[first], sets[last - 1], assume_unique=True).size
-            if 100 * inter >= 75 * (size[first] + size[last - 1] - inter):
-                found.append((np.array([first]), np.array([last - 1])))
-            continue
-        inter = _overlaps(sets[first:last], np.arange(last - first))
-        own = size[first:last]
-        x, y = np.nonzero(np.triu(100 * inter >= 75 * (own[:, None] + own[None, :] - inter), 1))
-        _, used = _roots(last - first, x, y)
-        found.append((first + x[used], first + y[used]))
-    none = [(np.zeros(0, dtype=np.int64),) * 2]
-    return _edges(ids, *(np.concatenate(side) for side in zip(*(found or none))))
+            x, y = (np.zeros(1, dtype=np.int64), np.ones(1, dtype=np.int64)) if 100 * inter >= 75 * (size[first] + size[last - 1] - inter) else (np.zeros(0, dtype=np.int64),) * 2
+        else:
+            inter, own = _overlaps(sets[first:last], np.arange(last - first)), size[first:last]
+            x, y = np.nonzero(np.triu(100 * inter >= 75 * (own[:, None] + own[None, :] - inter), 1))
+        left.append(first + x)
+        right.append(first + y)
+    root, _ = _roots(ids.size, np.concatenate(left), np.concatenate(right))
+    lowest = np.full(ids.size, np.iinfo(np.int64).max)
+    np.minimum.at(lowest, root, ids)
+    linked = np.bincount(root, minlength=ids.size)[root] > 1
+    return pa.table({"node": ids[linked], "component": lowest[root][linked]})
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     group = components(likely).select(F.col("node").alias("doc_id"), F.col("component").alias("_group"))
     group = group.join(group.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")), "_group")
     texts = stored(docs.join(group.hint("merge"), "doc_id"))
-    exact = map_runs(texts.filter(F.col("_size") <= BLOCK).select("_group", "doc_id", "text"), ["_group"], "a long, b long", lambda table, bounds: _settle(table, bounds, words), most=1 << 10)
+    exact = map_runs(texts.filter(F.col("_size") <= BLOCK).select("_group", "doc_id", "text"), ["_group"], "node long, component long", lambda table, bounds: _settle(table, bounds, words), most=1 << 10)
 
     # larger groups: the forest first, then only what still lies across components
     large = texts.filter(F.col("_size") > BLOCK)
@@ -288,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     columns = "node long, _i int, _j int, _own int, doc_id long, component long"
     waiting = map_runs(_block_pairs(held.join(unsettled, "node", "left_semi")), keys, columns, _open)
     more = map_runs(waiting.join(sets, "doc_id"), keys, "a long, b long", _decide)
-    final = components(parts.toDF("a", "b").union(more).union(exact)).select(F.col("node").alias("_first"), F.col("component").alias("_low"))
+    final = exact.union(components(parts.toDF("a", "b").union(more))).groupBy(F.col("node").alias("_first")).agg(F.min("component").alias("_low"))
 
     shared = first.join(final, first["doc_id"] == final["_first"], "left").select(
         "set_hi", "set_lo", F.coalesce("_low", "doc_id").alias("component_id"))
