@@ -31,8 +31,7 @@ _IDENTITY = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Frequent given names, the gazetteer of persons.
 GIVEN_NAMES = ("Anna", "Carlos", "Claire", "David", "Elena", "Emma", "Hans", "James", "Jean", "John", "Jose", "Juan", "Julia", "Karl", "Laura",
                "Lucas", "Maria", "Marie", "Martin", "Mary", "Michael", "Paul", "Peter", "Pierre", "Robert", "Sarah", "Sofia", "Thomas", "William")
-_PERSON = rf"(?<![\p{{L}}])(?:{'|'.join(GIVEN_NAMES)}) [A-Z][a-z]{{2,20}}(?![\p{{L}}])"
-_LOOSE = "|".join((_MAIL_WORDS, _LOCAL_PHONE, _ACCOUNT, _IDENTITY, _PERSON))
+_PERSON = rf"(?=[{''.join(sorted({x[0] for x in GIVEN_NAMES}))}])(?<![\p{{L}}])(?:{'|'.join(GIVEN_NAMES)}) [A-Z][a-z]{{2,20}}(?![\p{{L}}])"
 _BYTE = r"^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
 _BEFORE = r"(?i)(?:mail|contact|write|call|tel|phone|mobile|fax|card|visa|account|iban|ssn|id|name|mr|mrs|ms|dr|from|by|host|ip|address)\W{0,6}$"
 _AFTER = r"(?i)^\W{0,2}(?:%|percent|euro|eur|usd|dollar|km|kg|cm|mm|items|points)"
@@ -41,21 +40,19 @@ LABELERS = ("checked pattern", "strict shape", "gazetteer", "context before", "c
 ROUNDS = 25
 
 
-def _matches(text: Column, pattern: str, kind: Column | int, needs: str | None = None) -> Column:
-    """array<struct<start, kind, end, value, before>> of the pattern's leftmost matches."""
-    kind_of = kind if callable(kind) else (lambda _: F.lit(kind))
+def _matches(text: Column, pattern: str, kind: int, needs: Column) -> Column:
+    """array<struct<start, kind, end, value, before>> of the pattern's leftmost matches; ``needs`` is a cheap test first."""
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, v: F.struct(g.alias("g"), v.alias("v")))
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,value:string,before:string>>)")
 
     def add(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["g"])
         end = start + F.length(part["v"])
-        row = F.struct(start.alias("start"), kind_of(part["v"]).alias("kind"), end.alias("end"), part["v"].alias("value"), F.right(part["g"], F.lit(24)).alias("before"))
+        row = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), part["v"].alias("value"), F.right(part["g"], F.lit(24)).alias("before"))
         return F.when(part["v"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["rows"], F.array(row)).alias("rows")))
 
     rows = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("rows")), add, lambda s: s["rows"])
-    there = text.rlike(pattern) if needs is None else F.contains(text, F.lit(needs)) & text.rlike(pattern)
-    return F.when(there, rows).otherwise(empty)
+    return F.when(needs & text.rlike(pattern), rows).otherwise(empty)
 
 
 def _luhn(digits: Column) -> Column:
@@ -71,21 +68,18 @@ def _luhn(digits: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """The checked matches of the four base patterns, by start and kind."""
     digits = lambda c: F.regexp_replace(c["value"], "[^0-9]", "")
-    ip = F.filter(_matches(text, _IP, 1), lambda c: F.forall(F.split(c["value"], r"\."), lambda part: part.rlike(_BYTE)))
-    card = F.filter(_matches(text, _CARD, 2), lambda c: F.when(F.length(digits(c)).between(14, 19), _luhn(digits(c))).otherwise(False))
-    phone = F.filter(_matches(text, _PHONE, 3, "+"), lambda c: F.length(digits(c)).between(10, 15))
-    return F.array_sort(F.concat(_matches(text, _EMAIL, 0, "@"), ip, card, phone))
+    ip = F.filter(_matches(text, _IP, 1, text.rlike(r"[0-9]\.[0-9]")), lambda c: F.forall(F.split(c["value"], r"\."), lambda part: part.rlike(_BYTE)))
+    card = F.filter(_matches(text, _CARD, 2, text.rlike(r"[0-9][\x20-]?[0-9]")), lambda c: F.when(F.length(digits(c)).between(14, 19), _luhn(digits(c))).otherwise(False))
+    phone = F.filter(_matches(text, _PHONE, 3, F.contains(text, F.lit("+"))), lambda c: F.length(digits(c)).between(10, 15))
+    return F.array_sort(F.concat(_matches(text, _EMAIL, 0, F.contains(text, F.lit("@"))), ip, card, phone))
 
 
 def loose_spans(text: Column, base: Column) -> Column:
     """Further candidates that touch no base span."""
-    def kind(value: Column) -> Column:
-        out = F.lit(KINDS.index("person"))
-        for name, pattern in (("identity", _IDENTITY), ("account", _ACCOUNT), ("local_phone", _LOCAL_PHONE), ("mail_words", _MAIL_WORDS)):
-            out = F.when(value.rlike(f"^(?:{pattern})$"), KINDS.index(name)).otherwise(out)
-        return out
-
-    return F.filter(_matches(text, _LOOSE, kind), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    digits, words = text.rlike("[0-9]{3}"), F.contains(text, F.lit("dot")) & (F.contains(text, F.lit(" at ")) | text.rlike(r"[\[(]at[\])]"))
+    tests = (("mail_words", _MAIL_WORDS, words), ("local_phone", _LOCAL_PHONE, digits), ("account", _ACCOUNT, digits), ("identity", _IDENTITY, digits), ("person", _PERSON, F.lit(True)))
+    every = F.concat(*[_matches(text, pattern, KINDS.index(kind), needs) for kind, pattern, needs in tests])
+    return F.filter(every, lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
 
 
 def votes(text: Column, c: Column) -> Column:
