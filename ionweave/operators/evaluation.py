@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from . import aggregates, ranking, skew
 
-# reciprocal-rank prefix sums up to the deepest cut-off in use
 _HARMONIC = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 101))])
 
 
 def harmonic(n: Column) -> Column:
-    """1 + 1/2 + ... + 1/n for n in 0..100."""
-    return F.get(F.array(*[F.lit(float(x)) for x in _HARMONIC]), n.cast("int"))
+    """1 + 1/2 + ... + 1/n for any n: summed up to 100, beyond it the asymptotic series, exact there to a double's digits."""
+    table = F.get(F.array(*[F.lit(float(x)) for x in _HARMONIC]), n.cast("int"))
+    x = n.cast("double")
+    series = F.log(x) + F.lit(float(np.euler_gamma)) + 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    return F.when(n < len(_HARMONIC), table).otherwise(series)
 
 
 def truth_standings(df: DataFrame, query: str, scores: dict[str, str], label: str, ident: list[str]) -> DataFrame:
@@ -83,52 +85,31 @@ def paired_delta(df: DataFrame, a: str, b: str, tolerance: float = 0.0) -> DataF
                   total(d > tolerance).alias("wins"), total(d < -tolerance).alias("losses"), total(F.abs(d) <= tolerance).alias("ties"))
 
 
-VALUE_LIMIT = 100_000
+BLOCKS = 1024
+#: Cumulative Poisson(1) probabilities in units of 2 ** -32; a hash below the first draws 0, below the second 1, and so on.
+_POISSON = np.floor(2.0 ** 32 * np.cumsum(np.exp(-1) / np.concatenate([[1.0], np.cumprod(np.arange(1.0, 11.0))]))).astype(np.int64)
 
 
-def bootstrap_means(df: DataFrame, value: str, replicates: int, seed: int, value_limit: int = VALUE_LIMIT) -> DataFrame:
-    """Mean of a with-replacement resample of ``value`` per replicate.
+def bootstrap_means(df: DataFrame, unit: str, value: str, replicates: int, seed: int, blocks: int = BLOCKS) -> DataFrame:
+    """Mean of a resample of ``value`` per replicate, by the same method at every size.
 
-    A resample of n units is one multinomial draw over the histogram of their values, so units are
-    folded to distinct values first and a replicate costs one draw, however many units there are.
-    Reciprocal-rank differences have a few hundred distinct values. When there are more than
-    ``value_limit`` the units stay distributed and carry hash-seeded Poisson(1) weights per
-    replicate instead, summed map-side.
+    A hash of the unit deals units into ``blocks`` random blocks (summed map-side); a replicate weighs every block by
+    its own hash-drawn Poisson(1) number. Blocks are random groups of equal expected size, so their resampled mean
+    varies as that of the units does. Nothing comes to the driver, and a re-run draws the same.
     """
-    spark = df.sparkSession
-    histogram = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    bounded = histogram.limit(value_limit + 1).toPandas()
-    if len(bounded) <= value_limit:
-        bounded = bounded.sort_values("v")
-        values, counts = bounded["v"].to_numpy(), bounded["n"].to_numpy()
-        total = int(counts.sum())
-
-        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                means = [np.random.default_rng([seed, int(r)]).multinomial(total, counts / total) @ values / total for r in batch["id"]]
-                yield pd.DataFrame({"replicate": batch["id"], "mean": means})
-
-        return spark.range(replicates).mapInPandas(draw, "replicate bigint, mean double")
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            v, n = batch["v"].to_numpy(), batch["n"].to_numpy()
-            keys = v.view(np.uint64)
-            sums, weights = np.zeros(replicates), np.zeros(replicates)
-            for i in range(len(v)):
-                w = np.random.default_rng([seed, int(keys[i])]).poisson(float(n[i]), replicates)
-                sums += w * v[i]
-                weights += w
-            yield pd.DataFrame({"replicate": np.arange(replicates), "s": sums, "w": weights})
-
-    parts = histogram.mapInPandas(weigh, "replicate bigint, s double, w double")
-    return parts.groupBy("replicate").agg((F.sum("s") / F.sum("w")).alias("mean"))
-
-
-def bootstrap_interval(df: DataFrame, value: str, replicates: int = 5000, seed: int = 20261012, confidence: float = 0.9) -> DataFrame:
+    block = F.pmod(F.conv(F.substring(F.md5(F.col(unit).cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(blocks))
+    sums = df.filter(F.col(value).isNotNull()).groupBy(block.alias("block")).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    drawn = sums.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "replicate", "block")), 1, 8), 16, 10).cast("bigint")
+    weight = sum((number >= F.lit(int(x))).cast("int") for x in _POISSON)
+    weighed = drawn.select("replicate", "s", "n", weight.alias("w"))
+    return weighed.groupBy("replicate").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+
+
+def bootstrap_interval(df: DataFrame, unit: str, value: str, replicates: int = 5000, seed: int = 20261012, confidence: float = 0.9) -> DataFrame:
     """Percentile interval of the resampled mean, linear quantiles."""
     tail = (1 - confidence) / 2
-    means = bootstrap_means(df, value, replicates, seed)
+    means = bootstrap_means(df, unit, value, replicates, seed)
     return means.agg(F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"), F.count(F.lit(1)).alias("replicates"))
 
 

@@ -43,8 +43,10 @@ def window_pairs(queries: DataFrame, bank: DataFrame, mass: str, lo: str = "lo",
     if max_ppm is not None:
         step, bucket = math.log1p(2.5e-6 * max(max_ppm, 1e-3)), _log_bucket
         bank = bank.filter(F.col(mass) > 0)
-        queries = queries.withColumn("_from", bucket(F.greatest(F.col(lo), F.lit(1e-300)), step, -GUARD))
-        queries = queries.filter(F.col(hi) > 0)
+        # a bound at or under zero starts at the bank's smallest mass (one row), not at the smallest double
+        least = bank.agg(F.coalesce(F.min(mass), F.lit(1.0)).cast("double").alias("_least"))
+        queries = queries.filter(F.col(hi) > 0).crossJoin(F.broadcast(least)).filter(F.col(hi) >= F.col("_least"))
+        queries = queries.withColumn("_from", bucket(F.greatest(F.col(lo), F.col("_least")), step, -GUARD)).drop("_least")
     else:
         step, bucket = width, _linear_bucket
         queries = queries.withColumn("_from", bucket(F.col(lo), step, -GUARD))

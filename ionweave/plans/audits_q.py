@@ -58,8 +58,8 @@ def c5(spark, d):
 
 
 RECORD_SQL = f"""{LISTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand) AS ra, row_number() OVER (PARTITION BY q ORDER BY score2 DESC, cand) AS rb FROM lists),
-rec AS (SELECT q, max(tax) * 12.5 AS lib_max, max(tax) < 0.06 AS gate_open, round(sum(disc), 6) > 0.3 AS fired, list(cand ORDER BY ra) FILTER (ra <= 5) AS output, CASE WHEN max(qty) > 45 THEN list(cand ORDER BY rb) FILTER (rb <= 5) ELSE list(cand ORDER BY ra) FILTER (ra <= 5) END AS counterfactual,
- CASE WHEN min(qty) < 2 THEN list(cand ORDER BY rb) FILTER (rb <= 5) ELSE list(cand ORDER BY ra) FILTER (ra <= 5) END AS submitted, CASE WHEN count(*) >= 8 THEN list(cand ORDER BY rb) FILTER (rb <= 5) ELSE list(cand ORDER BY ra) FILTER (ra <= 5) END AS historical FROM r GROUP BY q),
+rec AS (SELECT q, max(tax) * 12.5 AS lib_max, max(tax) < 0.06 AS gate_open, round(sum(disc), 6) > 0.3 AS fired, list(cand ORDER BY ra) FILTER (ra <= 25) AS output, CASE WHEN max(qty) > 45 THEN list(cand ORDER BY rb) FILTER (rb <= 25) ELSE list(cand ORDER BY ra) FILTER (ra <= 25) END AS counterfactual,
+ CASE WHEN min(qty) < 2 THEN list(cand ORDER BY rb) FILTER (rb <= 25) ELSE list(cand ORDER BY ra) FILTER (ra <= 25) END AS submitted, CASE WHEN count(*) >= 8 THEN list(cand ORDER BY rb) FILTER (rb <= 25) ELSE list(cand ORDER BY ra) FILTER (ra <= 25) END AS historical FROM r GROUP BY q),
 codes AS (SELECT q, unnest(list_filter([CASE WHEN gate_open <> (lib_max < 0.8) THEN 'recorded_gate_disagrees' END, CASE WHEN fired AND lib_max >= 0.8 THEN 'fired_outside_open_gate' END, CASE WHEN output <> submitted THEN 'audit_output_disagrees_with_submission' END,
  CASE WHEN lib_max >= 0.8 AND output <> counterfactual THEN 'protected_complete_order_changed' END, CASE WHEN lib_max >= 0.8 AND output <> historical THEN 'protected_historical_complete_order_changed' END], lambda x: x IS NOT NULL)) AS code FROM rec)"""
 
@@ -69,7 +69,7 @@ def c6(spark, d):
     rows = lists(spark, d)
 
     def top(score, name):
-        first = ranking.top_ranked(rows, ["q"], [F.desc(score), F.col("cand")], 5)
+        first = ranking.top_ranked(rows, ["q"], [F.desc(score), F.col("cand")], 25)
         return first.groupBy("q").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "cand"))), lambda x: x["cand"]).alias(name))
 
     facts = rows.groupBy("q").agg(F.max("tax").alias("mt"), F.sum("disc").alias("sd"), F.max("qty").alias("xq"), F.min("qty").alias("nq"), F.count(F.lit(1)).alias("n"))
@@ -91,14 +91,14 @@ def c7(spark, d):
 
 
 @query("C8_submission_format_audit", f"""WITH {LISTS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, cand, sup) AS r FROM lists),
-s AS (SELECT q, string_agg(CASE WHEN qty = 1 THEN ' ' ELSE cand::VARCHAR END, ';' ORDER BY r) AS items FROM k WHERE r <= 10 GROUP BY q),
+s AS (SELECT q, string_agg(CASE WHEN qty = 1 THEN ' ' ELSE cand::VARCHAR END, ';' ORDER BY r) AS items FROM k WHERE r <= 25 GROUP BY q),
 j AS (SELECT o_orderkey, CASE WHEN s.q IS NOT NULL AND o_totalprice < 5000 THEN o_orderkey + 1 ELSE o_orderkey END AS got, s.q, CASE WHEN o_totalprice > 498000 THEN '' ELSE items END AS items FROM orders LEFT JOIN s ON s.q = o_orderkey),
 c AS (SELECT unnest(list_filter([CASE WHEN q IS NULL THEN 'missing' END, CASE WHEN q IS NOT NULL AND got <> o_orderkey THEN 'order' END, CASE WHEN q IS NOT NULL AND items = '' THEN 'empty_list' END, CASE WHEN q IS NOT NULL AND len(string_split(items, ';')) > 8 THEN 'too_many' END,
  CASE WHEN q IS NOT NULL AND items <> '' AND len(list_filter(string_split(items, ';'), lambda x: trim(x) = '')) > 0 THEN 'blank_item' END], lambda x: x IS NOT NULL)) AS problem FROM j)
 SELECT problem, count(*) AS n_rows FROM c GROUP BY problem""")
 def c8(spark, d):
     rows = lists(spark, d).withColumn("item", F.when(F.col("qty") == 1, " ").otherwise(F.col("cand").cast("string")))
-    first = ranking.top_ranked(rows, ["q"], [F.desc("score"), F.col("cand"), F.col("sup")], 10)  # the submitted list is a top ten
+    first = ranking.top_ranked(rows, ["q"], [F.desc("score"), F.col("cand"), F.col("sup")], 25)  # the longest list a submission may have
     sub = first.groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]), ";").alias("items"))
     o = table(spark, d, "orders", "o_orderkey", "o_totalprice").withColumnRenamed("o_orderkey", "q")
     sub = sub.join(o, "q").select("q", F.when(F.col("o_totalprice") < 5000, F.col("q") + 1).otherwise(F.col("q")).alias("pos"),

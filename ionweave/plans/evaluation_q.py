@@ -87,10 +87,17 @@ def e6(spark, d):
     return out.select("n", *[F.round(c, 9).alias(c) for c in ("mean_a", "mean_b", "mean_delta")], "wins", "losses", "ties")
 
 
-@query("E7_paired_bootstrap_ci")
+WEIGHT_SQL = " + ".join(f"(h >= {x})::INTEGER" for x in ev._POISSON.tolist())
+
+
+@query("E7_paired_bootstrap_ci", f"""WITH {ARMS_SQL}, blocks AS (SELECT ('0x' || md5(q::VARCHAR)[:8])::BIGINT % {ev.BLOCKS} AS block, sum(b - a) AS s, count(*) AS n FROM arms GROUP BY 1),
+drawn AS (SELECT replicate, s, n, ('0x' || md5('20261012:' || replicate || ':' || block)[:8])::BIGINT AS h FROM blocks, range(2000) t(replicate)),
+means AS (SELECT replicate, sum(({WEIGHT_SQL}) * s) / sum(({WEIGHT_SQL}) * n) AS mean FROM drawn GROUP BY replicate)
+SELECT round(quantile_cont(mean, 0.05), 9) AS low, round(quantile_cont(mean, 0.95), 9) AS high, count(*) AS replicates FROM means""")
 def e7(spark, d):
-    deltas = arms(spark, d).select((F.col("b") - F.col("a")).alias("delta"))
-    return ev.bootstrap_interval(deltas, "delta", replicates=2000)
+    deltas = arms(spark, d).select("q", (F.col("b") - F.col("a")).alias("delta"))
+    out = ev.bootstrap_interval(deltas, "q", "delta", replicates=2000)
+    return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"), "replicates")
 
 
 @query("E8_exact_sign_test", """

@@ -4,8 +4,10 @@ Each micro-batch is written under its own batch id, so a replayed batch replaces
 reference behaviour has no event time; none of these drops late rows.
 """
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,16 +39,21 @@ def window_lookup(stream: DataFrame, lookup: Callable[[DataFrame], DataFrame]) -
     return run_batches(stream, lambda batch, _: lookup(batch), scratch(stream.sparkSession, "lookup")).drop("batch")
 
 
-def incremental_scores(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], done_path: str) -> DataFrame:
-    """Score only rows whose key is not yet in ``done_path``; returns everything scored so far."""
-    spark = stream.sparkSession
+def incremental_scores(stream: DataFrame, key: str, score: Callable[[DataFrame], DataFrame], done_path: str, order: list[str] | None = None) -> DataFrame:
+    """Score only rows whose key is not yet in ``done_path``; returns everything scored so far.
+
+    The stream's checkpoint belongs to one run, and so do its folders: a replayed batch replaces itself, never what an
+    earlier run has written. Of rows that repeat a key in a batch the first by ``order`` (all columns if none) is scored.
+    """
+    spark, run = stream.sparkSession, uuid.uuid4().hex
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        done = spark.read.parquet(done_path).filter(F.col("batch") != str(batch_id)) if _exists(spark, done_path) else None
-        fresh = batch.dropDuplicates([key])
-        if done is not None:
-            fresh = fresh.join(done.select(key), key, "left_anti")
-        score(fresh).write.mode("overwrite").parquet(f"{done_path}/batch={batch_id}")
+        own = f"{run}-{batch_id}"
+        names = order or batch.columns
+        first = batch.groupBy(key).agg(F.min(F.struct(*names, *[c for c in batch.columns if c not in names])).alias("_row")).select("_row.*")
+        done = _scored(spark, done_path)
+        fresh = first if done is None else first.join(done.filter(F.col("batch") != own).select(key), key, "left_anti")
+        score(fresh.select(batch.columns)).write.mode("overwrite").parquet(f"{done_path}/batch={own}")
 
     running = (stream.writeStream.foreachBatch(step).option("checkpointLocation", scratch(spark, "stream"))
                .trigger(availableNow=True).start())
@@ -54,12 +61,14 @@ def incremental_scores(stream: DataFrame, key: str, score: Callable[[DataFrame],
     return spark.read.parquet(done_path).drop("batch")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _scored(spark: SparkSession, path: str) -> DataFrame | None:
+    """What is written under ``path``; None only where nothing is there yet."""
     try:
-        spark.read.parquet(path)
-        return True
-    except Exception:  # no batch written yet
-        return False
+        return spark.read.parquet(path).withColumn("batch", F.col("batch").cast("string"))
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
 
 
 def running_counts(stream: DataFrame, keys: list[str]) -> DataFrame:

@@ -198,14 +198,6 @@ def test_sign_test_exact(spark):
         assert r.sign_p == pytest.approx(exact(r.wins, r.losses), rel=1e-9)
 
 
-def test_bootstrap_paths_agree_in_distribution(spark):
-    df = spark.range(4000).select(((F.col("id") % 7) / 7.0 - 0.3).alias("d"))
-    exact = evaluation.bootstrap_interval(df, "d", replicates=400)
-    weighted = evaluation.bootstrap_means(df, "d", 400, 20261012, value_limit=2).agg(F.percentile("mean", 0.05).alias("low"), F.percentile("mean", 0.95).alias("high"))
-    a, b = exact.first(), weighted.first()
-    assert a.low == pytest.approx(b.low, abs=0.004) and a.high == pytest.approx(b.high, abs=0.004)
-
-
 def test_required_columns_refuse(spark):
     with pytest.raises(ValueError, match="absent"):
         readers.require_columns(spark.range(1), {"absent": "bigint"})
@@ -234,3 +226,50 @@ def test_frequency_bits_and_metamorphic_view_duplication(spark):
     got = sorted((r.bit, r.n_set) for r in bit_frequencies(df, "b").collect())
     assert got == [(0, 3), (1, 1), (2, 1)]
     assert skew.HOT_ROWS > 0
+
+
+def test_harmonic_beyond_the_table(spark):
+    from pyspark.sql import functions as F
+
+    from ionweave.operators.evaluation import harmonic
+
+    got = {r.n: r.h for r in spark.range(1, 400).select(F.col("id").alias("n"), harmonic(F.col("id")).alias("h")).collect()}
+    assert all(abs(h - sum(1 / k for k in range(1, n + 1))) < 1e-12 for n, h in got.items())
+
+
+def test_expected_rank_at_a_deep_cut(spark):
+    from ionweave.operators.evaluation import expected_metrics
+
+    row = expected_metrics(spark.createDataFrame([("q", 120, 2)], "q string, above long, tied long"), "q", 200).first()
+    assert abs(row.expected_rr - (1 / 121 + 1 / 122) / 2) < 1e-12
+
+
+def test_bootstrap_interval_against_resampling(spark):
+    import numpy as np
+
+    from ionweave.operators.evaluation import bootstrap_interval
+
+    values = np.random.default_rng(4).exponential(1.0, 6000)
+    got = bootstrap_interval(spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "u long, v double"), "u", "v", replicates=1500).first()
+    direct = np.quantile(np.random.default_rng(5).choice(values, (1500, values.size)).mean(axis=1), [0.05, 0.95])
+    width = direct[1] - direct[0]
+    assert abs(got.low - direct[0]) < 0.2 * width and abs(got.high - direct[1]) < 0.2 * width
+
+
+def test_low_bound_under_zero_stays_small(spark):
+    from ionweave.operators.rangejoin import window_pairs
+
+    queries = spark.createDataFrame([(1, -1.0, 5.0), (2, 4.9, 5.1), (3, -2.0, -1.0), (4, 0.0, 1.0)], "q long, lo double, hi double")
+    bank = spark.createDataFrame([(7, 2.0), (8, 5.0)], "b long, m double")
+    got = {(r.q, r.b) for r in window_pairs(queries, bank, "m", query_id="q", bank_id="b", max_ppm=10.0).collect()}
+    assert got == {(1, 7), (1, 8), (2, 8)}
+
+
+def test_scoring_runs_add_up(spark, tmp_path):
+    from ionweave.streaming.streams import incremental_scores
+
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema("id long").parquet(str(tmp_path / f"in{k}"))
+        done = incremental_scores(stream, "id", lambda df: df.selectExpr("id", "id * 2 as score"), str(tmp_path / "done"))
+        assert sorted(r.id for r in done.collect()) == list(range(k * 10 + 10))
