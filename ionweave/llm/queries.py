@@ -5,13 +5,34 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.registry import query, table
 from . import bpe, chosen_path, itq, langid, packing, pii, quality, ring, suffixes, viterbi_count
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: From ``links`` (a, b) and ``nodes`` (id): the smallest id that each node reaches, by brute force.
+REACH_SQL = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT reach.a, l.b FROM reach JOIN both_ways l ON l.a = reach.b),
+low AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+VECTORS_SQL = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+fine AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+{REACH_SQL}, n AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM low LEFT JOIN n USING (id)"""
+
+SHINGLES_SQL = f"""WITH RECURSIVE nodes AS (SELECT doc_id AS id FROM documents),
+words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) > 0),
+grams AS (SELECT doc_id, len(s) AS size, unnest(s) AS g FROM sets),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.size) AS sa, any_value(b.size) AS sb, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared WHERE 100 * n >= 75 * (sa + sb - n)), {REACH_SQL}
+SELECT id AS doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM low LEFT JOIN sets ON doc_id = id"""
+
 
 @query("op1_weak_supervision_pii")
 def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-@query("op2_itq_hamming_dedup")
+@query("op2_itq_hamming_dedup", VECTORS_SQL)
 def op2_itq_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
@@ -21,7 +42,7 @@ def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-@query("op4_chosen_path_dedup")
+@query("op4_chosen_path_dedup", SHINGLES_SQL)
 def op4_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
