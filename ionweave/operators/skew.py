@@ -1,7 +1,7 @@
 """Ways to keep one hot key from landing in one task.
 
 A hot key is one with more than ``limit`` rows. At most ``rows / limit`` keys can be hot, so the
-table of hot keys is small by arithmetic and may be broadcast. When no key is hot that table is
+table of hot keys is small by arithmetic; Spark decides how to join it. When no key is hot that table is
 empty and the plain plan is used.
 """
 
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 HOT_ROWS = 1_000_000
-MAX_SLICES = 16_384
 STEP = 128  # cuts are searched coarse first, then within one step
 
 
@@ -59,7 +58,6 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: Col
 
     grid = (slices(hot_left, left, "_nl").join(slices(hot_right, right, "_nr"), keys, "full_outer")
             .select(*keys, F.coalesce("_nl", F.lit(1)).alias("_nl"), F.coalesce("_nr", F.lit(1)).alias("_nr")))
-    grid = F.broadcast(grid)  # at most rows / limit keys per side
 
     def spread(df: DataFrame, own: str, other: str, ident: Column, own_salt: str, other_salt: str) -> DataFrame:
         df = df.join(grid, keys, "left")
@@ -107,13 +105,13 @@ def _sliced(hot_rows: DataFrame, keys: list[str], orders: dict[str, list[Column]
     """
     names = list(orders)
     keyed = hot_rows.withColumns({f"_ord_{n}": F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(orders[n])]) for n in names})
-    wanted = F.least(F.lit(MAX_SLICES), F.ceil(F.col("_hot_n") * 2 / limit))
+    wanted = F.ceil(F.col("_hot_n") * 2 / limit)
     stride = F.greatest(F.lit(1), F.floor(F.col("_hot_n") / wanted))
     cuts = keyed.groupBy(*keys).agg(*[
         F.sort_array(F.collect_set(F.when(F.pmod(F.xxhash64(f"_ord_{n}"), stride) == 0, F.col(f"_ord_{n}")))).alias(f"_cuts_{n}")
         for n in names])
     cuts = cuts.withColumns({f"_coarse_{n}": F.filter(f"_cuts_{n}", lambda c, i: i % STEP == 0) for n in names})
-    sliced = keyed.join(F.broadcast(cuts), keys)  # about MAX_SLICES entries at most per hot key and order
+    sliced = keyed.join(cuts, keys)  # 2 * rows / limit entries per hot key and order
     sliced = sliced.withColumns({f"_slice_{n}": _slice_of(f"_cuts_{n}", f"_coarse_{n}", F.col(f"_ord_{n}")) for n in names})
     sliced = sliced.drop(*[f"_{kind}_{n}" for n in names for kind in ("cuts", "coarse")])
     # the widest input of this plan, used once per order below
@@ -125,7 +123,7 @@ def _sliced(hot_rows: DataFrame, keys: list[str], orders: dict[str, list[Column]
         sizes = sliced.groupBy(*keys, F.col(f"_slice_{n}").alias("_slice")).agg(F.count(F.lit(1)).alias("_size"))
         shifts = sizes.select(*keys, F.col("_slice").alias(f"_slice_{n}"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
         inner = Window.partitionBy(*keys, f"_slice_{n}").orderBy(f"_ord_{n}")
-        out = (out.join(F.broadcast(shifts), [*keys, f"_slice_{n}"])
+        out = (out.join(shifts, [*keys, f"_slice_{n}"])
                .withColumn(n, (F.row_number().over(inner) + F.col("_shift")).cast("bigint"))
                .drop("_shift", f"_slice_{n}", f"_ord_{n}"))
     return out
@@ -143,7 +141,7 @@ def numbered_many(df: DataFrame, keys: list[str], orders: dict[str, list[Column]
     positions = [F.row_number().over(window.orderBy(*order)).cast("bigint").alias(name) for name, order in orders.items()]
     if hot is BOUNDED:
         return df.select("*", *positions)
-    few = F.broadcast(hot)  # at most rows / limit keys
+    few = hot  # at most rows / limit keys; whether that is small enough to broadcast is for Spark to tell
     ordinary = df.join(few.drop("_hot_n"), keys, "left_anti").select("*", *positions)
     placed = _sliced(df.join(few, keys), keys, orders, limit)
     return ordinary.unionByName(placed.select(*ordinary.columns))

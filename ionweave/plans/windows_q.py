@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import pack_bits
 from ..operators import joins, ranking, skew
-from .bits_q import WINDOW_SQL, candidate_pairs, fingerprints, window_scores
+from .bits_q import SIGNED, WINDOW_SQL, candidate_pairs, fingerprints, window_scores
 from .registry import query, table
 from .stand_ins import LISTS_SQL, SPECTRA_SQL, lists, spectra_meta
 
@@ -46,11 +46,11 @@ def w4(spark, d):
 
 # candidate windows with a library score, a fragment score and analogs taken from the same vectors
 FEATURE_SQL = f"""{WINDOW_SQL},
-wd AS (SELECT vec_id, sum(b::HUGEINT << i) AS h FROM bits WHERE i < 60 GROUP BY vec_id), word AS (SELECT vec_id, h::BIGINT AS word, bit_count(h::BIGINT)::INTEGER AS cs FROM wd),
+wd AS (SELECT vec_id, sum(b::HUGEINT * (1::HUGEINT << i)) AS h FROM bits GROUP BY vec_id), word AS (SELECT vec_id, {SIGNED.format("h")} AS word, bit_count({SIGNED.format("h")})::INTEGER AS cs FROM wd),
 base AS (SELECT sc.q, sc.c, CASE WHEN e.embedding[3] > 0.1 THEN round(e.embedding[3]::DOUBLE, 1) ELSE 0 END AS lv, round(sc.dot, 1) AS raw, round(abs(e.embedding[4]::DOUBLE), 2) AS fr, word, cs
   FROM sc JOIN embeddings e ON e.vec_id = sc.c JOIN word ON word.vec_id = sc.c),
 an AS (SELECT sc.q, sc.c AS a, abs(e.embedding[5]::DOUBLE) AS w, word AS aw, cs AS aon, row_number() OVER (PARTITION BY sc.q ORDER BY e.embedding[5]::DOUBLE DESC, sc.c) AS r FROM sc JOIN embeddings e ON e.vec_id = sc.c JOIN word ON word.vec_id = sc.c WHERE e.embedding[5] > 0),
-t AS (SELECT b.q, b.c, w, r, bit_count(word & aw) / (cs + aon - bit_count(word & aw) + 1e-9) AS t FROM base b JOIN an ON an.q = b.q WHERE r <= 8),
+t AS (SELECT b.q, b.c, w, r, bit_count(word & aw) / (cs + aon - bit_count(word & aw) + 1e-9) AS t FROM base b JOIN an ON an.q = b.q WHERE r <= 80),
 ta AS (SELECT q, c, max(t * w ** 3) AS ap, max(t * w) AS a1, max(t) AS bt, max(CASE WHEN r = 1 THEN t END) AS tt, sum(t * w ** 3) / (sum(w ** 3) + 1e-9) AS mt, max(CASE WHEN r = 1 THEN w END) AS tsim FROM t GROUP BY q, c),
 f0 AS (SELECT base.q, base.c, lv, raw, fr, raw / sqrt(greatest(cs, 1)) AS nrm, coalesce(ap, 0) AS ap, coalesce(a1, 0) AS a1, coalesce(bt, 0) AS bt, coalesce(tt, 0) AS tt, coalesce(mt, 0) AS mt, coalesce(tsim, 0) AS tsim FROM base LEFT JOIN ta USING (q, c)),
 f1 AS (SELECT *, count(*) OVER w AS nc, max(lv) OVER w AS xl, max(ap) OVER w AS xa, max(raw) OVER w AS xr, max(fr) OVER w AS xf, row_number() OVER (PARTITION BY q ORDER BY -lv, c) AS r_lv, row_number() OVER (PARTITION BY q ORDER BY -ap, c) AS r_ap,
@@ -70,12 +70,12 @@ def features(spark, d):
     """The 31 features and the hot queries they were checked against."""
     x = lambda i: F.get("logits", F.lit(i))
     f = fingerprints(spark, d)
-    vec = f.select(F.col("vec_id").alias("c"), pack_bits(F.slice("bits", 1, 60)).alias("word"), F.when(x(2) > F.lit(0.1).cast("float").cast("double"), F.round(x(2), 1)).otherwise(0.0).alias("lv"),
+    vec = f.select(F.col("vec_id").alias("c"), pack_bits(F.col("bits")).alias("word"), F.when(x(2) > F.lit(0.1).cast("float").cast("double"), F.round(x(2), 1)).otherwise(0.0).alias("lv"),
                    F.round(F.abs(x(3)), 2).alias("fr"), x(4).alias("sim"))
     pairs = candidate_pairs(spark, d)
     hot = skew.find_hot(pairs, ["q"])
     rows = window_scores(spark, d, pairs).select("q", "c", F.round("dot", 1).alias("raw")).join(vec, "c")
-    analogs = ranking.top_analogs(rows.filter("sim > 0"), "q", "c", "sim", "word", size=8)
+    analogs = ranking.top_analogs(rows.filter("sim > 0"), "q", "c", "sim", "word")
     return ranking.rank_features(rows, analogs, "q", "c", lib="lv", word="word", raw="raw", frag="fr", hot=hot), hot
 
 
