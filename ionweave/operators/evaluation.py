@@ -29,14 +29,15 @@ def truth_standings(df: DataFrame, query: str, scores: dict[str, str], label: st
     """
     key = F.struct(*ident)
     columns = sorted(set(scores.values()))
-    truth = df.filter(F.col(label) == 1).groupBy(query).agg(F.max(F.struct(*columns, key.alias("k"))).alias("_t"))
+    # of several positives each score takes its own best
+    truth = df.filter(F.col(label) == 1).groupBy(query).agg(*[F.max(F.struct(F.col(c).alias("s"), key.alias("k"))).alias(f"_t_{c}") for c in columns])
     x = df.join(truth, query)
     sums = []
     for suffix, score in scores.items():
-        mine = F.col("_t")[score]
+        mine = F.col(f"_t_{score}")["s"]
         same = F.col(score) == mine
         sums += [F.sum((F.col(score) > mine).cast("bigint")).alias(f"above{suffix}"), F.sum(same.cast("bigint")).alias(f"tied{suffix}"),
-                 F.sum((same & (key < F.col("_t.k"))).cast("bigint")).alias(f"before{suffix}")]
+                 F.sum((same & (key < F.col(f"_t_{score}")["k"])).cast("bigint")).alias(f"before{suffix}")]
     return x.groupBy(query).agg(*sums, F.count(F.lit(1)).alias("n"))
 
 
