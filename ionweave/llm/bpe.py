@@ -15,6 +15,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import public_tokenizers
 import pyarrow as pa
@@ -79,6 +80,12 @@ class Coder:
         return [get(p) or learn(p) for p in pieces]
 
 
+@lru_cache(maxsize=1)
+def coder_of(path: str) -> Coder:
+    """One for all tasks of a worker."""
+    return Coder(path)
+
+
 def boundaries(text: str) -> list[int]:
     """Where pre-tokens end."""
     return [m.end() for m in _SPLIT.finditer(text)]
@@ -135,7 +142,7 @@ def encode(docs: DataFrame, ranks: str | None = None, chunk: int = CHUNK, overla
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = coder_of(path)
         for batch in batches:
             for part in T.slices(batch, most=1 << 20):
                 rows = []
@@ -158,15 +165,12 @@ def encode(docs: DataFrame, ranks: str | None = None, chunk: int = CHUNK, overla
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends, pa.list_(pa.int32()))], [*batch.schema.names, "ends"])
 
     def join(table: pa.Table, bounds) -> pa.Table:
-        global _coder
-        if _coder is None or _coder[0] != path:
-            _coder = path, Coder(path)
-        rows = []
+        coder, rows = coder_of(path), []
         for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             digest = Digest()
             part = table.slice(first, last - first)
             for pieces in stitched(zip(*[part.column(c).to_pylist() for c in ("start", "text", "ends")])):
-                digest.add(_coder[1].code(pieces))
+                digest.add(coder.code(pieces))
             rows.append((part.column("doc_id")[0].as_py(), *digest.row()))
         doc, n, ids, raw = zip(*rows)
         return pa.table({"doc_id": pa.array(doc, pa.int64()), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": raw})
@@ -177,6 +181,3 @@ def encode(docs: DataFrame, ranks: str | None = None, chunk: int = CHUNK, overla
     chunks = numbered.mapInArrow(cut, "row long, doc_id long, start long, text string").repartition("row", "start")
     long = map_runs(chunks.mapInArrow(split, "row long, doc_id long, start long, text string, ends array<int>"), ["row"], f"doc_id long, {FIELDS}", join, most=32, order=["start"])
     return short.unionByName(long)
-
-
-_coder: tuple[str, Coder] | None = None

@@ -11,14 +11,17 @@ Defined results: a null text is empty and gives the closing id alone; rows are d
 an empty table gives no piece. Other columns are ignored.
 """
 
-import os
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,15 +35,26 @@ _LOOSE_SPACE = re.compile(r" (?:\s|$)")
 _UNIT = re.compile(r" (?=\S)")
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit bytes; units that start at a blank before a mark or letter are kept."""
+    """Ids of whole texts as little-endian 32-bit bytes; units that start at a blank before a mark or letter are kept.
 
-    def __init__(self, vocabulary: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    The vocabulary file's ids follow its merges, so they serve as merge ranks; the test compares with the file's own
+    tokenizer.
+    """
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, vocabulary: str):
+        with open(vocabulary, encoding="utf-8") as file:
+            model = json.load(file)
+        letters, special = byte_letters(), {x["content"] for x in model["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        self.encode = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -49,18 +63,23 @@ class Encoder:
         first, *rest = text.split(" ") if not _LOOSE_SPACE.search(text) else _UNIT.split(text)
         return [first, *[f" {x}" for x in rest]]
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [self.units(x) for x in texts]
-        missing = list({u for p in parts for u in p} - self.known.keys())
-        if len(self.known) + len(missing) > CACHE:
-            self.known.clear()
-            missing = list({u for p in parts for u in p})
-        for i in range(0, len(missing), 20_000):
-            some = missing[i:i + 20_000]
-            for unit, code in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[unit] = np.array(code.ids, dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+    def learn(self, unit: str) -> bytes:
+        ids = array("I", self.encode(unit)).tobytes()
+        if len(unit) <= 64:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            self.known[unit] = ids
+        return ids
+
+    def ids(self, text: str) -> bytes:
+        get, learn = self.known.get, self.learn
+        return b"".join([get(u) or learn(u) for u in self.units(text)])
+
+
+@lru_cache(maxsize=1)
+def encoder_of(vocabulary: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(vocabulary)
 
 
 def cuts(total: int) -> list[int]:
@@ -78,11 +97,11 @@ def cuts(total: int) -> list[int]:
 def pieces(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, task, class, place): ``place`` counts a task's pieces of a class."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task, filled = Encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(LENGTH + 1, dtype=np.int64)
+        encoder, task, filled = encoder_of(vocabulary), TaskContext.get().partitionId(), np.zeros(LENGTH + 1, dtype=np.int64)
         for batch in batches:
             for part in T.slices(batch, most=1 << 20):
                 rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), encoder.ids([x or "" for x in part.column("text").to_pylist()])):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), map(encoder.ids, [x or "" for x in part.column("text").to_pylist()])):
                     ids += CLOSING.to_bytes(4, "little")
                     start = 0
                     for size in cuts(len(ids) // 4):

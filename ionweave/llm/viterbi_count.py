@@ -13,6 +13,7 @@ or empty text has no tokens; rows are counted alone; an empty table gives no row
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import public_tokenizers
@@ -87,12 +88,18 @@ class Counter:
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+@lru_cache(maxsize=1)
+def counter_of(path: str) -> Counter:
+    """One for all tasks of a worker."""
+    return Counter(vocabulary(path))
+
+
 def count_tokens(docs: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, n_tokens) for every row."""
     path = model or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary(path))
+        counter = counter_of(path)
         for batch in batches:
             for part in T.slices(batch, most=1 << 20):
                 n = [counter.count(x) for x in part.column("text").to_pylist()]
