@@ -155,6 +155,7 @@ def merge_predicted(peaks: Column, tolerance: float = 1e-3, top: int = 100, how:
 
 def window_status(peaks: Column, lo: Column, hi: Column) -> Column:
     """Declared acquisition bounds: absent, invalid, or containing every peak."""
+    # fixed values: the states
     return (F.when(lo.isNull() | hi.isNull(), "HOLD_NO_ACQUISITION_WINDOW")
             .when(~finite(lo) | ~finite(hi) | (lo <= 0) | (hi <= lo)
                   | F.exists(peaks, lambda p: (p["mz"] < lo) | (p["mz"] > hi)), "INVALID_WINDOW")

@@ -32,6 +32,7 @@ def precursor_mz(mass: Column) -> Column:
 
 def polarity_hold(adduct: Column, mode: Column, mz: Column) -> Column:
     """Why a precursor cannot be converted, or NULL; first reason wins."""
+    # fixed values: the reasons and their order
     return (F.when(adduct.isin(AMBIGUOUS_ADDUCTS), "ambiguous_charge")
             .when(F.col("n_mol").isNull(), "unsupported_adduct")
             .when(~mode.isin("positive", "negative") | mode.isNull(), "unknown_mode")

@@ -62,6 +62,7 @@ def protected_order_codes(df: DataFrame, gate: float) -> Column:
     bad_list = lambda c: F.col(c).isNull() | (F.size(c) == 0) | (F.size(c) > 25) | F.exists(c, lambda x: x.isNull())
     usable = ~bad_list("output") & ~bad_list("counterfactual")
     known = F.col("lib_max").isNotNull() & ~F.isnan("lib_max")
+    # fixed values: the codes and their order
     rules = [
         ("finite_library_gate_evidence", ~known),
         ("recorded_gate_disagrees", known & ~F.col("gate_open").eqNullSafe(open_)),

@@ -22,13 +22,14 @@ def s2(spark, d):
     return readers.require_columns(table(spark, d, "orders"), {"o_orderkey": "bigint", "o_totalprice": "double"})
 
 
-@query("S3_scan_npy", "SELECT round(abs(embedding[1]::DOUBLE), 6) AS first_value, count(*) AS n_rows FROM embeddings GROUP BY 1")
+@query("S3_scan_npy", "SELECT i AS place, round(embedding[i]::DOUBLE, 6) AS value, count(*) AS n_rows FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i) GROUP BY ALL")
 def s3(spark, d):
     path = sinks.scratch(spark, "npy")
     written = npy.write_npy(table(spark, d, "embeddings", "embedding").repartition(4), "embedding", path)
     written.agg(F.sum("rows")).first()
     back = npy.scan_npy(spark, path, rows_per_partition=100)
-    return back.groupBy(F.round(F.abs(F.get("value", F.lit(0)).cast("double")), 6).alias("first_value")).agg(F.count(F.lit(1)).alias("n_rows"))
+    every = back.select(F.posexplode("value").alias("i", "v"))
+    return every.groupBy((F.col("i") + 1).cast("bigint").alias("place"), F.round(F.col("v").cast("double"), 6).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("S4_scan_offsets_blob", "SELECT sha256(text) AS digest, count(*) AS n_rows FROM documents GROUP BY 1")
