@@ -14,6 +14,7 @@ missing; an empty table gives no rows. Other columns are ignored.
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,7 @@ from .store import map_runs
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 CACHE = 200_000
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
+_LOOSE_SPACE, _UNIT = re.compile(r" (?:\s|$)"), re.compile(r" (?=\S)")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -67,7 +69,7 @@ class Coder:
         self.known: dict[str, tuple[str, int, bytes]] = {}
 
     def learn(self, piece: str) -> tuple[str, int, bytes]:
-        ids = merge(piece.encode(), self.ranks)
+        ids = [i for part in _SPLIT.findall(piece) for i in merge(part.encode(), self.ranks)]
         got = ",".join(map(str, ids)), len(ids), b"".join([self.tokens[i] for i in ids])
         if len(piece) <= 64:
             if len(self.known) >= CACHE:
@@ -86,6 +88,12 @@ def coder_of(path: str) -> Coder:
     return Coder(path)
 
 
+def units(text: str) -> list[str]:
+    """The text cut before each blank that a non-blank follows, where pre-tokens always end; most units repeat."""
+    first, *rest = text.split(" ") if not _LOOSE_SPACE.search(text) else _UNIT.split(text)
+    return [first, *[f" {x}" for x in rest]] if first else [f" {x}" for x in rest]
+
+
 def boundaries(text: str) -> list[int]:
     """Where pre-tokens end."""
     return [m.end() for m in _SPLIT.finditer(text)]
@@ -148,7 +156,7 @@ def encode(docs: DataFrame, ranks: str | None = None, chunk: int = CHUNK, overla
                 rows = []
                 for text in part.column("text").to_pylist():
                     digest = Digest()
-                    digest.add(coder.code(_SPLIT.findall(text)))
+                    digest.add(coder.code(units(text)))
                     rows.append(digest.row())
                 n, ids, raw = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
