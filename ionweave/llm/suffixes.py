@@ -1,13 +1,15 @@
-"""Repeated passages from sparse suffix arrays.
+"""Repeated passages from sparse suffixes.
 
-Of every text only suffixes that start at minimiser positions are kept: the least of ``WINDOW`` consecutive hashes of
-``GRAM`` words, so a passage of ``LEAST`` words has at least one, chosen by content alone. Suffixes whose first words
-occur in another text are gathered by those words, sorted by what follows, and compared with their neighbours of other
-documents (and with the smallest document around them); a match is then extended left and right word by word. Matches
-of one document are merged, so long passages come out whole although a suffix carries ``LEAST`` words and ``LEFT``
-words before it. First words shared by more than ``GROUP`` suffixes are dealt once by the words after them and once by
-the words before them (a match has one or the other in common); stretches that are still longer are read in order, so
-neighbours meet even there, piece by piece.
+Of every text only suffixes that start at minimiser positions are kept: the first least of ``WINDOW`` consecutive hashes
+of ``GRAM`` words. Every stretch of ``LEAST`` words has exactly one, at a place chosen by those words alone, so a
+stretch that two texts share belongs to a suffix with the same first words in both, whatever stands around it. Suffixes
+whose first words occur in another text carry the hashes of the stretches that are theirs, some before and some after
+the first words. They are gathered by first words, and equal stretches of different documents are found among them, each
+with the smallest document that has it; nothing depends on an order or on which suffixes are neighbours. The stretches
+of a suffix all hold its first words, so what is shared of them is one range; ranges of a document are merged, and long
+passages come out whole.
+
+First words that more than ``GROUP`` suffixes have are read piece by piece.
 
 Texts that are equal as a whole are handled as one; each copy is a repeat as a whole. Defined results: texts under
 ``LEAST`` words, nulls and rows without doc_id have no passages; repeated rows of a doc_id have their document's.
@@ -25,35 +27,24 @@ from . import textops as T
 from .store import map_runs, stored
 
 LEAST, GRAM = 50, 8
-WINDOW, LEFT = LEAST - GRAM + 1, LEAST - GRAM
+WINDOW = LEAST - GRAM + 1
 GROUP = 16_000
 
 
-def _slide(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """The best of each ``width`` consecutive values."""
-    out, have = values, 1
-    while have < width:
-        step = min(have, width - have)
-        out = best(out[:-step], out[step:])
-        have += step
-    return out
-
+def minimisers(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, first): the first least position of each window of ``grams``, and the first window that each is that of.
 
-def minimisers(grams: np.ndarray) -> np.ndarray:
-    """Positions that are least in some window; in a stretch of ties with one hash, every ``WINDOW``-th."""
+    Windows follow each other, so those of a place are the ones up to the first of the next place.
+    """
     if grams.size < WINDOW:
-        return np.zeros(0, dtype=np.int64)
-    lowest = _slide(grams, WINDOW, np.minimum)
-    edge = np.zeros(WINDOW - 1, dtype=np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate([edge, lowest, edge]), WINDOW, np.maximum) == grams)
-    if np.any(grams[at[1:]] == grams[at[:-1]]):
-        kept, last = [], {}
-        for p, h in zip(at.tolist(), grams[at].tolist()):
-            if p - last.get(h, -WINDOW) >= WINDOW:
-                kept.append(p)
-                last[h] = p
-        at = np.array(kept, dtype=np.int64)
-    return at
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    low, at, have = grams, np.arange(grams.size), 1
+    while have < WINDOW:
+        step = min(have, WINDOW - have)
+        left = low[:-step] <= low[step:]
+        low, at, have = np.where(left, low[:-step], low[step:]), np.where(left, at[:-step], at[step:]), have + step
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], first
 
 
 def _tokens(part: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -72,7 +63,7 @@ def _marks(docs: DataFrame) -> DataFrame:
                 out = []
                 for doc, key, words in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), _tokens(part)):
                     grams = T.gram_hashes(words, GRAM)
-                    at = minimisers(grams)
+                    at, _ = minimisers(grams)
                     out.append((grams[at].view(np.int64), np.full(at.size, doc), at, np.full(at.size, key)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], ["gram", "doc_id", "place", "key"])
 
@@ -80,78 +71,63 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(gram, n, doc_id, place, after, before): each suffix with the words from it on and, nearest first, before it."""
+    """(gram, n, doc_id, start, windows): each suffix with the hashes of its stretches, the first of which is at ``start``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, most=1 << 20):
-                gram, n, ids, places, after, before = [], [], [], [], [], []
                 for doc, hits, words in zip(part.column("doc_id").to_pylist(), part.column("hits"), _tokens(part)):
-                    own = np.zeros(words.size + LEFT + LEAST, dtype=np.uint32)  # 0 stands for no word
-                    own[LEFT:LEFT + words.size] = np.maximum(words.astype(np.uint32), 1)
-                    at = hits.values.field("place").to_numpy()
-                    fits = at < words.size
-                    at = at[fits]
-                    gram.append(hits.values.field("gram").to_numpy()[fits])
-                    n.append(hits.values.field("n").to_numpy()[fits])
-                    ids.append(np.full(at.size, doc))
-                    places.append(at)
-                    after.append(own[at[:, None] + LEFT + np.arange(LEAST)])
-                    before.append(own[at[:, None] + LEFT - 1 - np.arange(LEFT)])
-                fixed = lambda x: pa.array([r.tobytes() for r in np.concatenate(x).astype(">u4")], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x).astype(np.int64)) for x in (gram, n, ids, places)], fixed(after), fixed(before)],
-                                                 ["gram", "n", "doc_id", "place", "after", "before"])
-
-    return docs.mapInArrow(run, "gram long, n long, doc_id long, place long, after binary, before binary")
-
-
-def _common(grid: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many leading words rows a and b share."""
-    out = np.empty(a.size, dtype=np.int64)
-    for i in range(0, a.size, 1 << 14):
-        x, y = grid[a[i:i + (1 << 14)]], grid[b[i:i + (1 << 14)]]
-        differ = (x != y) | (x == 0)
-        out[i:i + (1 << 14)] = np.where(differ.any(axis=1), differ.argmax(axis=1), grid.shape[1])
-    return out
-
-
-def _neighbours(table: pa.Table, bounds: np.ndarray) -> pa.Table:
-    """Matches of sorted suffixes: with the next of another document, and with the smallest document nearby."""
-    grid = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=">u4").astype(np.uint32).reshape(table.num_rows, -1)
-    right, left = grid("after"), grid("before")
-    doc, place = table.column("doc_id").to_numpy(), table.column("place").to_numpy()
-    n = table.num_rows
-    run = np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
-    change = np.append(np.flatnonzero((doc[1:] != doc[:-1]) | (run[1:] != run[:-1])) + 1, n)
-    nxt = change[np.searchsorted(change, np.arange(n), side="right")]
-    a = np.flatnonzero(nxt < n)
-    pairs = [(a, nxt[a])]
-    last = np.concatenate([[-1], change - 1])
-    prv = last[np.searchsorted(change, np.arange(n), side="right")]
-    b = np.flatnonzero(prv >= 0)
-    pairs.append((b, prv[b]))
-    step = _common(right, np.arange(n - 1), np.arange(1, n)) if n > 1 else np.zeros(0, dtype=np.int64)
-    for depth in (GRAM, LEAST // 2, LEAST):  # the smallest document of each stretch that shares so many words
-        stretch = np.concatenate([[0], np.cumsum((run[1:] != run[:-1]) | (step < depth))])
-        order = np.lexsort((place, doc, stretch))
-        heads = order[np.concatenate([[True], stretch[order][1:] != stretch[order][:-1]])]
-        pairs.append((np.arange(n), heads[stretch]))
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    good = (run[a] == run[b]) & (doc[a] != doc[b])
-    a, b = a[good], b[good]
-    r, s = _common(right, a, b), _common(left, a, b)
-    long = r + s >= LEAST
-    a, b, r, s = a[long], b[long], r[long], s[long]
-    one = {"doc_id": doc[a], "start": place[a] - s, "end": place[a] + r, "other_id": doc[b], "earlier": doc[b] < doc[a]}
-    two = {"doc_id": doc[b], "start": place[b] - s, "end": place[b] + r, "other_id": doc[a], "earlier": doc[a] < doc[b]}
-    return pa.table({k: np.concatenate([one[k], two[k]]) for k in one}).group_by(["doc_id", "start", "end", "other_id", "earlier"]).aggregate([])
+                    at, first = minimisers(T.gram_hashes(words, GRAM))
+                    windows = T.gram_hashes(words, LEAST)
+                    ends = np.append(first[1:], windows.size)
+                    place, gram, n = (hits.values.field(c).to_numpy() for c in ("place", "gram", "n"))
+                    k = np.searchsorted(at, place)
+                    fits = at[np.minimum(k, at.size - 1)] == place if at.size else np.zeros(place.size, dtype=bool)
+                    k, gram, n = k[fits], gram[fits], n[fits]
+                    for i in range(0, k.size, 1 << 13):
+                        j = k[i:i + (1 << 13)]
+                        own = [windows[a:b].tobytes() for a, b in zip(first[j].tolist(), ends[j].tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(gram[i:i + j.size]), pa.array(n[i:i + j.size]), pa.array(np.full(j.size, doc)), pa.array(first[j]), pa.array(own, pa.binary())],
+                                                         ["gram", "n", "doc_id", "start", "windows"])
+
+    return docs.mapInArrow(run, "gram long, n long, doc_id long, start long, windows binary")
+
+
+def _flat(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, row, start) of every stretch of the suffixes."""
+    own = table.column("windows").to_pylist()
+    sizes = np.array([len(x) // 8 for x in own], dtype=np.int64)
+    row = np.repeat(np.arange(sizes.size), sizes)
+    step = np.arange(row.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.frombuffer(b"".join(own), dtype=np.int64), row, table.column("start").to_numpy()[row] + step
+
+
+def _same(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+    """The range of each suffix that other documents have, and the range that an earlier one has."""
+    window, row, start = _flat(table)
+    doc = table.column("doc_id").to_numpy()[row]
+    order = np.argsort(window)
+    head = np.concatenate([[True], window[order[1:]] != window[order[:-1]]])
+    at = np.flatnonzero(head)
+    where = np.empty(order.size, dtype=np.int64)
+    where[order] = np.cumsum(head) - 1
+    low, high = np.minimum.reduceat(doc[order], at)[where], np.maximum.reduceat(doc[order], at)[where]
+    out = []
+    for only in (False, True):
+        hit = np.flatnonzero(low < doc if only else low < high)
+        head = np.flatnonzero(np.concatenate([[True], row[hit[1:]] != row[hit[:-1]]])) if hit.size else hit
+        last = np.append(head[1:], hit.size)[:head.size] - 1
+        other = np.where(doc[hit] == low[hit], high[hit], low[hit])
+        out.append(pa.table({"doc_id": doc[hit[head]], "start": start[hit[head]], "end": start[hit[last]] + LEAST,
+                             "other_id": np.minimum.reduceat(other, head) if hit.size else other, "cut": np.full(head.size, only)}))
+    return pa.concat_tables(out)
 
 
 def _merge(table: pa.Table, bounds: np.ndarray) -> pa.Table:
-    """Overlapping matches of a document as one passage, for all matches and for those with an earlier document."""
-    doc, start, end, other, earlier = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "end", "other_id", "earlier"))
+    """Overlapping ranges of a document as one passage, those with ``cut`` apart."""
+    doc, start, end, other, cut = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "end", "other_id", "cut"))
     out = []
     for only in (False, True):
-        rows = np.flatnonzero(earlier) if only else np.arange(table.num_rows)
+        rows = np.flatnonzero(cut == only)
         rows = rows[np.lexsort((end[rows], start[rows], doc[rows]))]
         if not rows.size:
             continue
@@ -182,14 +158,9 @@ def passages(docs: DataFrame) -> DataFrame:
     listed = hits.groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram", "n")).alias("hits"))  # as many as the text has minimisers
     suffixes = stored(_contexts(docs.join(listed.hint("merge"), "doc_id").select("doc_id", "hits", "text")))
 
-    block = lambda name, low: F.xxhash64(F.substring(name, 4 * low + 1, 4 * GRAM))
-    hot = suffixes.filter(F.col("n") > GROUP)
-    deals = [suffixes.filter(F.col("n") <= GROUP).withColumn("group", F.col("gram")),
-             hot.withColumn("group", F.xxhash64("gram", F.lit(1), block("after", GRAM))), hot.withColumn("group", F.xxhash64("gram", F.lit(2), block("before", 0)))]
-    dealt = deals[0].unionByName(deals[1]).unionByName(deals[2])
-    matches = map_runs(dealt.select("group", "after", "doc_id", "place", "before"), ["group"], "doc_id long, start long, end long, other_id long, earlier boolean",
-                       _neighbours, order=["after", "doc_id", "place"], cut=GROUP)
-    parts = map_runs(matches, ["doc_id"], "doc_id long, start long, end long, other_id long, cut boolean", _merge)
+    ranges = "doc_id long, start long, end long, other_id long, cut boolean"
+    found = map_runs(suffixes.select("gram", "doc_id", "start", "windows"), ["gram"], ranges, _same, cut=GROUP)
+    parts = map_runs(found, ["doc_id"], ranges, _merge)
 
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     whole = docs.join(again.hint("merge"), "doc_id").select("doc_id", F.lit(0).cast("long").alias("start"), words.cast("long").alias("end"), F.when(F.col("doc_id") == F.col("_first"), F.col("_last")).otherwise(F.col("_first")).alias("other_id"))

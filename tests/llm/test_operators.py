@@ -139,6 +139,59 @@ def test_repeated_passages(spark, docs, texts):
     assert suffixes.repeats(empty(spark)).count() == 0
 
 
+def brute_passages(data):
+    """Words of each text that lie in a stretch of 50 words of another text, and of one with a smaller id."""
+    words, seen = {i: t.split() for i, t in data}, collections.defaultdict(set)
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            seen[tuple(w[k:k + 50])].add(i)
+    out = {}
+    for i, w in words.items():
+        for cut in (False, True):
+            out[i, cut] = set()
+            for k in range(len(w) - 49):
+                own = seen[tuple(w[k:k + 50])]
+                if min(own) < i if cut else len(own) > 1:
+                    out[i, cut] |= set(range(k, k + 50))
+    return out
+
+
+def found_passages(df, ids):
+    out = {(i, cut): set() for i in ids for cut in (False, True)}
+    for r in suffixes.passages(df).collect():
+        assert r.other_id != r.doc_id
+        out[r.doc_id, r.cut] |= set(range(r.start, r.end))
+    return out
+
+
+def test_own_words_around_a_frequent_line(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
+    data = []
+    for own, common, after in ((30, 30, False), (20, 40, False), (20, 40, True), (30, 30, True)):
+        for line in range(4):
+            frequent = fresh(common)
+            data += [(len(data) + k, f"{fresh(25)} {frequent} {fresh(25)}") for k in range(60)]
+            for _ in range(25):
+                mine = fresh(own)
+                both = f"{frequent} {mine}" if after else f"{mine} {frequent}"
+                data += [(len(data) + k, f"{fresh(25)} {both} {fresh(25)}") for k in range(2)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert found_passages(df, dict(data)) == brute_passages(data)
+
+
+def test_tied_minimisers(spark):
+    rng = np.random.default_rng(12)
+    data = []
+    for period in (1, 2, 3, 9, 20, 41):
+        turn = [f"p{period}x{k}" for k in range(period)]
+        for k in range(8):  # the same cycle, entered and left elsewhere in each text
+            a, n = rng.integers(0, period), rng.integers(50, 120)
+            data.append((len(data), " ".join([f"a{rng.integers(0, 10**9)}" for _ in range(7)] + [turn[(a + i) % period] for i in range(n)] + [f"b{rng.integers(0, 10**9)}"])))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert found_passages(df, dict(data)) == brute_passages(data)
+
+
 def shingles(text):
     w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     n = min(5, len(w))
