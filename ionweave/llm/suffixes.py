@@ -9,7 +9,8 @@ with the smallest document that has it; nothing depends on an order or on which
 of a suffix all hold its first words, so what is shared of them is one range; ranges of a document are merged, and long
 passages come out whole.
 
-First words that more than ``GROUP`` suffixes have are read piece by piece.
+First words that more than ``GROUP`` suffixes have would be too much for one task: their stretches are counted one by
+one, in a grouped minimum and maximum joined back. Both ways give the same rows.
 
 Texts that are equal as a whole are handled as one; each copy is a repeat as a whole. Defined results: texts under
 ``LEAST`` words, nulls and rows without doc_id have no passages; repeated rows of a doc_id have their document's.
@@ -122,6 +123,25 @@ def _same(table: pa.Table, bounds: np.ndarray) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _spread(suffixes: DataFrame) -> DataFrame:
+    """What ``_same`` gives, for first words of any number of suffixes: no task holds what is equal."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(i, 1 << 12)
+                window, row, start = _flat(part)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (window, part.column("doc_id").to_numpy()[row], part.column("start").to_numpy()[row], start)], ["window", "doc_id", "suffix", "start"])
+
+    each = suffixes.select("doc_id", "start", "windows").mapInArrow(run, "window long, doc_id long, suffix long, start long")
+    shared = stored(each.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"))
+    found = each.join(shared.hint("merge"), "window").withColumn("other", F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")))
+    later = F.col("low") < F.col("doc_id")
+    ranges = lambda test: F.struct(F.min(F.when(test, F.col("start"))).alias("start"), (F.max(F.when(test, F.col("start"))) + LEAST).alias("end"),
+                                   F.min(F.when(test, F.col("other"))).alias("other_id"))
+    found = found.groupBy("doc_id", "suffix").agg(ranges(F.lit(True)).alias("_all"), ranges(later).alias("_cut"))
+    return found.select("doc_id", "_all.*", F.lit(False).alias("cut")).unionByName(found.select("doc_id", "_cut.*", F.lit(True).alias("cut")).filter("start is not null"))
+
+
 def _merge(table: pa.Table, bounds: np.ndarray) -> pa.Table:
     """Overlapping ranges of a document as one passage, those with ``cut`` apart."""
     doc, start, end, other, cut = (table.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "end", "other_id", "cut"))
@@ -159,7 +179,7 @@ def passages(docs: DataFrame) -> DataFrame:
     suffixes = stored(_contexts(docs.join(listed.hint("merge"), "doc_id").select("doc_id", "hits", "text")))
 
     ranges = "doc_id long, start long, end long, other_id long, cut boolean"
-    found = map_runs(suffixes.select("gram", "doc_id", "start", "windows"), ["gram"], ranges, _same, cut=GROUP)
+    found = map_runs(suffixes.filter(F.col("n") <= GROUP).select("gram", "doc_id", "start", "windows"), ["gram"], ranges, _same).unionByName(_spread(suffixes.filter(F.col("n") > GROUP)))
     parts = map_runs(found, ["doc_id"], ranges, _merge)
 
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))

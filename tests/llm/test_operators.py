@@ -192,6 +192,22 @@ def test_tied_minimisers(spark):
     assert found_passages(df, dict(data)) == brute_passages(data)
 
 
+def test_one_copy_stays_of_a_hot_passage(spark):
+    hot = " ".join(f"h{k}" for k in range(55))
+    data = [(k, f"a{k} b{k} c{k} {hot} d{k} e{k} f{k} g{k}") for k in range(40_000)]
+    found = suffixes.passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {(r.start, r.end) for r in found} == {(3, 58)}
+    assert {r.doc_id for r in found if not r.cut} == set(range(40_000)) and {r.doc_id for r in found if r.cut} == set(range(1, 40_000))
+
+
+def test_hot_groups_give_the_same_rows(spark, docs, monkeypatch):
+    every = docs.select("doc_id", "text").persist()
+    plain = {tuple(r) for r in suffixes.passages(every).collect()}
+    monkeypatch.setattr(suffixes, "GROUP", 1)
+    assert plain and {tuple(r) for r in suffixes.passages(every).collect()} == plain
+    every.unpersist()
+
+
 def shingles(text):
     w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     n = min(5, len(w))
