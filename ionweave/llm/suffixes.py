@@ -180,6 +180,7 @@ def passages(docs: DataFrame) -> DataFrame:
 
     ranges = "doc_id long, start long, end long, other_id long, cut boolean"
     found = map_runs(suffixes.filter(F.col("n") <= GROUP).select("gram", "doc_id", "start", "windows"), ["gram"], ranges, _same).unionByName(_spread(suffixes.filter(F.col("n") > GROUP)))
+    found = found.groupBy("doc_id", "start", "end", "cut").agg(F.min("other_id").alias("other_id"))  # so a run is bounded by its text
     parts = map_runs(found, ["doc_id"], ranges, _merge)
 
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
