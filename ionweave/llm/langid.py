@@ -2,7 +2,8 @@
 
 A word's score in a language is the sum of log-shares of its hashed character n-grams and of the word itself, counted
 over all learned documents (``BUCKETS`` counters a language, so the model is bounded). The script of its first letter
-leaves only languages that write it. Viterbi over a text's words, each switch costing ``PENALTY``, gives spans of one
+leaves only languages that write it. A word of over ``LONGEST`` bytes (unspaced scripts) counts as several, divided
+between characters; its n-grams run over the divisions, and spans count the parts as words. Viterbi over a text's words, each switch costing ``PENALTY``, gives spans of one
 language each. A path without switches is best whenever no stretch of words gains more than the penalty in another
 language; that is tested on running sums, so only mixed texts are walked word by word.
 
@@ -25,6 +26,7 @@ BUCKETS = 1 << 15
 PENALTY = 12.0
 DAMPING = 0.5  # n-grams of one word are not independent
 SCRIPT_SHARE = 0.001
+LONGEST = 40
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "hebrew", "arabic", "south asian", "kana", "han", "hangul", "other")
 #: Script ranges by the first byte of a letter.
 _SCRIPT = np.zeros(256, dtype=np.int64)
@@ -36,22 +38,43 @@ _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 
 
+def _parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(start, end, reach, head, tail): words, the long ones divided before a character about every ``LONGEST`` bytes.
+
+    ``reach`` is where the last n-gram of a part ends; head and tail say whether the word's borders are in reach.
+    """
+    many = (ends - starts + LONGEST - 1) // LONGEST
+    word = np.repeat(np.arange(starts.size), many)
+    begin = starts[word] + (np.arange(word.size) - (np.cumsum(many) - many)[word]) * LONGEST
+    for _ in range(3):
+        begin = begin - ((begin > starts[word]) & (data[begin] & 0xC0 == 0x80))
+    end = np.append(begin[1:], 0)
+    end[np.cumsum(many) - 1] = ends
+    reach = np.minimum(end + 3, ends[word])
+    return begin, end, reach, begin == starts[word], reach == ends[word]
+
+
 class Words:
     """The different words of some texts: n-gram counters and scripts of each, and which word stands where."""
 
     def __init__(self, part: pa.RecordBatch):
         data, offsets = T.text_bytes(part.column("text"))
         starts, ends = T.word_spans(data, offsets)
+        starts, ends, reach, head, tail = _parts(data, starts, ends)
         self.bounds = T.word_ranges(starts, offsets)
-        _, first, self.place = np.unique(T.span_hashes(data, starts, ends, fold=True), return_index=True, return_inverse=True)
-        start, size = starts[first], np.minimum(ends[first] - starts[first], 40)  # the n-grams of longer words add nothing new
+        kind = T.mix((ends - starts).astype(np.uint64) * np.uint64(4) + head * np.uint64(2) + tail)
+        _, first, self.place = np.unique(T.span_hashes(data, starts, reach, fold=True) ^ kind, return_index=True, return_inverse=True)
+        start, head, whole = starts[first], head[first].astype(np.int64), (head & (ends == reach))[first]
+        own = head + ends[first] - starts[first]  # n-grams begin at the blank before or at a byte of the part
+        size = head + reach[first] - starts[first] + tail[first]
         self.n = first.size
-        owner = np.repeat(np.arange(self.n), size + 2)
-        begin = np.concatenate([[0], np.cumsum(size + 2)])[:-1]
-        inside = np.arange(owner.size) - begin[owner] - 1
-        edge = (inside < 0) | (inside == size[owner])
+        owner = np.repeat(np.arange(self.n), size)
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        step = np.arange(owner.size) - begin[owner]
+        inside = step - head[owner]
+        edge = (inside < 0) | (inside == (reach - starts)[first][owner])
         code = np.where(edge, 32, _LOWER[data[np.where(edge, start[owner], start[owner] + inside)]]) if owner.size else np.zeros(0, dtype=np.int64)
-        left = (begin + size + 2)[owner] - np.arange(owner.size)  # characters left in the word, this one included
+        left = np.where(step < own[owner], size[owner] - step, 0)  # characters left, this one included
         grams, owners, h = [], [], np.zeros(owner.size, dtype=np.uint64)
         for k in range(4):
             h = h[:owner.size - k] * np.uint64(0x100000001B3) + _BYTE[code[k:]] if k else _BYTE[code].copy()
@@ -59,11 +82,11 @@ class Words:
             if k:
                 grams.append(T.mix(h[fits] + np.uint64(k)))
                 owners.append(owner[:h.size][fits])
-        grams.append(T.mix(T.span_hashes(data, starts, ends, fold=True)[first] if self.n else np.zeros(0, dtype=np.uint64)))
-        owners.append(np.arange(self.n))
+        grams.append(T.mix(T.span_hashes(data, starts, ends, fold=True)[first[whole]] if self.n else np.zeros(0, dtype=np.uint64)))
+        owners.append(np.flatnonzero(whole))
         self.gram = (np.concatenate(grams) & np.uint64(BUCKETS - 1)).astype(np.int64)
         self.owner = np.concatenate(owners)
-        letters = np.flatnonzero(_SCRIPT[code])
+        letters = np.flatnonzero((_SCRIPT[code] > 0) & (left > 0))
         self.script = np.zeros(self.n, dtype=np.int64)
         self.script[owner[letters[::-1]]] = _SCRIPT[code[letters[::-1]]]  # the first letter is written last
 

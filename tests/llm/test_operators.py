@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer, models
@@ -258,6 +259,21 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in langid.identify(docs, None).collect()} == {"und"} and langid.predict(empty(spark)).count() == 0
 
 
+def test_every_character_of_unspaced_runs_votes():
+    rng = np.random.default_rng(4)
+    han = lambda n, low: "".join(chr(c) for c in low + rng.integers(0, 300, n))
+    model_docs = [("a", 0x4E00), ("b", 0x6000)]
+    train = [{"text": han(400, low), "lang": name} for name, low in model_docs for _ in range(20)]
+    words = [langid.Words(pa.RecordBatch.from_pydict({"text": [r["text"] for r in train if r["lang"] == name]})) for name, _ in model_docs]
+    grams = np.stack([np.bincount(w.gram, weights=np.bincount(w.place, minlength=w.n)[w.owner], minlength=langid.BUCKETS) for w in words])
+    model = {"names": ["a", "b"], "share": (np.log(grams + 0.5) - np.log(grams.sum(axis=1, keepdims=True) + 0.5 * langid.BUCKETS)).astype(np.float32), "writes": np.ones((2, len(langid.SCRIPTS)), dtype=bool)}
+    texts = [han(13, 0x4E00) + han(1500, 0x6000), "1234567890" * 5 + han(300, 0x6000), han(500, 0x4E00) + han(400, 0x6000)]
+    got = langid.label(pa.RecordBatch.from_pydict({"text": texts}), model)
+    assert [g[0] for g in got] == ["b", "b", "a"] and [x for *_, x in got[2][2]] == ["a", "b"] and got[1][1] > 0.8
+    short = langid.Words(pa.RecordBatch.from_pydict({"text": ["x" * 40, "x" * 41, "é" * 41]}))
+    assert np.diff(short.bounds).tolist() == [1, 2, 3]
+
+
 def test_walk_equals_full_search():
     rng = np.random.default_rng(2)
     for _ in range(60):
