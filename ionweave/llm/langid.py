@@ -4,8 +4,8 @@ A word's score in a language is the sum of log-shares of its hashed character n-
 over all learned documents (``BUCKETS`` counters a language, so the model is bounded). The script of its first letter
 leaves only languages that write it. A word of over ``LONGEST`` bytes (unspaced scripts) counts as several, divided
 between characters; its n-grams run over the divisions, and spans count the parts as words. Viterbi over a text's words, each switch costing ``PENALTY``, gives spans of one
-language each. A path without switches is best whenever no stretch of words gains more than the penalty in another
-language; that is tested on running sums, so only mixed texts are walked word by word.
+language each. A path without switches is best whenever no stretch of words gains more than half the penalty in
+another language (n stretches need n - 1 switches or more, and one over the whole text gains nothing); that is tested on running sums, so only mixed texts are walked word by word.
 
 The language of a text is the one with most words on the path; its score is their mean posterior. Defined results: a
 null text and one without a letter are ``und`` with score 0, and so is every text when nothing was learned; ties go to
@@ -137,7 +137,7 @@ def walk(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     best = int(np.argmax(scores.sum(axis=0)))
     gain = np.cumsum(scores - scores[:, best:best + 1], axis=0)
     floor = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    if (gain[1:] - floor[:-1]).max(initial=0) <= penalty and gain[:1].max(initial=0) <= penalty:
+    if 2 * max((gain[1:] - floor[:-1]).max(initial=0), gain[:1].max(initial=0)) <= penalty:
         return np.full(len(scores), best)
     total, back, rows = scores[0].tolist(), [], scores.tolist()
     for row in rows[1:]:

@@ -275,6 +275,8 @@ def test_every_character_of_unspaced_runs_votes():
 
 
 def test_walk_equals_full_search():
+    two = np.array([[-3.9, 0, -8]] * 3 + [[-3.9, -8, 0]] * 3)
+    assert langid.walk(two, 12.0).tolist() == [1, 1, 1, 2, 2, 2]
     rng = np.random.default_rng(2)
     for _ in range(60):
         scores = rng.standard_normal((rng.integers(1, 9), 3)) * 6
