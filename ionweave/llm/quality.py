@@ -3,8 +3,13 @@
 Each document's histogram of character classes and of common words is compared with references of every language by
 Jensen-Shannon distance (square root of the base-2 divergence, 0 to 1). The references are counted over all documents
 with a language: shares of the character classes, and of the ``COMMON`` most frequent words plus one bin for the rest.
-A document is held to the nearest reference, so a wrong or missing language does not condemn it. Guards: the distances
-judge only documents of ``MIN_WORDS`` words; the word distance only those of ``MIN_WORDS_COMMON``.
+A document is held to the nearest reference, so a wrong or missing language does not condemn it. A text without any
+common word is no farther than the share of common words allows (0.46 where that is 0.37), so want of them is judged
+apart: each reference has a least share of its common words, ``SPREADS`` robust deviations (quartile distance / 1.349)
+below the median share of its language's documents, and a text must reach that of one language. Guards: the distances
+judge only documents of ``MIN_WORDS`` words; the word rules only those of ``MIN_WORDS_COMMON``; a language with fewer
+than ``MIN_DOCS`` such documents has the spread of random draws, and one with no least share above 0 (few common words,
+as in unspaced scripts) excuses texts whose character classes are near its own.
 
 Base counts, and the base rule, need no reference. Defined results: a null text has no words and fails the base rule;
 with no reference at all (no language, or an empty table) the base rule alone decides; equal rows get equal results;
@@ -23,6 +28,7 @@ from . import textops as T
 MIN_WORDS, MIN_WORDS_COMMON = 50, 80
 COMMON = 100
 CLASS_LIMIT, WORD_LIMIT = 0.30, 0.60
+SPREADS, MIN_DOCS, STEPS = 5.0, 30, 1000
 #: Character classes by a character's first byte; 0 stands for the other bytes of a character.
 CLASSES = ("continued", "lower", "upper", "digit", "blank", "line end", "stop", "mark", "symbol", "control", "two bytes", "three bytes", "four bytes")
 _CLASS = np.zeros(256, dtype=np.int64)
@@ -108,7 +114,55 @@ def references(docs: DataFrame) -> dict:
     for r in rows:
         by_word[langs.index(r["lang"]), np.searchsorted(words, r["key"])] = r["n"]
     by_word[:, -1] = [total[x] for x in langs] - by_word.sum(axis=1)
-    return {"langs": langs, "classes": _shares(by_class), "words": words, "word_shares": _shares(by_word)}
+    model = {"langs": langs, "classes": _shares(by_class), "words": words, "word_shares": _shares(by_word)}
+    return model | {"least": least_shares(docs, model)}
+
+
+def _common_counts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: dict) -> np.ndarray:
+    """A row for each text: how often each common word stands there, and all other words."""
+    folded, n = T.span_hashes(data, starts, ends, fold=True).view(np.int64), offsets.size - 1
+    size = model["words"].size + 1
+    place = np.minimum(np.searchsorted(model["words"], folded), size - 2)
+    place = np.where(model["words"][place] == folded, place, size - 1)
+    owner = np.repeat(np.arange(n), np.diff(T.word_ranges(starts, offsets)))
+    return np.bincount(owner * size + place, minlength=n * size).reshape(n, size)
+
+
+def _common_share(counts: np.ndarray, model: dict) -> np.ndarray:
+    """The share of each language's common words in each text."""
+    return _shares(counts)[:, :-1] @ (model["word_shares"][:, :-1] > 0).T
+
+
+def least_shares(docs: DataFrame, model: dict) -> np.ndarray:
+    """The least share of common words of each language, from its documents' shares counted in ``STEPS`` steps."""
+    langs, part = model["langs"], 1 - model["word_shares"][:, -1]
+    least = part - SPREADS * np.sqrt(part * (1 - part) / MIN_WORDS_COMMON)
+    if not langs:
+        return least
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(langs), STEPS + 1), dtype=np.int64)
+        for batch in batches:
+            for part in T.slices(batch, most=2 << 20):
+                data, offsets = T.text_bytes(part.column("text"))
+                starts, ends = T.word_spans(data, offsets)
+                counts = _common_counts(data, offsets, starts, ends, shared.value)
+                own = np.array([langs.index(x) if x in langs else -1 for x in part.column("lang").to_pylist()], dtype=np.int64)
+                rows = np.flatnonzero((counts.sum(axis=1) >= MIN_WORDS_COMMON) & (own >= 0))
+                share = _common_share(counts[rows], shared.value)[np.arange(rows.size), own[rows]]
+                np.add.at(total, (own[rows], np.rint(share * STEPS).astype(np.int64)), 1)
+        lang, step = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "step": pa.array(step, pa.int32()), "n": total[lang, step]})
+
+    known = docs.select("lang", "text").filter("lang is not null and text is not null")
+    table = np.zeros((len(langs), STEPS + 1))
+    for r in known.mapInArrow(run, "lang int, step int, n long").groupBy("lang", "step").agg(F.sum("n").alias("n")).collect():
+        table[r["lang"], r["step"]] = r["n"]
+    for k in np.flatnonzero(table.sum(axis=1) >= MIN_DOCS):
+        low, middle, high = np.searchsorted(np.cumsum(table[k]), np.array([0.25, 0.5, 0.75]) * table[k].sum()) / STEPS
+        least[k] = middle - SPREADS * max(high - low, 1 / STEPS) / 1.349
+    return least
 
 
 def _repeated(words: np.ndarray) -> int:
@@ -148,18 +202,15 @@ def measure(part: pa.RecordBatch, model: dict) -> dict[str, np.ndarray]:
         "n_repeat_words": np.array([_repeated(hashes[bounds[i]:bounds[i + 1]]) for i in range(n)], dtype=np.int64),
     }
     out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > 50 * out["n_words"])
-    far, odd = np.zeros(n), np.zeros(n)
+    far, odd, wanting = np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool)
     if model["langs"]:
-        far = js_distance(_shares(_class_counts(data, offsets)), model["classes"]).min(axis=1, initial=2)
-        folded = T.span_hashes(data, starts, ends, fold=True).view(np.int64)
-        size = model["words"].size + 1
-        place = np.minimum(np.searchsorted(model["words"], folded), size - 2)
-        place = np.where(model["words"][place] == folded, place, size - 1)
-        owner = np.repeat(np.arange(n), out["n_words"])
-        counts = np.bincount(owner * size + place, minlength=n * size).reshape(n, size)
+        each = js_distance(_shares(_class_counts(data, offsets)), model["classes"])
+        far = each.min(axis=1, initial=2)
+        counts = _common_counts(data, offsets, starts, ends, model)
+        wanting = ~np.where(model["least"] > 0, _common_share(counts, model) >= model["least"], each <= CLASS_LIMIT).any(axis=1)
         odd = js_distance(_shares(counts), model["word_shares"]).min(axis=1, initial=2)
     out |= {"class_distance": far, "word_distance": odd}
-    diverges = (out["n_words"] >= MIN_WORDS) & (far > CLASS_LIMIT) | (out["n_words"] >= MIN_WORDS_COMMON) & (odd > WORD_LIMIT)
+    diverges = (out["n_words"] >= MIN_WORDS) & (far > CLASS_LIMIT) | (out["n_words"] >= MIN_WORDS_COMMON) & ((odd > WORD_LIMIT) | wanting)
     out["kept"] = ~out["base_failed"] & ~diverges
     return out
 

@@ -353,3 +353,16 @@ def test_quality(spark, docs, texts):
     accepted = quality.accepted(docs)
     assert accepted.columns == docs.columns and {r.doc_id for r in accepted.collect()} == {i for i, r in got.items() if r.kept}
     assert quality.judge(empty(spark)).count() == 0
+
+
+def test_words_outside_every_reference_are_rejected(spark):
+    rng = np.random.default_rng(6)
+    common = {"x": [f"x{k}" for k in range(60)], "y": [f"y{k}" for k in range(60)]}
+    rare = lambda n: ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n)]
+    text = lambda words: " ".join(words[k] for k in rng.permutation(len(words)))
+    data = [(k, text([*rng.choice(common["xy"[k % 2]], rng.integers(30, 45)), *rare(65)]), "xy"[k % 2]) for k in range(400)]
+    odd = [(1000 + k, text(rare(120)), lang) for k, lang in enumerate(("x", "y", None, "z"))]
+    wrong = [(2000 + k, text([*rng.choice(common["x"], 40), *rare(65)]), lang) for k, lang in enumerate(("y", None))]
+    got = rows(quality.judge(spark.createDataFrame(data + odd + wrong, "doc_id long, text string, lang string")))
+    assert not [(i, got[i].n_words, got[i].n_repeat_words) for i in got if got[i].base_failed]
+    assert not any(got[i].kept for i, *_ in odd if i != 1003) and all(got[i].kept for i, *_ in data + wrong)
