@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import bpe, chosen_path, itq, langid, packing, pii, quality, ring, suffixes, viterbi_count
+from . import bpe, chosen_path, filter_audit, itq, langid, packing, pii, quality, ring, suffixes, viterbi_count
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: From ``links`` (a, b) and ``nodes`` (id): the smallest id that each node reaches, by brute force.
@@ -26,6 +26,31 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.size) AS sa, any_val
 links AS (SELECT a, b FROM shared WHERE 100 * n >= 75 * (sa + sb - n)), {REACH_SQL}
 SELECT id AS doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM low LEFT JOIN sets ON doc_id = id"""
 
+FILTERS_SQL = """WITH RECURSIVE filters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, bit)),
+docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+first AS (SELECT t, min(doc_id) AS low FROM docs GROUP BY t),
+words AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM docs),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+masks AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+ (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+ + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+ + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > low, false)::INT AS mask
+ FROM words JOIN first USING (t) LEFT JOIN marks USING (doc_id)),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY ALL),
+walk AS (SELECT letter AS prefix, bit AS applied, bit, 1 AS step FROM filters
+ UNION ALL SELECT prefix || letter, applied | f.bit, f.bit, step + 1 FROM walk JOIN filters f ON (applied & f.bit) = 0),
+steps AS (SELECT part, prefix, step, coalesce(sum(n) FILTER ((mask & applied) = 0), 0) AS kept,
+ coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & (applied - bit)) = 0), 0) AS removed,
+ coalesce(sum(n) FILTER ((mask & bit) <> 0 AND (mask & (applied - bit)) <> 0), 0) AS redundant,
+ coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+ coalesce(sum(good) FILTER ((mask & bit) <> 0 AND (mask & (applied - bit)) = 0), 0) AS good_lost,
+ coalesce(sum(toxic) FILTER ((mask & bit) <> 0 AND (mask & (applied - bit)) = 0), 0) AS toxic_lost
+ FROM cells CROSS JOIN walk GROUP BY part, prefix, step),
+orders AS (SELECT prefix AS filter_order FROM walk WHERE step = 5)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+ good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, right(prefix, 1)))::BIGINT AS shapley
+FROM orders JOIN steps ON prefix = left(filter_order, step)"""
+
 
 @query("op1_weak_supervision_pii")
 def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,3 +100,8 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_distribution_quality")
 def op10_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+@query("op13_recursive_filter_audit", FILTERS_SQL)
+def op13_recursive_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
