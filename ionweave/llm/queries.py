@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import bpe, chosen_path, filter_audit, itq, langid, packing, pii, quality, ring, suffixes, viterbi_count
+from . import bpe, chosen_path, divergence, filter_audit, itq, langid, packing, pii, quality, ring, suffixes, viterbi_count
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: From ``links`` (a, b) and ``nodes`` (id): the smallest id that each node reaches, by brute force.
@@ -26,6 +26,23 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.size) AS sa, any_val
 links AS (SELECT a, b FROM shared WHERE 100 * n >= 75 * (sa + sb - n)), {REACH_SQL}
 SELECT id AS doc_id, coalesce(len(s), 0)::BIGINT AS n_shingles, component_id, id = component_id AS kept FROM low LEFT JOIN sets ON doc_id = id"""
 
+DIVERGENCE_SQL = f"""WITH docs AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
+occurs AS (SELECT row, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM occurs GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(total), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+counts AS (SELECT o.lang, o.source, o.term, count(*) AS c FROM occurs o JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, (1 + (1000000000::HUGEINT * (coalesce(c, 0) + 1)) // (g.n + v))::BIGINT AS p,
+ (1 + (1000000000::HUGEINT * (total + 1)) // (l.n + v))::BIGINT AS q
+ FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM dense a JOIN dense b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+listed AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM dense WHERE c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM listed
+QUALIFY part = 'pair' OR rank <= 200"""
+
 FILTERS_SQL = """WITH RECURSIVE filters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(letter, bit)),
 docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 first AS (SELECT t, min(doc_id) AS low FROM docs GROUP BY t),
@@ -102,6 +119,11 @@ def op10_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+@query("op12_segment_tree_divergence", DIVERGENCE_SQL)
+def op12_segment_tree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 @query("op13_recursive_filter_audit", FILTERS_SQL)
 def op13_recursive_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
