@@ -7,7 +7,8 @@ Trees are built bottom-up by their content: equal count subtrees, at whatever pl
 Two trees are priced by walking both from the root at once: a frontier of (pair of groups, node, node) with a
 multiplicity, in which equal node pairs are merged at every level, so each is opened, and at the leaves priced, once.
 A pair of groups sums its blocks. Blocks are independent tasks of about ``BLOCK`` terms; where a language has more than
-``TILE`` groups, a block is read once for each pair of tiles of groups, so no task holds all groups of a language.
+``TILE`` groups, a block is read once for each pair of tiles of groups, so no task holds all groups of a language. Terms
+that neither tile has are 0 for both groups; they are counted, and priced once for each pair at the end.
 
 With ``c`` occurrences of a term among the ``N`` of a group, and ``V`` kept terms, its price is
 ``p = 1 + floor(SCALE * (c + 1) / (N + V))``, and ``f = floor((p - q) ** 2 / q)``. All of it is integer arithmetic, also
@@ -139,10 +140,10 @@ class Trees:
         return pair[real], self.values[x[real]], self.values[y[real]], times[real]
 
 
-def _block(table: pa.Table, top: int) -> list[tuple[np.ndarray, ...]]:
-    """Partial sums of the pairs, and the best terms, of one block for two tiles of groups: (gid, other, row of term, value)."""
+def _block(table: pa.Table, top: int, tile: int) -> list[tuple[np.ndarray, ...]]:
+    """Partial sums of the pairs, and the best terms, of one block for two tiles: (gid, other, row of term, value, terms seen)."""
     gid, n = table.column("gid").to_numpy(), table.column("n").to_numpy()
-    head, tiles = table.column("head").to_numpy(zero_copy_only=False), table.column("gid").to_numpy() // TILE
+    head = table.column("head").to_numpy(zero_copy_only=False)
     whole = table.column("whole").to_numpy()
     groups, at = np.unique(gid[head], return_index=True)
     wholes = whole[head][at]
@@ -159,7 +160,7 @@ def _block(table: pa.Table, top: int) -> list[tuple[np.ndarray, ...]]:
     # counts times SCALE leave 64 bits only for enormous tables; Python's integers take over there
     kind = object if max(int(total.max(initial=0)) + 1, 1) > (1 << 62) // SCALE else np.int64
     first_tile, last_tile = table.column("ti")[0].as_py(), table.column("tj")[0].as_py()
-    side = groups // TILE
+    side = groups // tile
     a, b = np.nonzero((side[:, None] == first_tile) & (side[None, :] == last_tile) & (groups[:, None] < groups[None, :]))
     pair, x, y, times = Trees(counts).meet(a, b)
     p, q = _price(x.astype(kind), wholes[a[pair]]), _price(y.astype(kind), wholes[b[pair]])
@@ -167,7 +168,7 @@ def _block(table: pa.Table, top: int) -> list[tuple[np.ndarray, ...]]:
     for one, other, value in ((a, b, times * _far(p, q)), (b, a, times * _far(q, p))):
         sums = np.zeros(a.size, dtype=kind)
         np.add.at(sums, pair, value)
-        out.append((groups[one], groups[other], np.full(a.size, -1), sums.astype(np.int64)))
+        out.append((groups[one], groups[other], np.full(a.size, -1), sums.astype(np.int64), np.full(a.size, total.size)))
     if first_tile == last_tile:
         p = _price(own.astype(kind), whole[rows])
         q = _price(total[word].astype(kind), table.column("lang_whole").to_numpy()[rows])
@@ -178,7 +179,7 @@ def _block(table: pa.Table, top: int) -> list[tuple[np.ndarray, ...]]:
         order = np.lexsort((place[word[up]], -value, row[up]))
         mine = row[up][order]
         best = order[np.arange(order.size) - np.searchsorted(mine, mine) < top]
-        out.append((gid[rows[up[best]]], np.full(best.size, -1), rows[up[best]], value[best]))
+        out.append((gid[rows[up[best]]], np.full(best.size, -1), rows[up[best]], value[best], np.zeros(best.size, dtype=np.int64)))
     return out
 
 
@@ -187,7 +188,7 @@ def _attach(frame: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     return frame.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, keys)
 
 
-def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int = BLOCK) -> DataFrame:
+def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int = BLOCK, tile: int = TILE) -> DataFrame:
     """(lang, source, part, item, value, rank): other sources of the language, and the ``top`` terms a source has more of."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     kept = stored(kept_counts(docs, min_docs))
@@ -199,8 +200,8 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block
     groups = stored(named.join(codes, "lang").join(sums, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["n", "lang_n", "terms"]).select(
         "lang", "source", "lid", "gid", "terms", (F.col("n") + F.col("terms")).alias("whole"), (F.col("lang_n") + F.col("terms")).alias("lang_whole")))
     blocks = F.ceil(F.col("terms") / block)
-    tile = F.floor(F.col("gid") / TILE)
-    shape = groups.groupBy("lid").agg(F.max(tile).alias("last_tile"))
+    own = F.floor(F.col("gid") / tile)
+    shape = groups.groupBy("lid").agg(F.max(own).alias("last_tile"))
     sized = _attach(groups, shape, ["lid"])
     hit = _attach(kept, sized, ["lang", "source"]).select(
         "lid", F.pmod(F.xxhash64("term"), blocks).alias("block"), "gid", "term", "n", "total", "whole", "lang_whole", F.lit(False).alias("head"), "last_tile")
@@ -208,30 +209,32 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block
         "lid", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), "gid", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"),
         F.lit(0).cast("long").alias("total"), "whole", "lang_whole", F.lit(True).alias("head"), "last_tile")
     # every pair of tiles that a row's own tile is in
-    facing = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last_tile")), lambda t: F.struct(F.least(t, tile).alias("ti"), F.greatest(t, tile).alias("tj")))
+    facing = F.transform(F.sequence(F.lit(0).cast("long"), F.col("last_tile")), lambda t: F.struct(F.least(t, own).alias("ti"), F.greatest(t, own).alias("tj")))
     dealt = hit.union(heads).withColumn("_at", F.explode(facing)).select("lid", "block", "_at.ti", "_at.tj", "gid", "term", "n", "total", "whole", "lang_whole", "head")
 
     def run(table: pa.Table, bounds: np.ndarray) -> pa.Table:
         lid, out, rows = [], [], []
         ids = table.column("lid").to_numpy()
         for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            for gid, other, row, value in _block(table.slice(first, last - first), top):
+            for gid, other, row, value, seen in _block(table.slice(first, last - first), top, tile):
                 lid.append(np.full(gid.size, ids[first]))
-                out.append((gid, other, value))
+                out.append((gid, other, value, seen))
                 rows.append(np.where(row >= 0, row + first, -1))
-        gid, other, value = (np.concatenate(x) for x in zip(*out))
+        gid, other, value, seen = (np.concatenate(x) for x in zip(*out))
         rows = np.concatenate(rows)
         term = table.column("term").take(pa.array(np.where(rows >= 0, rows, 0), mask=rows < 0))
-        return pa.table({"lid": pa.array(np.concatenate(lid), pa.int64()), "gid": pa.array(gid, pa.int64()), "other": pa.array(other, pa.int64()), "term": term, "value": pa.array(value, pa.int64())})
+        return pa.table({"lid": pa.array(np.concatenate(lid), pa.int64()), "gid": pa.array(gid, pa.int64()), "other": pa.array(other, pa.int64()), "term": term, "value": pa.array(value, pa.int64()), "seen": pa.array(seen, pa.int64())})
 
     longs = [F.col(c).cast("long").alias(c) for c in ("lid", "block", "ti", "tj", "gid", "n", "total", "whole", "lang_whole")]
-    priced = stored(map_runs(dealt.select(*longs, "term", "head"), ["lid", "block", "ti", "tj"], "lid long, gid long, other long, term string, value long", run))
+    priced = stored(map_runs(dealt.select(*longs, "term", "head"), ["lid", "block", "ti", "tj"], "lid long, gid long, other long, term string, value long, seen long", run))
     best = Window.partitionBy("lid", "gid").orderBy(F.desc("value"), "term")
     terms = priced.filter("other < 0").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    names = groups.select("lang", "source", F.col("lid").cast("long").alias("lid"), F.col("gid").cast("long").alias("gid"))
+    names = groups.select("lang", "source", F.col("lid").cast("long").alias("lid"), F.col("gid").cast("long").alias("gid"), "whole", "terms")
     term_rows = _attach(terms, names, ["lid", "gid"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
-    sums = priced.filter("other >= 0").groupBy("lid", "gid", "other").agg(F.sum("value").alias("value"))
-    facing = names.join(names.select("lid", F.col("gid").alias("other"), F.col("source").alias("item")), "lid").filter("gid <> other")
-    pairs = facing.join(sums, ["lid", "gid", "other"], "left").withColumn("value", F.coalesce("value", F.lit(0).cast("long")))
+    sums = priced.filter("other >= 0").groupBy("lid", "gid", "other").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    facing = names.join(names.select("lid", F.col("gid").alias("other"), F.col("source").alias("item"), F.col("whole").alias("item_whole")), "lid").filter("gid <> other")
+    none = [F.expr(f"1 + {SCALE} div greatest({c}, 1)") for c in ("whole", "item_whole")]  # the price of a term without occurrences
+    pairs = facing.join(sums, ["lid", "gid", "other"], "left").withColumns({"p": none[0], "q": none[1]}).withColumn(
+        "value", F.expr("coalesce(value + (terms - seen) * ((p - q) * (p - q) div q), 0L)"))
     pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("lid", "gid").orderBy(F.desc("value"), "item")))
     return term_rows.union(pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank"))
