@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import query, table
-from . import bpe, chosen_path, divergence, filter_audit, itq, langid, packing, pii, quality, ring, suffixes, viterbi_count
+from . import bpe, chosen_path, crf, divergence, filter_audit, itq, langid, packing, pii, quality, ring, suffixes, viterbi_count
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: From ``links`` (a, b) and ``nodes`` (id): the smallest id that each node reaches, by brute force.
@@ -119,6 +119,11 @@ def op10_distribution_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+@query("op11_crf_toxicity")
+def op11_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 @query("op12_segment_tree_divergence", DIVERGENCE_SQL)
 def op12_segment_tree_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents", "text", "lang", "source"))

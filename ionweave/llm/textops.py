@@ -114,3 +114,30 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
 def counts_between(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many flags are set in each ``[bounds[i], bounds[i + 1])``."""
     return np.diff(np.searchsorted(np.flatnonzero(flags), bounds))
+
+
+def head_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(spans, hashes): of all spans whole, then for each size of the first characters of the spans that have more."""
+    if not starts.size:
+        return [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=U64))] * (1 + len(sizes))
+    lead = (data & 0xC0) != 0x80
+    nth, leads = np.cumsum(lead) - 1, np.flatnonzero(lead)
+    first = nth[starts]
+    many = nth[ends - 1] - first + 1
+    rows = [np.arange(starts.size), *[np.flatnonzero(many > k) for k in sizes]]
+    stops = [ends, *[leads[first[r] + k] for r, k in zip(rows[1:], sizes)]]
+    out = [np.empty(r.size, dtype=U64) for r in rows]
+    i = 0
+    while i < starts.size:
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + BLOCK, side="right")))
+        size = int(ends[j - 1]) - base
+        up, down = (_UP, _DOWN) if size <= BLOCK else (_powers(_BASE, size), _powers(_INVERSE, 1))
+        sums = np.zeros(size + 1, dtype=U64)
+        np.cumsum(_FOLDED[data[base:base + size]] * up[:size], out=sums[1:])
+        for r, stop, hashes in zip(rows, stops, out):
+            a, b = np.searchsorted(r, (i, j))
+            at = starts[r[a:b]] - base
+            hashes[a:b] = (sums[stop[a:b] - base] - sums[at]) * down[at]
+        i = j
+    return [(r, mix(h + U64((k + 1) * 0xA0761D6478BD642F % (1 << 64)))) for r, h, k in zip(rows, out, (0, *sizes))]
