@@ -116,80 +116,3 @@ def mass_window_join(queries: DataFrame, bank: DataFrame, *, query_mass: str, ba
     queries = queries.filter(finite(F.col(query_mass)) & (F.col(query_mass) > 0)).withColumn("lo", lo).withColumn("hi", hi)
     pairs = window_pairs(queries, bank, bank_mass, query_id=query_id, bank_id=bank_id, max_ppm=ppm, limit=limit)
     return pairs.drop("lo", "hi")
-
-
-def window_counts(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_mass: str, ppms: list[float],
-                  group: str | None = None, limit: int = skew.HOT_ROWS) -> DataFrame:
-    """Rows of the bank inside each query's windows, without listing the pairs.
-
-    Equal masses are folded into one weighted run on both sides, so a mass shared by a third of
-    the bank costs one row. With ``group`` (a column of both sides) rows of the query's own group
-    are left out and the distinct other groups are counted too. Adds ``rows_<ppm>`` (and
-    ``groups_<ppm>``) to every query; invalid query masses get NULL.
-    """
-    own = [query_mass] + ([group] if group else [])
-    valid = finite(F.col(query_mass)) & (F.col(query_mass) > 0)
-    distinct = queries.filter(valid).select(*own).distinct()
-    probe = distinct.select(F.col(query_mass).alias("_qm"), *([F.col(group).alias("_qg")] if group else []))
-    runs = (bank.select(F.col(bank_mass).alias("_bm"), *([F.col(group).alias("_bg")] if group else []))
-            .groupBy(*(["_bm", "_bg"] if group else ["_bm"])).agg(F.count(F.lit(1)).alias("_rows")))
-    widest = max(ppms)
-    lo, hi = ppm_bounds(F.col("_qm"), widest)
-    probe = probe.withColumn("lo", lo).withColumn("hi", hi)
-    pairs = window_pairs(probe, runs, "_bm", query_id="_qm", bank_id="_bm", max_ppm=widest, limit=limit)
-    keys = ["_qm"]
-    if group:
-        pairs = pairs.filter(F.col("_qg") != F.col("_bg"))
-        keys.append("_qg")
-    inside = {}
-    for ppm in ppms:
-        a, b = ppm_bounds(F.col("_qm"), ppm)
-        inside[ppm] = F.col("_bm").between(a, b)
-    if group:
-        # one row per (query, other group) first, so the distinct count is a plain sum
-        pairs = pairs.groupBy(*keys, "_bg").agg(
-            *[F.sum(F.when(inside[p], F.col("_rows")).otherwise(0)).alias(f"r{p:g}") for p in ppms])
-        counted = pairs.groupBy(*keys).agg(
-            *[F.sum(f"r{p:g}").alias(f"rows_{p:g}") for p in ppms],
-            *[F.sum((F.col(f"r{p:g}") > 0).cast("bigint")).alias(f"groups_{p:g}") for p in ppms])
-    else:
-        counted = pairs.groupBy(*keys).agg(
-            *[F.sum(F.when(inside[p], F.col("_rows")).otherwise(0)).alias(f"rows_{p:g}") for p in ppms])
-    counted = counted.withColumnRenamed("_qm", query_mass)
-    if group:
-        counted = counted.withColumnRenamed("_qg", group)
-    out = queries.join(counted, own, "left")
-    for name in counted.columns:
-        if name not in own:
-            out = out.withColumn(name, F.when(valid, F.coalesce(F.col(name), F.lit(0))))
-    return out
-
-
-def window_policy(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_mass: str, narrow: float,
-                  wide: float, cap: int, group: str | None = None, limit: int = skew.HOT_ROWS) -> DataFrame:
-    """The narrow window, and only if it is empty the wide one.
-
-    Adds the counts, ``selected_ppm``, ``selected_rows`` and ``status``: 0 usable, 1 bad mass,
-    2 empty, 3 over ``cap``. An over-cap window is held with its exact count, never truncated.
-    """
-    out = window_counts(queries, bank, query_mass=query_mass, bank_mass=bank_mass, ppms=[narrow, wide],
-                        group=group, limit=limit)
-    n, w = F.col(f"rows_{narrow:g}"), F.col(f"rows_{wide:g}")
-    out = out.withColumn("selected_ppm", F.when(n > 0, F.lit(narrow)).when(w > 0, F.lit(wide)))
-    out = out.withColumn("selected_rows", F.when(n > 0, n).otherwise(w))
-    valid = finite(F.col(query_mass)) & (F.col(query_mass) > 0)
-    return out.withColumn("status", F.when(~valid, 1).when(F.col("selected_rows") == 0, 2)
-                          .when(F.col("selected_rows") > cap, 3).otherwise(0))
-
-
-def selected_pairs(policy: DataFrame, bank: DataFrame, *, query_mass: str, bank_mass: str, query_id: str,
-                   bank_id: str, wide: float, query_group: str | None = None, bank_group: str | None = None,
-                   limit: int = skew.HOT_ROWS) -> DataFrame:
-    """Pairs of the windows ``window_policy`` found usable, at each query's own tolerance."""
-    usable = policy.filter(F.col("status") == 0)
-    lo, hi = ppm_bounds(F.col(query_mass), F.col("selected_ppm"))
-    usable = usable.withColumn("lo", lo).withColumn("hi", hi)
-    pairs = window_pairs(usable, bank, bank_mass, query_id=query_id, bank_id=bank_id, max_ppm=wide, limit=limit)
-    if query_group:
-        pairs = pairs.filter(F.col(query_group) != F.col(bank_group))
-    return pairs.drop("lo", "hi")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import neutral_mass, with_adduct
 from ..operators import aggregates as g
-from ..operators import rangejoin
+from ..operators import sweep
 from .joins_q import j4
 from .registry import ORACLES, query, table
 from .stand_ins import ADDUCTS_SQL, BANK_SQL, BITS_SQL, SPECTRA_SQL, TRUTH_SQL, bank, spectra_meta, truth_lists
@@ -97,7 +97,7 @@ def g8(spark, d):
     rec = rows.join(st.select(F.col("row_id").alias("l_partkey"), "key"), "l_partkey")
     rec = rec.withColumn("sid", F.when(F.col("l_orderkey") % 10 == 0, "").otherwise(F.col("l_orderkey").cast("string")))
     rec = rec.withColumn("inst", F.when(F.col("l_suppkey") % 9 != 0, F.col("l_suppkey").cast("string")))
-    windows = rangejoin.window_counts(st.select("row_id", F.col("mass").alias("qm")), bank(spark, d), query_mass="qm", bank_mass="mass",
+    windows = sweep.window_counts(st.select("row_id", F.col("mass").alias("qm")), bank(spark, d), query_mass="qm", bank_mass="mass",
                                       ppms=[30.0, 120.0, 240.0]).drop("qm")
     return g.reference_evidence(rec, st, windows, key="key", spectrum_id="sid", institution="inst",
                                 condition=["l_returnflag", "l_linestatus", "l_discount"], mass="mass", row="row_id").drop("mass")

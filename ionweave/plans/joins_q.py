@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import bits, scalars
-from ..operators import joins, rangejoin
+from ..operators import joins, rangejoin, sweep
 from .registry import query, table
 from .stand_ins import ADDUCTS_SQL, BANK_SQL, PEAKS_SQL, SPECTRA_SQL, bank, peaks_long, spectra_meta
 
@@ -76,7 +76,8 @@ SELECT row_id, CASE WHEN qm IS NULL THEN NULL ELSE r20 END AS rows_20, CASE WHEN
 def j4(spark, d):
     b = bank(spark, d)
     q = b.select("row_id", F.when(F.col("prior") != 50, F.col("mass") * (1 + F.col("prior") * F.lit(2e-6))).alias("qm"))
-    out = rangejoin.window_policy(q, b, query_mass="qm", bank_mass="mass", narrow=20.0, wide=60.0, cap=40)
+    counted = sweep.window_counts(q, b, query_mass="qm", bank_mass="mass", ppms=[20.0, 60.0])
+    out = sweep.policy(counted, query_mass="qm", narrow=20.0, wide=60.0, cap=40)
     return out.select("row_id", "rows_20", "rows_60", "selected_ppm", "status")
 
 
@@ -95,7 +96,8 @@ policy AS (SELECT *, CASE WHEN rows_50 > 0 THEN 50.0::DOUBLE WHEN rows_150 > 0 T
 def atlas_policy(spark, d, cap=4096, only=None):
     b = bank(spark, d)
     queries = b if only is None else b.join(only, "row_id", "left_semi")
-    return rangejoin.window_policy(queries, b, query_mass="mass", bank_mass="mass", narrow=50.0, wide=150.0, cap=cap, group="grp")
+    counted = sweep.window_counts(queries, b, query_mass="mass", bank_mass="mass", ppms=[50.0, 150.0], group="grp")
+    return sweep.policy(counted, query_mass="mass", narrow=50.0, wide=150.0, cap=cap)
 
 
 @query("J5_group_excluded_join", f"""WITH {POLICY_SQL}
@@ -106,16 +108,22 @@ def j5(spark, d):
                                          "selected_rows", "status")
 
 
-def atlas_pairs(spark, d, cap=4096, only=None):
-    """Confuser pairs with bit-set similarities; windows over ``cap`` are held, not cut."""
+def atlas_pairs(spark, d, cap=4096, only=None, more=None):
+    """Confuser pairs with bit-set similarities; windows over ``cap`` are held, not cut.
+
+    ``more``: rows of further columns by ``row_id``, which pairs carry with the prefixes ``q_`` and ``c_``.
+    """
     b = bank(spark, d)
-    policy = atlas_policy(spark, d, cap, only).select(
-        F.col("row_id").alias("query_row"), F.col("mass").alias("qm"), F.col("grp").alias("qg"), F.col("fp").alias("qfp"),
-        "selected_ppm", "status")
-    other = b.select(F.col("row_id").alias("candidate_row"), F.col("mass").alias("cm"), F.col("grp").alias("cg"),
-                     F.col("fp").alias("cfp"))
-    pairs = rangejoin.selected_pairs(policy, other, query_mass="qm", bank_mass="cm", query_id="query_row",
-                                     bank_id="candidate_row", wide=150.0, query_group="qg", bank_group="cg")
+    b = b if more is None else b.join(more, "row_id")
+    extra = [] if more is None else [c for c in more.columns if c != "row_id"]
+    queries = b if only is None else b.join(only, "row_id", "left_semi")
+
+    def side(df, row, prefix):
+        return df.select(F.col("row_id").alias(row), F.col("mass").alias(f"{prefix}m"), F.col("grp").alias(f"{prefix}g"), F.col("fp").alias(f"{prefix}fp"),
+                         *[F.col(c).alias(f"{prefix}_{c}") for c in extra])
+
+    pairs = sweep.selected_pairs(side(queries, "query_row", "q"), side(b, "candidate_row", "c"), query_mass="qm", bank_mass="cm", narrow=50.0, wide=150.0, cap=cap,
+                                 query_group="qg", bank_group="cg")
     a, c = F.array("qfp"), F.array("cfp")
     pairs = (pairs.withColumn("intersection_on_bits", bits.intersection(a, c)).withColumn("union_on_bits", bits.union(a, c))
              .withColumn("query_on_bits", F.bit_count("qfp")).withColumn("candidate_on_bits", F.bit_count("cfp")))
@@ -124,7 +132,8 @@ def atlas_pairs(spark, d, cap=4096, only=None):
         "query_row", "candidate_row", "selected_ppm", "intersection_on_bits", "union_on_bits", "query_on_bits",
         "candidate_on_bits", scalars.signed_ppm(F.col("qm"), F.col("cm")).alias("signed_ppm"),
         bits.tanimoto(inter, F.col("union_on_bits")).alias("jaccard"),
-        bits.binary_cosine(inter, F.col("query_on_bits"), F.col("candidate_on_bits")).alias("binary_cosine"))
+        bits.binary_cosine(inter, F.col("query_on_bits"), F.col("candidate_on_bits")).alias("binary_cosine"),
+        *[f"{side}_{c}" for side in "qc" for c in extra])
 
 
 PAIRS_SQL = f"""{POLICY_SQL},
@@ -152,7 +161,7 @@ c AS (SELECT row_id, CAST(sum(n) AS BIGINT) AS rows_150 FROM bank q JOIN runs r
 SELECT row_id, rows_150, CASE WHEN rows_150 > 5 THEN 'HOLD_OVER_CAP' ELSE 'OK' END AS window_status FROM c""")
 def j6(spark, d):
     b = bank(spark, d)
-    out = rangejoin.window_counts(b.select("row_id", F.col("mass").alias("qm")), b, query_mass="qm", bank_mass="mass", ppms=[150.0])
+    out = sweep.window_counts(b.select("row_id", F.col("mass").alias("qm")), b, query_mass="qm", bank_mass="mass", ppms=[150.0])
     return out.select("row_id", "rows_150", F.when(F.col("rows_150") > 5, "HOLD_OVER_CAP").otherwise("OK").alias("window_status"))
 
 

@@ -108,10 +108,9 @@ disp AS (SELECT query_row, candidate_row, coalesce(r0, CASE WHEN k > 1 THEN 'red
 
 
 def dispositions(spark, d):
-    names = table(spark, d, "part", "p_partkey", "p_name", "p_type")
-    side = lambda p, key: names.select(F.col("p_partkey").alias(key), F.col("p_name").alias(p + "_name"), F.col("p_type").alias(p + "_type"),
-                                       F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias(p + "_alias"))
-    pairs = atlas_pairs(spark, d).join(side("q", "query_row"), "query_row").join(side("c", "candidate_row"), "candidate_row")
+    names = table(spark, d, "part", "p_partkey", "p_name", "p_type").select(
+        F.col("p_partkey").alias("row_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)).alias("alias"))
+    pairs = atlas_pairs(spark, d, more=names)
     same = F.col("intersection_on_bits") == F.col("union_on_bits")
     reasons = [("same_connectivity", F.col("q_name") == F.col("c_name")), ("same_group", F.col("q_type") == F.col("c_type")),
                ("identical_fingerprint", same), ("same_alias", F.col("q_alias") == F.col("c_alias"))]

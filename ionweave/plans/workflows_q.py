@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
 from ..functions import scalars
-from ..operators import aggregates, evaluation, lists as li, rangejoin
+from ..operators import aggregates, evaluation, lists as li, sweep
 from ..sources import sinks
 from .registry import query, table
 from .stand_ins import ADDUCTS_SQL, PEAKS_SQL, SPECTRA_SQL, TRUTH_SQL, spectra, spectra_meta, truth_lists
 
-BIT = "((('0x' || substr(sha256(c_name), 1, 15))::BIGINT >> i) & 1)"
+BIT = "((('0x' || substr(sha256(c_name), 1 + 8 * (i // 32), 8))::BIGINT >> (i % 32)) & 1)"  # 64 bits of a fingerprint in two words
 
 
 @query("workflow_identify_molecules", f"""WITH {SPECTRA_SQL}, {ADDUCTS_SQL},
@@ -17,7 +17,7 @@ t AS (SELECT user_id, round(quantile_cont(nm, 0.5), 9) AS target FROM (SELECT us
 c AS (SELECT user_id, target, count(*) FILTER (c_acctbal BETWEEN target - target * (4000 / 1e6) AND target + target * (4000 / 1e6)) AS n, count(c_custkey) AS w FROM t LEFT JOIN customer ON c_acctbal > 0 AND c_acctbal BETWEEN target - target * (20000 / 1e6) AND target + target * (20000 / 1e6) GROUP BY ALL),
 p AS (SELECT user_id, target, CASE WHEN n > 0 THEN 4000 WHEN w > 0 THEN 20000 END AS ppm, CASE WHEN n > 0 THEN n ELSE w END AS rows FROM c),
 m AS (SELECT p.user_id, target, c_custkey, c_name, c_nationkey, c_acctbal FROM p JOIN customer ON c_acctbal BETWEEN target - target * (ppm / 1e6) AND target + target * (ppm / 1e6) WHERE rows BETWEEN 1 AND 4096),
-s AS (SELECT m.user_id, c_custkey, c_nationkey, any_value(abs(c_acctbal - target)) AS dist, round(sum(embedding[i + 1]::DOUBLE * {BIT}), 9) AS score FROM m LEFT JOIN embeddings ON vec_id = m.user_id, (SELECT unnest(range(60)) AS i) GROUP BY ALL),
+s AS (SELECT m.user_id, c_custkey, c_nationkey, any_value(abs(c_acctbal - target)) AS dist, round(sum(embedding[i + 1]::DOUBLE * {BIT}), 9) AS score FROM m LEFT JOIN embeddings ON vec_id = m.user_id, (SELECT unnest(range(64)) AS i) GROUP BY ALL),
 k AS (SELECT user_id, c_custkey, c_nationkey, CASE WHEN score IS NULL THEN -round(dist, 9) ELSE score END AS key FROM s),
 b AS (SELECT user_id, c_nationkey, arg_max(c_custkey, (key, -c_custkey)) AS c_custkey, max(key) AS key FROM k GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY key DESC, c_custkey) AS rank FROM b)
@@ -26,13 +26,12 @@ def identify(spark, d):
     spectra_rows = scalars.with_adduct(spectra_meta(spark, d)).select("user_id", scalars.neutral_mass(F.col("mz")).alias("nm")).filter("nm > 0 and not isnan(nm)")
     targets = aggregates.exact_quantiles(spectra_rows, ["user_id"], "nm", {"target": 0.5}).withColumn("target", F.round("target", 9))
     cands = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    policy = rangejoin.window_policy(targets, cands, query_mass="target", bank_mass="c_acctbal", narrow=4000.0, wide=20000.0, cap=4096)
-    pairs = rangejoin.selected_pairs(policy.select("user_id", "target", "selected_ppm", "status"), cands, query_mass="target", bank_mass="c_acctbal",
-                                     query_id="user_id", bank_id="c_custkey", wide=20000.0)
-    logits = table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("user_id"), F.slice("embedding", 1, 60).alias("z"))
-    word = F.conv(F.substring(F.sha2("c_name", 256), 1, 15), 16, 10).cast("bigint")
-    scored = pairs.join(logits, "user_id", "left").withColumn("word", word)
-    at_bits = F.transform("z", lambda z, i: z.cast("double") * F.call_function("shiftright", F.col("word"), i).bitwiseAND(F.lit(1).cast("bigint")))
+    pairs = sweep.selected_pairs(targets, cands, query_mass="target", bank_mass="c_acctbal", narrow=4000.0, wide=20000.0, cap=4096)
+    logits = table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("z"))
+    words = F.array(*[F.conv(F.substring(F.sha2("c_name", 256), k, 8), 16, 10).cast("bigint") for k in (1, 9)])
+    scored = pairs.join(logits, "user_id", "left").withColumn("words", words)
+    bit = lambda i: F.call_function("shiftright", F.get("words", F.floor(i / 32).cast("int")), (i % 32).cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
+    at_bits = F.transform("z", lambda z, i: z.cast("double") * bit(i))
     score = F.round(F.aggregate(at_bits, F.lit(0.0), lambda a, x: a + x), 9)
     # no usable spectrum: the order falls back to mass distance
     key = F.coalesce(score, -F.round(F.abs(F.col("c_acctbal") - F.col("target")), 9))
