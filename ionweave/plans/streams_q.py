@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, rangejoin
+from ..operators import rangejoin
 from ..sources.sinks import scratch
-from ..streaming import streams
+from ..streaming import coverage, streams
 from .aggregates_q import COVERAGE_SQL
 from .registry import query, table
 
@@ -40,5 +40,4 @@ def x3(spark, d):
     energy = F.regexp_extract("props", "[0-9]+", 0).cast("int")
     events = streams.table_stream(spark, d, "events").select(
         F.concat_ws("-", "user_id", energy % 20).alias("ident"), "event_type", energy.cast("string").alias("sig"))
-    seen = streams.running_counts(events, ["ident", "event_type", "sig"])
-    return aggregates.identity_coverage(seen, "ident", "event_type", "sig", "click", {"view": "ammonium", "purchase": "dehydrated"})[0]
+    return coverage.incremental_coverage(events, "ident", "event_type", "sig", "click", {"view": "ammonium", "purchase": "dehydrated"})[0]

@@ -21,15 +21,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], DataFrame], output: str, mode: str = "append") -> DataFrame:
-    """Apply ``step`` to every available micro-batch and return everything written."""
+def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], DataFrame], output: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Apply ``step`` to every available micro-batch and return everything written, also by earlier runs on the same ``checkpoint``."""
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         step(batch, batch_id).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     running = (stream.writeStream.outputMode(mode).foreachBatch(write)
-               .option("checkpointLocation", scratch(spark, "stream")).trigger(availableNow=True).start())
+               .option("checkpointLocation", checkpoint or scratch(spark, "stream")).trigger(availableNow=True).start())
     running.awaitTermination()
     return spark.read.option("basePath", output).parquet(f"{output}/batch=*")
 
@@ -69,10 +69,3 @@ def _scored(spark: SparkSession, path: str) -> DataFrame | None:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-
-
-def running_counts(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Stateful count per key set in update mode; the newest batch holding a key has its current count."""
-    counted = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    updates = run_batches(counted, lambda batch, _: batch, scratch(stream.sparkSession, "counts"), mode="update")
-    return updates.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"))
