@@ -76,22 +76,23 @@ def reference_counts(docs: DataFrame) -> DataFrame:
             names = batch.column("lang").to_pylist()
             kinds = sorted(set(names))
             code = np.array([kinds.index(x) for x in names], dtype=np.int64)
-            classes, seen, where = np.zeros((len(kinds), len(CLASSES) - 1), dtype=np.int64), [], []
+            classes, found = np.zeros((len(kinds), len(CLASSES) - 1), dtype=np.int64), []
             row = 0
-            for part in T.slices(batch):
+            for part in T.slices(batch, most=1 << 20):
                 data, offsets = T.text_bytes(part.column("text"))
                 own = code[row:row + part.num_rows]
                 np.add.at(classes, own, _class_counts(data, offsets))
                 starts, ends = T.word_spans(data, offsets)
-                seen.append(T.span_hashes(data, starts, ends, fold=True))
-                where.append(np.repeat(own, np.diff(T.word_ranges(starts, offsets))))
+                words, where = T.span_hashes(data, starts, ends, fold=True), np.repeat(own, np.diff(T.word_ranges(starts, offsets)))
+                found += [(k, *np.unique(words[where == k], return_counts=True)) for k in set(own.tolist())]
                 row += part.num_rows
-            seen, where = np.concatenate(seen), np.concatenate(where)
             for k, name in enumerate(kinds):
-                word, n = np.unique(seen[where == k], return_counts=True)
+                words, times = (np.concatenate([x[i] for x in found if x[0] == k]) for i in (1, 2))
+                word, place = np.unique(words, return_inverse=True)
+                n = np.bincount(place, weights=times, minlength=word.size).astype(np.int64)
                 key = np.concatenate([np.arange(classes.shape[1]), word.view(np.int64)])
                 kind = np.repeat([0, 1], [classes.shape[1], word.size])
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * key.size), "kind": pa.array(kind, pa.int32()), "key": key, "n": np.concatenate([classes[k], n])})
+                yield from pa.Table.from_pydict({"lang": pa.array([name] * key.size), "kind": pa.array(kind, pa.int32()), "key": key, "n": np.concatenate([classes[k], n])}).to_batches(max_chunksize=1 << 16)
 
     known = docs.select("lang", "text").filter("lang is not null and text is not null")
     return known.mapInArrow(run, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))

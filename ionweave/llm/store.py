@@ -19,13 +19,17 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int, cut: int | None) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table, run bounds) pieces of a partition sorted by integer ``keys``, of about ``most`` rows.
+BYTES = 16 << 20  # of rows held at a time, unless one run is larger
 
-    Runs stay whole, unless one outgrows ``cut`` rows: then it goes on in the next piece, which repeats its last row.
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, run bounds) pieces of a partition sorted by integer ``keys``, made of whole runs.
+
+    A piece has about ``most`` rows or ``BYTES`` bytes, whichever comes first; more only where one run has more.
     """
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
+    room = 1  # doubled while a run goes on, so that a long one is not looked through for each batch
 
     def split(table: pa.Table) -> np.ndarray:
         change = np.zeros(table.num_rows, dtype=bool)
@@ -38,34 +42,38 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int, cu
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= most:
+        step = max(1, min(batch.num_rows, BYTES // 4 * batch.num_rows // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):  # a batch may hold many large rows
+            held.append(batch.slice(at, step))
+            rows += held[-1].num_rows
+            size += held[-1].nbytes
+            if rows < room * most and size < room * BYTES:
+                continue
             table = pa.Table.from_batches(held).combine_chunks()
             bounds = split(table)
-            at = int(bounds[-2])
-            if at:
-                yield table.slice(0, at), bounds[:-1]
-            elif cut is not None and table.num_rows > cut:
-                yield table, bounds
-                at = table.num_rows - 1
-            held = table.slice(at).to_batches()
-            rows = table.num_rows - at
+            cut = int(bounds[-2])
+            if cut:
+                yield table.slice(0, cut), bounds[:-1]
+                rest = table.slice(cut)
+                held = rest.take(np.arange(rest.num_rows)).to_batches()  # a copy, so that the piece can go
+                rows, size, room = rest.num_rows, rest.nbytes, 1
+            else:
+                held, room = table.to_batches(), 2 * room
     if held:
         table = pa.Table.from_batches(held).combine_chunks()
         yield table, split(table)
 
 
 def map_runs(frame: DataFrame, keys: list[str], schema: str, run: Callable[[pa.Table, np.ndarray], pa.Table], most: int = 1 << 14,
-             order: list[str] | None = None, cut: int | None = None) -> DataFrame:
+             order: list[str] | None = None) -> DataFrame:
     """Bring rows of equal keys together, sort them, and map pieces made of whole runs; small runs share a piece.
 
-    Runs must be bounded, or ``cut`` says after how many rows a run may go on in another piece.
+    Runs must be bounded.
     """
     names = [field.split()[0] for field in schema.split(", ")]
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in whole_runs(batches, keys, most, cut):
+        for table, bounds in whole_runs(batches, keys, most):
             out = run(table, bounds).select(names)
             yield from out.to_batches(max_chunksize=1 << 14)
 
