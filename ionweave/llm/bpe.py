@@ -12,12 +12,15 @@ missing; an empty table gives no rows. Other columns are ignored.
 """
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -28,7 +31,8 @@ from . import textops as T
 from .store import map_runs
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-CACHE = 200_000
+CACHE, SHORT = 150_000, 64
+_ID = np.dtype("<u4")
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 _LOOSE_SPACE, _UNIT = re.compile(r" (?:\s|$)"), re.compile(r" (?=\S)")
 
@@ -39,7 +43,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: merges by rank, then by place."""
+    """Merges of one pre-token, the next one from a heap of (rank, place)."""
     if piece in ranks:
         return [ranks[piece]]
     parts = [piece[i:i + 1] for i in range(len(piece))]
@@ -60,26 +64,123 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
+class Merges:
+    """Merges many short pre-tokens at a time: in each round every one of them takes its lowest rank, the leftmost of equals."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.never = ranks, len(ranks)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        parts = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, right, rank = np.array(parts, dtype=np.int64).T
+        key = left * (self.never + 1) + right
+        order = np.argsort(key)
+        self.key, self.rank = key[order], rank[order]
+
+    def gain(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair together, ``never`` if it has none."""
+        key = left * (self.never + 1) + right
+        place = np.minimum(np.searchsorted(self.key, key), self.key.size - 1)
+        return np.where(self.key[place] == key, self.rank[place], self.never)
+
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens of at least one byte, as 32-bit numbers."""
+        out = [b""] * len(pieces)
+        piece, size = np.arange(len(pieces)), np.array([len(x) for x in pieces], dtype=np.int64)
+        token = self.byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        last = np.zeros(token.size, dtype=bool)
+        last[np.cumsum(size) - 1] = True
+        gain = np.where(last, self.never, self.gain(token, np.append(token[1:], 0)))
+        while piece.size:
+            n = token.size
+            low = np.minimum.reduceat(gain * n + np.arange(n), np.cumsum(size) - size)
+            done = low >= self.never * n
+            if done.any():
+                flat, own = token.astype(_ID).tobytes(), 4 * np.cumsum(size)
+                for k, a, b in zip(piece[done].tolist(), (own - 4 * size)[done].tolist(), own[done].tolist()):
+                    out[k] = flat[a:b]
+                go = np.repeat(~done, size)
+                token, gain, last, piece, size = token[go], gain[go], last[go], piece[~done], size[~done]
+                low = low[~done]
+                at = low % n - (np.cumsum(~go) - ~go)[low % n]
+            else:
+                at = low % n
+            if not piece.size:
+                break
+            token[at] = gain[at]
+            last[at] = last[at + 1]
+            stay = np.ones(token.size, dtype=bool)
+            stay[at + 1] = False
+            token, gain, last = token[stay], gain[stay], last[stay]
+            at = at - np.arange(at.size)
+            size = size - 1
+            ends = np.append(token[1:], 0)
+            gain[at] = np.where(last[at], self.never, self.gain(token[at], ends[at]))
+            begin = at[at > np.cumsum(size) - size]
+            gain[begin - 1] = self.gain(token[begin - 1], token[begin])
+        return out
+
+
+class Recent:
+    """What was met lately. Once ``CACHE`` keys are held, those of the time before that were not asked for again go."""
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]]):
+        self.learn, self.new, self.old = learn, {}, {}
+
+    def know(self, keys: Iterable[str]) -> dict[str, bytes]:
+        """A table that has all of ``keys``."""
+        wanted = set(keys)
+        if len(self.new) >= CACHE:
+            self.old, self.new = self.new, {}
+        new = self.new
+        fresh = wanted.difference(new)
+        new.update((k, self.old[k]) for k in fresh.intersection(self.old))
+        rest = list(fresh.difference(self.old))
+        new.update(zip(rest, self.learn(rest)))
+        table, long = new, [k for k in rest if len(k) > SHORT]
+        if long:
+            table = dict(new)
+            for k in long:
+                del new[k]
+        return table
+
+
 class Coder:
-    """Encodes pre-tokens, and decodes their ids, with a bounded memory of what it has met."""
+    """Encodes units and pre-tokens, and decodes their ids, with a bounded memory of what it has met."""
 
     def __init__(self, path: str):
         self.ranks = load_ranks(path)
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.known: dict[str, tuple[str, int, bytes]] = {}
-
-    def learn(self, piece: str) -> tuple[str, int, bytes]:
-        ids = [i for part in _SPLIT.findall(piece) for i in merge(part.encode(), self.ranks)]
-        got = ",".join(map(str, ids)), len(ids), b"".join([self.tokens[i] for i in ids])
-        if len(piece) <= 64:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[piece] = got
-        return got
-
-    def code(self, pieces: list[str]) -> list[tuple[str, int, bytes]]:
-        get, learn = self.known.get, self.learn
-        return [get(p) or learn(p) for p in pieces]
+        self.tokens = dict(zip(self.ranks.values(), self.ranks))
+        self.names = {rank: str(rank) for rank in self.tokens}
+        self.whole = {token: np.array([rank], dtype=_ID).tobytes() for token, rank in self.ranks.items()}
+        self.merges = Merges(self.ranks)
+        self.pieces, self.units = Recent(self._pieces), Recent(self._units)
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        raw = [p.encode() for p in pieces]
+        out = list(map(self.whole.get, raw))
+        fresh = [k for k, x in enumerate(out) if x is None]
+        for k in fresh:
+            if len(raw[k]) > SHORT:
+                out[k] = np.array(merge(raw[k], self.ranks), dtype=_ID).tobytes()
+        fresh = [k for k in fresh if out[k] is None]
+        for k, x in zip(fresh, self.merges.ids([raw[k] for k in fresh]) if fresh else []):
+            out[k] = x
+        return out
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        parts = list(map(_SPLIT.findall, units))
+        table = self.pieces.know(chain.from_iterable(parts))
+        return [table[x[0]] if len(x) == 1 else b"".join([table[p] for p in x]) for x in parts]
+
+    def code(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit, as 32-bit numbers."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and many small lists would set off collections
+        try:
+            return list(map(self.units.know(units).__getitem__, units))
+        finally:
+            if collects:
+                gc.enable()
 
 
 @lru_cache(maxsize=1)
@@ -126,17 +227,16 @@ def _pieces(text: str, ends: list[int]) -> list[str]:
 
 
 class Digest:
-    """Running digests of ids and decoded bytes."""
+    """Running digests of ids and of the bytes they decode to."""
 
-    def __init__(self) -> None:
-        self.n, self.ids, self.raw = 0, hashlib.sha256(), hashlib.sha256()
+    def __init__(self, coder: Coder) -> None:
+        self.coder, self.n, self.ids, self.raw = coder, 0, hashlib.sha256(), hashlib.sha256()
 
-    def add(self, coded: list[tuple[str, int, bytes]]) -> None:
-        if coded:
-            ids, counts, raw = zip(*coded)
-            self.ids.update((("," if self.n else "") + ",".join(ids)).encode())
-            self.n += sum(counts)
-            self.raw.update(b"".join(raw))
+    def add(self, coded: Iterable[bytes]) -> None:
+        if ids := np.frombuffer(b"".join(coded), dtype=_ID).tolist():
+            self.ids.update((("," if self.n else "") + ",".join(map(self.coder.names.__getitem__, ids))).encode())
+            self.raw.update(b"".join(map(self.coder.tokens.__getitem__, ids)))
+            self.n += len(ids)
 
     def row(self) -> tuple[int, str, str]:
         return self.n, self.ids.hexdigest(), self.raw.hexdigest()
@@ -153,10 +253,11 @@ def encode(docs: DataFrame, ranks: str | None = None, chunk: int = CHUNK, overla
         coder = coder_of(path)
         for batch in batches:
             for part in T.slices(batch, most=1 << 20):
-                rows = []
-                for text in part.column("text").to_pylist():
-                    digest = Digest()
-                    digest.add(coder.code(units(text)))
+                rows, each = [], [units(x) for x in part.column("text").to_pylist()]
+                coded = iter(coder.code(list(chain.from_iterable(each))))
+                for own in each:
+                    digest = Digest(coder)
+                    digest.add(islice(coded, len(own)))
                     rows.append(digest.row())
                 n, ids, raw = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(raw)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -175,7 +276,7 @@ def encode(docs: DataFrame, ranks: str | None = None, chunk: int = CHUNK, overla
     def join(table: pa.Table, bounds) -> pa.Table:
         coder, rows = coder_of(path), []
         for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            digest = Digest()
+            digest = Digest(coder)
             part = table.slice(first, last - first)
             for pieces in stitched(zip(*[part.column(c).to_pylist() for c in ("start", "text", "ends")])):
                 digest.add(coder.code(pieces))
