@@ -1,9 +1,14 @@
 """Per-query ranks, gaps, z-scores, ranking features and first-row picks."""
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import skew
+from .arrowruns import against
 
 # Names and order of the 31 ranking features.
 FEATURES = [
@@ -56,41 +61,77 @@ def with_gap(df: DataFrame, keys: list[str], score: str) -> DataFrame:
             .withColumn("is_max", (F.col(score) == F.col("query_max")).cast("int")))
 
 
-def top_analogs(analogs: DataFrame, query: str, ident: str, sim: str, word: str, size: int = 80) -> DataFrame:
-    """The ``size`` most similar analogs of each query as one bounded array (the bound is the feature)."""
+def top_analogs(analogs: DataFrame, query: str, ident: str, sim: str, words: str, size: int = 80) -> DataFrame:
+    """(query, place, weight, words) of the ``size`` most similar analogs of each query (the bound is the feature)."""
     order = Window.partitionBy(query).orderBy(F.desc(sim), ident)
-    kept = analogs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= size)
-    packed = kept.groupBy(query).agg(F.sort_array(F.collect_list(F.struct(
-        "_r", F.greatest(F.col(sim), F.lit(0.0)).alias("w"), F.col(word).alias("word"), F.bit_count(word).alias("on")))).alias("analogs"))
-    return packed
+    kept = analogs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    return kept.select(query, "place", F.greatest(F.col(sim).cast("double"), F.lit(0.0)).alias("weight"), F.col(words).alias("words"))
+
+
+ANALOG_COLUMNS = ("ap", "a1", "bt", "tt", "mt", "tsim")
+TILE_ROWS, TILE_BYTES = 100_000, 16 << 20
+
 
+def analog_features(rows: DataFrame, analogs: DataFrame, query: str, words: str, power: float = 3.0, hot: DataFrame | str = skew.BOUNDED,
+                    tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``rows`` without ``words``, with its bits ``cs`` and what the query's analogs say of each row; zeros where it has none.
 
-def rank_features(rows: DataFrame, analogs: DataFrame, query: str, cand: str, *, lib: str, word: str, raw: str,
+    Fingerprints are arrays of 64-bit words of any number. A query's analogs are sent once to each tile of its rows and
+    compared with them a block at a time; the rows of a hot query are dealt to several tiles. ``query`` is an integer.
+    """
+    kept = [c for c in rows.columns if c != words]
+    rows, analogs = rows.withColumn("_tiles", F.lit(1)), analogs.withColumn("_tiles", F.lit(1))
+    if hot is not skew.BOUNDED:
+        tiles = hot.select(query, F.ceil(F.col("_hot_n") / tile_rows).cast("int").alias("_many"))
+        rows, analogs = (df.join(tiles, query, "left").withColumn("_tiles", F.coalesce("_many", "_tiles")).drop("_many") for df in (rows, analogs))
+    own = F.pmod(F.xxhash64(*kept), F.col("_tiles")).cast("int")
+    key = F.col(query).cast("bigint").alias("_key")
+    left = rows.select(key, own.alias("_tile"), F.lit(1).alias("_side"), F.lit(0).alias("_place"), F.lit(0.0).alias("_weight"), F.col(words).alias("_words"), F.struct(*kept).alias("_row"))
+    right = analogs.select(key, F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_tile"), F.lit(0).alias("_side"), F.col("place").alias("_place"),
+                           F.col("weight").alias("_weight"), F.col("words").alias("_words"), F.lit(None).cast(left.schema["_row"].dataType).alias("_row"))
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
+
+    def prepare(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(table.column("_place").to_numpy(), kind="stable")
+        words = table.column("_words").combine_chunks()
+        return (matrix(words) if len(words) else np.zeros((0, 1), dtype=np.uint64))[order], table.column("_weight").to_numpy()[order]
+
+    def answer(held: tuple[np.ndarray, np.ndarray], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        theirs, weight = held
+        mine = matrix(part.column("_words"))
+        on = np.bitwise_count(mine).sum(axis=1, dtype=np.int64)
+        out = np.zeros((len(ANALOG_COLUMNS), part.num_rows))
+        if weight.size:
+            theirs_on, strong = np.bitwise_count(theirs).sum(axis=1, dtype=np.int64), weight ** power
+            step = max(1, TILE_BYTES // (8 * theirs.size))
+            for i in range(0, part.num_rows, step):
+                both = np.bitwise_count(mine[i:i + step, None, :] & theirs[None, :, :]).sum(axis=2, dtype=np.int64)
+                t = both / (on[i:i + step, None] + theirs_on - both + 1e-9)
+                out[:, i:i + step] = ((t * strong).max(axis=1), (t * weight).max(axis=1), t.max(axis=1), t[:, 0], (t * strong).sum(axis=1) / (strong.sum() + 1e-9), np.full(t.shape[0], weight[0]))
+        yield pa.RecordBatch.from_arrays([*(part.column("_row").field(c) for c in kept), pa.array(on, pa.int64()), *(pa.array(x) for x in out)], [*kept, "cs", *ANALOG_COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return against(batches, ["_key", "_tile"], "_side", ["_place", "_weight", "_words"], prepare, answer)
+
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in kept], "cs bigint", *[f"{c} double" for c in ANALOG_COLUMNS]])
+    return left.unionByName(right).repartition("_key", "_tile").sortWithinPartitions("_key", "_tile", "_side").mapInArrow(run, schema)
+
+
+def rank_features(rows: DataFrame, analogs: DataFrame, query: str, cand: str, *, lib: str, words: str, raw: str,
                   frag: str, power: float = 3.0, limit: int = skew.HOT_ROWS,
                   hot: DataFrame | str | None = None) -> DataFrame:
     """The 31 ranking features of every candidate row.
 
-    ``rows`` has the library score, fingerprint word, raw model score and fragment score of each
-    (query, candidate); ``analogs`` comes from ``top_analogs``. Rank ties go by candidate id.
+    ``rows`` has the library score, fingerprint words, raw model score and fragment score of each
+    (query, candidate); ``analogs`` comes from ``top_analogs``. Rank ties go by candidate id. A query
+    whose raw (or fragment) scores are all null has no such channel: its columns are zero.
     """
     hot = skew.find_hot(rows, [query], limit) if hot is None else hot
-    df = rows.select(query, cand, F.col(lib).alias("lv"), F.col(raw).alias("raw"), F.col(frag).alias("fr"),
-                     F.col(word).alias("word"), F.bit_count(word).alias("cs")).join(analogs, query, "left")
-    none = F.array().cast("array<struct<_r:int,w:double,word:bigint,on:int>>")
-    shared = F.transform(F.coalesce("analogs", none), lambda a: F.struct(
-        F.bit_count(F.col("word").bitwiseAND(a["word"])).alias("i"), a["on"].alias("on"), a["w"].alias("w"), F.pow(a["w"], F.lit(power)).alias("p")))
-    tans = F.transform(shared, lambda a: F.struct((a["i"] / (F.col("cs") + a["on"] - a["i"] + F.lit(1e-9))).alias("t"), a["w"].alias("w"), a["p"].alias("p")))
-    zero = [F.lit(0.0).alias(n) for n in ("ap", "a1", "bt", "tp", "p")]
-    fold = F.aggregate(tans, F.struct(*zero), lambda acc, t: F.struct(
-        F.greatest(acc["ap"], t["t"] * t["p"]).alias("ap"), F.greatest(acc["a1"], t["t"] * t["w"]).alias("a1"), F.greatest(acc["bt"], t["t"]).alias("bt"),
-        (acc["tp"] + t["t"] * t["p"]).alias("tp"), (acc["p"] + t["p"]).alias("p")))
-    first = F.get("analogs", F.lit(0))
-    lead = F.bit_count(F.col("word").bitwiseAND(first["word"]))
-    df = df.select(query, cand, "lv", "raw", "fr", fold.alias("_f"), F.coalesce(lead / (F.col("cs") + first["on"] - lead + F.lit(1e-9)), F.lit(0.0)).alias("tt"),
-                   F.coalesce(first["w"], F.lit(0.0)).alias("tsim"),
-                   (F.col("raw") / F.sqrt(F.greatest(F.col("cs"), F.lit(1)).cast("double"))).alias("nrm"))
-    df = df.select(query, cand, "lv", "raw", "fr", "tt", "tsim", "nrm", F.col("_f.ap").alias("ap"), F.col("_f.a1").alias("a1"), F.col("_f.bt").alias("bt"),
-                   (F.col("_f.tp") / (F.col("_f.p") + F.lit(1e-9))).alias("mt"))
+    df = rows.select(query, cand, F.col(lib).alias("lv"), F.col(raw).alias("raw"), F.col(frag).alias("fr"), F.col(words).alias("words"))
+    df = analog_features(df, analogs, query, "words", power, hot)
+    df = df.withColumn("nrm", F.col("raw") / F.sqrt(F.greatest(F.col("cs"), F.lit(1)).cast("double"))).drop("cs")
     df = skew.numbered_many(df, [query], {f"r_{c}": [-F.col(c), F.col(cand)] for c in ("lv", "ap", "raw", "nrm", "fr")}, limit, hot)
     stats = {"nc": F.count(F.lit(1))}
     stats |= {f"max_{c}": F.max(c) for c in ("lv", "ap", "raw", "fr")}
@@ -106,13 +147,18 @@ def rank_features(rows: DataFrame, analogs: DataFrame, query: str, cand: str, *,
                   -(F.col("m_lr") - F.col("m_lv") * F.col("m_rr")) / (F.col("s_lv") * F.col("s_rr"))).otherwise(0.0)
     z = lambda c: z_or_zero(F.col(c), F.col(f"m_{c}"), F.col(f"s_{c}"))
     gap = lambda c: F.col(c) - F.col(f"max_{c}")
+
+    def channel(top: str) -> Callable[[Column], Column]:
+        return lambda v: F.when(F.col(top).isNull(), 0.0).otherwise(v)
+
+    model, fragments = channel("max_raw"), channel("max_fr")
     values = [
         F.col("lv"), rn("lv"), F.col("max_lv"), gap("lv"), (F.col("lv") > 0).cast("int"),
         F.col("ap"), rn("ap"), F.col("max_ap"), gap("ap"),
         F.col("a1"), F.col("bt"), F.col("tt"), F.col("mt"), F.col("tsim"), F.log(F.greatest(F.col("nc"), F.lit(1)).cast("double")),
-        z("raw"), mr, gap("raw"), z("nrm"), rn("nrm"), (F.col("raw") == F.col("max_raw")).cast("int"),
-        F.col("fr"), rn("fr"), gap("fr"), z("fr"),
-        F.col("lv") * (1.0 - mr), F.col("ap") * (1.0 - mr), agree, agree_a, agree * F.col("max_lv"), corr,
+        *map(model, (z("raw"), mr, gap("raw"), z("nrm"), rn("nrm"), (F.col("raw") == F.col("max_raw")).cast("int"))),
+        *map(fragments, (F.col("fr"), rn("fr"), gap("fr"), z("fr"))),
+        *map(model, (F.col("lv") * (1.0 - mr), F.col("ap") * (1.0 - mr), agree, agree_a, agree * F.col("max_lv"), corr)),
     ]
     return df.select(query, cand, *[v.cast("float").alias(n) for n, v in zip(FEATURES, values)])
 

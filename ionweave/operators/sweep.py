@@ -8,7 +8,11 @@ rows whose previous row of the same group lies before the window. No pair is for
 
 A mass that many rows share would make one large cell. Such a mass shows as several equal quantiles. Its bank rows are
 folded to one weighted row for each group before they travel (rows that a listed window could need are kept), and the
-queries of its cell are dealt to as many slices as there were equal quantiles, each with a copy of the folded bank.
+queries of its cell are dealt to as many slices as there were equal quantiles, each with a copy of the folded bank. Where
+every pair is wanted, bank rows are dealt to the slices instead, and the queries are copied.
+
+Scores of logits against fingerprints of any width are products of blocks: the queries of a batch stand close together,
+so their windows overlap, and one matrix product serves them all. A logit row is sent once, a fingerprint once a cell.
 """
 
 from collections.abc import Callable, Iterator
@@ -21,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from .arrowruns import against
 
 CELL_ROWS = 200_000
 MOST_CELLS = 16_384
 LISTED = 1 << 18  # pairs made at a time
+TILE_QUERIES, TILE_BYTES = 128, 16 << 20  # of a matrix product
 
 
 def _bounds(mass: np.ndarray, ppm: float) -> tuple[np.ndarray, np.ndarray]:
@@ -142,9 +148,12 @@ def _folded(bank: DataFrame, hot: list[float], cap: int | None) -> DataFrame:
 
 
 def _sweep(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_mass: str, widest: float, group: tuple[str, str] | None, bank_columns: list[str],
-           cap: int | None, schema: str, answer: Callable[[pa.StructArray, Bank, np.ndarray, np.ndarray | None, pa.StructArray], Iterator[pa.RecordBatch]],
+           cap: int | None, schema: str, whole: bool = True, answer: Callable[[pa.StructArray, Bank, np.ndarray, np.ndarray | None, pa.StructArray], Iterator[pa.RecordBatch]],
            cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Stream every query past the cell that holds its window; ``answer`` gives the rows of a batch of queries."""
+    """Stream every query past the cell that holds its window; ``answer`` gives the rows of a batch of queries.
+
+    ``whole``: a query needs its window in one piece; else the pieces of a hot cell may answer apart.
+    """
     none = F.lit(None).cast("string")
     query_group, bank_group = (F.col(group[0]).cast("string"), F.col(group[1]).cast("string")) if group else (none, none)
     mass = F.col(query_mass).cast("double")
@@ -156,7 +165,7 @@ def _sweep(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_mass: s
         b = b.filter(F.col("_g").isNotNull())
     cuts = _cut_points(q, b, cell_rows)
     edges, hot = sorted(set(cuts)), sorted({c for c in cuts if cuts.count(c) > 1} - {0.0}) if len(set(cuts)) < len(cuts) else []
-    b = _folded(b, hot, cap)
+    b = _folded(b, hot if whole else [], cap)
     part = widest / 1e6
     reach = b.withColumns({"_a": F.col("_m") / (1 + part) * (1 - 1e-12), "_z": F.col("_m") / (1 - part) * (1 + 1e-12) if part < 1 else F.lit(float("inf"))})
     reach = _cell(_cell(reach, edges, "_a", "_ca"), edges, "_z", "_cz")
@@ -165,32 +174,23 @@ def _sweep(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_mass: s
     slices = F.lit(1)
     for c in hot:  # few: each holds more than a cell's rows
         slices = F.when(F.col("_cell") == edges.index(c) + 1, cuts.count(c)).otherwise(slices)
-    q = q.withColumn("_slice", F.pmod(F.xxhash64(F.monotonically_increasing_id()), slices).cast("int") if hot else F.lit(0))
-    b = b.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1)) if hot else F.lit(0))
+    one = F.pmod(F.xxhash64(F.monotonically_increasing_id()), slices).cast("int") if hot else F.lit(0)
+    every = F.explode(F.sequence(F.lit(0), slices - 1)) if hot else F.lit(0)
+    q, b = q.withColumn("_slice", one if whole else every), b.withColumn("_slice", every if whole else one)
     names = ["_cell", "_slice", "_side", "_m", "_g", "_w", "_q", "_b"]
     q = q.select("_cell", "_slice", F.lit(1).alias("_side"), "_m", "_g", F.lit(0).cast("bigint").alias("_w"), "_q", F.lit(None).cast(b.schema["_b"].dataType).alias("_b"))
     b = b.select("_cell", "_slice", F.lit(0).alias("_side"), "_m", "_g", "_w", F.lit(None).cast(q.schema["_q"].dataType).alias("_q"), "_b")
 
+    def prepare(rows: pa.Table) -> tuple[Bank, pa.StructArray]:
+        masses, groups, weights, known = (rows.column(c).combine_chunks() for c in ("_m", "_g", "_w", "_b"))
+        return Bank(masses.to_numpy(), weights.to_numpy(), groups if group else None), known
+
+    def reply(ready: tuple[Bank, pa.StructArray], part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cell, known = ready
+        yield from answer(part.column("_q"), cell, part.column("_m").to_numpy(), cell.codes(part.column("_g")) if group else None, known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, cell = [], None, None
-        for batch in batches:
-            keys = [batch.column(c).to_numpy() for c in names[:3]]
-            cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1 if batch.num_rows else []
-            for first, last in zip([0, *cut], [*cut, batch.num_rows]):
-                if first == last:
-                    continue
-                part, place = batch.slice(first, last - first), (int(keys[0][first]), int(keys[1][first]))
-                if place != at:
-                    held, at, cell = [], place, None
-                if keys[2][first] == 0:
-                    held.append(part.select(["_m", "_g", "_w", "_b"]))
-                    continue
-                if cell is None:
-                    rows = pa.Table.from_batches(held, part.select(["_m", "_g", "_w", "_b"]).schema).combine_chunks()
-                    masses, groups, weights, known = (rows.column(c).combine_chunks() for c in ("_m", "_g", "_w", "_b"))
-                    cell, held = Bank(masses.to_numpy(), weights.to_numpy(), groups if group else None), []
-                mass = part.column("_m").to_numpy()
-                yield from answer(part.column("_q"), cell, mass, cell.codes(part.column("_g")) if group else None, known)
+        return against(batches, ["_cell", "_slice"], "_side", ["_m", "_g", "_w", "_b"], prepare, reply)
 
     dealt = q.unionByName(b).select(names).repartition("_cell", "_slice").sortWithinPartitions("_cell", "_slice", "_side", "_m")
     return dealt.mapInArrow(run, schema)
@@ -256,6 +256,57 @@ def selected_pairs(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank
                   bank_columns=bank.columns, cap=cap, schema=_schema(queries, bank, "selected_ppm double"), answer=answer, cell_rows=cell_rows)
 
 
+def window_scores(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_mass: str, ppm: float, logits: str, words: str, n_bits: int,
+                  blocks: dict[str, tuple[int, int]], on_bits: str = "on_bits", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Every pair of a query and a bank row in its window, with the sum of the logits at the row's set bits for each block.
+
+    ``logits`` (array<double> of ``n_bits``) and ``words`` (array<bigint> of 64-bit words, lowest bit first, unused bits
+    zero) are used up; all other columns of both sides (of different names) are kept. ``blocks`` maps a name to a half-open
+    range of bits. A query without logits has null scores.
+    """
+    left, right = [c for c in queries.columns if c != logits], [c for c in bank.columns if c != words]
+    names = [*left, *right, *blocks, on_bits]
+
+    def bits_of(rows: pa.StructArray) -> np.ndarray:
+        packed = rows.field(words).flatten().to_numpy().reshape(len(rows), -1)
+        return np.unpackbits(packed.view(np.uint8), axis=1, bitorder="little")[:, :n_bits].astype(np.float64)
+
+    def tile(query: pa.StructArray, known: pa.StructArray, z: np.ndarray, ranges: tuple[np.ndarray, np.ndarray], rows: slice, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        first, last = (np.clip(x[rows], low, high) for x in ranges)
+        width = last - first
+        row = np.repeat(np.arange(width.size), width)
+        if not row.size:
+            return
+        at = np.arange(row.size) - np.repeat(np.cumsum(width) - width, width) + first[row]
+        bits = bits_of(known.slice(low, high - low))
+        scores = [(z[rows, a:b] @ bits[:, a:b].T)[row, at - low] for a, b in blocks.values()]
+        on = bits.sum(axis=1).astype(np.int32)[at - low]
+        mine, theirs = query.take(pa.array(row + rows.start)), known.take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([*(mine.field(c) for c in left), *(theirs.field(c) for c in right), *(pa.array(x, mask=np.isnan(x)) for x in scores), pa.array(on)], names)
+
+    def answer(query: pa.StructArray, cell: Bank, mass: np.ndarray, _: np.ndarray | None, known: pa.StructArray) -> Iterator[pa.RecordBatch]:
+        own = query.field(logits)
+        z = np.full((len(query), n_bits), np.nan)
+        have = own.is_valid().to_numpy(zero_copy_only=False)
+        z[have] = own.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n_bits)
+        first, last = cell.windows(mass, ppm)
+        last = np.where(mass > 0, last, first)
+        room = max(1, TILE_BYTES // (8 * n_bits))
+        begin = 0
+        while begin < mass.size:
+            # as many queries as reach over at most a tile of the bank; sorted by mass, so are the ends of their windows
+            end = begin + int(np.searchsorted(last[begin:begin + TILE_QUERIES], first[begin] + room, side="right"))
+            end = max(end, begin + 1)
+            for low in range(int(first[begin]), int(last[end - 1]), room):
+                yield from tile(query, known, z, (first, last), slice(begin, end), low, min(low + room, int(last[end - 1])))
+            begin = end
+
+    kept = [*[f for f in queries.schema if f.name != logits], *[f for f in bank.schema if f.name != words]]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], *[f"`{c}` double" for c in blocks], f"`{on_bits}` int"])
+    return _sweep(queries, bank, query_mass=query_mass, bank_mass=bank_mass, widest=ppm, group=None, bank_columns=bank.columns, cap=None, whole=False,
+                  schema=schema, answer=answer, cell_rows=cell_rows)
+
+
 def policy(counted: DataFrame, *, query_mass: str, narrow: float, wide: float, cap: int) -> DataFrame:
     """The window that each counted query uses: ``selected_ppm``, ``selected_rows`` and ``status`` (0 usable, 1 bad mass, 2 empty, 3 over ``cap``)."""
     n, w = F.col(f"rows_{narrow:g}"), F.col(f"rows_{wide:g}")

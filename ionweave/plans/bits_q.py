@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..operators import fingerprints as fp
-from ..operators import rangejoin
+from ..operators import sweep
 from .registry import query, table
 from .stand_ins import BITS_SQL
 
@@ -79,21 +79,13 @@ sc AS (SELECT q, c, sum(z.x * b.b) AS dot, sum(CASE WHEN z.i < 32 THEN z.x * b.b
   FROM w JOIN bits z ON z.vec_id = q JOIN bits b ON b.vec_id = c AND b.i = z.i GROUP BY q, c)"""
 
 
-def candidate_pairs(spark, d):
-    f = fingerprints(spark, d).select("vec_id", (F.lit(500) + 100 * F.get("logits", F.lit(0))).alias("m"))
-    q, c = f.select(F.col("vec_id").alias("q"), F.col("m").alias("qm")), f.select(F.col("vec_id").alias("c"), F.col("m").alias("cm"))
-    return rangejoin.mass_window_join(q, c, query_mass="qm", bank_mass="cm", query_id="q", bank_id="c", ppm=2000.0).select("q", "c")
-
-
-def window_scores(spark, d, pairs=None):
-    """Logit scores of every candidate pair; the wide columns join after the pair list is known."""
-    f = fingerprints(spark, d)
-    pairs = candidate_pairs(spark, d) if pairs is None else pairs
-    full = pairs.join(f.select(F.col("vec_id").alias("q"), F.col("logits").alias("z")), "q").join(f.select(F.col("vec_id").alias("c"), F.col("bits").alias("cb")), "c")
-    half = lambda a, s: F.slice(a, s, 32)
-    return full.select("q", "c", bits.dot_set_bits(F.col("z"), F.col("cb")).alias("dot"),
-                       bits.dot_set_bits(half("z", 1), half("cb", 1)).alias("da"), bits.dot_set_bits(half("z", 33), half("cb", 33)).alias("db"),
-                       F.aggregate("cb", F.lit(0), lambda acc, x: acc + x).alias("n"))
+def window_scores(spark, d, **more):
+    """Logit scores of every candidate pair in one sweep; ``more`` names further columns that candidates carry."""
+    f = fingerprints(spark, d).withColumn("m", F.lit(500) + 100 * F.get("logits", F.lit(0)))
+    queries = f.select(F.col("vec_id").alias("q"), F.col("m").alias("qm"), "logits")
+    bank = f.select(F.col("vec_id").alias("c"), F.col("m").alias("cm"), bits.pack_words(F.col("bits"), 64).alias("words"), *[v.alias(n) for n, v in more.items()])
+    return sweep.window_scores(queries, bank, query_mass="qm", bank_mass="cm", ppm=2000.0, logits="logits", words="words", n_bits=64,
+                               blocks={"dot": (0, 64), "da": (0, 32), "db": (32, 64)}, on_bits="n").drop("qm", "cm")
 
 
 @query("B8_logit_dot", f"WITH {WINDOW_SQL} SELECT q, c, round(dot, 9) AS score FROM sc")
@@ -101,6 +93,27 @@ def b8(spark, d):
     return window_scores(spark, d).select("q", "c", F.round("dot", 9).alias("score"))
 
 
+#: 1,024 hashed bits of a part against logits of the same width, spread from a vector's 64 values.
+WIDE_BITS = 1024
+WIDE_SQL = f"""qs AS (SELECT vec_id AS q, 900 + 250 * abs(embedding[2]::DOUBLE) AS qm, embedding AS e FROM embeddings),
+wb AS (SELECT p_partkey AS c, p_retailprice AS cm, p_name FROM part), pr AS (SELECT * FROM qs JOIN wb ON cm BETWEEN qm - qm * (100 / 1e6) AND qm + qm * (100 / 1e6)),
+ws AS (SELECT q, c, e[i % 64 + 1]::DOUBLE * (1 + i // 64) AS z, (('0x' || substr(sha256((i // 256) || '|' || p_name), 1 + 8 * (i % 256 // 32), 8))::BIGINT >> (i % 32)) & 1 AS b
+  FROM pr, (SELECT unnest(range({WIDE_BITS})) AS i))"""
+
+
+@query("B8_wide_logit_dot", f"WITH {WIDE_SQL} SELECT q, c, sum(b)::INTEGER AS on_bits, round(sum(z * b), 6) AS score FROM ws GROUP BY q, c")
+def b8_wide(spark, d):
+    v = table(spark, d, "embeddings", "vec_id", "embedding")
+    z = F.transform(F.sequence(F.lit(0), F.lit(WIDE_BITS - 1)), lambda i: F.get("embedding", i % 64).cast("double") * (1 + F.floor(i / 64)))
+    queries = v.select(F.col("vec_id").alias("q"), (F.lit(900) + 250 * F.abs(F.get("embedding", F.lit(1)).cast("double"))).alias("qm"), z.alias("z"))
+    digest = [F.sha2(F.concat(F.lit(f"{k}|"), "p_name"), 256) for k in range(WIDE_BITS // 256)]
+    half = lambda h, k: F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("bigint")
+    words = F.array(*[half(h, k).bitwiseOR(F.call_function("shiftleft", half(h, k + 1), F.lit(32))) for h in digest for k in range(0, 8, 2)])
+    bank = table(spark, d, "part", "p_partkey", "p_retailprice", "p_name").select(F.col("p_partkey").alias("c"), F.col("p_retailprice").alias("cm"), words.alias("w"))
+    out = sweep.window_scores(queries, bank, query_mass="qm", bank_mass="cm", ppm=100.0, logits="z", words="w", n_bits=WIDE_BITS, blocks={"score": (0, WIDE_BITS)})
+    return out.select("q", "c", "on_bits", F.round("score", 6).alias("score"))
+
+
 @query("B9_bernoulli_loglik", f"""WITH {BITS_SQL},
 m AS (SELECT vec_id // 4 AS q, i, sum(x * 5 * (1 + vec_id % 4)) / sum(1 + vec_id % 4) AS z, sum((greatest(x * 5, 0) + ln(1 + exp(-abs(x * 5)))) * (1 + vec_id % 4)) / sum(1 + vec_id % 4) AS sp
   FROM bits WHERE i % 8 <> 0 GROUP BY ALL), k AS (SELECT q, sum(sp) AS constant FROM m GROUP BY q)

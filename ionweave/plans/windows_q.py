@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import pack_bits
 from ..operators import joins, ranking, skew
-from .bits_q import SIGNED, WINDOW_SQL, candidate_pairs, fingerprints, window_scores
+from ..session import ensure_checkpoint_dir
+from .bits_q import SIGNED, WINDOW_SQL, window_scores
 from .registry import query, table
 from .stand_ins import LISTS_SQL, SPECTRA_SQL, lists, spectra_meta
 
@@ -47,7 +48,7 @@ def w4(spark, d):
 # candidate windows with a library score, a fragment score and analogs taken from the same vectors
 FEATURE_SQL = f"""{WINDOW_SQL},
 wd AS (SELECT vec_id, sum(b::HUGEINT * (1::HUGEINT << i)) AS h FROM bits GROUP BY vec_id), word AS (SELECT vec_id, {SIGNED.format("h")} AS word, bit_count({SIGNED.format("h")})::INTEGER AS cs FROM wd),
-base AS (SELECT sc.q, sc.c, CASE WHEN e.embedding[3] > 0.1 THEN round(e.embedding[3]::DOUBLE, 1) ELSE 0 END AS lv, round(sc.dot, 1) AS raw, round(abs(e.embedding[4]::DOUBLE), 2) AS fr, word, cs
+base AS (SELECT sc.q, sc.c, CASE WHEN e.embedding[3] > 0.1 THEN round(e.embedding[3]::DOUBLE, 1) ELSE 0 END AS lv, CASE WHEN sc.q % 7 <> 0 THEN round(sc.dot, 1) END AS raw, CASE WHEN sc.q % 5 <> 0 THEN round(abs(e.embedding[4]::DOUBLE), 2) END AS fr, word, cs
   FROM sc JOIN embeddings e ON e.vec_id = sc.c JOIN word ON word.vec_id = sc.c),
 an AS (SELECT sc.q, sc.c AS a, abs(e.embedding[5]::DOUBLE) AS w, word AS aw, cs AS aon, row_number() OVER (PARTITION BY sc.q ORDER BY e.embedding[5]::DOUBLE DESC, sc.c) AS r FROM sc JOIN embeddings e ON e.vec_id = sc.c JOIN word ON word.vec_id = sc.c WHERE e.embedding[5] > 0),
 t AS (SELECT b.q, b.c, w, r, bit_count(word & aw) / (cs + aon - bit_count(word & aw) + 1e-9) AS t FROM base b JOIN an ON an.q = b.q WHERE r <= 80),
@@ -60,23 +61,24 @@ f2 AS (SELECT *, (r_raw - 1) / greatest(nc - 1, 1) AS mr, max(CASE WHEN r_lv = 1
 f3 AS (SELECT *, CASE WHEN xl > 0 THEN 1 - lt ELSE 0 END AS agree, CASE WHEN xa > 0 THEN 1 - atop ELSE 0 END AS agree_a, CASE WHEN sl > 1e-9 THEN corr(lv, -mr) OVER (PARTITION BY q) ELSE 0 END AS cr FROM f2),
 feats AS (SELECT q, c, lv::FLOAT AS lib_sim, ((r_lv - 1) / greatest(nc - 1, 1))::FLOAT AS lib_sim_rank, xl::FLOAT AS lib_sim_query_max, (lv - xl)::FLOAT AS lib_sim_gap, (lv > 0)::FLOAT AS lib_hit,
  ap::FLOAT AS analog_prop, ((r_ap - 1) / greatest(nc - 1, 1))::FLOAT AS analog_prop_rank, xa::FLOAT AS analog_prop_query_max, (ap - xa)::FLOAT AS analog_prop_gap, a1::FLOAT AS analog_tanimoto_x_sim_max, bt::FLOAT AS analog_best_tanimoto,
- tt::FLOAT AS analog_top1_tanimoto, mt::FLOAT AS analog_mean_tanimoto, tsim::FLOAT AS analog_top1_sim, ln(greatest(nc, 1))::FLOAT AS log_n_candidates, (CASE WHEN sr > 1e-9 THEN (raw - mraw) / sr ELSE 0 END)::FLOAT AS fp_model_z, mr::FLOAT AS fp_model_rank,
- (raw - xr)::FLOAT AS fp_model_gap, (CASE WHEN sn > 1e-9 THEN (nrm - mn) / sn ELSE 0 END)::FLOAT AS fp_model_norm_z, ((r_nrm - 1) / greatest(nc - 1, 1))::FLOAT AS fp_model_norm_rank, (raw = xr)::FLOAT AS fp_model_is_max,
- fr::FLOAT AS frag_score, ((r_fr - 1) / greatest(nc - 1, 1))::FLOAT AS frag_rank, (fr - xf)::FLOAT AS frag_gap, (CASE WHEN sf > 1e-9 THEN (fr - mf) / sf ELSE 0 END)::FLOAT AS frag_z, (lv * (1 - mr))::FLOAT AS lib_x_model_disagree,
- (ap * (1 - mr))::FLOAT AS analog_x_model_disagree, agree::FLOAT AS lib_top_model_agree, agree_a::FLOAT AS analog_top_model_agree, (agree * xl)::FLOAT AS lib_max_x_agree, cr::FLOAT AS lib_model_corr FROM f3)"""
+ tt::FLOAT AS analog_top1_tanimoto, mt::FLOAT AS analog_mean_tanimoto, tsim::FLOAT AS analog_top1_sim, ln(greatest(nc, 1))::FLOAT AS log_n_candidates, (CASE WHEN sr > 1e-9 THEN (raw - mraw) / sr ELSE 0 END)::FLOAT AS fp_model_z, (CASE WHEN xr IS NULL THEN 0 ELSE mr END)::FLOAT AS fp_model_rank,
+ (CASE WHEN xr IS NULL THEN 0 ELSE raw - xr END)::FLOAT AS fp_model_gap, (CASE WHEN sn > 1e-9 THEN (nrm - mn) / sn ELSE 0 END)::FLOAT AS fp_model_norm_z, (CASE WHEN xr IS NULL THEN 0 ELSE (r_nrm - 1) / greatest(nc - 1, 1) END)::FLOAT AS fp_model_norm_rank, (CASE WHEN xr IS NULL THEN 0 ELSE (raw = xr)::INTEGER END)::FLOAT AS fp_model_is_max,
+ (CASE WHEN xf IS NULL THEN 0 ELSE fr END)::FLOAT AS frag_score, (CASE WHEN xf IS NULL THEN 0 ELSE (r_fr - 1) / greatest(nc - 1, 1) END)::FLOAT AS frag_rank, (CASE WHEN xf IS NULL THEN 0 ELSE fr - xf END)::FLOAT AS frag_gap, (CASE WHEN sf > 1e-9 THEN (fr - mf) / sf ELSE 0 END)::FLOAT AS frag_z, (CASE WHEN xr IS NULL THEN 0 ELSE lv * (1 - mr) END)::FLOAT AS lib_x_model_disagree,
+ (CASE WHEN xr IS NULL THEN 0 ELSE ap * (1 - mr) END)::FLOAT AS analog_x_model_disagree, (CASE WHEN xr IS NULL THEN 0 ELSE agree END)::FLOAT AS lib_top_model_agree, (CASE WHEN xr IS NULL THEN 0 ELSE agree_a END)::FLOAT AS analog_top_model_agree, (CASE WHEN xr IS NULL THEN 0 ELSE agree * xl END)::FLOAT AS lib_max_x_agree, (CASE WHEN xr IS NULL THEN 0 ELSE cr END)::FLOAT AS lib_model_corr FROM f3)"""
 
 
 def features(spark, d):
     """The 31 features and the hot queries they were checked against."""
     x = lambda i: F.get("logits", F.lit(i))
-    f = fingerprints(spark, d)
-    vec = f.select(F.col("vec_id").alias("c"), pack_bits(F.col("bits")).alias("word"), F.when(x(2) > F.lit(0.1).cast("float").cast("double"), F.round(x(2), 1)).otherwise(0.0).alias("lv"),
-                   F.round(F.abs(x(3)), 2).alias("fr"), x(4).alias("sim"))
-    pairs = candidate_pairs(spark, d)
-    hot = skew.find_hot(pairs, ["q"])
-    rows = window_scores(spark, d, pairs).select("q", "c", F.round("dot", 1).alias("raw")).join(vec, "c")
+    rows = window_scores(spark, d, lv=F.when(x(2) > F.lit(0.1).cast("float").cast("double"), F.round(x(2), 1)).otherwise(0.0), fr=F.round(F.abs(x(3)), 2), sim=x(4),
+                         word=F.array(pack_bits(F.col("bits"))))
+    # some queries lack the model's channel, some the fragments'
+    rows = rows.select("q", "c", "lv", "sim", "word", F.when(F.col("q") % 7 != 0, F.round("dot", 1)).alias("raw"), F.when(F.col("q") % 5 != 0, F.col("fr")).alias("fr"))
+    ensure_checkpoint_dir(spark)
+    rows = rows.checkpoint()  # counted, searched for analogs and scored
+    hot = skew.find_hot(rows, ["q"])
     analogs = ranking.top_analogs(rows.filter("sim > 0"), "q", "c", "sim", "word")
-    return ranking.rank_features(rows, analogs, "q", "c", lib="lv", word="word", raw="raw", frag="fr", hot=hot), hot
+    return ranking.rank_features(rows, analogs, "q", "c", lib="lv", words="word", raw="raw", frag="fr", hot=hot), hot
 
 
 ROUNDED_SQL = ", ".join(f"round({c}::DOUBLE, 4) AS {c}" for c in ranking.FEATURES)
@@ -94,13 +96,13 @@ def w5(spark, d):
 NEUTRAL_SQL = f"""{FEATURE_SQL},
 n0 AS (SELECT *, max(fp_model_is_max) OVER w = 1 AS model, max(abs(frag_score) + abs(frag_rank) + abs(frag_gap) + abs(frag_z)) OVER w > 0 AS frag, max(lib_sim) OVER w AS lm, max(analog_prop) OVER w AS am,
  {MIDRANK.format(q='q', s='lib_sim')} AS nl, {MIDRANK.format(q='q', s='analog_prop')} AS na, ({MIDRANK.format(q='q', s='fp_model_gap')})::FLOAT::DOUBLE AS nr, {MIDRANK.format(q='q', s='frag_score')} AS nf FROM feats WINDOW w AS (PARTITION BY q)),
-n1 AS (SELECT *, fp_model_rank::DOUBLE - nr AS diff FROM n0),
+n1 AS (SELECT * REPLACE (CASE WHEN model THEN nr ELSE fp_model_rank::DOUBLE END AS nr), CASE WHEN model THEN fp_model_rank::DOUBLE - nr ELSE 0 END AS diff FROM n0),
 n2 AS (SELECT *, avg(CASE WHEN lib_sim = lm THEN nr END) OVER w AS tl, avg(CASE WHEN analog_prop = am THEN nr END) OVER w AS ta, sum((lib_sim = lm)::INTEGER) OVER w > 1 OR max((lib_sim = lm AND diff <> 0)::INTEGER) OVER w = 1 AS cl,
  sum((analog_prop = am)::INTEGER) OVER w > 1 OR max((analog_prop = am AND diff <> 0)::INTEGER) OVER w = 1 AS ca, max((diff <> 0)::INTEGER) OVER w = 1 AS moved, corr(lib_sim::DOUBLE, -nr) OVER w AS cr, stddev_pop(lib_sim::DOUBLE) OVER w * stddev_pop(nr) OVER w AS sp FROM n1 WINDOW w AS (PARTITION BY q)),
-n3 AS (SELECT *, CASE WHEN lm > 0 AND cl THEN (1 - tl)::FLOAT ELSE lib_top_model_agree END AS ag FROM n2),
+n3 AS (SELECT *, CASE WHEN model AND lm > 0 AND cl THEN (1 - tl)::FLOAT ELSE lib_top_model_agree END AS ag FROM n2),
 neutral AS (SELECT q, c, * REPLACE (nl::FLOAT AS lib_sim_rank, na::FLOAT AS analog_prop_rank, nr::FLOAT AS fp_model_rank, (CASE WHEN frag THEN nf ELSE frag_rank END)::FLOAT AS frag_rank,
  (lib_x_model_disagree::DOUBLE + lib_sim::DOUBLE * diff)::FLOAT AS lib_x_model_disagree, (analog_x_model_disagree::DOUBLE + analog_prop::DOUBLE * diff)::FLOAT AS analog_x_model_disagree, ag AS lib_top_model_agree,
- (CASE WHEN am > 0 AND ca THEN 1 - ta ELSE analog_top_model_agree END)::FLOAT AS analog_top_model_agree, (CASE WHEN lm > 0 AND cl THEN lib_max_x_agree::DOUBLE + lm::DOUBLE * (ag::DOUBLE - lib_top_model_agree::DOUBLE) ELSE lib_max_x_agree END)::FLOAT AS lib_max_x_agree,
+ (CASE WHEN model AND am > 0 AND ca THEN 1 - ta ELSE analog_top_model_agree END)::FLOAT AS analog_top_model_agree, (CASE WHEN model AND lm > 0 AND cl THEN lib_max_x_agree::DOUBLE + lm::DOUBLE * (ag::DOUBLE - lib_top_model_agree::DOUBLE) ELSE lib_max_x_agree END)::FLOAT AS lib_max_x_agree,
  (CASE WHEN moved THEN CASE WHEN sp > 0 THEN cr ELSE 0 END ELSE lib_model_corr END)::FLOAT AS lib_model_corr) FROM n3)"""
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ionweave.operators import sweep
+from ionweave.operators import ranking, skew, sweep
 
 
 def brute(queries, bank, ppm, grouped):
@@ -87,3 +87,41 @@ def test_empty_sides(spark):
     assert sweep.window_counts(none, bank, query_mass="m", bank_mass="mass", ppms=[9.0]).count() == 0
     got = {r.id: (r.rows_9, r.groups_9) for r in sweep.window_counts(some, bank.limit(0), query_mass="m", bank_mass="mass", ppms=[9.0], group="grp").collect()}
     assert got == {1: (0, 0), 2: (None, None)}
+
+
+@pytest.mark.parametrize("cell_rows, n_bits", [(10, 70), (40, 64), (10**6, 1000)])
+def test_window_scores(spark, cell_rows, n_bits, monkeypatch):
+    rng = np.random.default_rng(n_bits)
+    words = -(-n_bits // 64)
+    masses = [*np.round(rng.uniform(100, 100.2, 80), 3).tolist(), *[100.1] * 40, None, -1.0]
+    bits = rng.integers(0, 2, (len(masses), n_bits))
+    packed = np.packbits(np.pad(bits, ((0, 0), (0, 64 * words - n_bits))).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+    bank = spark.createDataFrame([(k, m, w.tolist()) for k, (m, w) in enumerate(zip(masses, packed))], "c long, cm double, w array<bigint>").repartition(3)
+    z = rng.normal(0, 1, (len(masses), n_bits))
+    queries = spark.createDataFrame([(k, m, None if k == 5 else v.tolist()) for k, (m, v) in enumerate(zip(masses, z))], "q long, qm double, z array<double>").repartition(2)
+    got = sweep.window_scores(queries, bank, query_mass="qm", bank_mass="cm", ppm=300.0, logits="z", words="w", n_bits=n_bits,
+                              blocks={"all": (0, n_bits), "head": (0, 33)}, cell_rows=cell_rows).collect()
+    want = {(k, i) for k, m in enumerate(masses) for i, x in enumerate(masses) if m and x and m > 0 and x > 0 and m - m * (300 / 1e6) <= x <= m + m * (300 / 1e6)}
+    assert len(got) == len(want) and {(r.q, r.c) for r in got} == want
+    for r in got:
+        assert r.on_bits == bits[r.c].sum() and (r["all"] is None) == (r.q == 5)
+        if r.q != 5:
+            assert abs(r["all"] - z[r.q] @ bits[r.c]) < 1e-9 and abs(r["head"] - z[r.q][:33] @ bits[r.c][:33]) < 1e-9
+
+
+@pytest.mark.parametrize("words, tile_rows", [(1, 10**6), (3, 7)])
+def test_analog_features(spark, words, tile_rows):
+    rng = np.random.default_rng(words)
+    rows = [(q, c, float(q + c), rng.integers(0, 2**62, words).tolist()) for q in range(6) for c in range(40 if q == 3 else 5)]
+    analogs = [(q, k + 1, float(w), rng.integers(0, 2**62, words).tolist()) for q in range(5) for k, w in enumerate(sorted(rng.random(4), reverse=True))]
+    df = spark.createDataFrame(rows, "q int, c long, raw double, w array<bigint>").repartition(3)
+    an = spark.createDataFrame(analogs, "q int, place int, weight double, words array<bigint>")
+    hot = skew.find_hot(df, ["q"], 20) if tile_rows < 100 else skew.BOUNDED
+    got = ranking.analog_features(df, an, "q", "w", 3.0, hot, tile_rows).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["q", "c", "raw", "cs", *ranking.ANALOG_COLUMNS]
+    count = lambda ws: sum(bin(w).count("1") for w in ws)
+    for r in got:
+        mine = next(w for q, c, _, w in rows if (q, c) == (r.q, r.c))
+        own = [(weight, both / (count(mine) + count(w) - both + 1e-9)) for q, _, weight, w in analogs if q == r.q for both in [count([a & b for a, b in zip(mine, w)])]]
+        want = (max(t * w**3 for w, t in own), max(t * w for w, t in own), max(t for _, t in own), own[0][1], sum(t * w**3 for w, t in own) / (sum(w**3 for w, _ in own) + 1e-9), own[0][0]) if own else (0,) * 6
+        assert r.cs == count(mine) and np.allclose([r[c] for c in ranking.ANALOG_COLUMNS], want)
