@@ -57,3 +57,14 @@ def set_digest(members: DataFrame, component: str, member: str) -> DataFrame:
     return members.groupBy(component).agg(
         F.sha2(F.concat_ws(":", F.sum(head).cast("string"), F.count(F.lit(1)).cast("string")), 256).alias("digest"),
         F.count(F.lit(1)).alias("size"))
+
+
+def merged_components(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of the given classes (node, component) joined by further edges (a, b) between their nodes.
+
+    Only the classes that an edge connects go through the rounds, not their members.
+    """
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+    between = edges.join(of("a"), "a").join(of("b"), "b").filter("ca <> cb").select("ca", "cb").distinct()
+    joined = connected_components(between, "ca", "cb").withColumnRenamed("component", "_to")
+    return classes.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))

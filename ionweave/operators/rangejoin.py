@@ -78,23 +78,6 @@ def window_union(estimates: DataFrame, baseline: DataFrame, bank: DataFrame, *,
     return baseline.select(query_id, bank_id).unionByName(found.select(query_id, bank_id)).distinct()
 
 
-def sampled_window(queries: DataFrame, bank: DataFrame, *, query_mass: str, bank_mass: str, query_id: str,
-                   bank_id: str, half_width: float, size: int, tag: str = "",
-                   limit: int = skew.HOT_ROWS) -> DataFrame:
-    """At most ``size`` bank rows per query out of a wide absolute window, in salted hash order.
-
-    The bound is a sampling feature. ``row_number <= size`` prunes inside every task before the
-    shuffle, so no task ever receives a whole window.
-    """
-    lo, hi = F.col(query_mass) - F.lit(half_width), F.col(query_mass) + F.lit(half_width)
-    pairs = window_pairs(queries.withColumn("lo", lo).withColumn("hi", hi), bank, bank_mass, query_id=query_id,
-                         bank_id=bank_id, width=2 * half_width, limit=limit).drop("lo", "hi")
-    key = F.sha2(F.concat_ws(":", F.lit(tag), F.col(query_id), F.col(bank_id)), 256)
-    order = Window.partitionBy(query_id).orderBy("_draw", bank_id)
-    return (pairs.withColumn("_draw", key).withColumn("draw", F.row_number().over(order).cast("bigint"))
-            .filter(F.col("draw") <= size).drop("_draw"))
-
-
 def peak_matches(observed: DataFrame, predicted: DataFrame, *, on: tuple[str, ...], observed_mz: str,
                  predicted_mz: str, observed_id: str, predicted_id: str, abs_tol: float, ppm: float = 0.0,
                  limit: int = skew.HOT_ROWS) -> DataFrame:

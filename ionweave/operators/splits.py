@@ -1,9 +1,10 @@
 """Leak-safe splits, hard negatives, decoys and samplers; every draw comes from a hash of the row's own keys."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_bucket, hash_modulus
+from ..functions.scalars import finite, hash_bucket, hash_modulus
 from . import ranking, rangejoin, skew
 from .components import connected_components, set_digest
 
@@ -104,30 +105,34 @@ def sampled_negative(dispositions: DataFrame, query: str, cand: str, seed: str,
 MASS_STEP = 1e-4  # relative bucket width of table-wide mass orders
 
 
+FAR = 10_000_000  # beyond any logarithm of a double in steps of MASS_STEP
+
+
 def _mass_bucket(mass: Column) -> Column:
-    """Order-preserving bucket of a positive mass."""
-    return F.floor(F.log(mass) / F.lit(MASS_STEP))
+    """Order-preserving bucket of a finite mass: logarithmic on both sides of zero."""
+    step = F.floor(F.log(F.abs(mass)) / F.lit(MASS_STEP)) + F.lit(FAR)
+    return F.when(mass == 0, F.lit(0)).when(mass > 0, step).otherwise(-step).cast("bigint")
 
 
 def mass_positions(bank: DataFrame, mass: str, row: str, limit: int = skew.HOT_ROWS) -> DataFrame:
-    """0-based position of every bank row in (mass, row) order; masses are positive."""
-    cut = bank.withColumn("_bucket", _mass_bucket(F.col(mass)))
+    """0-based position of every bank row in (mass, row) order; rows without a finite mass have none and are left out."""
+    cut = bank.filter(finite(F.col(mass))).withColumn("_bucket", _mass_bucket(F.col(mass)))
     counted = skew.bucketed_running_total(cut, "_bucket", [F.col(mass), F.col(row)], F.lit(1), "_upto", limit)
     return counted.withColumn("position", F.col("_upto") - 1).drop("_bucket", "_upto")
 
 
-def position_ranges(queries: DataFrame, bank: DataFrame, query_id: str, query_mass: str, mass: str, ppm: float,
-                    limit: int = skew.HOT_ROWS) -> DataFrame:
-    """Half-open position range ``[first, last)`` of each query's closed window, from one sweep.
+def position_ranges(queries: DataFrame, bank: DataFrame, query_id: str, bounds: tuple[Column, Column], mass: str, limit: int = skew.HOT_ROWS) -> DataFrame:
+    """Half-open position range ``[first, last)`` of each query's closed window, from one sweep; none for bounds that are not finite.
 
     Bank masses are folded into runs; window ends are events in the same order, so the running row
     count at an event is the position. No pair is formed.
     """
-    lo, hi = rangejoin.ppm_bounds(F.col(query_mass), ppm)
-    ends = queries.select(query_id, F.explode(F.array(
+    lo, hi = bounds
+    usable = queries.filter(finite(lo) & finite(hi))
+    ends = usable.select(query_id, F.explode(F.array(
         F.struct(lo.alias("at"), F.lit(-1).alias("side")), F.struct(hi.alias("at"), F.lit(1).alias("side")))).alias("e"))
     ends = ends.select("e.at", "e.side", query_id, F.lit(0).cast("bigint").alias("_n"))
-    runs = bank.groupBy(F.col(mass).alias("at")).agg(F.count(F.lit(1)).alias("_n")).select(
+    runs = bank.filter(finite(F.col(mass))).groupBy(F.col(mass).alias("at")).agg(F.count(F.lit(1)).alias("_n")).select(
         "at", F.lit(0).alias("side"), F.lit(None).cast(queries.schema[query_id].dataType).alias(query_id), "_n")
     events = ends.unionByName(runs).withColumn("_bucket", _mass_bucket(F.col("at")))
     counted = skew.bucketed_running_total(events, "_bucket", [F.col("at"), F.col("side"), F.col(query_id)], F.col("_n"), "_upto", limit)
@@ -138,10 +143,16 @@ def position_ranges(queries: DataFrame, bank: DataFrame, query_id: str, query_ma
 def window_decoys(queries: DataFrame, bank: DataFrame, *, query_id: str, query_mass: str, own_row: str, mass: str, row: str,
                   ppm: float, draws: int, seed: str, limit: int = skew.HOT_ROWS) -> DataFrame:
     """``draws`` rows with replacement from each query's window, its own row stepped over; a window of
-    one row draws from the whole bank."""
-    placed = mass_positions(bank.select(row, mass), mass, row, limit)
-    total = bank.agg(F.count(F.lit(1)).alias("_total"))
-    ranges = position_ranges(queries, bank, query_id, query_mass, mass, ppm, limit)
+    one row draws from the whole bank.
+
+    ``status`` is OK, or BAD_MASS on the one row of a query whose mass is null, not finite or not positive. Bank rows
+    with such a mass are never drawn.
+    """
+    usable = finite(F.col(query_mass)) & (F.col(query_mass) > 0)
+    sound = bank.filter(finite(F.col(mass)) & (F.col(mass) > 0)).select(row, mass)
+    placed = mass_positions(sound, mass, row, limit)
+    total = sound.agg(F.count(F.lit(1)).alias("_total"))
+    ranges = position_ranges(queries.filter(usable), sound, query_id, rangejoin.ppm_bounds(F.col(query_mass), ppm), mass, limit)
     own = placed.select(F.col(row).alias(own_row), F.col("position").alias("_own_pos"))
     q = queries.select(query_id, own_row).join(ranges, query_id).join(own, own_row, "left").join(F.broadcast(total))  # one row
     q = q.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
@@ -149,8 +160,10 @@ def window_decoys(queries: DataFrame, bank: DataFrame, *, query_id: str, query_m
     size = F.col("last") - F.col("first")
     inside = F.col("first") + hash_modulus(token, F.greatest(size, F.lit(1)))
     stepped = F.when(inside != F.coalesce("_own_pos", F.lit(-1)), inside).when(inside + 1 < F.col("last"), inside + 1).otherwise(F.col("first"))
-    q = q.withColumn("position", F.when(size <= 1, hash_modulus(token, F.col("_total"))).otherwise(stepped))
-    return q.select(query_id, "draw", "position").join(placed.select("position", F.col(row).alias("decoy_row")), "position").drop("position")
+    q = q.withColumn("position", F.when(size <= 1, hash_modulus(token, F.greatest("_total", F.lit(1)))).otherwise(stepped))
+    drawn = q.select(query_id, "draw", "position").join(placed.select("position", F.col(row).alias("decoy_row")), "position").drop("position")
+    bad = queries.filter(~F.coalesce(usable, F.lit(False))).select(query_id, F.lit(None).cast("int").alias("draw"), F.lit(None).cast(bank.schema[row].dataType).alias("decoy_row"), F.lit("BAD_MASS").alias("status"))
+    return drawn.withColumn("status", F.lit("OK")).unionByName(bad)
 
 
 def structure_uniform(df: DataFrame, structure: str, row: str, seed: str, size: int) -> DataFrame:
@@ -178,11 +191,41 @@ def compatible_peers(df: DataFrame, group: list[str], row: str, seed: str, most:
 
 
 def validation_panel(spectra: DataFrame, bank: DataFrame, *, structure: str, row: str, size: int, seed: str, structure_mass: str,
-                     mass: str, bank_row: str, ppm: float, draws: int) -> DataFrame:
-    """First spectrum of ``size`` held structures in hash order, each with frozen decoys."""
+                     mass: str, bank_row: str, ppm: float, draws: int, path: str) -> DataFrame:
+    """First spectrum of ``size`` held structures in hash order, each with frozen decoys.
+
+    The panel is written once to ``path``; a later call finds it there and returns what was frozen.
+    """
+    def frozen() -> DataFrame:
+        return bank.sparkSession.read.parquet(path)
+
+    try:
+        return frozen()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
     first = ranking.first_row(spectra, [structure], row, structure_mass)
     h = F.sha2(F.concat_ws(":", F.lit(seed), F.col(structure)), 256)
     panel = first.withColumn("_h", h).orderBy("_h", structure).limit(size).drop("_h")
     decoys = window_decoys(panel.withColumn("_own", F.col(structure)), bank, query_id=row, query_mass=structure_mass, own_row="_own", mass=mass,
                            row=bank_row, ppm=ppm, draws=draws, seed=seed)
-    return panel.select(structure, row).join(decoys, row)
+    panel.select(structure, row).join(decoys, row).write.mode("errorifexists").parquet(path)
+    return frozen()
+
+
+def mass_chain(df: DataFrame, row: str, mass: str, ppm: float) -> DataFrame:
+    """Edges (a, b) with the components of all pairs whose mass lies in the other's window, at most one edge a row.
+
+    Rows of equal mass link to their lowest; of different masses only neighbours in order link, since whatever lies
+    between two linked masses is linked to both. Masses that are null, not finite or not positive link with nothing.
+    """
+    sound = df.filter(finite(F.col(mass)) & (F.col(mass) > 0)).select(F.col(row).alias("_row"), F.col(mass).cast("double").alias("_m"))
+    runs = sound.groupBy("_m").agg(F.min("_row").alias("_low")).withColumn("_bucket", _mass_bucket(F.col("_m")))
+    ends = runs.groupBy("_bucket").agg(F.max(F.struct("_m", "_low")).alias("_top"))
+    before = ends.select("_bucket", F.lag("_top").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")).alias("_prior"))  # one row a bucket
+    inside = Window.partitionBy("_bucket").orderBy("_m")
+    last = F.coalesce(F.lag(F.struct("_m", "_low")).over(inside), F.col("_prior"))
+    lo, _ = rangejoin.ppm_bounds(F.col("_m"), ppm)
+    chain = runs.join(before, "_bucket").withColumn("_last", last).filter(F.col("_last._m") >= lo).select(F.col("_low").alias("a"), F.col("_last._low").alias("b"))
+    ties = sound.join(runs.select("_m", "_low"), "_m").filter("_row <> _low").select(F.col("_row").alias("a"), F.col("_low").alias("b"))
+    return chain.unionByName(ties)

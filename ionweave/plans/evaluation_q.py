@@ -44,13 +44,13 @@ def e3(spark, d):
     return standing(spark, d, "tax").select("q", (F.col("above") + 1).alias("optimistic"), (F.col("above") + F.col("tied")).alias("pessimistic"))
 
 
-@query("E4_sampled_decoy_mrr", f"""WITH {DECOY_SQL.replace('SEED', 'eval').replace('DRAWS', '7').replace('rg AS', 'Q AS (SELECT row_id AS id, row_id AS own, mass AS m FROM bank), rg AS', 1)}
-SELECT id AS query_row, 1 + sum((bit_count(c.fp & 1152640029630136575) > bit_count(q.fp & 1152640029630136575))::INTEGER)::BIGINT AS rank, round(1 / (1 + sum((bit_count(c.fp & 1152640029630136575) > bit_count(q.fp & 1152640029630136575))::INTEGER)), 9) AS rr
-FROM decoys JOIN bank q ON q.row_id = id JOIN bank c ON c.row_id = decoy_row GROUP BY id""")
+@query("E4_sampled_decoy_mrr", f"""WITH {DECOY_SQL.replace('SEED', 'eval').replace('DRAWS', '63').replace('rg AS', 'Q AS (SELECT row_id AS id, row_id AS own, mass AS m FROM bank), rg AS', 1)}
+SELECT *, CASE WHEN rank <= 25 THEN round(1 / rank, 9) ELSE 0 END AS rr FROM (SELECT id AS query_row, 1 + sum((bit_count(c.fp & 1152640029630136575) > bit_count(q.fp & 1152640029630136575))::INTEGER)::BIGINT AS rank
+FROM decoys JOIN bank q ON q.row_id = id JOIN bank c ON c.row_id = decoy_row GROUP BY id)""")
 def e4(spark, d):
     b = bank(spark, d)
     q = b.select(F.col("row_id").alias("query_row"), F.col("mass").alias("qm")).withColumn("own", F.col("query_row"))
-    draws = splits.window_decoys(q, b, query_id="query_row", query_mass="qm", own_row="own", mass="mass", row="row_id", ppm=100.0, draws=7, seed="eval")
+    draws = splits.window_decoys(q, b, query_id="query_row", query_mass="qm", own_row="own", mass="mass", row="row_id", ppm=100.0, draws=63, seed="eval").filter("status = 'OK'")
     score = F.bit_count(F.col("fp").bitwiseAND(F.lit(1152640029630136575)))  # score of a row: its set bits under a fixed mask
     s = b.select("row_id", score.alias("s"))
     j = draws.join(s.select(F.col("row_id").alias("query_row"), F.col("s").alias("qs")), "query_row").join(s.select(F.col("row_id").alias("decoy_row"), F.col("s").alias("ds")), "decoy_row")

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import bits, scalars
-from ..operators import joins, rangejoin, sweep
+from ..operators import joins, rangejoin, sampling, sweep
 from .registry import query, table
-from .stand_ins import ADDUCTS_SQL, BANK_SQL, PEAKS_SQL, SPECTRA_SQL, bank, peaks_long, spectra_meta
+from .stand_ins import ADDUCTS_SQL, BANK_SQL, PEAKS_SQL, SPECTRA_SQL, bank, peaks_long, sample_sql, spectra_meta
 
 
 @query("J1_mass_window_join", """
@@ -165,16 +165,13 @@ def j6(spark, d):
     return out.select("row_id", "rows_150", F.when(F.col("rows_150") > 5, "HOLD_OVER_CAP").otherwise("OK").alias("window_status"))
 
 
-@query("J7_wide_analog_window", """
-WITH p AS (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey
-   ORDER BY sha256('analog:' || s_suppkey || ':' || c_custkey), c_custkey) AS draw, c_acctbal - s_acctbal AS shift
-   FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal - 200.0::DOUBLE AND s_acctbal + 200.0::DOUBLE)
-SELECT s_suppkey, c_custkey, draw, round(shift, 6) AS shift_da FROM p WHERE draw <= 20""")
+@query("J7_wide_analog_window", f"""WITH RECURSIVE {sample_sql("(SELECT s_suppkey AS q, s_acctbal AS m FROM supplier)", "(SELECT c_custkey AS c, c_acctbal AS m FROM customer)", 200.0, 60, "analog")}
+SELECT q AS s_suppkey, c AS c_custkey, draw, round(c_acctbal - s_acctbal, 6) AS shift_da FROM drawn JOIN supplier ON s_suppkey = q JOIN customer ON c_custkey = c""")
 def j7(spark, d):
-    pairs = rangejoin.sampled_window(
+    pairs = sampling.sampled_window(
         table(spark, d, "supplier", "s_suppkey", "s_acctbal"), table(spark, d, "customer", "c_custkey", "c_acctbal"),
         query_mass="s_acctbal", bank_mass="c_acctbal", query_id="s_suppkey", bank_id="c_custkey", half_width=200.0,
-        size=20, tag="analog")
+        size=60, tag="analog")
     return pairs.select("s_suppkey", "c_custkey", "draw", F.round(F.col("c_acctbal") - F.col("s_acctbal"), 6).alias("shift_da"))
 
 

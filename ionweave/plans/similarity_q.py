@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
-from ..operators import rangejoin, similarity, skew
+from ..operators import rangejoin, sampling, similarity, skew
 from .registry import query, table
-from .stand_ins import PEAKS_SQL, peaks_long, spectra
+from .stand_ins import PEAKS_SQL, peaks_long, sample_sql, spectra
 
 PREP_SQL = f"""{PEAKS_SQL},
 pr0 AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY -it, mz, i) AS r FROM (SELECT *, max(it) OVER (PARTITION BY vec_id) AS m FROM peaks) WHERE it >= 0.02::DOUBLE * m),
@@ -79,15 +79,14 @@ def m3(spark, d):
     return best.select("q", F.col("c_label").alias("identity"), F.round("best", 9).alias("best"))
 
 
-ANALOG_PAIRS = """pairs AS (SELECT q, c FROM (SELECT q.vec_id AS q, c.vec_id AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY sha256('analog:' || q.vec_id || ':' || c.vec_id), c.vec_id) AS r
-  FROM nm q JOIN nm c ON c.nm BETWEEN q.nm - 5.0::DOUBLE AND q.nm + 5.0::DOUBLE) WHERE r <= 6)"""
+ANALOG_PAIRS = sample_sql("(SELECT vec_id AS q, nm AS m FROM nm)", "(SELECT vec_id AS c, nm AS m FROM nm)", 5.0, 6, "analog") + ", pairs AS (SELECT q, c FROM drawn)"
 
 
 @query("M4_analog_best_by_key", SCORES_SQL.format(pairs=ANALOG_PAIRS) + f" SELECT q, label AS identity, round(max({MODIFIED}), 9) AS best FROM sim JOIN prep ON vec_id = c JOIN nm x ON x.vec_id = q JOIN nm y ON y.vec_id = c GROUP BY ALL")
 def m4(spark, d):
     nm = masses(spark, d)
     q, c = nm.select(F.col("vec_id").alias("q"), F.col("nm").alias("qm")), nm.select(F.col("vec_id").alias("c"), F.col("nm").alias("cm"))
-    ids = rangejoin.sampled_window(q, c, query_mass="qm", bank_mass="cm", query_id="q", bank_id="c", half_width=5.0, size=6, tag="analog")
+    ids = sampling.sampled_window(q, c, query_mass="qm", bank_mass="cm", query_id="q", bank_id="c", half_width=5.0, size=6, tag="analog")
     best = similarity.best_by_key(scored_pairs(spark, d, ids.select("q", "c")), "q", "c_label", "sim")
     return best.select("q", F.col("c_label").alias("identity"), F.round("best", 9).alias("best"))
 

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_bucket
 from ..operators import components as cc
-from ..operators import joins, rangejoin, skew, splits
+from ..operators import joins, skew, splits
+from ..sources.sinks import scratch
 from .joins_q import PAIRS_SQL, atlas_pairs
 from .registry import query, table
 from .stand_ins import BANK_SQL, SPECTRA_SQL, bank, spectra_meta
@@ -69,15 +70,12 @@ def linked_rows(spark, d):
 
 def component_folds(spark, d):
     rows = linked_rows(spark, d)
-    keyed = cc.key_edges(rows, "c_custkey", ["key1", "key2"])
-    alias = cc.connected_components(keyed, "a", "b")
-    q, b = rows.select(F.col("c_custkey").alias("a"), F.col("m").alias("am")), rows.select(F.col("c_custkey").alias("b"), F.col("m").alias("bm"))
-    near = rangejoin.mass_window_join(q, b, query_mass="am", bank_mass="bm", query_id="a", bank_id="b", ppm=40.0).select("a", "b")
-    comp = cc.connected_components(keyed.unionByName(near), "a", "b")
+    alias = cc.connected_components(cc.key_edges(rows, "c_custkey", ["key1", "key2"]), "a", "b")
+    comp = cc.merged_components(alias, splits.mass_chain(rows, "c_custkey", "m", 40.0))
     digests = cc.set_digest(comp, "component", "node")
     out = rows.join(alias.select(F.col("node").alias("c_custkey"), F.col("component").alias("alias")), "c_custkey")
     out = out.join(comp.withColumnRenamed("node", "c_custkey"), "c_custkey").join(digests, "component")
-    return out.withColumn("fold", splits.fold_of(F.concat(F.lit("fold:"), F.col("digest")))), near
+    return out.withColumn("fold", splits.fold_of(F.concat(F.lit("fold:"), F.col("digest"))))
 
 
 COMPONENT_SQL = f"""WITH RECURSIVE r AS (SELECT c_custkey AS id, floor(c_acctbal * 2)::BIGINT AS key1, c_nationkey || '|' || c_mktsegment || '|' || floor(c_acctbal / 3)::BIGINT AS key2, c_acctbal AS m FROM customer),
@@ -91,13 +89,13 @@ folds AS (SELECT c_custkey, alias, component, size, CASE {BUCKET.format("'fold:'
 
 @query("K6_multi_key_component_split", COMPONENT_SQL + " SELECT c_custkey, alias, component, size, fold FROM folds")
 def k6(spark, d):
-    return component_folds(spark, d)[0].select("c_custkey", "alias", "component", "size", "fold")
+    return component_folds(spark, d).select("c_custkey", "alias", "component", "size", "fold")
 
 
 @query("K6_fold_crossings", COMPONENT_SQL + """ SELECT key, sum(x)::BIGINT AS crossing_values, count(*) AS n_values FROM (SELECT 'key1' AS key, key1::VARCHAR AS v, (min(fold) <> max(fold))::INTEGER AS x FROM r JOIN folds ON id = c_custkey GROUP BY key1
  UNION ALL SELECT 'key2', key2, (min(fold) <> max(fold))::INTEGER FROM r JOIN folds ON id = c_custkey GROUP BY key2 UNION ALL SELECT 'alias', alias::VARCHAR, (min(fold) <> max(fold))::INTEGER FROM folds GROUP BY alias) GROUP BY key""")
 def k6_crossings(spark, d):
-    return splits.crossing_values(component_folds(spark, d)[0], ["key1", "key2", "alias"], "fold")
+    return splits.crossing_values(component_folds(spark, d), ["key1", "key2", "alias"], "fold")
 
 
 NEGATIVE_SQL = f"""{PAIRS_SQL}, nm AS (SELECT p_partkey, p_name, p_type, split_part(p_name, ' ', 1) AS alias FROM part),
@@ -155,11 +153,11 @@ st AS (SELECT id, draw, CASE WHEN l - f <= 1 OR c <> coalesce(ownpos, -1) THEN c
 decoys AS (SELECT id, draw::INTEGER AS draw, row_id AS decoy_row FROM st JOIN po USING (pos))"""
 
 
-@query("K10_window_decoys", f"WITH {DECOY_SQL.replace('SEED', 'decoy').replace('DRAWS', '7').replace('rg AS', 'Q AS (SELECT row_id AS id, row_id AS own, mass AS m FROM bank), rg AS', 1)} SELECT id AS query_row, draw, decoy_row FROM decoys")
+@query("K10_window_decoys", f"WITH {DECOY_SQL.replace('SEED', 'decoy').replace('DRAWS', '63').replace('rg AS', 'Q AS (SELECT row_id AS id, row_id AS own, mass AS m FROM bank), rg AS', 1)} SELECT id AS query_row, draw, decoy_row, 'OK' AS status FROM decoys")
 def k10(spark, d):
     b = bank(spark, d)
     q = b.select(F.col("row_id").alias("query_row"), F.col("mass").alias("qm")).withColumn("own", F.col("query_row"))
-    return splits.window_decoys(q, b, query_id="query_row", query_mass="qm", own_row="own", mass="mass", row="row_id", ppm=100.0, draws=7, seed="decoy")
+    return splits.window_decoys(q, b, query_id="query_row", query_mass="qm", own_row="own", mass="mass", row="row_id", ppm=100.0, draws=63, seed="decoy")
 
 
 @query("K11_structure_uniform_sample", """
@@ -184,10 +182,10 @@ def k13(spark, d):
     return joins.new_only(joins.members_only(orders, keep, "o_custkey"), held, "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("K14_fixed_validation_panel", f"""WITH {DECOY_SQL.replace('SEED', 'panel').replace('DRAWS', '9').replace('rg AS', '''fs AS (SELECT l_partkey AS st, min(l_orderkey * 10000 + l_suppkey) AS id FROM lineitem GROUP BY 1),
-Q AS (SELECT st AS own, id, mass AS m FROM (SELECT * FROM fs ORDER BY sha256('panel:' || st), st LIMIT 128) JOIN bank ON row_id = st), rg AS''', 1)} SELECT own AS st, decoys.id, draw, decoy_row FROM decoys JOIN Q ON Q.id = decoys.id""")
+@query("K14_fixed_validation_panel", f"""WITH {DECOY_SQL.replace('SEED', 'panel').replace('DRAWS', '63').replace('rg AS', '''fs AS (SELECT l_partkey AS st, min(l_orderkey * 10 + l_linenumber) AS id FROM lineitem GROUP BY 1),
+Q AS (SELECT st AS own, id, mass AS m FROM (SELECT * FROM fs ORDER BY sha256('panel:' || st), st LIMIT 2048) JOIN bank ON row_id = st), rg AS''', 1)} SELECT own AS st, decoys.id, draw, decoy_row, 'OK' AS status FROM decoys JOIN Q ON Q.id = decoys.id""")
 def k14(spark, d):
     masses = bank(spark, d).select(F.col("row_id").alias("st"), F.col("mass").alias("sm"))
-    rows = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey").select(F.col("l_partkey").alias("st"), (F.col("l_orderkey") * 10000 + F.col("l_suppkey")).alias("id"))
-    return splits.validation_panel(rows.join(masses, "st"), bank(spark, d), structure="st", row="id", size=128, seed="panel", structure_mass="sm", mass="mass",
-                                   bank_row="row_id", ppm=100.0, draws=9)
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").select(F.col("l_partkey").alias("st"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return splits.validation_panel(rows.join(masses, "st"), bank(spark, d), structure="st", row="id", size=2048, seed="panel", structure_mass="sm", mass="mass",
+                                   bank_row="row_id", ppm=100.0, draws=63, path=scratch(spark, "panel"))

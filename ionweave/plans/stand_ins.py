@@ -88,3 +88,18 @@ def truth_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     ident = F.struct("line", "cand", "sup")
     first = rows.groupBy("q").agg(F.min(ident).alias("_t"))
     return rows.join(first, "q").withColumn("y", (ident == F.col("_t")).cast("int")).drop("_t")
+
+
+def sample_sql(queries: str, bank: str, width: float, size: int, tag: str) -> str:
+    """CTEs that end in ``drawn`` (q, draw, c): the keyed draws from ``queries`` (q, m) and ``bank`` (c, m)."""
+    half, mask = "greatest((length(bin(n - 1)) + 1) // 2, 1)", "((1::BIGINT << h) - 1)"
+    left, right = "(x >> h)", f"(x & {mask})"
+    for turn in range(4):
+        left, right = right, f"xor({left}, ((({right} + k + {turn * 40503}) * 2654435761) >> 11) & {mask})"
+    walked = f"(({left} << h) | {right})"
+    return f"""pos AS (SELECT c, m, row_number() OVER (ORDER BY m, c) - 1 AS p FROM {bank}),
+rng AS (SELECT q, count(*) FILTER (pos.m < s.m - {width}::DOUBLE) AS f, count(*) FILTER (pos.m <= s.m + {width}::DOUBLE) AS l FROM {queries} s, pos GROUP BY q),
+dr AS (SELECT q, f, l - f AS n, ('0x' || substr(sha256('{tag}:' || q), 1, 7))::BIGINT AS k, unnest(range(least({size}, l - f))) AS d FROM rng WHERE l > f),
+wk AS (SELECT q, f, n, k, d, {half} AS h, d::BIGINT AS x, false AS moved FROM dr
+  UNION ALL SELECT q, f, n, k, d, h, {walked} AS x, true FROM wk WHERE NOT moved OR x >= n),
+drawn AS (SELECT q, d + 1 AS draw, c FROM wk JOIN pos ON p = f + x WHERE moved AND x < n)"""
