@@ -182,10 +182,10 @@ def k13(spark, d):
     return joins.new_only(joins.members_only(orders, keep, "o_custkey"), held, "o_custkey").select("o_orderkey", "o_custkey")
 
 
-@query("K14_fixed_validation_panel", f"""WITH {DECOY_SQL.replace('SEED', 'panel').replace('DRAWS', '63').replace('rg AS', '''fs AS (SELECT l_partkey AS st, min(l_orderkey * 10 + l_linenumber) AS id FROM lineitem GROUP BY 1),
+@query("K14_fixed_validation_panel", f"""WITH {DECOY_SQL.replace('SEED', 'panel').replace('DRAWS', '63').replace('rg AS', '''fs AS (SELECT l_partkey AS st, min(l_orderkey * 1000000 + l_partkey) AS id FROM lineitem GROUP BY 1),
 Q AS (SELECT st AS own, id, mass AS m FROM (SELECT * FROM fs ORDER BY sha256('panel:' || st), st LIMIT 2048) JOIN bank ON row_id = st), rg AS''', 1)} SELECT own AS st, decoys.id, draw, decoy_row, 'OK' AS status FROM decoys JOIN Q ON Q.id = decoys.id""")
 def k14(spark, d):
     masses = bank(spark, d).select(F.col("row_id").alias("st"), F.col("mass").alias("sm"))
-    rows = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").select(F.col("l_partkey").alias("st"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_partkey").alias("st"), (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("id"))
     return splits.validation_panel(rows.join(masses, "st"), bank(spark, d), structure="st", row="id", size=2048, seed="panel", structure_mass="sm", mass="mass",
                                    bank_row="row_id", ppm=100.0, draws=63, path=scratch(spark, "panel"))
