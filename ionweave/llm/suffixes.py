@@ -1,16 +1,21 @@
-"""Repeated passages from sparse suffixes.
+"""Repeated passages from sparse suffix arrays.
 
 Of every text only suffixes that start at minimiser positions are kept: the first least of ``WINDOW`` consecutive hashes
 of ``GRAM`` words. Every stretch of ``LEAST`` words has exactly one, at a place chosen by those words alone, so a
-stretch that two texts share belongs to a suffix with the same first words in both, whatever stands around it. Suffixes
-whose first words occur in another text carry the hashes of the stretches that are theirs, some before and some after
-the first words. They are gathered by first words, and equal stretches of different documents are found among them, each
-with the smallest document that has it; nothing depends on an order or on which suffixes are neighbours. The stretches
-of a suffix all hold its first words, so what is shared of them is one range; ranges of a document are merged, and long
-passages come out whole.
+stretch that two texts share belongs to a suffix with the same first words in both, whatever stands around it.
 
-First words that more than ``GROUP`` suffixes have would be too much for one task: their stretches are counted one by
-one, in a grouped minimum and maximum joined back. Both ways give the same rows.
+Suffixes whose first words another text has are gathered by them, with the words of their stretches before and after. A
+group is sorted by the words that follow, and each suffix compared with its neighbour: the common length is the sparse
+array's LCP, and suffixes between two smaller ones share at least that much to the right. The same is done with the words
+before, nearest first, for what is shared to the left. Two suffixes share a stretch that begins ``a`` words before their
+start where they are in one interval of depth ``LEAST - a`` to the right and in one of depth ``a`` to the left; for each
+``a`` such classes are found among all suffixes of the group, not only neighbours', with the smallest and largest
+document of each. The stretches of a suffix all hold its first words, so what is shared of them is one range; ranges of
+a document are merged, and long passages come out whole. Words are compared by 48 bits of their hashes, all ``LEAST`` of
+a stretch.
+
+First words that more than ``GROUP`` suffixes have would be too much for one task to sort: their stretches are counted
+one by one, in a grouped minimum and maximum joined back. Both ways give the same rows.
 
 Texts that are equal as a whole are handled as one; each copy is a repeat as a whole. Defined results: texts under
 ``LEAST`` words, nulls and rows without doc_id have no passages; repeated rows of a doc_id have their document's.
@@ -30,6 +35,7 @@ from .store import map_runs, stored
 LEAST, GRAM = 50, 8
 WINDOW = LEAST - GRAM + 1
 GROUP = 16_000
+CODE = 6  # bytes of a word's hash that are carried
 
 
 def minimisers(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,67 +78,105 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(gram, n, doc_id, start, windows): each suffix with the hashes of its stretches, the first of which is at ``start``."""
+    """(gram, n, doc_id, start, lead, words): each suffix with the words of its stretches, ``lead`` of them before it; the first stretch is at ``start``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, most=1 << 20):
                 for doc, hits, words in zip(part.column("doc_id").to_pylist(), part.column("hits"), _tokens(part)):
                     at, first = minimisers(T.gram_hashes(words, GRAM))
-                    windows = T.gram_hashes(words, LEAST)
-                    ends = np.append(first[1:], windows.size)
+                    ends = np.append(first[1:], max(words.size - LEAST + 1, 0)) + LEAST - 1  # where the last stretch of each ends
+                    codes = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE].copy()
                     place, gram, n = (hits.values.field(c).to_numpy() for c in ("place", "gram", "n"))
                     k = np.searchsorted(at, place)
                     fits = at[np.minimum(k, at.size - 1)] == place if at.size else np.zeros(place.size, dtype=bool)
                     k, gram, n = k[fits], gram[fits], n[fits]
-                    for i in range(0, k.size, 1 << 13):
-                        j = k[i:i + (1 << 13)]
-                        own = [windows[a:b].tobytes() for a, b in zip(first[j].tolist(), ends[j].tolist())]
-                        yield pa.RecordBatch.from_arrays([pa.array(gram[i:i + j.size]), pa.array(n[i:i + j.size]), pa.array(np.full(j.size, doc)), pa.array(first[j]), pa.array(own, pa.binary())],
-                                                         ["gram", "n", "doc_id", "start", "windows"])
+                    for i in range(0, k.size, 1 << 12):
+                        j = k[i:i + (1 << 12)]
+                        own = [codes[a:b].tobytes() for a, b in zip(first[j].tolist(), ends[j].tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(gram[i:i + j.size]), pa.array(n[i:i + j.size]), pa.array(np.full(j.size, doc)), pa.array(first[j]), pa.array(at[j] - first[j]), pa.array(own, pa.binary())],
+                                                         ["gram", "n", "doc_id", "start", "lead", "words"])
+
+    return docs.mapInArrow(run, "gram long, n long, doc_id long, start long, lead long, words binary")
+
+
+def _flat_words(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, sizes): the words of all suffixes, one row of bytes each, and how many each suffix has."""
+    own = table.column("words").to_pylist()
+    return np.frombuffer(b"".join(own), dtype=np.uint8).reshape(-1, CODE), np.array([len(x) // CODE for x in own], dtype=np.int64)
+
 
-    return docs.mapInArrow(run, "gram long, n long, doc_id long, start long, windows binary")
+def _intervals(gram: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): suffixes sorted by gram and words, and how many words each has in common with the one before it, -1 across grams."""
+    rows = np.concatenate([gram.astype(">i8").view(np.uint8).reshape(-1, 8), words.reshape(len(words), -1)], axis=1)
+    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}")[:, 0], kind="stable")
+    there, before = words[order[1:]], words[order[:-1]]
+    same = np.logical_and.accumulate((there == before).all(axis=2), axis=1).sum(axis=1)
+    return order, np.concatenate([[-1], np.where(gram[order[1:]] == gram[order[:-1]], same, -1)])
 
 
-def _flat(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window, row, start) of every stretch of the suffixes."""
-    own = table.column("windows").to_pylist()
-    sizes = np.array([len(x) // 8 for x in own], dtype=np.int64)
-    row = np.repeat(np.arange(sizes.size), sizes)
-    step = np.arange(row.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.frombuffer(b"".join(own), dtype=np.int64), row, table.column("start").to_numpy()[row] + step
+def _classes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """The number of the interval of suffixes that share ``depth`` words, for each suffix."""
+    out = np.empty(order.size, dtype=np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
 
 
 def _same(table: pa.Table, bounds: np.ndarray) -> pa.Table:
     """The range of each suffix that other documents have, and the range that an earlier one has."""
-    window, row, start = _flat(table)
-    doc = table.column("doc_id").to_numpy()[row]
-    order = np.argsort(window)
-    head = np.concatenate([[True], window[order[1:]] != window[order[:-1]]])
-    at = np.flatnonzero(head)
-    where = np.empty(order.size, dtype=np.int64)
-    where[order] = np.cumsum(head) - 1
-    low, high = np.minimum.reduceat(doc[order], at)[where], np.maximum.reduceat(doc[order], at)[where]
+    gram, doc, start, lead = (table.column(c).to_numpy() for c in ("gram", "doc_id", "start", "lead"))
+    codes, size = _flat_words(table)
+    base = np.cumsum(size) - size
+    step = np.arange(WINDOW - 1)
+    right, left = lead[:, None] + GRAM + step, lead[:, None] - 1 - step
+    take = lambda at: np.where(((at >= 0) & (at < size[:, None]))[:, :, None], codes[np.clip(base[:, None] + at, 0, max(len(codes) - 1, 0))], 0)
+    after, before = _intervals(gram, take(right)), _intervals(gram, take(left))
+    none = np.iinfo(np.int64).max
+    found = {only: [np.full(doc.size, none), np.full(doc.size, -1), np.full(doc.size, none)] for only in (False, True)}
+    for ahead in range(WINDOW):  # of the suffix its stretch begins
+        own = np.flatnonzero((ahead <= lead) & (lead - ahead + LEAST <= size))
+        if not own.size:
+            continue
+        key = _classes(*after, LEAST - GRAM - ahead)[own] * (doc.size + 1) + _classes(*before, ahead)[own]
+        order = np.argsort(key, kind="stable")
+        head = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        at, where = np.flatnonzero(head), np.empty(own.size, dtype=np.int64)
+        where[order] = np.cumsum(head) - 1
+        mine = doc[own]
+        low, high = np.minimum.reduceat(mine[order], at)[where], np.maximum.reduceat(mine[order], at)[where]
+        other, here = np.where(mine == low, high, low), start[own] + lead[own] - ahead
+        for only, hit in ((False, low < high), (True, low < mine)):
+            first, last, least = found[only]
+            rows = own[hit]
+            first[rows], last[rows], least[rows] = np.minimum(first[rows], here[hit]), np.maximum(last[rows], here[hit]), np.minimum(least[rows], other[hit])
     out = []
-    for only in (False, True):
-        hit = np.flatnonzero(low < doc if only else low < high)
-        head = np.flatnonzero(np.concatenate([[True], row[hit[1:]] != row[hit[:-1]]])) if hit.size else hit
-        last = np.append(head[1:], hit.size)[:head.size] - 1
-        other = np.where(doc[hit] == low[hit], high[hit], low[hit])
-        out.append(pa.table({"doc_id": doc[hit[head]], "start": start[hit[head]], "end": start[hit[last]] + LEAST,
-                             "other_id": np.minimum.reduceat(other, head) if hit.size else other, "cut": np.full(head.size, only)}))
+    for only, (first, last, least) in found.items():
+        rows = np.flatnonzero(last >= 0)
+        out.append(pa.table({"doc_id": doc[rows], "start": first[rows], "end": last[rows] + LEAST, "other_id": least[rows], "cut": np.full(rows.size, only)}))
     return pa.concat_tables(out)
 
 
+def _stretches(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, start) of every stretch of the suffixes."""
+    codes, size = _flat_words(part)
+    words = np.zeros((len(codes), 8), dtype=np.uint8)
+    words[:, :CODE] = codes
+    hashes = T.gram_hashes(words.view("<u8")[:, 0].astype(np.uint64), LEAST).view(np.int64)
+    many = size - LEAST + 1
+    row = np.repeat(np.arange(size.size), many)
+    step = np.arange(row.size) - np.repeat(np.cumsum(many) - many, many)
+    return hashes[(np.cumsum(size) - size)[row] + step], row, part.column("start").to_numpy()[row] + step
+
+
 def _spread(suffixes: DataFrame) -> DataFrame:
     """What ``_same`` gives, for first words of any number of suffixes: no task holds what is equal."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1 << 12):
                 part = batch.slice(i, 1 << 12)
-                window, row, start = _flat(part)
+                window, row, start = _stretches(part)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (window, part.column("doc_id").to_numpy()[row], part.column("start").to_numpy()[row], start)], ["window", "doc_id", "suffix", "start"])
 
-    each = suffixes.select("doc_id", "start", "windows").mapInArrow(run, "window long, doc_id long, suffix long, start long")
+    each = suffixes.select("doc_id", "start", "words").mapInArrow(run, "window long, doc_id long, suffix long, start long")
     shared = stored(each.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high"))
     found = each.join(shared.hint("merge"), "window").withColumn("other", F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")))
     later = F.col("low") < F.col("doc_id")
@@ -176,10 +220,15 @@ def passages(docs: DataFrame) -> DataFrame:
     again = keyed.select("doc_id", "key").join(copies, "key").select("doc_id", "_first", "_last").distinct()
     hits = marks.join(wide.hint("merge"), "gram").join(again.filter("doc_id <> _first").select("doc_id").hint("merge"), "doc_id", "left_anti")
     listed = hits.groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram", "n")).alias("hits"))  # as many as the text has minimisers
-    suffixes = stored(_contexts(docs.join(listed.hint("merge"), "doc_id").select("doc_id", "hits", "text")))
+    suffixes = _contexts(docs.join(listed.hint("merge"), "doc_id").select("doc_id", "hits", "text"))
+    hot = wide.filter(F.col("n") > GROUP).limit(1).count() > 0
+    if hot:
+        suffixes = stored(suffixes)  # read by two paths
 
     ranges = "doc_id long, start long, end long, other_id long, cut boolean"
-    found = map_runs(suffixes.filter(F.col("n") <= GROUP).select("gram", "doc_id", "start", "windows"), ["gram"], ranges, _same).unionByName(_spread(suffixes.filter(F.col("n") > GROUP)))
+    found = map_runs(suffixes.filter(F.col("n") <= GROUP).select("gram", "doc_id", "start", "lead", "words"), ["gram"], ranges, _same, most=1 << 13)
+    if hot:
+        found = found.unionByName(_spread(suffixes.filter(F.col("n") > GROUP)))
     found = found.groupBy("doc_id", "start", "end", "cut").agg(F.min("other_id").alias("other_id"))  # so a run is bounded by its text
     parts = map_runs(found, ["doc_id"], ranges, _merge)
 
