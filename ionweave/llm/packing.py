@@ -46,15 +46,16 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes; units that start at a blank before a mark or letter are kept.
 
     The vocabulary file's ids follow its merges, so they serve as merge ranks; the test compares with the file's own
-    tokenizer.
+    tokenizer. As there, the file's added tokens are found in a text before anything else and have ids of their own.
     """
 
     def __init__(self, vocabulary: str):
         with open(vocabulary, encoding="utf-8") as file:
             model = json.load(file)
-        letters, special = byte_letters(), {x["content"] for x in model["added_tokens"]}
-        ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        letters, self.added = byte_letters(), {x["content"]: array("I", [x["id"]]).tobytes() for x in model["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in self.added}
         self.encode = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
         self.known: dict[str, bytes] = {}
 
     @staticmethod
@@ -71,10 +72,15 @@ class Encoder:
             self.known[unit] = ids
         return ids
 
-    def ids(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
         get, learn = self.known.get, self.learn
         return b"".join([get(u) or learn(u) for u in self.units(text)])
 
+    def ids(self, text: str) -> bytes:
+        if self.at_added is None or not any(x in text for x in self.added):
+            return self.plain(text)
+        return b"".join([self.added[x] if k % 2 else self.plain(x) for k, x in enumerate(self.at_added.split(text))])
+
 
 @lru_cache(maxsize=1)
 def encoder_of(vocabulary: str) -> Encoder:
