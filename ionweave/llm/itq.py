@@ -4,8 +4,8 @@ On a sample of at most ``SAMPLE`` vectors (the least hashes of their ids) rotati
 learned that bring the sign codes close to the data, so their bits are balanced. Codes of several such rotations are
 cut into substrings; vectors of one label that share a substring meet in that table's bucket and are ranked again by
 the cosine of the original vectors in double precision. Substrings have about as many bits as the count of vectors
-asks for, and there are as many tables as bring a pair at the threshold together with probability ``RECALL``, so
-buckets stay small at any size. Buckets over ``BLOCK`` vectors are compared block against block. A pair that shares
+asks for, and there are as many tables as bring a pair at the threshold together with probability ``RECALL``, or more
+where the vectors share a direction and agree less once it is taken off; buckets stay small at any size. Buckets over ``BLOCK`` vectors are compared block against block. A pair that shares
 several buckets counts in the first, so links are summed and never listed.
 
 Equal vectors of a label go on as one with their number. Defined results: vectors that are null, empty, zero or hold
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .store import components, map_runs, stored
 
-COSINE, RECALL = 0.98, 0.9995
+COSINE, RECALL, LEAST_RECALL = 0.98, 0.9995, 0.99
+TRIED = 4  # rotations that agreement is measured on
 SAMPLE, STEPS, BLOCK = 8192, 30, 1024
 
 
@@ -42,11 +43,31 @@ def fit(sample: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, np.stack(out)
 
 
-def plan(n: int, width: int) -> tuple[int, int]:
-    """(bits of a substring, tables) for so many vectors: p is the chance that two at the threshold agree on a bit."""
+def agreements(unit: np.ndarray, mean: np.ndarray, matrices: np.ndarray) -> np.ndarray:
+    """For each sample vector, on what share of the bits it agrees with a random vector at the threshold from it."""
+    aside = np.random.default_rng(1).standard_normal(unit.shape)
+    aside -= (aside * unit).sum(axis=1)[:, None] * unit
+    aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1)), 1e-12)[:, None]
+    near = COSINE * unit + math.sqrt(1 - COSINE * COSINE) * aside
+    same = [((unit - mean) @ m >= 0) == ((near - mean) @ m >= 0) for m in matrices]
+    return np.concatenate(same, axis=1).mean(axis=1)
+
+
+def plan(n: int, width: int, agree: np.ndarray | None = None) -> tuple[int, int]:
+    """(bits of a substring, tables) for so many vectors.
+
+    Two uncentred vectors at the threshold agree on a bit with probability p. Vectors that share a direction stand wider
+    apart once centred: what they agree on is measured on the sample, and tables are added until the mean recall over
+    its pairs is ``LEAST_RECALL``.
+    """
     bits = max(4, min(width, 24, int(math.log2(max(n, 2)))))
     p = 1 - math.acos(COSINE) / math.pi
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - p ** bits))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - p ** bits))
+    if agree is not None:
+        missed = 1 - agree ** bits
+        while (missed ** tables).mean() > 1 - LEAST_RECALL:
+            tables += -(-tables // 8)
+    return bits, tables
 
 
 def _vectors(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -123,11 +144,11 @@ def near_vectors(table: DataFrame) -> DataFrame:
     total, width = lone.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if not total:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    bits, tables = plan(total, width)
-    each = max(1, width // bits)
     sample = lone.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column("embedding")
     drawn = _vectors(sample, width)
     drawn /= np.sqrt((drawn * drawn).sum(axis=1))[:, None]
+    bits, tables = plan(total, width, agreements(drawn, *fit(drawn, TRIED)))
+    each = max(1, width // bits)
     model = spark.sparkContext.broadcast(fit(drawn, math.ceil(tables / each)))
 
     def encode(batches):

@@ -111,6 +111,34 @@ def test_near_vectors(spark):
     assert itq.near_vectors(spark.createDataFrame(odd[:2], "vec_id long, embedding array<double>, label int")).count() == 2
 
 
+@pytest.mark.parametrize("shared", [0.7, 0.85])
+def test_near_vectors_with_a_common_direction(spark, shared):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    own = rng.standard_normal((1500, 64))
+    own /= np.linalg.norm(own, axis=1)[:, None]
+    base = np.sqrt(shared) * centre + np.sqrt(1 - shared) * own
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    aside = rng.standard_normal(base.shape)
+    aside -= (aside * base).sum(axis=1)[:, None] * base
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    x = np.concatenate([base, 0.981 * base + np.sqrt(1 - 0.981**2) * aside])
+    near = (x @ x.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    got = itq.near_vectors(spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    assert near.sum() >= 3000 and 0.95 * near.sum() <= sum(r.n_links for r in got) <= near.sum()
+
+
+def test_added_tokens_are_found_first():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = np.random.default_rng(1)
+    bits = ["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", " b", "é", "<", "hello", "  "]
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b ", *["".join(rng.choice(bits, rng.integers(0, 12))) for _ in range(3000)]]
+    for text in texts:
+        assert np.frombuffer(encoder.ids(text), dtype="<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_repeated_passages(spark, docs, texts):
     rng = np.random.default_rng(5)
     fresh = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n))
