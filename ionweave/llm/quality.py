@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
+from .store import stored
 
 MIN_WORDS, MIN_WORDS_COMMON = 50, 80
 COMMON = 100
@@ -101,11 +102,10 @@ def reference_counts(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame) -> dict:
     """The model: class shares, the common words and their shares, a row for each language (a small driver-side table)."""
     every = Window.partitionBy("lang").orderBy(F.desc("kind"), F.desc("n"), "key")
-    counts = reference_counts(docs).persist()
+    counts = stored(reference_counts(docs))  # read three times
     total = {r["lang"]: r["n"] for r in counts.filter("kind = 1").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     rows = counts.filter("kind = 1").withColumn("_rank", F.row_number().over(every)).filter(F.col("_rank") <= COMMON).drop("_rank").collect()
     classes = counts.filter("kind = 0").collect()
-    counts.unpersist()
     langs = sorted(total)
     words = np.array(sorted({r["key"] for r in rows}), dtype=np.int64)
     by_class, by_word = np.zeros((len(langs), len(CLASSES) - 1)), np.zeros((len(langs), words.size + 1))

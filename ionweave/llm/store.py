@@ -11,11 +11,20 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000  # rows of this subpackage's own tables can be long (texts, sets), and a batch is held on both sides
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """Write once as Parquet under ``spark.checkpoint.dir`` and read back: computed once, kept if an executor is lost."""
     spark = frame.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    frame.write.parquet(folder)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    try:
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(frame.schema).parquet(folder)
 
 
