@@ -122,27 +122,51 @@ def explained(ions: Column, mz: Column, weight: Column, abs_tol: float, ppm: flo
     ``assignment`` uses every ion and peak once (the ordered dynamic programme, one prefix maximum
     per peak); ``independent`` lets ions repeat. Arrays are ascending and bounded per spectrum.
     """
-    p = ppm * 1e-6
 
     @F.pandas_udf("assignment double, independent double")
     def kernel(all_ions: pd.Series, all_mz: pd.Series, all_w: pd.Series) -> pd.DataFrame:
-        out = np.zeros((len(all_ions), 2))
-        for r, (x, masses, w) in enumerate(zip(all_ions, all_mz, all_w)):
-            x, masses, w = (np.asarray(v, np.float64) for v in (x, masses, w))
-            if not len(masses) or w.sum() <= 0:
-                continue
-            reach = np.abs(masses[:, None] - x[None, :]) <= np.maximum(abs_tol, p * masses)[:, None]
-            best = np.zeros(len(x) + 1)
-            for row, gain in zip(reach, w):
-                step = best.copy()
-                step[1:] = np.maximum(best[1:], np.where(row, best[:-1] + gain, 0.0))
-                best = np.maximum.accumulate(step)
-            out[r] = best[-1] / w.sum(), w[reach.any(axis=1)].sum() / w.sum()
-        return pd.DataFrame(out, columns=["assignment", "independent"])
+        return pd.DataFrame(assigned(all_ions.to_numpy(), all_mz.to_numpy(), all_w.to_numpy(), abs_tol, ppm * 1e-6), columns=["assignment", "independent"])
 
     return kernel(ions, mz, weight)
 
 
+CELLS = 1 << 20  # of a padded block of rows
+
+
+def _padded(rows: list[np.ndarray], fill: float) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows), default=0)), fill)
+    for k, row in enumerate(rows):
+        out[k, :len(row)] = row
+    return out
+
+
+def assigned(ions: np.ndarray, mz: np.ndarray, weight: np.ndarray, abs_tol: float, share: float) -> np.ndarray:
+    """(assignment, independent) of many spectra at a time.
+
+    Spectra of similar size share a padded block; the programme takes one step a peak for all rows of a block. A padding
+    ion is reached by no peak, and a padding peak weighs nothing.
+    """
+    sizes = np.array([(len(m), len(x)) for m, x in zip(mz, ions)], dtype=np.int64).reshape(-1, 2)
+    out, order, begin = np.zeros((len(sizes), 2)), np.lexsort((sizes[:, 1], sizes[:, 0])), 0
+    while begin < order.size:
+        widest = np.maximum.accumulate(sizes[order[begin:], 1]) + 1
+        end = begin + max(1, int(np.searchsorted(widest * np.arange(1, widest.size + 1), CELLS, side="right")))
+        rows = order[begin:end]
+        x, m, w = (_padded([np.asarray(v[r], np.float64) for r in rows], fill) for v, fill in ((ions, np.inf), (mz, 0.0), (weight, 0.0)))
+        best, free = np.zeros((rows.size, x.shape[1] + 1)), np.zeros(rows.size)
+        tol = np.maximum(abs_tol, share * m)
+        for k in range(m.shape[1]):
+            reach = np.abs(m[:, k, None] - x) <= tol[:, k, None]
+            step = best.copy()
+            step[:, 1:] = np.maximum(best[:, 1:], np.where(reach, best[:, :-1] + w[:, k, None], 0.0))
+            best = np.maximum.accumulate(step, axis=1)
+            free += np.where(reach.any(axis=1), w[:, k], 0.0)
+        total = w.sum(axis=1)
+        out[rows] = np.where(total[:, None] > 0, np.stack([best[:, -1], free], axis=1) / np.where(total > 0, total, 1.0)[:, None], 0.0)
+        begin = end
+    return out
+
+
 def best_by_key(pairs: DataFrame, query: str, key: str, score: str) -> DataFrame:
     """Best similarity per (query, identity)."""
     return pairs.groupBy(query, key).agg(F.max(score).alias("best"))

@@ -7,12 +7,31 @@ from ..functions import peaks as pk
 from .skew import BOUNDED, find_hot, with_stats
 
 
-def merged_views(views: DataFrame, query: str, view: str, peaks: str, gap: float = 0.005) -> DataFrame:
-    """Views scaled to their own maximum, concatenated and merged (the caller bounds views per query)."""
-    scaled = views.withColumn("_scaled", pk.base_scaled(F.col(peaks)))
-    joined = scaled.groupBy(query).agg(F.flatten(F.transform(
-        F.sort_array(F.collect_list(F.struct(F.col(view).alias("view"), F.col("_scaled").alias("p")))), lambda r: r["p"])).alias("_all"))
-    return joined.select(query, pk.merge_neighbours(F.col("_all"), gap).alias(peaks))
+SLICE = 64.0
+
+
+def merged_views(views: DataFrame, query: str, view: str, peaks: str, gap: float = 0.005, width: float = SLICE) -> DataFrame:
+    """(query, mz, intensity) of the peaks of all views of a query, each scaled to its own maximum, that no close neighbour replaces.
+
+    Of two neighbours nearer than ``gap`` the stronger stays, of equals the later one; a chain is judged by its original
+    neighbours. Peaks are ordered inside slices of the m/z axis ``width`` (over ``gap``) wide, and the last and first
+    peak of a slice cross to the next, so the views of one query are merged by many tasks and never gathered.
+    """
+    if width <= gap:
+        raise ValueError("slices must be wider than the gap")
+    scaled = views.select(query, F.col(view).alias("_view"), F.posexplode(pk.base_scaled(F.col(peaks))).alias("_pos", "_p"))
+    rows = scaled.select(query, "_view", "_pos", F.col("_p.mz").alias("mz"), F.col("_p.intensity").alias("intensity"), F.floor(F.col("_p.mz") / F.lit(width)).alias("_slice"))
+    peak = F.struct("mz", "_view", "_pos", "intensity")
+    ends = rows.groupBy(query, "_slice").agg(F.min(peak).alias("_first"), F.max(peak).alias("_last"))
+    # an empty slice between two peaks is wider than the gap, so only the next slice matters
+    near = ends.select(query, (F.col("_slice") + 1).alias("_slice"), F.col("_last").alias("_prior")).join(
+        ends.select(query, (F.col("_slice") - 1).alias("_slice"), F.col("_first").alias("_next")), [query, "_slice"], "full_outer")
+    inside = Window.partitionBy(query, "_slice").orderBy("mz", "_view", "_pos")
+    joined = rows.join(near, [query, "_slice"], "left").withColumn("_before", F.coalesce(F.lag(peak).over(inside), F.col("_prior"))).withColumn(
+        "_after", F.coalesce(F.lead(peak).over(inside), F.col("_next")))
+    weaker = (F.col("mz") - F.col("_before.mz") < gap) & (F.col("intensity") < F.col("_before.intensity"))
+    replaced = (F.col("_after.mz") - F.col("mz") < gap) & (F.col("_after.intensity") >= F.col("intensity"))
+    return joined.filter(~F.coalesce(weaker, F.lit(False)) & ~F.coalesce(replaced, F.lit(False))).select(query, "mz", "intensity")
 
 
 def mass_basis(rows: DataFrame, keys: list[str], mz: str, intensity: str, decimals: int = 4) -> DataFrame:

@@ -47,9 +47,7 @@ SELECT q, count(*) AS n_kept, round(sum(it), 6) AS total, round(sum(mz), 5) AS m
 def a4(spark, d):
     views = spectra(spark, d).select(F.floor(F.col("vec_id") / 4).alias("q"), (F.col("vec_id") % 4).alias("v"), "peaks")
     merged = spectra_ops.merged_views(views, "q", "v", "peaks", gap=0.9)
-    it = F.transform("peaks", lambda p: p["intensity"])
-    return merged.select("q", F.size("peaks").cast("bigint").alias("n_kept"), F.round(pk.total(it), 6).alias("total"),
-                         F.round(pk.total(F.transform("peaks", lambda p: p["mz"])), 5).alias("mz_total"))
+    return merged.groupBy("q").agg(F.count(F.lit(1)).alias("n_kept"), F.round(F.sum("intensity"), 6).alias("total"), F.round(F.sum("mz"), 5).alias("mz_total"))
 
 
 CLUSTER_SQL = f"""WITH RECURSIVE {PEAKS_SQL}, p AS (SELECT vec_id, mz, it FROM peaks WHERE it > 0),

@@ -1,10 +1,11 @@
 """Scans, sources and sinks S1-S15; written data is derived from the input tables and read back."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import ranking, sets
-from ..sources import npy, readers, sinks
+from ..sources import digests, npy, readers, sinks
 from .registry import query, table
 from .stand_ins import LISTS_SQL, lists
 
@@ -32,6 +33,26 @@ def s3(spark, d):
     return every.groupBy((F.col("i") + 1).cast("bigint").alias("place"), F.round(F.col("v").cast("double"), 6).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("S3_scan_npz", """
+WITH x AS (SELECT (l_linenumber % 2 = 0) AS even, l_quantity AS half, l_linenumber AS short, l_orderkey AS word, l_orderkey::HUGEINT + 9223372036854775808 AS long FROM lineitem)
+SELECT 'even' AS member, count(*) AS n_rows, min(even::INTEGER)::VARCHAR AS low, max(even::INTEGER)::VARCHAR AS high FROM x UNION ALL SELECT 'half', count(*), min(half::INTEGER)::VARCHAR, max(half::INTEGER)::VARCHAR FROM x
+UNION ALL SELECT 'short', count(*), min(short)::VARCHAR, max(short)::VARCHAR FROM x UNION ALL SELECT 'word', count(*), min(word)::VARCHAR, max(word)::VARCHAR FROM x UNION ALL SELECT 'long', count(*), min(long)::VARCHAR, max(long)::VARCHAR FROM x""")
+def s3_zip(spark, d):
+    path, types = sinks.scratch(spark, "npz"), {"even": "?", "half": "f2", "short": "u2", "word": "u4", "long": "u8"}
+    rows = table(spark, d, "lineitem", "l_orderkey", "l_quantity", "l_linenumber")
+    big = (F.col("l_orderkey").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    columns = rows.select((F.col("l_linenumber") % 2 == 0).alias("even"), F.col("l_quantity").cast("float").alias("half"), F.col("l_linenumber").alias("short"), F.col("l_orderkey").alias("word"), big.alias("long"), "l_orderkey")
+    for odd in (0, 1):  # half of the archives deflated, half stored
+        npy.write_npz(columns.filter(F.col("l_orderkey") % 2 == odd), types, path, deflate=bool(odd)).agg(F.sum("rows")).first()
+    out = None
+    for member in types:
+        value = F.col("value").cast("int") if member in ("even", "half") else F.col("value")
+        part = npy.scan_npy(spark, path, rows_per_partition=5000, member=f"{member}.npy").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.min(value).cast("string").alias("low"), F.max(value).cast("string").alias("high")).select(F.lit(member).alias("member"), "n_rows", "low", "high")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("S4_scan_offsets_blob", "SELECT sha256(text) AS digest, count(*) AS n_rows FROM documents GROUP BY 1")
 def s4(spark, d):
     path = sinks.scratch(spark, "blob")
@@ -72,12 +93,22 @@ def s8(spark, d):
     return decoded.join(rows.select(F.col("c_custkey").alias("position")), "position", "left_semi")  # drop the padding of the last block
 
 
-@query("S9_byte_manifest_audit")
+@query("S9_byte_manifest_audit", """
+WITH s AS (SELECT DISTINCT c_mktsegment AS seg FROM customer), n AS (SELECT seg, row_number() OVER (ORDER BY seg) AS k FROM s)
+SELECT 'seg=' || seg AS folder, CASE k WHEN 1 THEN 'unlisted' WHEN 2 THEN 'size' WHEN 3 THEN 'digest' ELSE 'ok' END AS status FROM n UNION ALL SELECT 'seg=GHOST', 'missing'""")
 def s9(spark, d):
     path = sinks.scratch(spark, "audit")
-    table(spark, d, "customer").write.parquet(path)
-    listed = readers.file_manifest(spark, path, "*.parquet").checkpoint()
-    return readers.manifest_audit(readers.file_manifest(spark, path, "*.parquet"), listed)
+    # one task, so each segment's folder has one file and all have the same base name
+    table(spark, d, "customer").withColumn("seg", F.col("c_mktsegment")).repartition(1).write.partitionBy("seg").parquet(path)
+    files = digests.file_manifest(spark, path, "*.parquet").checkpoint()
+    folder = F.split_part("name", F.lit("/"), F.lit(1))
+    segments = table(spark, d, "customer", "c_mktsegment").distinct().select(
+        F.concat(F.lit("seg="), "c_mktsegment").alias("folder"), F.row_number().over(Window.orderBy("c_mktsegment")).alias("k"))
+    # a listing with planted faults: one file left out, one of another size, one of another digest, one that is not there
+    listed = files.withColumn("folder", folder).join(segments, "folder").filter("k <> 1").select(
+        "name", (F.col("bytes") + (F.col("k") == 2).cast("int")).alias("bytes"), F.when(F.col("k") == 3, F.sha2("sha256", 256)).otherwise(F.col("sha256")).alias("sha256"))
+    ghost = spark.range(1).select(F.lit("seg=GHOST/part-0.parquet").alias("name"), F.lit(1).cast("bigint").alias("bytes"), F.lit("0").alias("sha256"))
+    return readers.manifest_audit(digests.file_manifest(spark, path, "*.parquet"), listed.unionByName(ghost)).select(folder.alias("folder"), "status")
 
 
 @query("S10_before_after_binding", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra, true AS is_permutation, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS nations")
@@ -85,9 +116,9 @@ def s10(spark, d):
     path = sinks.scratch(spark, "bound")
     rows = table(spark, d, "supplier")
     rows.write.parquet(path)
-    before = readers.file_manifest(spark, path, "*.parquet").checkpoint()
+    before = digests.file_manifest(spark, path, "*.parquet").checkpoint()
     work = spark.read.parquet(path).agg(F.count_distinct("s_nationkey").alias("nations"))
-    after = readers.file_manifest(spark, path, "*.parquet")
+    after = digests.file_manifest(spark, path, "*.parquet")
     return sets.permutation_report(before, after).join(F.broadcast(work))  # one row each
 
 

@@ -1,12 +1,18 @@
-"""A Spark data source for standalone ``.npy`` arrays and offset/blob string columns.
+"""A Spark data source for ``.npy`` arrays, standalone or inside zip archives, and offset/blob string columns.
 
-Every partition reads its own byte range of one file through pyarrow's file systems, so a file is
-never read whole by one task.
+Every partition reads its own byte range of one file through pyarrow's file systems, so a file is never read whole by
+one task; that holds for members stored in an archive as well. A deflated member cannot be entered in the middle: one
+task reads it as a stream, a few rows at a time.
 """
 
 import ast
+import fnmatch
+import io
 import struct
+import uuid
+import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-ARROW = {"f8": pa.float64(), "f4": pa.float32(), "i8": pa.int64(), "i4": pa.int32(), "i2": pa.int16(), "i1": pa.int8(), "u1": pa.int16()}
+#: By numpy kind and size: the Arrow type that holds every value, and Spark's name of it.
+TYPES = {"f8": (pa.float64(), "double"), "f4": (pa.float32(), "float"), "f2": (pa.float32(), "float"), "i8": (pa.int64(), "bigint"), "i4": (pa.int32(), "int"),
+         "i2": (pa.int16(), "smallint"), "i1": (pa.int8(), "tinyint"), "u8": (pa.decimal128(20, 0), "decimal(20,0)"), "u4": (pa.int64(), "bigint"),
+         "u2": (pa.int32(), "int"), "u1": (pa.int16(), "smallint"), "b1": (pa.bool_(), "boolean")}
+ARCHIVES, STEP, MOST_HEADER = (".npz", ".zip"), 16_384, 1 << 20
 
 
 def _open(path: str):
@@ -23,7 +33,7 @@ def _open(path: str):
     return system, inner
 
 
-def _listed(path: str, suffix: str) -> list[str]:
+def _listed(path: str, suffix: str | tuple[str, ...]) -> list[str]:
     system, inner = _open(path)
     infos = system.get_file_info(fs.FileSelector(inner)) if system.get_file_info(inner).type == fs.FileType.Directory else [system.get_file_info(inner)]
     return sorted(i.path for i in infos if i.path.endswith(suffix))
@@ -35,67 +45,105 @@ def read_header(handle) -> tuple[np.dtype, tuple[int, ...], int]:
         raise ValueError("not an npy file")
     major, _ = handle.read(2)
     length = struct.unpack("<H" if major == 1 else "<I", handle.read(2 if major == 1 else 4))[0]
-    spec = ast.literal_eval(handle.read(length).decode("latin1"))
+    if length > MOST_HEADER:
+        raise ValueError("unreasonable npy header")
+    spec = ast.literal_eval(handle.read(length).decode("latin1" if major < 3 else "utf8"))
     dtype = np.dtype(spec["descr"])
-    if dtype.hasobject or spec["fortran_order"] or dtype.byteorder == ">" or len(spec["shape"]) not in (1, 2):
+    if dtype.str[1:] not in TYPES or spec["fortran_order"] or dtype.byteorder == ">" or len(spec["shape"]) not in (1, 2):
         raise ValueError("unsupported npy layout")
     return dtype, tuple(spec["shape"]), handle.tell()
 
 
+def _arrays(path: str, member: str) -> list[tuple[str, str | None]]:
+    """(file, member) of every array: ``.npy`` files, and the members of archives that match the pattern."""
+    system, _ = _open(path)
+    out: list[tuple[str, str | None]] = []
+    for name in _listed(path, (".npy", *ARCHIVES)):
+        if name.endswith(".npy"):
+            out.append((name, None))
+            continue
+        with system.open_input_file(name) as handle, zipfile.ZipFile(handle) as archive:
+            out += [(name, m) for m in sorted(archive.namelist()) if m.endswith(".npy") and fnmatch.fnmatchcase(m, member)]
+    return out
+
+
+@contextmanager
+def _opened(system: fs.FileSystem, name: str, member: str | None):
+    """(handle at the start of the array, whether it can seek)."""
+    with system.open_input_file(name) as handle:
+        if member is None:
+            yield handle, True
+            return
+        with zipfile.ZipFile(handle) as archive:
+            info = archive.getinfo(member)
+            if info.compress_type == zipfile.ZIP_STORED and not info.flag_bits & 1:
+                handle.seek(info.header_offset)
+                local = handle.read(30)
+                handle.seek(info.header_offset + 30 + sum(struct.unpack("<HH", local[26:30])))
+                yield handle, True
+            else:
+                with archive.open(info) as stream:
+                    yield stream, False
+
+
 class RowRange(InputPartition):
-    def __init__(self, path: str, file_index: int, start: int, stop: int):
-        self.path, self.file_index, self.start, self.stop = path, file_index, start, stop
+    def __init__(self, path: str, member: str | None, file_index: int, start: int, stop: int):
+        self.path, self.member, self.file_index, self.start, self.stop = path, member, file_index, start, stop
 
 
 class NpyReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
-        self.schema, self.path = schema, options["path"]
+        self.schema, self.path, self.member = schema, options["path"], options.get("member", "*")
         self.rows = int(options.get("rowsPerPartition", 1_000_000))
         self.blob = options.get("kind", "array") == "blob"
 
     def partitions(self):
         system, _ = _open(self.path)
-        out = []
-        for index, name in enumerate(_listed(self.path, ".npy")):
-            with system.open_input_file(name) as handle:
-                _, shape, _ = read_header(handle)
+        out, kinds = [], set()
+        for index, (name, member) in enumerate(_arrays(self.path, self.member)):
+            with _opened(system, name, member) as (handle, seeks):
+                dtype, shape, _ = read_header(handle)
+            kinds.add((dtype, shape[1:]))
             count = shape[0] - 1 if self.blob else shape[0]
-            out += [RowRange(name, index, s, min(s + self.rows, count)) for s in range(0, count, self.rows)]
+            rows = self.rows if seeks else max(count, 1)
+            out += [RowRange(name, member, index, s, min(s + rows, count)) for s in range(0, count, rows)]
+        if len(kinds) > 1:
+            raise ValueError(f"arrays of different types or widths: {sorted(map(str, kinds))}; choose with the option member")
         return out
 
-    def _slice(self, system, name: str, start: int, stop: int) -> np.ndarray:
-        with system.open_input_file(name) as handle:
+    def _pieces(self, system: fs.FileSystem, part: RowRange, extra: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+        """(first row, rows) of the range, ``STEP`` and ``extra`` overlapping rows at a time."""
+        with _opened(system, part.path, part.member) as (handle, seeks):
             dtype, shape, base = read_header(handle)
             width = int(np.prod(shape[1:], dtype=np.int64)) * dtype.itemsize
-            handle.seek(base + start * width)
-            data = np.frombuffer(handle.read((stop - start) * width), dtype)
-        return data.reshape((stop - start, *shape[1:]))
+            for start in range(part.start, part.stop, STEP):
+                stop = min(start + STEP, part.stop) + extra
+                if seeks:
+                    handle.seek(base + start * width)
+                data = handle.read((stop - start) * width)  # a stream goes on where the last piece ended
+                if len(data) != (stop - start) * width:
+                    raise ValueError(f"{part.path}: the array ends early")
+                yield start, np.frombuffer(data, dtype).reshape((stop - start, *shape[1:]))
 
     def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
         system, _ = _open(self.path)
-        step = 16_384
-        for start in range(part.start, part.stop, step):
-            stop = min(start + step, part.stop)
-            ids = pa.array(np.arange(start, stop), pa.int64())
-            files = pa.array(np.full(stop - start, part.file_index), pa.int32())
+        for start, rows in self._pieces(system, part, extra=int(self.blob)):
             if self.blob:
-                offsets = self._slice(system, part.path, start, stop + 1).astype(np.int64)
+                offsets = rows.astype(np.int64)
                 with system.open_input_file(part.path[:-4] + ".blob") as handle:
                     handle.seek(int(offsets[0]))
                     data = handle.read(int(offsets[-1] - offsets[0]))
                 cuts = pa.py_buffer((offsets - offsets[0]).astype(np.int64).tobytes())
                 values = pa.LargeStringArray.from_buffers(len(offsets) - 1, cuts, pa.py_buffer(data)).cast(pa.string())
             else:
-                rows = self._slice(system, part.path, start, stop)
-                kind = ARROW[rows.dtype.str[1:]]
-                flat = pa.array(rows.reshape(-1).astype(kind.to_pandas_dtype()), kind)
-                values = flat if rows.ndim == 1 else pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([files, ids, values], names=["file_index", "row_id", "value"])
+                flat = pa.array(rows.reshape(-1).astype(np.float32) if rows.dtype.str[1:] == "f2" else rows.reshape(-1)).cast(TYPES[rows.dtype.str[1:]][0])
+                values = flat if rows.ndim == 1 else pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), flat)
+            ids = pa.array(np.arange(start, start + len(values)), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), part.file_index), pa.int32()), ids, values], names=["file_index", "row_id", "value"])
 
 
 class NpySource(DataSource):
-    """``format("npy")`` with options path, kind (array, blob) and rowsPerPartition."""
+    """``format("npy")`` with options path, kind (array, blob), member (a pattern of names in archives) and rowsPerPartition."""
 
     @classmethod
     def name(cls):
@@ -105,20 +153,19 @@ class NpySource(DataSource):
         if self.options.get("kind", "array") == "blob":
             return "file_index int, row_id bigint, value string"
         system, _ = _open(self.options["path"])
-        with system.open_input_file(_listed(self.options["path"], ".npy")[0]) as handle:
+        with _opened(system, *_arrays(self.options["path"], self.options.get("member", "*"))[0]) as (handle, _):
             dtype, shape, _ = read_header(handle)
-        names = {"f8": "double", "f4": "float", "i8": "bigint", "i4": "int", "i2": "smallint", "i1": "tinyint", "u1": "smallint"}
-        element = names[dtype.str[1:]]
+        element = TYPES[dtype.str[1:]][1]
         return f"file_index int, row_id bigint, value {element if len(shape) == 1 else f'array<{element}>'}"
 
     def reader(self, schema):
         return NpyReader(schema, self.options)
 
 
-def scan_npy(spark: SparkSession, path: str, kind: str = "array", rows_per_partition: int = 1_000_000) -> DataFrame:
-    """Rows of every ``.npy`` file below ``path`` with their position; ``kind="blob"`` reads offsets plus text."""
+def scan_npy(spark: SparkSession, path: str, kind: str = "array", rows_per_partition: int = 1_000_000, member: str = "*") -> DataFrame:
+    """Rows of every array below ``path`` with their position; ``kind="blob"`` reads offsets plus text, ``member`` chooses in archives."""
     spark.dataSource.register(NpySource)
-    return spark.read.format("npy").option("kind", kind).option("rowsPerPartition", rows_per_partition).load(path)
+    return spark.read.format("npy").option("kind", kind).option("rowsPerPartition", rows_per_partition).option("member", member).load(path)
 
 
 def _target(path: str, name: str):
@@ -131,34 +178,54 @@ def _receipt(part: int, rows: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64())], names=["part", "rows"])
 
 
+def _numbered(batches: Iterator[pa.RecordBatch], run: str) -> Iterator[tuple[str, int, pa.RecordBatch]]:
+    """(file stem, partition, batch): a file for each batch, so no task holds more than one. ``run`` keeps writes apart."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    for k, batch in enumerate(b for b in batches if b.num_rows):
+        yield f"part-{part:05d}-{k:06d}-{run}", part, batch
+
+
 def write_npy(df: DataFrame, column: str, path: str) -> DataFrame:
-    """One ``.npy`` part per partition; returns (part, rows) when run."""
+    """One ``.npy`` file per Arrow batch; returns (part, rows) when run."""
+    write = uuid.uuid4().hex[:12]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        arrays = [np.array(b.column(0).to_pylist()) for b in batches if b.num_rows]
-        if arrays:
-            system, name = _target(path, f"part-{part:05d}.npy")
+        for stem, part, batch in _numbered(batches, write):
+            system, name = _target(path, stem + ".npy")
             with system.open_output_stream(name) as out:
-                np.lib.format.write_array(out, np.concatenate(arrays), allow_pickle=False)
-            yield _receipt(part, sum(len(a) for a in arrays))
+                np.lib.format.write_array(out, np.array(batch.column(0).to_pylist()), allow_pickle=False)
+            yield _receipt(part, batch.num_rows)
 
     return df.select(column).mapInArrow(run, "part int, rows bigint")
 
 
-def write_blob(df: DataFrame, column: str, path: str) -> DataFrame:
-    """Offsets ``.npy`` plus ``.blob`` text per partition; returns (part, rows) when run."""
+def write_npz(df: DataFrame, types: dict[str, str], path: str, deflate: bool = False) -> DataFrame:
+    """One archive per Arrow batch with a member for each column, of the given numpy types; returns (part, rows) when run."""
+    write = uuid.uuid4().hex[:12]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for stem, part, batch in _numbered(batches, write):
+            buffer = io.BytesIO()
+            (np.savez_compressed if deflate else np.savez)(buffer, **{c: np.array(batch.column(c).to_pylist()).astype(t) for c, t in types.items()})
+            system, name = _target(path, stem + ".npz")
+            with system.open_output_stream(name) as out:
+                out.write(buffer.getvalue())
+            yield _receipt(part, batch.num_rows)
+
+    return df.select(*types).mapInArrow(run, "part int, rows bigint")
+
 
-        part = TaskContext.get().partitionId()
-        texts = [v.encode() for b in batches for v in b.column(0).to_pylist()]
-        if texts:
+def write_blob(df: DataFrame, column: str, path: str) -> DataFrame:
+    """Offsets ``.npy`` plus ``.blob`` text per Arrow batch; returns (part, rows) when run."""
+    write = uuid.uuid4().hex[:12]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stem, part, batch in _numbered(batches, write):
+            texts = [v.encode() for v in batch.column(0).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
-            system, name = _target(path, f"part-{part:05d}")
+            system, name = _target(path, stem)
             with system.open_output_stream(name + ".blob") as out:
                 out.write(b"".join(texts))
             with system.open_output_stream(name + ".npy") as out:

@@ -111,12 +111,6 @@ def rows_at(df: DataFrame, position: str, requests: DataFrame) -> DataFrame:
     return df.join(requests.select(position), position, "left_semi")
 
 
-def file_manifest(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Name, size and sha256 of every file below a folder."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path))
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def manifest_audit(found: DataFrame, listed: DataFrame) -> DataFrame:
     """Every file of either side with what is wrong: missing, unlisted, size or digest."""
     a, b = found.alias("f"), listed.alias("l")
