@@ -185,23 +185,6 @@ def query_balanced_weights(df: DataFrame, query: str, regime: str, light: float
             .withColumn("treatment", F.col("_raw") * F.col("_scale")).drop("_n", "_raw", "_scale"))
 
 
-def out_of_fold_scores(df: DataFrame, features: list[str], label: str, fold: str, folds: int, weight: str, max_iter: int = 20, depth: int = 4) -> DataFrame:
-    """Out-of-fold scores of weighted boosted trees; each fold is scored by a model that never saw it."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(df)
-    out = None
-    for f in range(folds):
-        model = GBTClassifier(featuresCol="_x", labelCol=label, weightCol=weight, maxIter=max_iter, maxDepth=depth, seed=7).fit(
-            assembled.filter(F.col(fold) != f))
-        scored = model.transform(assembled.filter(F.col(fold) == f)).withColumn("oof_score", F.get(vector_to_array("probability"), F.lit(1)))
-        scored = scored.drop("_x", "rawPrediction", "probability", "prediction")
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
 def alpha_calibration(df: DataFrame, query: str, a: str, b: str, label: str, ident: list[str], fold: str, folds: int, grid: list[float], k: int = 25) -> DataFrame:
     """Per fold the alpha with the best expected reciprocal rank on the other folds, and its value on the fold itself.
 

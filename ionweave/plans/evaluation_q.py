@@ -1,14 +1,16 @@
 """Evaluation statistics E1-E16."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import boosting
 from ..operators import evaluation as ev
 from ..operators import ranking, splits
 from ..session import ensure_checkpoint_dir
 from .registry import query, table
 from .splits_q import DECOY_SQL
 from .stand_ins import TRUTH_SQL, bank, truth_lists
-from .windows_q import features
+from .windows_q import FEATURE_SQL, features
 
 ID = ["cand", "sup"]
 STAND_SQL = f"""{TRUTH_SQL}, tr AS (SELECT q, S AS ts, cand AS tc, sup AS tsu FROM rows WHERE y = 1),
@@ -141,33 +143,75 @@ def e11(spark, d):
     return ev.query_balanced_weights(r, "q", "m").withColumn("treatment", F.round("treatment", 9))
 
 
-def labelled_features(spark, d):
-    """The 31 features with a label (the query's own vector) and a two-way query fold."""
-    f = features(spark, d)[0].withColumn("y", (F.col("q") == F.col("c")).cast("int")).withColumn("fold", (F.col("q") % 2).cast("int"))
-    ensure_checkpoint_dir(spark)
-    # every boosting round reads the features again, so they are built once
-    return f.withColumn("m", (F.floor(F.col("q") / 2) % 2).cast("int")).checkpoint()
+def boosted_sql(source: str, features: int, weights: int, folds: int, shape: boosting.Shape) -> str:
+    """CTEs that end in ``oof`` (q, c, y, m, fold, arm, s), grown from ``source`` (q, c, y, m, fold, w BIGINT[], x DOUBLE[])."""
+    models = ", ".join(f"({a * folds + f}, {a}, {f})" for a in range(weights) for f in range(folds))
+    u, ridge = f"{boosting.UNIT}.0::DOUBLE", f"{shape.ridge!r}::DOUBLE"
+    worth = lambda g, h: f"({g} / {u}) * ({g} / {u}) / ({h} / {u} + {ridge})"
+    parts = [f"""bx AS MATERIALIZED ({source}), bl AS (SELECT f, x[f + 1] AS v, count(*) AS n FROM bx, (SELECT unnest(range({features})) AS f) GROUP BY ALL),
+bp AS (SELECT f, v, n, sum(n) OVER (PARTITION BY f ORDER BY v) AS upto, sum(n) OVER (PARTITION BY f) AS al FROM bl),
+bc AS (SELECT DISTINCT f, v FROM bp, (SELECT unnest(range(1, {shape.bins})) AS k) WHERE (k * al + {shape.bins - 1}) // {shape.bins} > upto - n AND (k * al + {shape.bins - 1}) // {shape.bins} <= upto),
+bk AS (SELECT f, list(v ORDER BY v) AS cuts FROM bc GROUP BY f),
+bb AS MATERIALIZED (SELECT q, c, any_value(y) AS y, any_value(m) AS m, any_value(fold) AS fold, any_value(w) AS w, list(len(list_filter(cuts, lambda e: e < x[f + 1])) ORDER BY f) AS bins FROM bx, bk GROUP BY q, c),
+md(model, arm, held) AS (VALUES {models}),
+pr AS (SELECT model, ln(sum(w[arm + 1]) FILTER (y = 1)::DOUBLE / sum(w[arm + 1]) FILTER (y = 0)::DOUBLE) AS s FROM bb, md WHERE fold <> held GROUP BY model),
+a0 AS MATERIALIZED (SELECT q, c, y, m, fold, bins, model, w[arm + 1] AS wt, fold <> held AS train, s FROM bb, md JOIN pr USING (model))"""]
+    for t in range(shape.rounds):
+        parts.append(f"n{t}_0 AS MATERIALIZED (SELECT *, 0 AS node, round(wt * (p - y))::BIGINT AS g, round(wt * p * (1 - p))::BIGINT AS h FROM (SELECT *, 1 / (1 + exp(-s)) AS p FROM a{t}))")
+        for d in range(shape.depth):
+            parts.append(f"""h{t}_{d} AS (SELECT model, node, f, b, sum(g)::DOUBLE AS g, sum(h)::DOUBLE AS h, count(*)::DOUBLE AS n FROM (SELECT model, node, g, h, unnest(range({features})) AS f, unnest(bins) AS b FROM n{t}_{d} WHERE train) GROUP BY ALL),
+c{t}_{d} AS (SELECT model, node, f, b, sum(g) OVER r AS gl, sum(h) OVER r AS hl, sum(n) OVER r AS nl, sum(g) OVER k AS ga, sum(h) OVER k AS ha, sum(n) OVER k AS na FROM h{t}_{d} WINDOW r AS (PARTITION BY model, node, f ORDER BY b), k AS (PARTITION BY model, node, f)),
+s{t}_{d} AS MATERIALIZED (SELECT model, node, f, b FROM (SELECT *, row_number() OVER (PARTITION BY model, node ORDER BY gain DESC, f, b) AS r FROM (SELECT *, {worth('gl', 'hl')} + {worth('(ga - gl)', '(ha - hl)')} - {worth('ga', 'ha')} AS gain FROM c{t}_{d} WHERE nl >= {shape.rows} AND na - nl >= {shape.rows})) WHERE r = 1 AND gain > {shape.gain!r}),
+n{t}_{d + 1} AS MATERIALIZED (SELECT n.* REPLACE (2 * node + coalesce(bins[f + 1] > b, false)::INTEGER AS node) FROM n{t}_{d} n LEFT JOIN s{t}_{d} USING (model, node))""")
+        parts.append(f"""l{t} AS (SELECT model, node, (-{shape.rate!r}::DOUBLE * (sum(g)::DOUBLE / {u})) / (sum(h)::DOUBLE / {u} + {ridge}) AS v FROM n{t}_{shape.depth} WHERE train GROUP BY model, node),
+a{t + 1} AS MATERIALIZED (SELECT q, c, y, m, fold, bins, model, wt, train, s + coalesce(v, 0) AS s FROM n{t}_{shape.depth} LEFT JOIN l{t} USING (model, node))""")
+    parts.append(f"oof AS (SELECT q, c, y, m, fold, arm, s FROM a{shape.rounds} JOIN md USING (model) WHERE fold = held)")
+    return ",\n".join(parts)
+
+
+# the depth and the rounds are shape parameters; the oracle repeats every tree, so the registered shapes are small
+REFIT, SCAN = boosting.Shape(rounds=8, depth=3, bins=16), boosting.Shape(rounds=4, depth=3, bins=16)
+X_SQL = f"[{', '.join(f'round({c}::DOUBLE, 4)' for c in ranking.FEATURES)}]"
+LABELLED_SQL = f"{FEATURE_SQL}, lf AS MATERIALIZED (SELECT q, c, (q = c)::INTEGER AS y, (q // 2 % 2)::INTEGER AS m, {X_SQL} AS x, count(*) OVER (PARTITION BY q) AS n FROM feats)"
 
 
-def refit(rows, weight):
-    return ev.out_of_fold_scores(rows.withColumn("w", weight), ranking.FEATURES, "y", "fold", 2, "w", max_iter=3, depth=3)
+def labelled_features(spark, d):
+    """The 31 features at four decimals with a label (the query's own vector) and a regime."""
+    f = features(spark, d)[0]
+    return f.select("q", "c", (F.col("q") == F.col("c")).cast("int").alias("y"), (F.floor(F.col("q") / 2) % 2).cast("int").alias("m"),
+                    *[F.round(F.col(x).cast("double"), 4).alias(x) for x in ranking.FEATURES])
 
 
-@query("E12_oof_refit")
+@query("E12_oof_refit", f"""WITH {LABELLED_SQL}, wt AS (SELECT *, CASE WHEN m = 0 THEN 0.3 ELSE 0.7 END::DOUBLE AS base FROM lf),
+{boosted_sql("SELECT q, c, y, m, (q % 2)::INTEGER AS fold, [round(base * 16777216)::BIGINT, round(base / n * (SELECT sum(base) / sum(base / n) FROM wt) * 16777216)::BIGINT] AS w, x FROM wt", 31, 2, 2, REFIT)}
+SELECT q, c, y, round(max(s) FILTER (arm = 0), 6) AS oof_baseline, round(max(s) FILTER (arm = 1), 6) AS oof_treatment FROM oof GROUP BY q, c, y""")
 def e12(spark, d):
-    return refit(labelled_features(spark, d), F.when(F.col("m") == 0, 0.3).otherwise(0.7)).select("q", "c", "y", "fold", F.round("oof_score", 6).alias("oof_score"))
-
-
-@query("E13_weight_scan_cv")
+    rows = ev.query_balanced_weights(labelled_features(spark, d), "q", "m").withColumn("fold", (F.col("q") % 2).cast("int"))
+    ensure_checkpoint_dir(spark)
+    rows = rows.checkpoint()  # cut into bins, counted and scored
+    sealed = boosting.out_of_fold(rows, ranking.FEATURES, ["q", "c"], "y", "fold", 2, ["baseline", "treatment"], REFIT)
+    return sealed.join(rows.select("q", "c", "y"), ["q", "c"]).select("q", "c", "y", F.round("oof_baseline", 6).alias("oof_baseline"), F.round("oof_treatment", 6).alias("oof_treatment"))
+
+
+@query("E13_weight_scan_cv", f"""WITH {LABELLED_SQL},
+{boosted_sql("SELECT q, c, y, m, (q % 5)::INTEGER AS fold, [round((CASE WHEN m = 0 THEN 0.42 ELSE 0.58 END)::DOUBLE * 16777216)::BIGINT, round(0.5::DOUBLE * 16777216)::BIGINT] AS w, x FROM lf", 31, 2, 5, SCAN)},
+er AS (SELECT q, m, arm, y, round(s, 6) AS s FROM oof), et AS (SELECT q, arm, max(s) AS ts FROM er WHERE y = 1 GROUP BY ALL),
+ek AS (SELECT q, any_value(m) AS m, arm, sum((s > ts)::INTEGER)::BIGINT AS above, sum((s = ts)::INTEGER)::BIGINT AS tied FROM er JOIN et USING (q, arm) GROUP BY q, arm),
+ee AS (SELECT m, arm, coalesce({EXPECTED.format(k=25)}, 0) / tied AS rr FROM ek),
+eo AS (SELECT CASE arm WHEN 0 THEN 0.42 ELSE 0.5 END::DOUBLE AS w1, round(avg(rr) FILTER (m = 0), 8) AS c1, round(avg(rr) FILTER (m = 1), 8) AS c2 FROM ee GROUP BY arm)
+SELECT w1, c1, c2, round(0.4 * c1 + 0.6 * c2, 8) AS objective, row_number() OVER (ORDER BY round(0.4 * c1 + 0.6 * c2, 8) DESC, w1) = 1 AS best FROM eo""")
 def e13(spark, d):
-    rows, out = labelled_features(spark, d), None
-    for w1 in (0.42, 0.50):
-        scored = refit(rows, F.when(F.col("m") == 0, w1).otherwise(1 - w1))
-        m = ev.expected_metrics(ev.truth_standing(scored, "q", "oof_score", "y", ["c"]), "q").join(scored.select("q", "m").distinct(), "q")
-        row = m.agg(F.avg(F.when(F.col("m") == 0, F.col("expected_rr"))).alias("c1"), F.avg(F.when(F.col("m") == 1, F.col("expected_rr"))).alias("c2"))
-        row = row.select(F.lit(w1).alias("w1"), "c1", "c2", (0.4 * F.col("c1") + 0.6 * F.col("c2")).alias("objective"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    scan = {"light": 0.42, "even": 0.50}
+    rows = labelled_features(spark, d).withColumn("fold", (F.col("q") % 5).cast("int")).withColumns({n: F.when(F.col("m") == 0, w).otherwise(round(1 - w, 9)) for n, w in scan.items()})
+    ensure_checkpoint_dir(spark)
+    rows = rows.checkpoint()  # cut into bins, counted and scored
+    sealed = boosting.out_of_fold(rows, ranking.FEATURES, ["q", "c"], "y", "fold", 5, list(scan), SCAN)
+    arms = F.explode(F.array(*[F.struct(F.lit(w).alias("w1"), F.round(f"oof_{n}", 6).alias("s")) for n, w in scan.items()]))
+    scored = sealed.join(rows.select("q", "c", "y", "m"), ["q", "c"]).select("q", "c", "y", "m", arms.alias("a")).select(F.struct("q", "m", "a.w1").alias("qa"), "c", "y", "a.s")
+    per = ev.expected_metrics(ev.truth_standing(scored, "qa", "s", "y", ["c"]), "qa")
+    mean = lambda m: F.round(F.avg(F.when(F.col("qa.m") == m, F.col("expected_rr"))), 8)
+    out = per.groupBy(F.col("qa.w1").alias("w1")).agg(mean(0).alias("c1"), mean(1).alias("c2")).withColumn("objective", F.round(0.4 * F.col("c1") + 0.6 * F.col("c2"), 8))
+    return out.withColumn("best", F.row_number().over(Window.orderBy(F.desc("objective"), "w1")) == 1)  # a row for each weight
 
 
 GRID = [0.0, 0.1, 0.2, 0.4, 0.8]
