@@ -19,14 +19,17 @@ def license_disposition(licence: Column, allowed: str, source: Column, held_patt
             .otherwise("kept"))
 
 
-def sequence_digest(df: DataFrame, keys: list[str], position: str, text: str, fan_out: int = 4096,
-                    levels: int = 3) -> DataFrame:
+def sequence_digest(df: DataFrame, keys: list[str], position: str, text: str, fan_out: int = 4096) -> DataFrame:
     """Order-sensitive, length-delimited digest of a text column per group, as a tree of sha256.
 
-    Blocks of ``fan_out`` consecutive positions are hashed first, then blocks of blocks, so no task
-    holds more than one block however long the group is. ``fan_out ** levels`` must exceed the
-    highest position.
+    Blocks of ``fan_out`` (a power of two) consecutive positions are hashed first, then blocks of blocks, so no task
+    holds more than one block however long the group is. There are as many levels as any 63-bit position needs: the
+    upper ones hold one block a group, and the digest does not depend on how far positions go.
     """
+    bits = fan_out.bit_length() - 1
+    if fan_out != 1 << bits or bits < 1:
+        raise ValueError("fan_out must be a power of two")
+    levels = -(-63 // bits)
     # each text is hashed where it is read, so a block holds digests and lengths, not texts
     level = df.select(*keys, F.col(position).alias("_pos"), F.concat(
         F.octet_length(text).cast("string"), F.lit(":"), F.sha2(text, 256)).alias("_part"))

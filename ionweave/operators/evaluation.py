@@ -1,9 +1,7 @@
 """Tie-aware ranking metrics, paired comparisons, bootstrap intervals and refits."""
 
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -46,16 +46,26 @@ def ordered_row_report(left: DataFrame, right: DataFrame, row: str, ident: str)
         "aligned", (F.col("n_rows") > 0) & (F.col("mismatches") == 0) & (F.col("repeated_ids") == 0))
 
 
-def missing_combinations(present: DataFrame, group: str, view: str) -> DataFrame:
-    """(group, view) combinations that are absent, where ``view`` has a small closed set of values.
+CHUNK, BROADCAST_CHUNKS = 4096, 16
 
-    Only the set of views is combined with each group; the groups are never crossed with each other.
+
+def missing_combinations(present: DataFrame, group: str, view: str, chunk: int = CHUNK) -> DataFrame:
+    """(group, view) combinations that are absent.
+
+    Views are dealt into chunks of about ``chunk``; each group meets each chunk once, as an array, and keeps what it
+    lacks. The groups are never crossed with each other, and no row holds more than a chunk. A few chunks are broadcast,
+    more are joined by a shuffle.
     """
     pairs = present.select(group, view).distinct()
-    views = pairs.select(view).distinct().agg(F.collect_set(view).alias("_views"))
-    have = pairs.groupBy(group).agg(F.collect_set(view).alias("_have"))
-    joined = have.join(F.broadcast(views))
-    return joined.select(group, F.explode(F.array_except("_views", "_have")).alias(view))
+    views = pairs.select(view).distinct()
+    chunks = max(1, -(-views.count() // chunk))
+    own = F.pmod(F.xxhash64(view), F.lit(chunks)).cast("int").alias("_chunk")
+    every = views.groupBy(own).agg(F.collect_set(view).alias("_views"))
+    have = pairs.groupBy(group, own).agg(F.collect_set(view).alias("_have"))
+    wanted = pairs.select(group).distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    joined = wanted.join(have, [group, "_chunk"], "left").join(F.broadcast(every) if chunks <= BROADCAST_CHUNKS else every, "_chunk")
+    none = F.array().cast(f"array<{present.schema[view].dataType.simpleString()}>")
+    return joined.select(group, F.explode(F.array_except("_views", F.coalesce("_have", none))).alias(view))
 
 
 def new_only(catalogue: DataFrame, bank: DataFrame, key: str) -> DataFrame:
@@ -78,8 +88,14 @@ def overlap_labels(queries: DataFrame, key: str, optimizer: DataFrame, checkpoin
     return joined.withColumn("overlap", label).drop("_opt", "_chk")
 
 
-def map_via_distinct(df: DataFrame, column: str, mapper: Callable[[str], str | None], name: str) -> DataFrame:
-    """Apply a costly string mapper once per distinct value and join the result back."""
+def map_via_distinct(df: DataFrame, column: str, mapper: Callable[[str], str | None] | Callable[[Column], Column], name: str, native: bool = False) -> DataFrame:
+    """Apply a costly string mapper once per distinct value and join the result back.
+
+    With ``native`` the mapper makes a column expression; only one that Spark cannot express runs in Python.
+    """
+    distinct = df.select(column).distinct()
+    if native:
+        return df.join(distinct.withColumn(name, mapper(F.col(column))), column, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,6 +103,5 @@ def map_via_distinct(df: DataFrame, column: str, mapper: Callable[[str], str | N
             mapped = pa.array([None if v is None else mapper(v) for v in values.to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([values, mapped], names=[column, name])
 
-    distinct = df.select(column).distinct()
     mapping = distinct.mapInArrow(run, f"`{column}` string, `{name}` string")
     return df.join(mapping, column, "left")

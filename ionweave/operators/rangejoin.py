@@ -5,8 +5,10 @@ the one or two buckets it touches, and the closed interval is tested again on th
 """
 
 import math
+import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
@@ -99,3 +101,35 @@ def mass_window_join(queries: DataFrame, bank: DataFrame, *, query_mass: str, ba
     queries = queries.filter(finite(F.col(query_mass)) & (F.col(query_mass) > 0)).withColumn("lo", lo).withColumn("hi", hi)
     pairs = window_pairs(queries, bank, bank_mass, query_id=query_id, bank_id=bank_id, max_ppm=ppm, limit=limit)
     return pairs.drop("lo", "hi")
+
+
+@dataclass(frozen=True)
+class StoredBank:
+    """A bank laid out for lookups: a table bucketed by mass bucket and sorted by mass."""
+
+    table: str
+    mass: str
+    step: float
+
+
+def store_bank(bank: DataFrame, mass: str, max_ppm: float, path: str, buckets: int = 64) -> StoredBank:
+    """Write the rows of positive finite mass once, for windows of up to about ``max_ppm``, below the shared ``path``."""
+    step = math.log1p(2.5e-6 * max(max_ppm, 1e-3))
+    name = f"bank_{uuid.uuid4().hex}"
+    rows = bank.filter(finite(F.col(mass)) & (F.col(mass) > 0)).withColumn("_bucket", _log_bucket(F.col(mass), step))
+    rows.write.bucketBy(buckets, "_bucket").sortBy("_bucket", mass).option("path", path).saveAsTable(name)
+    return StoredBank(name, mass, step)
+
+
+def lookup(queries: DataFrame, stored: StoredBank, query_mass: str, ppm: float) -> DataFrame:
+    """Inclusive ppm join of a batch of queries with a stored bank, which is read in place: it is not shuffled, and files
+    and row groups outside the batch's masses are skipped."""
+    spark = queries.sparkSession
+    lo, hi = ppm_bounds(F.col(query_mass), ppm)
+    q = queries.filter(finite(F.col(query_mass)) & (F.col(query_mass) > 0)).withColumn("lo", lo).withColumn("hi", hi)
+    least, most = q.agg(F.min("lo"), F.max("hi")).first()  # two numbers
+    bank = spark.table(stored.table)
+    bank = bank.filter(F.col(stored.mass).between(least, most)) if least is not None else bank.limit(0)
+    tiny = F.lit(2.0 ** -1000)  # a window that reaches below zero starts here
+    q = q.withColumn("_bucket", F.explode(F.sequence(_log_bucket(F.greatest("lo", F.lit(max(least or 0.0, 1e-290)), tiny), stored.step, -GUARD), _log_bucket(F.col("hi"), stored.step, GUARD))))
+    return q.join(bank, "_bucket").filter(F.col(stored.mass).between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "_bucket")

@@ -242,14 +242,10 @@ def j14(spark, d):
                                 orders.filter("o_orderpriority = '1-URGENT' and o_totalprice < 50000"))
 
 
-def letters_key(text: str) -> str:
-    return "".join(ch for ch in text if "a" <= ch <= "z").upper()
-
-
 @query("J15_map_via_distinct", "SELECT p_partkey, upper(regexp_replace(p_name, '[^a-z]', '', 'g')) AS mapped_key FROM part")
 def j15(spark, d):
-    return joins.map_via_distinct(table(spark, d, "part", "p_partkey", "p_name"), "p_name", letters_key,
-                                  "mapped_key").select("p_partkey", "mapped_key")
+    key = lambda text: F.upper(F.regexp_replace(text, "[^a-z]", ""))
+    return joins.map_via_distinct(table(spark, d, "part", "p_partkey", "p_name"), "p_name", key, "mapped_key", native=True).select("p_partkey", "mapped_key")
 
 
 @query("J16_proximity_match", f"""WITH {PEAKS_SQL},

@@ -296,12 +296,15 @@ def p27(spark, d):
     return df.select("c_custkey", s.canonical_json_digest("c_nationkey", "c_custkey", "c_mktsegment").alias("digest"))
 
 
-@query("P28_sequence_digest", """
-WITH a AS (SELECT lang, doc_id // 16 AS b, sha256(string_agg(octet_length(encode(text)) || ':' || sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
-b AS (SELECT lang, b // 16 AS b, sha256(string_agg('64:' || h, '' ORDER BY b)) AS h FROM a GROUP BY 1, 2),
-c AS (SELECT lang, sha256(string_agg('64:' || h, '' ORDER BY b)) AS sequence_digest FROM b GROUP BY 1)
-SELECT lang, sequence_digest, (SELECT sum(('0x' || substr(sha256(text), 1, 15))::HUGEINT)::VARCHAR FROM documents x WHERE x.lang = c.lang) AS multiset_digest FROM c""")
+def tree_sql(fan_out: int, levels: int) -> str:
+    """CTEs d0, d1, ... of (lang, b, h): digests of blocks, of blocks of blocks, up to one for each language."""
+    first = f"d0 AS (SELECT lang, doc_id // {fan_out} AS b, sha256(string_agg(octet_length(encode(text)) || ':' || sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2)"
+    return ", ".join([first, *[f"d{k} AS (SELECT lang, b // {fan_out} AS b, sha256(string_agg('64:' || h, '' ORDER BY b)) AS h FROM d{k - 1} GROUP BY 1, 2)" for k in range(1, levels)]])
+
+
+@query("P28_sequence_digest", f"""WITH {tree_sql(256, 8)}
+SELECT lang, h AS sequence_digest, (SELECT sum(('0x' || substr(sha256(text), 1, 15))::HUGEINT)::VARCHAR FROM documents x WHERE x.lang = c.lang) AS multiset_digest FROM d7 c""")
 def p28(spark, d):
     docs = table(spark, d, "documents", "doc_id", "lang", "text")
-    ordered = digests.sequence_digest(docs, ["lang"], "doc_id", "text", fan_out=16, levels=3)
+    ordered = digests.sequence_digest(docs, ["lang"], "doc_id", "text", fan_out=256)
     return ordered.join(digests.multiset_digest(docs, ["lang"], "text"), "lang")

@@ -12,13 +12,9 @@ from .registry import query, table
 @query("X1_stream_window_lookup", """
 SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal - s_acctbal * (500 / 1e6) AND s_acctbal + s_acctbal * (500 / 1e6) WHERE s_acctbal > 0""")
 def x1(spark, d):
-    bank = table(spark, d, "customer", "c_custkey", "c_acctbal")
-
-    def lookup(batch):
-        return rangejoin.mass_window_join(batch.select("s_suppkey", "s_acctbal"), bank, query_mass="s_acctbal", bank_mass="c_acctbal", query_id="s_suppkey",
-                                          bank_id="c_custkey", ppm=500.0).select("s_suppkey", "c_custkey")
-
-    return streams.window_lookup(streams.table_stream(spark, d, "supplier"), lookup)
+    bank = rangejoin.store_bank(table(spark, d, "customer", "c_custkey", "c_acctbal"), "c_acctbal", 500.0, scratch(spark, "bank"))
+    look = lambda batch: rangejoin.lookup(batch.select("s_suppkey", "s_acctbal"), bank, "s_acctbal", 500.0).select("s_suppkey", "c_custkey")
+    return streams.window_lookup(streams.table_stream(spark, d, "supplier"), look)
 
 
 @query("X2_incremental_scoring", "SELECT o_orderkey, round(ln(1 + o_totalprice), 9) AS score FROM orders")
