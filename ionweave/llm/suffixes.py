@@ -78,7 +78,12 @@ def _marks(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
-    """(gram, n, doc_id, start, lead, words): each suffix with the words of its stretches, ``lead`` of them before it; the first stretch is at ``start``."""
+    """(gram, n, doc_id, start, lead, words): each suffix with the words of its stretches, ``lead`` of them before it; the first stretch is at ``start``.
+
+    Suffixes of hot first words are not sorted: instead of words they carry the 64-bit hashes of their stretches.
+    """
+    most = GROUP
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in T.slices(batch, most=1 << 20):
@@ -86,13 +91,15 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     at, first = minimisers(T.gram_hashes(words, GRAM))
                     ends = np.append(first[1:], max(words.size - LEAST + 1, 0)) + LEAST - 1  # where the last stretch of each ends
                     codes = words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE].copy()
+                    stretches = T.gram_hashes(words, LEAST)
                     place, gram, n = (hits.values.field(c).to_numpy() for c in ("place", "gram", "n"))
                     k = np.searchsorted(at, place)
                     fits = at[np.minimum(k, at.size - 1)] == place if at.size else np.zeros(place.size, dtype=bool)
                     k, gram, n = k[fits], gram[fits], n[fits]
                     for i in range(0, k.size, 1 << 12):
                         j = k[i:i + (1 << 12)]
-                        own = [codes[a:b].tobytes() for a, b in zip(first[j].tolist(), ends[j].tolist())]
+                        hot = n[i:i + j.size] > most
+                        own = [(stretches[a:b - LEAST + 1] if h else codes[a:b]).tobytes() for a, b, h in zip(first[j].tolist(), ends[j].tolist(), hot.tolist())]
                         yield pa.RecordBatch.from_arrays([pa.array(gram[i:i + j.size]), pa.array(n[i:i + j.size]), pa.array(np.full(j.size, doc)), pa.array(first[j]), pa.array(at[j] - first[j]), pa.array(own, pa.binary())],
                                                          ["gram", "n", "doc_id", "start", "lead", "words"])
 
@@ -156,15 +163,12 @@ def _same(table: pa.Table, bounds: np.ndarray) -> pa.Table:
 
 
 def _stretches(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, start) of every stretch of the suffixes."""
-    codes, size = _flat_words(part)
-    words = np.zeros((len(codes), 8), dtype=np.uint8)
-    words[:, :CODE] = codes
-    hashes = T.gram_hashes(words.view("<u8")[:, 0].astype(np.uint64), LEAST).view(np.int64)
-    many = size - LEAST + 1
-    row = np.repeat(np.arange(size.size), many)
+    """(hash, row, start) of every stretch of the suffixes of hot first words."""
+    own = part.column("words").to_pylist()
+    many = np.array([len(x) // 8 for x in own], dtype=np.int64)
+    row = np.repeat(np.arange(many.size), many)
     step = np.arange(row.size) - np.repeat(np.cumsum(many) - many, many)
-    return hashes[(np.cumsum(size) - size)[row] + step], row, part.column("start").to_numpy()[row] + step
+    return np.frombuffer(b"".join(own), dtype=np.int64), row, part.column("start").to_numpy()[row] + step
 
 
 def _spread(suffixes: DataFrame) -> DataFrame:
