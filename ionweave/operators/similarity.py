@@ -133,13 +133,6 @@ def explained(ions: Column, mz: Column, weight: Column, abs_tol: float, ppm: flo
 CELLS = 1 << 20  # of a padded block of rows
 
 
-def _padded(rows: list[np.ndarray], fill: float) -> np.ndarray:
-    out = np.full((len(rows), max(map(len, rows), default=0)), fill)
-    for k, row in enumerate(rows):
-        out[k, :len(row)] = row
-    return out
-
-
 def assigned(ions: np.ndarray, mz: np.ndarray, weight: np.ndarray, abs_tol: float, share: float) -> np.ndarray:
     """(assignment, independent) of many spectra at a time.
 
@@ -152,7 +145,7 @@ def assigned(ions: np.ndarray, mz: np.ndarray, weight: np.ndarray, abs_tol: floa
         widest = np.maximum.accumulate(sizes[order[begin:], 1]) + 1
         end = begin + max(1, int(np.searchsorted(widest * np.arange(1, widest.size + 1), CELLS, side="right")))
         rows = order[begin:end]
-        x, m, w = (_padded([np.asarray(v[r], np.float64) for r in rows], fill) for v, fill in ((ions, np.inf), (mz, 0.0), (weight, 0.0)))
+        x, m, w = (_padded([v[r] for r in rows], fill)[0] for v, fill in ((ions, np.inf), (mz, 0.0), (weight, 0.0)))
         best, free = np.zeros((rows.size, x.shape[1] + 1)), np.zeros(rows.size)
         tol = np.maximum(abs_tol, share * m)
         for k in range(m.shape[1]):

@@ -8,7 +8,6 @@ from conftest import SMALL
 from tools.check_oracle import TABLES, rows_of
 
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
-SLOW = {"E12_oof_refit", "E13_weight_scan_cv"}
 
 
 @pytest.fixture(scope="module")
@@ -28,7 +27,7 @@ def test_entry(spark):
     assert df.count() > 0 and df.columns[0] == "row_id"
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW and n[:2] != "op" and n != "pipeline"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n[:2] != "op" and n != "pipeline"])
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SMALL)
     got = rows_of(df.columns, df.collect())
