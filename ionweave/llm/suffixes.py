@@ -224,14 +224,12 @@ def passages(docs: DataFrame) -> DataFrame:
     again = keyed.select("doc_id", "key").join(copies, "key").select("doc_id", "_first", "_last").distinct()
     hits = marks.join(wide.hint("merge"), "gram").join(again.filter("doc_id <> _first").select("doc_id").hint("merge"), "doc_id", "left_anti")
     listed = hits.groupBy("doc_id").agg(F.collect_set(F.struct("place", "gram", "n")).alias("hits"))  # as many as the text has minimisers
-    suffixes = _contexts(docs.join(listed.hint("merge"), "doc_id").select("doc_id", "hits", "text"))
-    hot = wide.filter(F.col("n") > GROUP).limit(1).count() > 0
-    if hot:
-        suffixes = stored(suffixes)  # read by two paths
+    # written out, so that the shuffled texts can go before the suffixes are shuffled
+    suffixes = stored(_contexts(docs.join(listed.hint("merge"), "doc_id").select("doc_id", "hits", "text")))
 
     ranges = "doc_id long, start long, end long, other_id long, cut boolean"
     found = map_runs(suffixes.filter(F.col("n") <= GROUP).select("gram", "doc_id", "start", "lead", "words"), ["gram"], ranges, _same, most=1 << 13)
-    if hot:
+    if not suffixes.filter(F.col("n") > GROUP).isEmpty():
         found = found.unionByName(_spread(suffixes.filter(F.col("n") > GROUP)))
     found = found.groupBy("doc_id", "start", "end", "cut").agg(F.min("other_id").alias("other_id"))  # so a run is bounded by its text
     parts = map_runs(found, ["doc_id"], ranges, _merge)
