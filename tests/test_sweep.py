@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from ionweave.operators import ranking, skew, sweep
+from ionweave.operators.fingerprints import block_balanced
 
 
 def brute(queries, bank, ppm, grouped):
@@ -125,3 +126,27 @@ def test_analog_features(spark, words, tile_rows):
         own = [(weight, both / (count(mine) + count(w) - both + 1e-9)) for q, _, weight, w in analogs if q == r.q for both in [count([a & b for a, b in zip(mine, w)])]]
         want = (max(t * w**3 for w, t in own), max(t * w for w, t in own), max(t for _, t in own), own[0][1], sum(t * w**3 for w, t in own) / (sum(w**3 for w, _ in own) + 1e-9), own[0][0]) if own else (0,) * 6
         assert r.cs == count(mine) and np.allclose([r[c] for c in ranking.ANALOG_COLUMNS], want)
+
+
+@pytest.mark.parametrize("cell_rows", [40, 10_000])
+def test_block_balanced_keeps_pairs_in_their_task(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(sweep, "TILE_BYTES", 8 * 64 * 16)
+    rng = np.random.default_rng(11)
+    masses = np.concatenate([rng.uniform(100, 101, 150), np.full(90, 200.0), [300.0]])  # a hot mass, a lone row
+    words, z = rng.integers(0, 1 << 62, masses.size), rng.normal(size=(masses.size, 64))
+    bank = spark.createDataFrame([(i, float(m), [int(w)]) for i, (m, w) in enumerate(zip(masses, words))], "c long, cm double, w array<bigint>")
+    queries = spark.createDataFrame([(i, float(m), z[i].tolist() if i else None) for i, m in enumerate(masses)], "q long, qm double, z array<double>")
+    got = block_balanced(queries, bank, "q", "da", "db", query_mass="qm", bank_mass="cm", ppm=900.0, logits="z", words="w", n_bits=64,
+                         blocks={"da": (0, 32), "db": (32, 64)}, cell_rows=cell_rows)
+    above = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above and "Join" not in above
+    found = {(r["q"], r["c"]): r["balanced"] for r in got.collect()}
+    on = (words[:, None] >> np.arange(64)) & 1
+    want = {}
+    for q, m in enumerate(masses):
+        near = np.flatnonzero((masses >= m - m * 900e-6) & (masses <= m + m * 900e-6))
+        s = [on[near][:, a:b] @ z[q, a:b] for a, b in ((0, 32), (32, 64))]
+        a, b = (np.zeros(near.size) if x.size == 1 else (x - x.mean()) / x.std() for x in s)
+        want |= {(q, int(c)): v for c, v in zip(near, a + 0.3 * b)}
+    assert found.keys() == want.keys()
+    assert all(found[k] is None if k[0] == 0 else abs(found[k] - want[k]) < 1e-9 for k in want)
