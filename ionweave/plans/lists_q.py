@@ -126,10 +126,12 @@ def t10(spark, d):
 @query("T11_identity_gate", f"""WITH {TRUTH_SQL}, a AS (SELECT q, arg_max(sup, (score, -cand)) % 5 AS top_a, arg_max(sup, (tax, -cand)) % 5 AS top_b, max(y * score) / max(score) AS ma, max(y * tax) / nullif(max(tax), 0) AS mb FROM rows GROUP BY q)
 SELECT q, top_a = top_b AS accepted, round(CASE WHEN top_a = top_b THEN coalesce(mb, 0) ELSE coalesce(ma, 0) END, 9) AS gated_metric FROM a""")
 def t11(spark, d):
+    # of rows equal in score and candidate the first in the order that fixes the truth (line, candidate, supplier)
+    top = lambda s: F.max(F.struct(F.col(s), (-F.col("cand")).alias("n"), (-F.col("line")).alias("l"), (-F.col("sup")).alias("sup")))
     tops = truth_lists(spark, d).groupBy("q").agg(
-        F.max(F.struct(F.col("score"), (-F.col("cand")).alias("n"), "sup")).alias("a"), F.max(F.struct(F.col("tax"), (-F.col("cand")).alias("n"), "sup")).alias("b"),
+        top("score").alias("a"), top("tax").alias("b"),
         (F.max(F.col("y") * F.col("score")) / F.max("score")).alias("ma"), F.try_divide(F.max(F.col("y") * F.col("tax")), F.max("tax")).alias("mb"))
-    same = F.col("a.sup") % 5 == F.col("b.sup") % 5
+    same = -F.col("a.sup") % 5 == -F.col("b.sup") % 5
     return tops.select("q", same.alias("accepted"), F.round(F.when(same, F.coalesce("mb", F.lit(0.0))).otherwise(F.coalesce("ma", F.lit(0.0))), 9).alias("gated_metric"))
 
 
