@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
+
 
 def catalogue_union(old: DataFrame, new: DataFrame, key: str, mass: str) -> DataFrame:
     """Old rows (source 0) and new rows whose key is not in the old bank (source 1).
@@ -38,9 +40,9 @@ def role_overlaps(df: DataFrame, role: str, member: str) -> DataFrame:
 def permutation_report(control: DataFrame, treatment: DataFrame) -> DataFrame:
     """One row: rows (with multiplicity) missing from or added by the treatment."""
     keys = control.columns
-    a = control.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    b = treatment.select(*keys).groupBy(*keys).agg((-F.count(F.lit(1))).alias("_n"))
-    net = a.unionByName(b).groupBy(*keys).agg(F.sum("_n").alias("_d"))
+    # most keys are single rows: they are dealt before they are summed, as a sum before would hold a whole input split
+    signed = control.withColumn("_n", F.lit(1)).unionByName(treatment.select(*keys).withColumn("_n", F.lit(-1)))
+    net = skew.dealt(signed, keys).groupBy(*keys).agg(F.sum("_n").alias("_d"))
     out = net.agg(F.coalesce(F.sum(F.greatest("_d", F.lit(0))), F.lit(0)).alias("missing"),
                   F.coalesce(F.sum(F.greatest(-F.col("_d"), F.lit(0))), F.lit(0)).alias("extra"))
     return out.withColumn("is_permutation", (F.col("missing") == 0) & (F.col("extra") == 0))
