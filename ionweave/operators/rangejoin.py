@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from . import skew
+from . import skew, sweep
 
 GUARD = 1e-6  # far above the rounding of ln(x) / width, far below one bucket
 
@@ -74,10 +74,14 @@ def window_union(estimates: DataFrame, baseline: DataFrame, bank: DataFrame, *,
     value = F.col(estimate)
     usable = estimates.filter(finite(value) & (value > 0))
     half = value * F.lit(float(ppm)) / F.lit(1e6)
-    usable = usable.select(query_id, (value - half).alias("lo"), (value + half).alias("hi")).distinct()
+    usable = usable.select(query_id, value.alias("_at"), (value - half).alias("lo"), (value + half).alias("hi")).distinct()
+    # pairs are counted first, without forming them: they are dealt to as many tasks as that needs
+    counted = sweep.window_counts(usable.select("_at"), bank.select(bank_mass), query_mass="_at", bank_mass=bank_mass, ppms=[float(ppm)])
+    pairs = counted.agg(F.coalesce(F.sum(counted.columns[-1]), F.lit(0))).first()[0] + baseline.count()  # one number
     found = window_pairs(usable, bank.select(bank_id, bank_mass), bank_mass, query_id=query_id, bank_id=bank_id,
                          max_ppm=ppm, limit=limit)
-    return baseline.select(query_id, bank_id).unionByName(found.select(query_id, bank_id)).distinct()
+    both = baseline.select(query_id, bank_id).unionByName(found.select(query_id, bank_id))
+    return skew.dealt(both, [query_id, bank_id], pairs).distinct()
 
 
 def peak_matches(observed: DataFrame, predicted: DataFrame, *, on: tuple[str, ...], observed_mz: str,
