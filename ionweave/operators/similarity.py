@@ -5,11 +5,12 @@ The pairs come from a range join and are spread by Spark; a kernel only ever see
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
-from . import aggregates
+from . import aggregates, sweep
 
 
 def _padded(lists: pd.Series, fill: float) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +58,62 @@ def greedy_cosine(query_mz: Column, query_it: Column, cand_mz: Column, cand_it:
     return kernel(query_mz, query_it, cand_mz, cand_it, shift)
 
 
+PAIRS = 1 << 15  # matched at a time
+
+
+def _spectra(side: pa.StructArray, mz: str, it: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Padded m/z and intensities of the rows, and their lengths."""
+
+    def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        out = np.zeros((len(column), max(1, int(lengths.max(initial=0)))))
+        out[np.arange(out.shape[1]) < lengths[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+        return out, lengths
+
+    (m, n), (v, _) = padded(side.field(mz)), padded(side.field(it))
+    return m, v, n
+
+
+def window_cosines(queries: DataFrame, bank: DataFrame, *, query: str, cand: str, mass: str, mz: str, it: str, ppm: float, tol: float = 0.01, modified: bool = True,
+                   key: str | None = None, cell_rows: int = sweep.PAIR_ROWS) -> DataFrame:
+    """(query, candidate, sim) of every pair of spectra of different ids in a mass window, matched where the pair meets.
+
+    Both sides have an id, ``mass`` and the arrays ``mz`` and ``it``; ``modified`` as in ``greedy_cosine``. A spectrum is
+    sent once a cell. With ``key``, a column of the bank: (query, key, sim) with the best of a query's pairs in a batch,
+    one row or a few for each key.
+    """
+
+    def settle(asked: pa.StructArray, known: pa.StructArray, row: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        names, theirs = asked.field(query).to_numpy(), known.field(cand).to_numpy()
+        other = names[row] != theirs[at]
+        row, at = row[other], at[other]
+        sim = np.zeros(row.size)
+        for i in range(0, row.size, PAIRS):
+            r, c = row[i:i + PAIRS], at[i:i + PAIRS]
+            # rows stand close together, so only the stretches that the pairs name are unpacked
+            r0, c0 = int(r.min()), int(c.min())
+            own, bank_rows = asked.slice(r0, int(r.max()) - r0 + 1), known.slice(c0, int(c.max()) - c0 + 1)
+            (qm, qi, qn), (cm, ci, cn) = _spectra(own, mz, it), _spectra(bank_rows, mz, it)
+            r, c = r - r0, c - c0
+            match = lambda shift: _walk(qm[r], qi[r], qn[r], cm[c], ci[c], cn[c], tol, shift)  # noqa: B023, E731
+            direct = match(np.zeros(r.size))
+            if modified:
+                shift = own.field(mass).to_numpy()[r] - bank_rows.field(mass).to_numpy()[c]
+                direct = np.where(np.abs(shift) < 0.001, direct, np.maximum(direct, match(shift)))
+            sim[i:i + PAIRS] = direct
+        if key is None:
+            return pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(theirs[at]), pa.array(sim)], [query, cand, "sim"])
+        pairs = pa.table({query: names[row], key: known.field(key).take(pa.array(at)), "sim": sim})
+        best = pairs.group_by([query, key], use_threads=False).aggregate([("sim", "max")]).combine_chunks()
+        return pa.RecordBatch.from_arrays([best.column(c).combine_chunks() for c in (query, key, "sim_max")], [query, key, "sim"])
+
+    kind = lambda df, c: f"`{c}` {df.schema[c].dataType.simpleString()}"
+    qm, cm = f"_q{mass}", f"_c{mass}"
+    q, b = (df.select(ident, F.col(mass).alias(own), mass, mz, it, *more) for df, ident, own, more in ((queries, query, qm, []), (bank, cand, cm, [key] if key else [])))
+    out = sweep.settled_windows(q, b, query_mass=qm, bank_mass=cm, ppm=ppm, schema=f"{kind(queries, query)}, {kind(bank, key or cand)}, sim double", settle=settle, cell_rows=cell_rows)
+    return out
+
+
 def entropy(p: np.ndarray) -> np.ndarray:
     return -(p * np.log(np.where(p > 0, p, 1.0))).sum(axis=1)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
-from ..operators import rangejoin, sampling, similarity, skew
+from ..operators import sampling, similarity, skew
 from .registry import query, table
 from .stand_ins import PEAKS_SQL, peaks_long, sample_sql, spectra
 
@@ -39,29 +39,28 @@ def masses(spark, d):
         "vec_id", (F.lit(500) + 100 * F.get("embedding", F.lit(0)).cast("double")).alias("nm"))
 
 
-def scored_pairs(spark, d, ids, modified=True, excluded=None):
+def scored_pairs(spark, d, ids):
     """Similarity of (q, c) id pairs; the peak arrays join after the pair list is known."""
     lib = library(spark, d)
     nm = masses(spark, d)
     side = lambda p, key: lib.join(nm, "vec_id").select(F.col("vec_id").alias(key), F.col("label").alias(p + "_label"), F.col("mz").alias(p + "_mz"),
                                                         F.col("it").alias(p + "_it"), F.col("nm").alias(p + "_nm"))
     full = ids.join(side("q", "q"), "q").join(side("c", "c"), "c")
-    if excluded is not None:
-        full = full.filter(~excluded)
-    score = similarity.greedy_cosine(F.col("q_mz"), F.col("q_it"), F.col("c_mz"), F.col("c_it"), F.col("q_nm") - F.col("c_nm"), tol=2.0, modified=modified)
+    score = similarity.greedy_cosine(F.col("q_mz"), F.col("q_it"), F.col("c_mz"), F.col("c_it"), F.col("q_nm") - F.col("c_nm"), tol=2.0)
     return full.select("q", "c", "c_label", score.alias("sim"))
 
 
-def mass_pairs(spark, d, ppm=150.0):
-    nm = masses(spark, d)
-    q, c = nm.select(F.col("vec_id").alias("q"), F.col("nm").alias("qm")), nm.select(F.col("vec_id").alias("c"), F.col("nm").alias("cm"))
-    pairs = rangejoin.mass_window_join(q, c, query_mass="qm", bank_mass="cm", query_id="q", bank_id="c", ppm=ppm)
-    return pairs.filter("q <> c").select("q", "c")
+def window_cosines(spark, d, modified, key=None, keep=None):
+    """Similarities of the pairs within 150 ppm, found where their masses meet."""
+    rows = library(spark, d).join(masses(spark, d), "vec_id")
+    side = lambda df, name: df.withColumnRenamed("vec_id", name)
+    bank = rows if keep is None else rows.filter(keep)
+    return similarity.window_cosines(side(rows, "q"), side(bank, "c"), query="q", cand="c", mass="nm", mz="mz", it="it", ppm=150.0, tol=2.0, modified=modified, key=key)
 
 
 @query("M1_greedy_cosine", SCORES_SQL.format(pairs=pairs_sql(NARROW)) + " SELECT q, c, round(direct, 9) AS cosine FROM sim")
 def m1(spark, d):
-    return scored_pairs(spark, d, mass_pairs(spark, d), modified=False).select("q", "c", F.round("sim", 9).alias("cosine"))
+    return window_cosines(spark, d, modified=False).select("q", "c", F.round("sim", 9).alias("cosine"))
 
 
 MODIFIED = "CASE WHEN abs(x.nm - y.nm) < 0.001 THEN direct ELSE greatest(direct, moved) END"
@@ -69,14 +68,14 @@ MODIFIED = "CASE WHEN abs(x.nm - y.nm) < 0.001 THEN direct ELSE greatest(direct,
 
 @query("M2_modified_cosine", SCORES_SQL.format(pairs=pairs_sql(NARROW)) + f" SELECT q, c, round({MODIFIED}, 9) AS cosine FROM sim JOIN nm x ON x.vec_id = q JOIN nm y ON y.vec_id = c")
 def m2(spark, d):
-    return scored_pairs(spark, d, mass_pairs(spark, d)).select("q", "c", F.round("sim", 9).alias("cosine"))
+    return window_cosines(spark, d, modified=True).select("q", "c", F.round("sim", 9).alias("cosine"))
 
 
 @query("M3_library_best_by_key", SCORES_SQL.format(pairs=pairs_sql(NARROW)) + " SELECT q, label AS identity, round(max(direct), 9) AS best FROM sim JOIN prep ON vec_id = c WHERE label <> 3 GROUP BY ALL")
 def m3(spark, d):
-    scored = scored_pairs(spark, d, mass_pairs(spark, d), modified=False, excluded=F.col("c_label") == 3)
-    best = similarity.best_by_key(scored, "q", "c_label", "sim")
-    return best.select("q", F.col("c_label").alias("identity"), F.round("best", 9).alias("best"))
+    scored = window_cosines(spark, d, modified=False, key="label", keep=F.col("label") != 3)
+    best = similarity.best_by_key(scored, "q", "label", "sim")
+    return best.select("q", F.col("label").alias("identity"), F.round("best", 9).alias("best"))
 
 
 ANALOG_PAIRS = sample_sql("(SELECT vec_id AS q, nm AS m FROM nm)", "(SELECT vec_id AS c, nm AS m FROM nm)", 5.0, 6, "analog") + ", pairs AS (SELECT q, c FROM drawn)"
