@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
 from ..functions import scalars
-from ..operators import aggregates, evaluation, lists as li, sweep
+from ..operators import aggregates, evaluation, lists as li
 from ..sources import sinks
 from .registry import query, table
 from .stand_ins import ADDUCTS_SQL, PEAKS_SQL, SPECTRA_SQL, TRUTH_SQL, spectra, spectra_meta, truth_lists
@@ -25,17 +25,15 @@ SELECT t.user_id, coalesce(string_agg(c_custkey::VARCHAR, ';' ORDER BY rank), ''
 def identify(spark, d):
     spectra_rows = scalars.with_adduct(spectra_meta(spark, d)).select("user_id", scalars.neutral_mass(F.col("mz")).alias("nm")).filter("nm > 0 and not isnan(nm)")
     targets = aggregates.exact_quantiles(spectra_rows, ["user_id"], "nm", {"target": 0.5}).withColumn("target", F.round("target", 9))
-    cands = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    pairs = sweep.selected_pairs(targets, cands, query_mass="target", bank_mass="c_acctbal", narrow=4000.0, wide=20000.0, cap=4096)
-    logits = table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("z"))
-    words = F.array(*[F.conv(F.substring(F.sha2("c_name", 256), k, 8), 16, 10).cast("bigint") for k in (1, 9)])
-    scored = pairs.join(logits, "user_id", "left").withColumn("words", words)
-    bit = lambda i: F.call_function("shiftright", F.get("words", F.floor(i / 32).cast("int")), (i % 32).cast("int")).bitwiseAND(F.lit(1).cast("bigint"))
-    at_bits = F.transform("z", lambda z, i: z.cast("double") * bit(i))
-    score = F.round(F.aggregate(at_bits, F.lit(0.0), lambda a, x: a + x), 9)
-    # no usable spectrum: the order falls back to mass distance
-    key = F.coalesce(score, -F.round(F.abs(F.col("c_acctbal") - F.col("target")), 9))
-    ranked = li.distinct_topk(scored.select("user_id", "c_custkey", "c_nationkey", key.alias("key")), "user_id", "c_nationkey", "key", "c_custkey", 25)
+    words = [F.conv(F.substring(F.sha2("c_name", 256), k, 8), 16, 10).cast("bigint") for k in (1, 9)]
+    fp = words[0].bitwiseOR(F.call_function("shiftleft", words[1], F.lit(32)))
+    cands = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal").select("c_custkey", "c_nationkey", "c_acctbal", fp.alias("fp"))
+    logits = table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("user_id"), F.transform("embedding", lambda x: x.cast("double")).alias("z"))
+    asked = targets.join(logits, "user_id", "left")
+    window = dict(query_mass="target", bank_mass="c_acctbal", narrow=4000.0, wide=20000.0, cap=4096)
+    # where a window is, its best row of each identity is chosen: at most one for each, and no pair is shuffled
+    scored = li.best_in_windows(asked, cands, query="user_id", identity="c_nationkey", row="c_custkey", logits="z", words="fp", n_bits=64, digits=9, **window)
+    ranked = li.distinct_topk(scored, "user_id", "c_nationkey", "key", "c_custkey", 25)
     return sinks.ranked_submission(targets.select("user_id"), ranked, "user_id", "c_custkey", "rank", 25)
 
 
