@@ -47,3 +47,15 @@ def test_nothing(spark, parts):
     split[0].limit(0).write.parquet(f"{folder}/in")
     got = coverage.incremental_coverage(spark.readStream.schema(whole.schema).parquet(f"{folder}/in"), "ident", "kind", "sig", "up", PROXIES, f"{folder}/out", f"{folder}/state")
     assert values(got)[0] == [(0,) * 7]
+
+
+def test_state_is_sparks_own_and_each_fact_is_emitted_once(spark, parts):
+    split, whole, folder = parts
+    split[0].write.parquet(f"{folder}/in")
+    twice = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    facts = coverage.coverage_facts(twice, "ident", "kind", "sig", "up", PROXIES)
+    assert "dedup" in facts._jdf.queryExecution().analyzed().toString().lower()
+    split[0].write.mode("append").parquet(f"{folder}/in")
+    coverage.incremental_coverage(twice, "ident", "kind", "sig", "up", PROXIES, f"{folder}/out", f"{folder}/state")
+    out = spark.read.parquet(f"{folder}/out").select("identity", "direct", "proxy", "sig")
+    assert out.count() == out.distinct().count() > 0 and out.filter("proxy is not null and (sig is null or sig = '')").count() == 0
