@@ -1,5 +1,6 @@
 """Keyed permutations, samples from windows, chains of masses and merged components against brute force."""
 
+import hashlib
 import math
 import random
 
@@ -46,6 +47,31 @@ def test_decoys_name_unusable_masses(spark, limit):
     assert len(drawn) == 9 and all(r.decoy_row in (0, 1, 2) and r.decoy_row != r.q for r in drawn)
 
 
+@pytest.mark.parametrize("block_rows", [4, 30, 10**6])
+def test_decoys_are_drawn_where_the_window_is(spark, block_rows):
+    rng = random.Random(5)
+    masses = [round(rng.uniform(100, 100.2), 3) for _ in range(80)] + [110.0] * 60 + [150.0, 170.0]
+    bank = spark.createDataFrame([(k, m, rng.randint(0, 9)) for k, m in enumerate(masses)], "row long, m double, s int").repartition(3)
+    scores = {r.row: r.s for r in bank.collect()}
+    q = bank.selectExpr("row as q", "m as qm", "s as qs", "row as own")
+    how = dict(query_id="q", query_mass="qm", own_row="own", mass="m", row="row", ppm=100.0, draws=7, seed="t", block_rows=block_rows)
+    order = sorted(range(len(masses)), key=lambda k: (masses[k], k))
+    want = []
+    for k, x in enumerate(masses):
+        inside = [i for i, r in enumerate(order) if x - x * (100 / 1e6) <= masses[r] <= x + x * (100 / 1e6)]
+        first, last = inside[0], inside[-1] + 1
+        for draw in range(7):
+            number = int(hashlib.sha256(f"t:{k}:{draw}".encode()).hexdigest(), 16)
+            at = number % len(masses) if last - first <= 1 else first + number % (last - first)
+            if last - first > 1 and order[at] == k:
+                at = at + 1 if at + 1 < last else first
+            want.append((k, draw, order[at]))
+    got = splits.window_decoys(q, bank, **how)
+    assert sorted((r.q, r.draw, r.decoy_row) for r in got.collect()) == want
+    ranks = splits.decoy_ranks(q, bank, query_score="qs", score="s", **how).collect()
+    assert sorted((r.q, r["rank"]) for r in ranks) == [(k, 1 + sum(scores[d] > scores[k] for a, _, d in want if a == k)) for k in range(len(masses))]
+
+
 def lowest(nodes, links):
     low = {n: n for n in nodes}
     while True:
