@@ -1,7 +1,8 @@
 """A Spark data source for ``.npy`` arrays, standalone or inside zip archives, and offset/blob string columns.
 
-Every partition reads its own byte range of one file through pyarrow's file systems, so a file is never read whole by
-one task; that holds for members stored in an archive as well. A deflated member cannot be entered in the middle: one
+Every range of rows is read by its own bytes of one file through pyarrow's file systems, so a file is never read whole by
+one task; that holds for members stored in an archive as well. Ranges are a partition each, up to a number; many small
+files share partitions. A deflated member cannot be entered in the middle: one
 task reads it as a stream, a few rows at a time.
 """
 
@@ -12,10 +13,12 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,6 +29,7 @@ TYPES = {"f8": (pa.float64(), "double"), "f4": (pa.float32(), "float"), "f2": (p
          "i2": (pa.int16(), "smallint"), "i1": (pa.int8(), "tinyint"), "u8": (pa.decimal128(20, 0), "decimal(20,0)"), "u4": (pa.int64(), "bigint"),
          "u2": (pa.int32(), "int"), "u1": (pa.int16(), "smallint"), "b1": (pa.bool_(), "boolean")}
 ARCHIVES, STEP, MOST_HEADER = (".npz", ".zip"), 16_384, 1 << 20
+MOST_TASKS, OPENERS = 512, 32  # of a scan: partitions, and files that are opened at a time to plan it
 
 
 def _open(path: str):
@@ -54,17 +58,41 @@ def read_header(handle) -> tuple[np.dtype, tuple[int, ...], int]:
     return dtype, tuple(spec["shape"]), handle.tell()
 
 
-def _arrays(path: str, member: str) -> list[tuple[str, str | None]]:
-    """(file, member) of every array: ``.npy`` files, and the members of archives that match the pattern."""
-    system, _ = _open(path)
-    out: list[tuple[str, str | None]] = []
-    for name in _listed(path, (".npy", *ARCHIVES)):
+Found = tuple[str, str | None, np.dtype, tuple[int, ...], bool]
+
+
+def _arrays_of(system: fs.FileSystem, name: str, member: str) -> list[Found]:
+    """(file, member, dtype, shape, whether it can seek) of a file's arrays, from one opening: a ``.npy`` file itself, or the members of an archive that match."""
+    with system.open_input_file(name) as handle:
         if name.endswith(".npy"):
-            out.append((name, None))
-            continue
-        with system.open_input_file(name) as handle, zipfile.ZipFile(handle) as archive:
-            out += [(name, m) for m in sorted(archive.namelist()) if m.endswith(".npy") and fnmatch.fnmatchcase(m, member)]
-    return out
+            dtype, shape, _ = read_header(handle)
+            return [(name, None, dtype, shape, True)]
+        out: list[Found] = []
+        with zipfile.ZipFile(handle) as archive:
+            for m in sorted(m for m in archive.namelist() if m.endswith(".npy") and fnmatch.fnmatchcase(m, member)):
+                with archive.open(m) as stream:
+                    dtype, shape, _ = read_header(stream)
+                out.append((name, m, dtype, shape, _stored(archive.getinfo(m))))
+        return out
+
+
+def _arrays(path: str, member: str) -> Iterator[Found]:
+    """Every array below ``path`` in order; files are opened as they are asked for, and many at a time."""
+    system, _ = _open(path)
+    names = _listed(path, (".npy", *ARCHIVES))
+    with ThreadPoolExecutor(OPENERS) as pool:
+        for i in range(0, len(names), 64 * OPENERS):
+            for found in pool.map(lambda name: _arrays_of(system, name, member), names[i:i + 64 * OPENERS]):
+                yield from found
+
+
+def _first_array(path: str, member: str) -> Found:
+    system, _ = _open(path)
+    return next(a for name in _listed(path, (".npy", *ARCHIVES)) for a in _arrays_of(system, name, member))
+
+
+def _stored(info: zipfile.ZipInfo) -> bool:
+    return info.compress_type == zipfile.ZIP_STORED and not info.flag_bits & 1
 
 
 @contextmanager
@@ -76,7 +104,7 @@ def _opened(system: fs.FileSystem, name: str, member: str | None):
             return
         with zipfile.ZipFile(handle) as archive:
             info = archive.getinfo(member)
-            if info.compress_type == zipfile.ZIP_STORED and not info.flag_bits & 1:
+            if _stored(info):
                 handle.seek(info.header_offset)
                 local = handle.read(30)
                 handle.seek(info.header_offset + 30 + sum(struct.unpack("<HH", local[26:30])))
@@ -86,11 +114,25 @@ def _opened(system: fs.FileSystem, name: str, member: str | None):
                     yield stream, False
 
 
-class RowRange(InputPartition):
+class RowRange:
     def __init__(self, path: str, member: str | None, file_index: int, start: int, stop: int):
         self.path, self.member, self.file_index, self.start, self.stop = path, member, file_index, start, stop
 
 
+class RowRanges(InputPartition):
+    def __init__(self, ranges: list[RowRange]):
+        self.ranges = ranges
+
+
+def _gathered(ranges: list[RowRange], most: int) -> list[RowRanges]:
+    """A partition for each range, or if they are more than ``most``, that many with neighbouring ranges of about equal rows."""
+    if len(ranges) <= most:
+        return [RowRanges([r]) for r in ranges]
+    upto = np.cumsum([r.stop - r.start for r in ranges])
+    cuts = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, most) / most, side="left") + 1)
+    return [RowRanges(ranges[a:b]) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ranges)]) if a < b]
+
+
 class NpyReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.path, self.member = schema, options["path"], options.get("member", "*")
@@ -98,18 +140,15 @@ class NpyReader(DataSourceReader):
         self.blob = options.get("kind", "array") == "blob"
 
     def partitions(self):
-        system, _ = _open(self.path)
         out, kinds = [], set()
-        for index, (name, member) in enumerate(_arrays(self.path, self.member)):
-            with _opened(system, name, member) as (handle, seeks):
-                dtype, shape, _ = read_header(handle)
+        for index, (name, member, dtype, shape, seeks) in enumerate(_arrays(self.path, self.member)):
             kinds.add((dtype, shape[1:]))
             count = shape[0] - 1 if self.blob else shape[0]
             rows = self.rows if seeks else max(count, 1)
             out += [RowRange(name, member, index, s, min(s + rows, count)) for s in range(0, count, rows)]
         if len(kinds) > 1:
             raise ValueError(f"arrays of different types or widths: {sorted(map(str, kinds))}; choose with the option member")
-        return out
+        return _gathered(out, MOST_TASKS)
 
     def _pieces(self, system: fs.FileSystem, part: RowRange, extra: int = 0) -> Iterator[tuple[int, np.ndarray]]:
         """(first row, rows) of the range, ``STEP`` and ``extra`` overlapping rows at a time."""
@@ -125,8 +164,12 @@ class NpyReader(DataSourceReader):
                     raise ValueError(f"{part.path}: the array ends early")
                 yield start, np.frombuffer(data, dtype).reshape((stop - start, *shape[1:]))
 
-    def read(self, part: RowRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: RowRanges) -> Iterator[pa.RecordBatch]:
         system, _ = _open(self.path)
+        for part in partition.ranges:
+            yield from self._read(system, part)
+
+    def _read(self, system: fs.FileSystem, part: RowRange) -> Iterator[pa.RecordBatch]:
         for start, rows in self._pieces(system, part, extra=int(self.blob)):
             if self.blob:
                 offsets = rows.astype(np.int64)
@@ -152,9 +195,7 @@ class NpySource(DataSource):
     def schema(self):
         if self.options.get("kind", "array") == "blob":
             return "file_index int, row_id bigint, value string"
-        system, _ = _open(self.options["path"])
-        with _opened(system, *_arrays(self.options["path"], self.options.get("member", "*"))[0]) as (handle, _):
-            dtype, shape, _ = read_header(handle)
+        _, _, dtype, shape, _ = _first_array(self.options["path"], self.options.get("member", "*"))
         element = TYPES[dtype.str[1:]][1]
         return f"file_index int, row_id bigint, value {element if len(shape) == 1 else f'array<{element}>'}"
 
@@ -201,6 +242,16 @@ def write_npy(df: DataFrame, column: str, path: str) -> DataFrame:
     return df.select(column).mapInArrow(run, "part int, rows bigint")
 
 
+def _numbers(column: pa.Array, kind: str) -> np.ndarray:
+    """A column as an array of a numpy type; whole decimals as integers, without a Python object for each."""
+    if not column.null_count:
+        if pa.types.is_decimal(column.type) and column.type.scale == 0 and np.dtype(kind).kind in "iu":
+            return pc.cast(column, pa.uint64() if np.dtype(kind).kind == "u" else pa.int64()).to_numpy().astype(kind)
+        if pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_boolean(column.type):
+            return column.to_numpy(zero_copy_only=False).astype(kind)
+    return np.array(column.to_pylist()).astype(kind)
+
+
 def write_npz(df: DataFrame, types: dict[str, str], path: str, deflate: bool = False) -> DataFrame:
     """One archive per Arrow batch with a member for each column, of the given numpy types; returns (part, rows) when run."""
     write = uuid.uuid4().hex[:12]
@@ -208,7 +259,7 @@ def write_npz(df: DataFrame, types: dict[str, str], path: str, deflate: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for stem, part, batch in _numbered(batches, write):
             buffer = io.BytesIO()
-            (np.savez_compressed if deflate else np.savez)(buffer, **{c: np.array(batch.column(c).to_pylist()).astype(t) for c, t in types.items()})
+            (np.savez_compressed if deflate else np.savez)(buffer, **{c: _numbers(batch.column(c), t) for c, t in types.items()})
             system, name = _target(path, stem + ".npz")
             with system.open_output_stream(name) as out:
                 out.write(buffer.getvalue())

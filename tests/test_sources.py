@@ -60,6 +60,35 @@ def test_written_archives_hold_a_batch_each(spark, tmp_path):
     assert npy.scan_npy(spark, f"{tmp_path}/z", member="half.npy").agg(F.sum("value")).first()[0] == sum(range(25_000))
 
 
+def test_many_small_files_share_partitions(spark, tmp_path):
+    for k in range(1200):
+        (np.savez_compressed if k % 3 else np.savez)(tmp_path / f"{k:05d}.npz", v=np.full(5 + k % 2, k, "u8"), w=np.arange(2.0))
+    got = npy.scan_npy(spark, str(tmp_path), rows_per_partition=2, member="v.npy")
+    assert got.rdd.getNumPartitions() <= npy.MOST_TASKS
+    rows = got.groupBy("file_index").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.max("row_id").alias("r")).collect()
+    assert sorted((r.file_index, r.n, int(r.lo), int(r.hi), r.r) for r in rows) == [(k, 5 + k % 2, k, k, 4 + k % 2) for k in range(1200)]
+
+
+def test_gathered_ranges_keep_their_order_and_balance():
+    ranges = [npy.RowRange("x", None, k, 0, rows) for k, rows in enumerate([1] * 50 + [100] + [1] * 50)]
+    parts = npy._gathered(ranges, 10)
+    assert [r.file_index for p in parts for r in p.ranges] == list(range(101)) and len(parts) <= 10
+    assert max(sum(r.stop for r in p.ranges if r.stop < 100) for p in parts) <= 21
+
+
+def test_numbers_without_objects():
+    import decimal
+
+    import pyarrow as pa
+
+    whole = pa.array([decimal.Decimal(2**64 - 1), decimal.Decimal(0)], pa.decimal128(20, 0))
+    assert npy._numbers(whole, "u8").tolist() == [2**64 - 1, 0]
+    assert npy._numbers(pa.array([True, False]), "?").tolist() == [True, False]
+    assert npy._numbers(pa.array([1.0, 0.1], pa.float32()), "f2").tolist() == np.array([1.0, 0.1], "f4").astype("f2").tolist()
+    with pytest.raises(Exception):
+        npy._numbers(pa.array([decimal.Decimal(-1)], pa.decimal128(20, 0)), "u8")
+
+
 def test_manifest_names_every_fault(spark, tmp_path):
     for folder in ("a", "b", "c", "d", "e"):
         (tmp_path / folder).mkdir()
