@@ -4,10 +4,10 @@ from pyspark.sql import functions as F
 
 from ..functions import peaks as pk
 from ..functions import scalars
-from ..operators import aggregates, evaluation, lists as li
+from ..operators import aggregates, evaluation, lists as li, skew
 from ..sources import sinks
 from .registry import query, table
-from .stand_ins import ADDUCTS_SQL, PEAKS_SQL, SPECTRA_SQL, TRUTH_SQL, spectra, spectra_meta, truth_lists
+from .stand_ins import ADDUCTS_SQL, PEAKS_SQL, SPECTRA_SQL, TRUTH_SQL, hot_lists, spectra, spectra_meta, truth_lists
 
 BIT = "((('0x' || substr(sha256(c_name), 1 + 8 * (i // 32), 8))::BIGINT >> (i % 32)) & 1)"  # 64 bits of a fingerprint in two words
 
@@ -64,12 +64,11 @@ def arm_sql(name: str, weight: float) -> str:
 SELECT count(*) AS n, round(avg(base.rr), 8) AS mean_a, round(avg(alt.rr), 8) AS mean_b, round(avg(alt.rr - base.rr), 8) AS mean_delta, count(*) FILTER (alt.rr - base.rr > 1e-12) AS wins, count(*) FILTER (alt.rr - base.rr < -1e-12) AS losses,
  count(*) FILTER (abs(alt.rr - base.rr) <= 1e-12) AS ties FROM base JOIN alt USING (q)""")
 def replay(spark, d):
-    short = li.shortlist_union(truth_lists(spark, d), "q", ["cand", "sup"], "score2", "tax", 3, 1)
-
-    def arm(weight, name):
-        blended = li.prior_blend(short, "q", "score", "qty", weight)
-        rows = blended.select("q", (F.col("sup") % 40).alias("identity"), F.round("blended", 6).alias("s"), "y", (F.col("tax") < 0.02).alias("in_pool"))
-        return evaluation.pool_aware_rank(rows, "q", "identity", "s", "y", "in_pool").select("q", F.col("rr").alias(name))
-
-    out = evaluation.paired_delta(arm(0.0, "a").join(arm(0.15, "b"), "q"), "a", "b", 1e-12)
+    hot = hot_lists(spark, d)
+    short = li.shortlist_union(truth_lists(spark, d, hot), "q", ["cand", "sup"], "score2", "tax", 3, 1, hot)
+    # a shortlist holds at most four rows of a query; both arms share it, and nothing is dealt again
+    blended = li.prior_blends(short, "q", "score", "qty", {"base": 0.0, "alt": 0.15}, skew.BOUNDED)
+    rows = blended.select("q", (F.col("sup") % 40).alias("identity"), F.round("base", 6).alias("base"), F.round("alt", 6).alias("alt"), "y", (F.col("tax") < 0.02).alias("in_pool"))
+    ranks = evaluation.pool_aware_ranks(rows, "q", "identity", {"_a": "base", "_b": "alt"}, "y", "in_pool", hot=skew.BOUNDED)
+    out = evaluation.paired_delta(ranks, "rr_a", "rr_b", 1e-12)
     return out.select("n", *[F.round(c, 8).alias(c) for c in ("mean_a", "mean_b", "mean_delta")], "wins", "losses", "ties")
