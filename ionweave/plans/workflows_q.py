@@ -16,7 +16,7 @@ BIT = "((('0x' || substr(sha256(c_name), 1 + 8 * (i // 32), 8))::BIGINT >> (i %
 t AS (SELECT user_id, round(quantile_cont(nm, 0.5), 9) AS target FROM (SELECT user_id, (mz * abs_charge - shift_da) / n_mol AS nm FROM meta LEFT JOIN adducts USING (adduct)) WHERE nm > 0 GROUP BY user_id),
 c AS (SELECT user_id, target, count(*) FILTER (c_acctbal BETWEEN target - target * (4000 / 1e6) AND target + target * (4000 / 1e6)) AS n, count(c_custkey) AS w FROM t LEFT JOIN customer ON c_acctbal > 0 AND c_acctbal BETWEEN target - target * (20000 / 1e6) AND target + target * (20000 / 1e6) GROUP BY ALL),
 p AS (SELECT user_id, target, CASE WHEN n > 0 THEN 4000 WHEN w > 0 THEN 20000 END AS ppm, CASE WHEN n > 0 THEN n ELSE w END AS rows FROM c),
-m AS (SELECT p.user_id, target, c_custkey, c_name, c_nationkey, c_acctbal FROM p JOIN customer ON c_acctbal BETWEEN target - target * (ppm / 1e6) AND target + target * (ppm / 1e6) WHERE rows BETWEEN 1 AND 4096),
+m AS (SELECT p.user_id, target, c_custkey, c_name, c_nationkey, c_acctbal FROM p JOIN customer ON c_acctbal BETWEEN target - target * (ppm / 1e6) AND target + target * (ppm / 1e6)),
 s AS (SELECT m.user_id, c_custkey, c_nationkey, any_value(abs(c_acctbal - target)) AS dist, round(sum(embedding[i + 1]::DOUBLE * {BIT}), 9) AS score FROM m LEFT JOIN embeddings ON vec_id = m.user_id, (SELECT unnest(range(64)) AS i) GROUP BY ALL),
 k AS (SELECT user_id, c_custkey, c_nationkey, CASE WHEN score IS NULL THEN -round(dist, 9) ELSE score END AS key FROM s),
 b AS (SELECT user_id, c_nationkey, arg_max(c_custkey, (key, -c_custkey)) AS c_custkey, max(key) AS key FROM k GROUP BY ALL),
@@ -30,8 +30,8 @@ def identify(spark, d):
     cands = table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal").select("c_custkey", "c_nationkey", "c_acctbal", fp.alias("fp"))
     logits = table(spark, d, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("user_id"), F.transform("embedding", lambda x: x.cast("double")).alias("z"))
     asked = targets.join(logits, "user_id", "left")
-    window = dict(query_mass="target", bank_mass="c_acctbal", narrow=4000.0, wide=20000.0, cap=4096)
-    # where a window is, its best row of each identity is chosen: at most one for each, and no pair is shuffled
+    window = dict(query_mass="target", bank_mass="c_acctbal", narrow=4000.0, wide=20000.0, cap=None)
+    # windows of any size: where a piece of one is, its best row of each identity is chosen, and no pair is shuffled
     scored = li.best_in_windows(asked, cands, query="user_id", identity="c_nationkey", row="c_custkey", logits="z", words="fp", n_bits=64, digits=9, **window)
     ranked = li.distinct_topk(scored, "user_id", "c_nationkey", "key", "c_custkey", 25)
     return sinks.ranked_submission(targets.select("user_id"), ranked, "user_id", "c_custkey", "rank", 25)
