@@ -22,21 +22,37 @@ def _padded(lists: pd.Series, fill: float) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def _walk(qm, qi, qn, cm, ci, cn, tol, shift):
-    """Two-pointer one-to-one matching of every pair of the batch at once."""
-    rows = np.arange(len(qm))
-    i, j, dot = np.zeros(len(qm), np.int64), np.zeros(len(qm), np.int64), np.zeros(len(qm))
-    while True:
-        live = (i < qn) & (j < cn)
-        if not live.any():
-            return dot
-        a, b = np.minimum(i, qm.shape[1] - 1), np.minimum(j, cm.shape[1] - 1)
-        gap = (qm[rows, a] - shift) - cm[rows, b]
-        low, high = live & (gap < -tol), live & (gap > tol)
-        hit = live & ~low & ~high
-        dot += np.where(hit, qi[rows, a] * ci[rows, b], 0.0)
-        i += low | hit
-        j += high | hit
+def _ended(mz: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Peaks of spectra (row, peak) with infinite ones behind the last, at least one."""
+    out = np.full((len(mz), mz.shape[1] + 1), np.inf)
+    real = np.arange(mz.shape[1]) < lengths[:, None]
+    out[:, :-1][real] = mz[real]
+    return out
+
+
+def _walk(qm: np.ndarray, qi: np.ndarray, of: np.ndarray, cm: np.ndarray, ci: np.ndarray, at: np.ndarray, tol: float, shift: np.ndarray | None) -> np.ndarray:
+    """Two-pointer one-to-one matching of all pairs (row ``of`` of one side, row ``at`` of the other) at once.
+
+    Both sides are ``_ended``: behind its last peak a side only lets the other go on, and two ends differ by no number.
+    """
+    i, j, dot = of * qm.shape[1], at * cm.shape[1], np.zeros(of.size)
+    q, c = qm.reshape(-1), cm.reshape(-1)
+    qv, cv = qi.reshape(-1), ci.reshape(-1)  # a place less in each row: intensities have no end
+    gap, other = np.empty(of.size), np.empty(of.size)
+    with np.errstate(invalid="ignore"):
+        for _ in range(qm.shape[1] + cm.shape[1]):
+            np.take(q, i, out=gap, mode="clip")
+            if shift is not None:
+                np.subtract(gap, shift, out=gap)
+            np.subtract(gap, np.take(c, j, out=other, mode="clip"), out=gap)
+            left, right = gap <= tol, gap >= -tol  # whose pointer goes on
+            if not (left.any() or right.any()):
+                break
+            hit = np.flatnonzero(left & right)
+            dot[hit] += qv[i[hit] - of[hit]] * cv[j[hit] - at[hit]]
+            i += left
+            j += right
+    return dot
 
 
 def greedy_cosine(query_mz: Column, query_it: Column, cand_mz: Column, cand_it: Column, shift: Column,
@@ -49,16 +65,17 @@ def greedy_cosine(query_mz: Column, query_it: Column, cand_mz: Column, cand_it:
         qit, _ = _padded(qi, 0.0)
         cmz, cn = _padded(cm, 0.0)
         cit, _ = _padded(ci, 0.0)
-        direct = _walk(qmz, qit, qn, cmz, cit, cn, tol, np.zeros(len(qm)))
+        each, qmz, cmz = np.arange(len(qm)), _ended(qmz, qn), _ended(cmz, cn)
+        direct = _walk(qmz, qit, each, cmz, cit, each, tol, None)
         if not modified:
             return pd.Series(direct)
-        moved = _walk(qmz, qit, qn, cmz, cit, cn, tol, s.to_numpy(np.float64))
+        moved = _walk(qmz, qit, each, cmz, cit, each, tol, s.to_numpy(np.float64))
         return pd.Series(np.where(np.abs(s.to_numpy(np.float64)) < 0.001, direct, np.maximum(direct, moved)))
 
     return kernel(query_mz, query_it, cand_mz, cand_it, shift)
 
 
-PAIRS = 1 << 15  # matched at a time
+PAIRS = 1 << 14  # matched at a time, so that their places stay in the cache
 
 
 def _spectra(side: pa.StructArray, mz: str, it: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +111,9 @@ def window_cosines(queries: DataFrame, bank: DataFrame, *, query: str, cand: str
             r0, c0 = int(r.min()), int(c.min())
             own, bank_rows = asked.slice(r0, int(r.max()) - r0 + 1), known.slice(c0, int(c.max()) - c0 + 1)
             (qm, qi, qn), (cm, ci, cn) = _spectra(own, mz, it), _spectra(bank_rows, mz, it)
-            r, c = r - r0, c - c0
-            match = lambda shift: _walk(qm[r], qi[r], qn[r], cm[c], ci[c], cn[c], tol, shift)  # noqa: B023, E731
-            direct = match(np.zeros(r.size))
+            r, c, qm, cm = r - r0, c - c0, _ended(qm, qn), _ended(cm, cn)
+            match = lambda shift: _walk(qm, qi, r, cm, ci, c, tol, shift)  # noqa: B023, E731
+            direct = match(None)
             if modified:
                 shift = own.field(mass).to_numpy()[r] - bank_rows.field(mass).to_numpy()[c]
                 direct = np.where(np.abs(shift) < 0.001, direct, np.maximum(direct, match(shift)))
