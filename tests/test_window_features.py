@@ -45,3 +45,24 @@ def test_windows_of_pairs_are_dealt_to_many_tasks(spark):
     bank = masses.selectExpr("q as c", "qm as cm", "array(1L) as w")
     out = sweep.window_scores(masses, bank, query_mass="qm", bank_mass="cm", ppm=2000.0, logits="z", words="w", n_bits=64, blocks={"s": (0, 64)})
     assert out.rdd.getNumPartitions() >= 16
+
+
+def test_copies_of_a_row_do_not_grow_with_the_rows(spark):
+    """A window of many cells makes the cells larger, so that what is copied is about the same for each row at any size."""
+    sizes = {}
+    for n in (20_000, 80_000):
+        masses = spark.range(n).selectExpr("500 + pmod(xxhash64(id), 1000003) / 1000003 * 100 as _m")
+        cuts = sweep._cut_points(masses, masses, sweep.PAIR_ROWS, 20_000.0)
+        middle = cuts[len(cuts) // 2]
+        sizes[n] = sum(middle - middle * 0.02 <= c <= middle + middle * 0.02 for c in cuts)
+    assert all(4 <= k <= sweep.COPIES + 1 for k in sizes.values())
+
+
+@pytest.mark.parametrize("name", ["B8_logit_dot", "B8_wide_logit_dot", "B11_logit_blend", "B10_block_balanced_score"])
+def test_pairs_leave_their_task_with_what_is_returned(spark, name):
+    """Scores are finished and rounded where the pair is made."""
+    df = QUERIES[name](spark, SMALL)
+    above, below = df._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)
+    assert "round" not in above and "array<double>" not in below.split("Exchange", 1)[0]
+    made = below.split("[", 1)[1].split("]", 1)[0]
+    assert len(made.split(",")) == len(df.columns)
