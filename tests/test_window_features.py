@@ -1,5 +1,6 @@
 """Features of whole windows follow where the windows are: no exchange of pairs, the same rows from cells of any size."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry_module
@@ -66,3 +67,17 @@ def test_pairs_leave_their_task_with_what_is_returned(spark, name):
     assert "round" not in above and "array<double>" not in below.split("Exchange", 1)[0]
     made = below.split("[", 1)[1].split("]", 1)[0]
     assert len(made.split(",")) == len(df.columns)
+
+
+@pytest.mark.parametrize("words", [1, 3])
+def test_long_windows_against_analogs(monkeypatch, words):
+    """Analogs one at a time say what they say in blocks."""
+    rng = np.random.default_rng(5)
+    mine = rng.integers(0, 2**62, (300, words)).astype(np.uint64)
+    mine[7] = 0
+    weight, on = np.sort(rng.random(9))[::-1], np.bitwise_count(mine).sum(axis=1, dtype=np.int64)
+    short = ranking._against_analogs(mine, on, mine[:9], weight, 3.0)
+    monkeypatch.setattr(ranking, "LONG_ROWS", 1)
+    monkeypatch.setattr(ranking, "CACHED_ROWS", 64)
+    long = ranking._against_analogs(mine, on, mine[:9], weight, 3.0)
+    assert np.allclose(short, long, rtol=1e-14, atol=1e-14) and (short[[0, 1, 2, 3, 5]] == long[[0, 1, 2, 3, 5]]).all()
